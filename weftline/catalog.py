@@ -1,0 +1,4 @@
+"""Registry of the engine's own queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
