@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -20,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHIFT, MASK = 6, 63
+SHIFT = 6
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,63 +32,57 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; the lowest rank first, then the lowest position."""
+    """Positions by rank; the lowest rank first, then the lowest position.
+
+    encode_piece works on the levels in place: a call for every push and pop would take longer than the pushes and pops.
+    """
 
     def __init__(self, n_ranks: int) -> None:
         self.low = [0] * ((n_ranks >> SHIFT) + 1)
         self.mid = [0] * ((len(self.low) >> SHIFT) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> SHIFT
-        if not self.low[word]:
-            block = word >> SHIFT
-            if not self.mid[block]:
-                self.top |= 1 << block
-            self.mid[block] |= 1 << (word & MASK)
-        self.low[word] |= 1 << (rank & MASK)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        block = (self.top & -self.top).bit_length() - 1
-        bits = self.mid[block]
-        word = block << SHIFT | (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = word << SHIFT | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= ~(1 << (rank & MASK))
-            if not self.low[word]:
-                self.mid[block] &= ~(1 << (word & MASK))
-                if not self.mid[block]:
-                    self.top &= ~(1 << block)
-        return rank, position
+        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
 
 
 class PieceCache(dict):
-    """Encoded pieces by piece; emptied when it holds `limit`, which bounds memory and changes no result."""
+    """Encoded pieces by piece. When it holds `limit`, pieces not asked for since the last time go; this bounds memory and changes no result."""
 
-    def __init__(self, encode, limit: int = 300_000, longest: int = 256) -> None:
-        self.encode, self.limit, self.longest = encode, limit, longest
+    def __init__(self, encode, limit: int = 200_000, longest: int = 256) -> None:
+        self.encode, self.limit, self.longest, self.older = encode, limit, longest, {}
 
     def __missing__(self, piece: str):
-        found = self.encode(piece.encode())
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode(piece)
         if len(piece) <= self.longest:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
 
 
+class UnitSplitter:
+    """Cuts a text at single blanks, so that what stands between two blanks is looked up at once.
+
+    A blank is the start of a piece if it is the first or the last white space of its run, since the pattern attaches
+    the last blank of a run to what follows. Texts with a blank inside a run are left to the pattern as a whole.
+    """
+
+    inside = re.compile(r"\s (?:\s|\Z)")
+
+    def __init__(self, join, of_piece, pattern: str, limit: int = 200_000) -> None:
+        find = regex.compile(pattern).findall
+        self.whole = lambda text: join(map(of_piece, find(text)))
+        self.units = PieceCache(lambda unit: join(map(of_piece, find(" " + unit))), limit)
+        self.join = join
+
+    def __call__(self, text: str):
+        if self.inside.search(text):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        return self.join([self.whole(first), *map(self.units.__getitem__, rest)])
+
+
 class BpeCodec:
     """Encodes text as the tiktoken library does for the same ranks and pattern, without special tokens."""
 
@@ -94,49 +90,72 @@ class BpeCodec:
         self.ranks = ranks
         self.tokens = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
-        self.find = regex.compile(pattern).findall
         self.queue = RankQueue(max(self.tokens, default=0) + 1)
-        self.cache = PieceCache(lambda piece: np.array(self.encode_piece(piece), "<u4").tobytes())
+        self.pieces = PieceCache(lambda piece: self.pack(self.encode_piece(piece.encode())))
+        self.encode_bytes = UnitSplitter(b"".join, self.pieces.__getitem__, pattern)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
-        n, queue, lengths = len(piece), self.queue, self.lengths
-        after = list(range(1, n + 1)) + [n]
+        low, mid, buckets, lengths, rank_of = self.queue.low, self.queue.mid, self.queue.buckets, self.lengths, ranks.get
+        n, top = len(piece), 0
+        after = list(range(1, n + 2))
         before = list(range(-1, n))
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
-            middle = after[i]
-            if middle < 0 or middle >= n:
-                continue
-            end = after[middle]
-            if end - i != lengths[rank]:
-                continue
-            after[i], after[middle] = end, -1
+        found = [(rank_of(piece[i : i + 2]), i) for i in range(n - 1)]
+        while True:
+            for rank, i in found:
+                if rank is None:
+                    continue
+                bucket = buckets[rank]
+                if bucket:
+                    heappush(bucket, i)
+                    continue
+                bucket.append(i)
+                word = rank >> 6
+                bits = low[word]
+                low[word] = bits | 1 << (rank & 63)
+                if not bits:
+                    block = word >> 6
+                    mid[block] |= 1 << (word & 63)
+                    top |= 1 << block
+            while top:
+                block = (top & -top).bit_length() - 1
+                bits = mid[block]
+                word = block << 6 | (bits & -bits).bit_length() - 1
+                bits = low[word]
+                bit = bits & -bits
+                rank = word << 6 | bit.bit_length() - 1
+                bucket = buckets[rank]
+                i = heappop(bucket)
+                if not bucket:
+                    low[word] = bits ^ bit
+                    if bits == bit:
+                        mid[block] ^= 1 << (word & 63)
+                        if not mid[block]:
+                            top ^= 1 << block
+                middle = after[i]
+                if 0 < middle < n and after[middle] - i == lengths[rank]:
+                    break
+            else:
+                break
+            end = after[i] = after[middle]
+            after[middle] = -1
             before[end] = i
-            if end < n:
-                rank = ranks.get(piece[i : after[end]])
-                if rank is not None:
-                    queue.push(rank, i)
             j = before[i]
+            found = [(rank_of(piece[i : after[end]]), i)] if end < n else []
             if j >= 0:
-                rank = ranks.get(piece[j:end])
-                if rank is not None:
-                    queue.push(rank, j)
+                found.append((rank_of(piece[j:end]), j))
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.cache.__getitem__, self.find(text)))
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers, as encode_bytes returns those of a text."""
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

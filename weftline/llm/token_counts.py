@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bpe import PieceCache, slices
+from weftline.llm.bpe import PieceCache, UnitSplitter, slices
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,8 +49,9 @@ class PrefixCounter:
         self.longest = max(map(len, self.token))
         self.stays: dict[tuple[int, int], bool] = {}
         self.find = regex.compile(pattern).findall
+        self.counts = PieceCache(lambda piece: self.prefixes(piece.encode())[-1])
+        self.count_plain = UnitSplitter(sum, self.counts.__getitem__, pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.counts = PieceCache(lambda piece: self.prefixes(piece)[-1])
 
     def pair_stays(self, left: int, right: int) -> bool:
         """Whether the two tokens, as one string, encode to just themselves."""
@@ -107,7 +108,7 @@ class PrefixCounter:
             yield False, text[at:]
 
     def count(self, text: str) -> int:
-        return sum(1 if special else sum(map(self.counts.__getitem__, self.find(part))) for special, part in self.parts(text))
+        return sum(1 if special else self.count_plain(part) for special, part in self.parts(text))
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
