@@ -337,3 +337,81 @@ def test_bundle_is_plain_zstd_with_seek_table(tmp_path):
         assert [tuple(x[1:]) for x in r.places()] == places and len(r.frames) > 3
     with path.open("rb") as f:
         assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == b"".join(data)
+
+
+def brute_links(docs, n=4):
+    sets = []
+    for i, t in docs:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets.append((i, frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()))
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [0] * len(sets)
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a][1] & sets[b][1])
+            if both and 100 * both >= 85 * (len(sets[a][1]) + len(sets[b][1]) - both):
+                links[a] += 1
+                links[b] += 1
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        r = find(k)
+        if r not in least or order(i) < order(least[r]):
+            least[r] = i
+    return [(i, len(s), least[find(k)], links[k]) for k, (i, s) in enumerate(sets)]
+
+
+@pytest.fixture(scope="session")
+def near(spark, real):
+    """Copies of some texts with more and more words changed, so that links stand at both sides of the threshold."""
+    import random
+
+    rng = random.Random(11)
+    found, n = [], 100_000
+    for _, t in texts(real)[:25]:
+        words = t.split()[:150]
+        for share in (0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1) * 4:
+            w = [x.upper() if rng.random() < 0.1 else rng.choice(words) if rng.random() < share else x for x in words]
+            n += 1
+            found.append((n, " \n".join(w)))
+    found += [(n + k, " ".join(f"w{(k + j) % 60}" for j in range(30 + k % 7))) for k in range(1, 40)]
+    return spark.createDataFrame(found, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("name", ["odd", "real", "empty", "near"])
+def test_ngram_jaccard(name, request):
+    from weftline.llm.ngram_join import ngram_jaccard
+
+    df = request.getfixturevalue(name)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in rows(ngram_jaccard(df, block=64))]
+    assert sorted(got, key=str) == sorted(brute_links(texts(df)), key=str)
+
+
+def test_signatures_meet_for_every_linked_pair():
+    import numpy as np
+
+    from weftline.llm.ngram_join import signatures
+
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        n = int(rng.integers(6, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        drop, add = (int(rng.integers(0, n // 12 + 2)) for _ in range(2))
+        b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 37 * both >= 17 * (len(a) + len(b)) and len(np.setxor1d(a, b)):
+            assert len(np.intersect1d(signatures(a), signatures(b)))
+
+
+def test_components_of_a_path_and_a_star(spark):
+    from weftline.llm.components import components
+
+    edges = [(i, i + 1) for i in range(200)] + [(500, k) for k in range(501, 560)] + [(7, 7), (900, 900)]
+    got = {r["node"]: r["component"] for r in rows(components(spark.createDataFrame(edges, "u long, v long")))}
+    assert got == {i: 0 for i in range(201)} | {i: 500 for i in range(500, 560)}

@@ -11,6 +11,7 @@ from weftline.llm.bpe import bpe_digests
 from weftline.llm.common import table
 from weftline.llm.exact_dedup import exact_groups
 from weftline.llm.mixing import mix_sources
+from weftline.llm.ngram_join import ngram_jaccard
 from weftline.llm.secrets import secret_scan
 from weftline.llm.sharding import shard_documents
 from weftline.llm.simhash import fingerprint_documents
@@ -42,6 +43,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_source_mix": op7_source_mix,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
