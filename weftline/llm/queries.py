@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.bpe import bpe_digests
 from weftline.llm.common import table
 from weftline.llm.exact_dedup import exact_groups
+from weftline.llm.language import identify_languages
 from weftline.llm.mixing import mix_sources
 from weftline.llm.ngram_join import ngram_jaccard
 from weftline.llm.secrets import secret_scan
@@ -23,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), per_language=1000)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
