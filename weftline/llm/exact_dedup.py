@@ -60,3 +60,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     joined = table.join(shared, "recipe", "left")
     keep = F.coalesce("keep_id", "doc_id")
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+
+
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
+    """docs' own columns, one row for each text: the row that exact_groups keeps, of rows that repeat it any one."""
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    kept = exact_groups(docs).filter("kept").select(key.alias("key"), F.col("text_sha256").alias("sha"))
+    rows = docs.select(key.alias("key"), F.sha2(normalise(F.col("text")), 256).alias("sha"), F.struct(*docs.columns).alias("doc"))
+    return rows.join(kept, ["key", "sha"], "left_semi").groupBy("key", "sha").agg(F.first("doc").alias("doc")).select("doc.*")

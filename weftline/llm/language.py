@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.bpe import slices
 
@@ -114,22 +115,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score.
-
-    The model is fitted on about per_language labelled documents of each language, of those not held out; a prediction
-    sees the whole text and nothing else. lang_pred is `und`, with score 0, for a text that is null or has no letter, and
-    for all texts if nothing is labelled. score is the posterior of the predicted language. A null doc_id is not held out.
-    Repeated rows are predicted alike. Other columns are not read.
-    """
+def with_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+    """docs with lang_pred and score appended; see identify_languages."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(training_rows(docs, per_language, ~held_out())))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in batches:
             for part in slices(batch):
-                found = [known.predict(text) for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                found = [known.predict(text) for text in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*part.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+def identify_languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+    """One row per input row: doc_id, held_out, lang_pred, score.
+
+    The model is fitted on about per_language labelled documents of each language, of those not held out; a prediction
+    sees the whole text and nothing else. lang_pred is `und`, with score 0, for a text that is null or has no letter, and
+    for all texts if nothing is labelled. score is the posterior of the predicted language. A null doc_id is not held out.
+    Repeated rows are predicted alike. Other columns are not read.
+    """
+    return with_language(docs.select("doc_id", "text", "lang"), per_language).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -123,6 +123,22 @@ def plan_mix(slim: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return [Plan(s, sizes[s], want[s], passes[s], below[s], [x[i] for x in dealt]) for i, s in enumerate(order)]
 
 
+def _deal(rows: DataFrame, plans: list[Plan]) -> DataFrame:
+    """rows (source, size, place, ...) with source_size, target and shards, the output shard of each copy."""
+    kinds = T.StructType.fromDDL("plan_source string, source_size long, target double, passes int, below long, upto array<long>")
+    of_plans = [(p.source, p.size, p.target, p.passes, p.below, np.cumsum(p.shards).tolist()) for p in plans]
+    sources = rows.sparkSession.createDataFrame(of_plans, kinds)
+    copies = F.col("passes") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
+    drawn = F.when((copies > 0) & (F.col("size") > 0), F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
+    block = F.shiftright("place", BITS * (LEVELS - 1))
+    shard = lambda i: F.size(F.filter("upto", lambda x: x <= i * BLOCKS + block))
+    return rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["plan_source"])).withColumn("shards", F.transform(drawn, shard))
+
+
+def _slim(docs: DataFrame, seed: int) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place")), "mix")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 20240229) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, shards (the output shard of each copy).
 
@@ -130,17 +146,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     of a source is within one document of its target. Rows that repeat a doc_id within a source share their place in the
     order, so they are taken alike; a null doc_id is a value like others. An empty table gives no rows. Reruns agree.
     """
-    slim = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place")), "mix")
-    plans = plan_mix(slim, weights, share, most, shards, seed)
-    kinds = T.StructType.fromDDL("plan_source string, source_size long, target double, passes int, below long, upto array<long>")
-    rows = [(p.source, p.size, p.target, p.passes, p.below, np.cumsum(p.shards).tolist()) for p in plans]
-    sources = slim.sparkSession.createDataFrame(rows, kinds)
-    copies = F.col("passes") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
-    block = F.shiftright("place", BITS * (LEVELS - 1))
-    deal = F.transform(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.size(F.filter("upto", lambda x: x <= i * BLOCKS + block)))
-    return slim.join(F.broadcast(sources), slim["source"].eqNullSafe(sources["plan_source"]), "inner").select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), F.when(F.col("size") > 0, deal).otherwise(F.array().cast("array<int>")).alias("shards")
-    )
+    slim = _slim(docs, seed)
+    dealt = _deal(slim, plan_mix(slim, weights, share, most, shards, seed))
+    return dealt.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"), "shards")
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 20240229) -> DataFrame:
+    """The mix itself: docs' own columns, a row for each time that a document is taken; what mix_sources says of it holds."""
+    slim = _slim(docs, seed)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place"))
+    return _deal(rows, plan_mix(slim, weights, share, most, shards, seed)).select("doc", F.explode("shards")).select("doc.*")
 
 
 def shard_bounds(plan: Plan) -> list[tuple[int, int]]:

@@ -364,3 +364,13 @@ def ngram_jaccard(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     by_set = sets.join(reach, "id", "left").join(linked.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
     by_set = by_set.select("set_id", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return slim.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def drop_near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs' own columns, of each component the row with the smallest doc_id; documents without a shingle stay.
+
+    Rows that share a doc_id, null among them, stay or go together: they stay if any of them does.
+    """
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
+    kept = ngram_jaccard(docs, block).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(key)
+    return docs.select(key, F.struct(*docs.columns).alias("doc")).join(kept, "key", "left_semi").select("doc.*")
