@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,43 +45,34 @@ class RankQueue:
 
 
 class PieceCache(dict):
-    """Encoded pieces by piece. When it holds `limit`, pieces not asked for since the last time go; this bounds memory and changes no result."""
+    """What single pieces give, by piece. When it holds `limit`, pieces not asked for since the last time go; this bounds memory and changes no result."""
 
-    def __init__(self, encode, limit: int = 200_000, longest: int = 256) -> None:
-        self.encode, self.limit, self.longest, self.older = encode, limit, longest, {}
+    def __init__(self, encode_block, limit: int = 400_000, longest: int = 256) -> None:
+        self.encode_block, self.limit, self.longest, self.older = encode_block, limit, longest, {}
 
     def __missing__(self, piece: str):
         found = self.older.get(piece)
         if found is None:
-            found = self.encode(piece)
+            found = self.encode_block([piece.encode()])[0]
+        self.keep(piece, found)
+        return found
+
+    def keep(self, piece: str, found) -> None:
         if len(piece) <= self.longest:
             if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[piece] = found
-        return found
-
-
-class UnitSplitter:
-    """Cuts a text at single blanks, so that what stands between two blanks is looked up at once.
 
-    A blank is the start of a piece if it is the first or the last white space of its run, since the pattern attaches
-    the last blank of a run to what follows. Texts with a blank inside a run are left to the pattern as a whole.
-    """
-
-    inside = re.compile(r"\s (?:\s|\Z)")
-
-    def __init__(self, join, of_piece, pattern: str, limit: int = 200_000) -> None:
-        find = regex.compile(pattern).findall
-        self.whole = lambda text: join(map(of_piece, find(text)))
-        self.units = PieceCache(lambda unit: join(map(of_piece, find(" " + unit))), limit)
-        self.join = join
-
-    def __call__(self, text: str):
-        if self.inside.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.join([self.whole(first), *map(self.units.__getitem__, rest)])
+    def prepare(self, found: list[list[str]]) -> None:
+        """Encode together the pieces that these texts hold for the first time."""
+        seen: set[str] = set()
+        for pieces in found:
+            seen.update(pieces)
+        older = self.older
+        lacking = sorted(p for p in seen.difference(self) if p not in older and len(p) <= self.longest)
+        for piece, given in zip(lacking, self.encode_block([p.encode() for p in lacking]), strict=True):
+            self.keep(piece, given)
 
 
 class BpeCodec:
@@ -91,8 +83,13 @@ class BpeCodec:
         self.tokens = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
         self.queue = RankQueue(max(self.tokens, default=0) + 1)
-        self.pieces = PieceCache(lambda piece: self.pack(self.encode_piece(piece.encode())))
-        self.encode_bytes = UnitSplitter(b"".join, self.pieces.__getitem__, pattern)
+        self.find = regex.compile(pattern).findall
+        self.pieces = PieceCache(self.encode_block)
+        pairs = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        self.pair_keys = np.array([k for k, _ in pairs] + [-1], np.int64)
+        self.pair_keys[-1] = np.iinfo(np.int64).max
+        self.pair_ranks = np.array([r for _, r in pairs] + [-1], np.int64)
+        self.byte_ranks = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -152,13 +149,97 @@ class BpeCodec:
             i = after[i]
         return out
 
+    def rank_of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of neighbouring tokens, -1 if it doesn't merge; right is -1 at the end of a piece."""
+        keys = np.where(right < 0, -1, left << 32 | right)
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def encode_block(self, pieces: list[bytes], small: int = 64) -> list[bytes]:
+        """Packed ids of many pieces, merged in step: a bucket holds the positions of a rank in all of them.
+
+        A step takes the lowest rank, skips stale positions and merges the first that is left of each piece, so every
+        piece goes through the merges that it would go through alone. Long pieces do go alone.
+        """
+        ranks = self.ranks
+        out = [self.pack([ranks[p]]) if p in ranks else self.pack(self.encode_piece(p)) if len(p) > small else b"" for p in pieces]
+        todo = [i for i, x in enumerate(out) if not x and pieces[i]]
+        if not todo:
+            return out
+        lengths = np.array([len(pieces[i]) for i in todo])
+        ends = np.cumsum(lengths)
+        n = int(ends[-1])
+        piece = np.repeat(np.arange(len(todo)), lengths)
+        token = np.append(self.byte_ranks[np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = n
+        before[ends - lengths] = n
+        pair = self.rank_of_pairs(token[:-1], token[after[:-1]])
+        low, mid, top, buckets = [0] * len(self.queue.low), [0] * len(self.queue.mid), 0, defaultdict(list)
+        alive = np.ones(n, bool)
+        fresh = np.arange(n)
+        while True:
+            fresh = fresh[pair[fresh] >= 0]
+            if len(fresh) == 1:
+                groups = ((int(pair[fresh[0]]), fresh),)
+            else:
+                found = pair[fresh]
+                by_rank = np.lexsort((fresh, found))
+                fresh, found = fresh[by_rank], found[by_rank]
+                edges = np.flatnonzero(found[1:] != found[:-1]) + 1
+                groups = zip(found[np.concatenate(([0], edges))].tolist(), np.split(fresh, edges), strict=True) if len(fresh) else ()
+            for rank, positions in groups:
+                buckets[rank].append(positions)
+                low[rank >> 6] |= 1 << (rank & 63)
+                mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+                top |= 1 << (rank >> 12)
+            if not top:
+                break
+            block = (top & -top).bit_length() - 1
+            word = block << 6 | (mid[block] & -mid[block]).bit_length() - 1
+            rank = word << 6 | (low[word] & -low[word]).bit_length() - 1
+            held = buckets[rank]
+            held = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            held = held[pair[held] == rank]
+            of = piece[held]
+            first = np.ones(len(held), bool)
+            first[1:] = of[1:] != of[:-1]
+            if first.all():
+                del buckets[rank]
+                low[word] ^= 1 << (rank & 63)
+                if not low[word]:
+                    mid[block] ^= 1 << (word & 63)
+                    if not mid[block]:
+                        top ^= 1 << block
+            else:
+                buckets[rank] = [held[~first]]
+                held = held[first]
+            gone = after[held]
+            end = after[gone]
+            token[held], after[held], before[end], pair[gone], alive[gone] = rank, end, held, -1, False
+            ahead = before[held]
+            fresh = np.concatenate((held, ahead[ahead < n]))
+            pair[fresh] = self.rank_of_pairs(token[fresh], token[after[fresh]])
+        kept = np.flatnonzero(alive)
+        packed = token[kept].astype("<u4").tobytes()
+        stops = np.searchsorted(kept, ends).tolist()
+        for i, start, stop in zip(todo, [0, *stops], stops, strict=False):
+            out[i] = packed[4 * start : 4 * stop]
+        return out
+
     @staticmethod
     def pack(ids: list[int]) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers, as encode_bytes returns those of a text."""
+        """Ids as little-endian unsigned 32-bit integers."""
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        found = [self.find(text) for text in texts]
+        self.pieces.prepare(found)
+        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in found]
+
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return np.frombuffer(self.encode_texts([text])[0], "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -180,7 +261,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         bpe = codec(path, pattern)
         for batch in batches:
             for part in slices(batch):
-                ids = [bpe.encode_bytes(text or "") for text in part.column("text").to_pylist()]
+                ids = bpe.encode_texts([text or "" for text in part.column("text").to_pylist()])
                 decoded = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
@@ -198,10 +279,14 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     )
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch small enough that what is made of their texts stays small beside the executor's memory."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, text_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about so many bytes, a row at least, so that what is made of their texts stays small beside the executor's memory."""
+    ends = np.cumsum(pa.compute.coalesce(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + text_bytes, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def sha256(data: bytes) -> str:
