@@ -11,16 +11,18 @@ budget questions about a text without encoding it again.
 from __future__ import annotations
 
 import json
+import os
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bpe import PieceCache, UnitSplitter, slices
+from weftline.llm.bpe import PieceCache, slices
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,8 +51,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.token))
         self.stays: dict[tuple[int, int], bool] = {}
         self.find = regex.compile(pattern).findall
-        self.counts = PieceCache(lambda piece: self.prefixes(piece.encode())[-1])
-        self.count_plain = UnitSplitter(sum, self.counts.__getitem__, pattern)
+        self.counts = PieceCache(self.count_block)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def pair_stays(self, left: int, right: int) -> bool:
@@ -75,26 +76,38 @@ class PrefixCounter:
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Token counts of piece[:1], piece[:2], ..., piece."""
-        token, stays = self.token, self.stays
         last, count = [-1], [0]
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - self.longest), end):
-                right = token.get(piece[start:end])
+        self.extend(piece, last, count)
+        return count[1:] or [0]
+
+    def extend(self, piece: bytes, last: list[int], count: list[int]) -> None:
+        """Continue the table of a prefix of the piece, its last tokens and counts, to the whole piece."""
+        token, stays, longest = self.token.get, self.stays, self.longest
+        for end in range(len(last), len(piece) + 1):
+            for start in range(max(0, end - longest), end):
+                right = token(piece[start:end])
                 if right is None:
                     continue
-                left = last[start]
-                if left < 0:
-                    if not start:
-                        break
-                    continue
-                kept = stays.get((left, right))
-                if kept if kept is not None else self.pair_stays(left, right):
+                if not start:
+                    break
+                pair = last[start], right
+                if stays[pair] if pair in stays else self.pair_stays(*pair):
                     break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
             last.append(right)
             count.append(count[start] + 1)
-        return count[1:] or [0]
+
+    def count_block(self, pieces: list[bytes]) -> list[int]:
+        """Token counts of sorted pieces; each continues the table of the prefix that it shares with the one before."""
+        out, last, count, held = [], [-1], [0], b""
+        for piece in pieces:
+            shared = len(os.path.commonprefix((held, piece)))
+            del last[shared + 1 :], count[shared + 1 :]
+            self.extend(piece, last, count)
+            held = piece
+            out.append(count[-1])
+        return out
 
     def parts(self, text: str) -> Iterator[tuple[bool, str]]:
         """The text between special tokens, and those tokens."""
@@ -107,8 +120,14 @@ class PrefixCounter:
         if at < len(text):
             yield False, text[at:]
 
+    def count_texts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        cut = [[(1, []) if special else (0, self.find(part)) for special, part in self.parts(text)] for text in texts]
+        self.counts.prepare([pieces for parts in cut for _, pieces in parts])
+        return [sum(n + sum(map(self.counts.__getitem__, pieces)) for n, pieces in parts) for parts in cut]
+
     def count(self, text: str) -> int:
-        return sum(1 if special else self.count_plain(part) for special, part in self.parts(text))
+        return self.count_texts([text])[0]
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
@@ -157,7 +176,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_
         tokens = counter(path, pattern)
         for batch in batches:
             for part in slices(batch):
-                n = [tokens.count(text or "") for text in part.column("text").to_pylist()]
+                n = tokens.count_texts([text or "" for text in part.column("text").to_pylist()])
                 size = pa.compute.coalesce(pa.compute.binary_length(part.column("text")), 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.compute.cast(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
