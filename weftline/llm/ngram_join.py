@@ -34,6 +34,7 @@ SHARE, OF_SUM = 37, 17
 GROUPS = 64
 LEAF = 32
 BLOCK = 512
+SALTS = 32
 NO_ID = (1 << 63) - 1
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -299,12 +300,14 @@ def verified_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> It
 def link_blocks(members: DataFrame, block: int) -> DataFrame:
     """members (canopy, set_id, id, copies, h): id, root, links, one row per set and pair of blocks in which it has a link.
 
-    A canopy of more than `block` sets is cut into blocks, and each pair of blocks is joined on its own, so no task holds
+    Canopies are looked up by a salted key, so a large one is spread over tasks. A canopy of more than `block` sets is cut into blocks, and each pair of blocks is joined on its own, so no task holds
     more than two blocks of a canopy. links counts the documents linked in that pair of blocks; root is the least id
     there that is reachable.
     """
     blocks = members.groupBy("canopy").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    placed = members.join(blocks, "canopy").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(blocks.select("*", salts), ["canopy", "salt"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("low"), F.greatest(b, F.col("block")).alias("high")))
     dealt = placed.select("canopy", "block", "id", "copies", "h", F.inline(pairs))
 
