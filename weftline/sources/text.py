@@ -23,8 +23,9 @@ def decoded(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 4))
     out = F.decode(content, "UTF-8")
     for mark, charset in reversed(MARKS):
-        body = F.substring(content, F.lit(len(mark) // 2 + 1), F.length(content))
-        out = F.when(head.startswith(mark), F.decode(body, charset)).otherwise(out)
+        wide = charset.startswith("UTF-32")  # that decoder reads the mark itself
+        body = content if wide else F.substring(content, F.lit(len(mark) // 2 + 1), F.length(content))
+        out = F.when(head.startswith(mark), F.decode(body, "UTF-32" if wide else charset)).otherwise(out)
     return out
 
 
