@@ -53,7 +53,7 @@ TAGS = ["A", "B", "C"]
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["u", "v", "w", "new"]), max_size=5), st.randoms(use_true_random=False))
 def test_viterbi_is_the_best_path(words, rng):
-    model = tg.TagModel({t: rng.randint(1, 9) for t in TAGS}, {w: {t: rng.randint(1, 5) for t in TAGS if rng.random() < 0.7} for w in "uvw"}, {(a, b): rng.random() for a in TAGS for b in TAGS if rng.random() < 0.8})
+    model = tg.TagModel({t: rng.randint(1, 9) for t in TAGS}, {w: {t: rng.randint(1, 5) for t in TAGS if rng.random() < 0.7} for w in "uvw"}, {(a, b): rng.random() + 0.001 for a in TAGS for b in TAGS if rng.random() < 0.8})
     got = tg.viterbi(words, model)
     assert len(got) == len(words)
 
@@ -66,6 +66,11 @@ def test_viterbi_is_the_best_path(words, rng):
         assert score(got) == pytest.approx(best)
 
 
+def test_viterbi_starts_over_after_an_impossible_step():
+    model = tg.TagModel({"A": 1, "B": 1}, {"a": {"A": 1}, "b": {"B": 1, "A": 1}}, {("A", "B"): 0.0, ("A", "A"): 0.5})
+    assert tg.viterbi(["a", "b"], model) == ["A", "B"] and tg.viterbi([], model) == []
+
+
 def test_letters_syllables_and_lemmas(spark):
     leaf = lambda x: tr.Node(1, 0, dist=[(x, 1.0)])
     vowels = leaf("C")
@@ -304,3 +309,26 @@ def test_streams(spark, small, tmp_path):
     assert out.agg(F.sum("n")).first()[0] == 2 * n
     late = stt.run_to_end(stt.event_counts(stream, "1 hour"), str(tmp_path / "b"))
     assert 0 < late.agg(F.sum("n")).first()[0] <= n
+
+
+def test_smoothing_splicing_and_pulses():
+    assert s.smooth_voiced([0, 3, 6, 9, 0], 1) == pytest.approx([0, 3, 6, 9, 0]) and s.smooth_voiced([1, 1, 4, 1, 1], 1)[1] == pytest.approx(2)
+    assert s.smooth_joint(np.array([[0.0], [9.0], [9.0], [4.0]]), 2)[:, 0] == pytest.approx([0, 4 / 3, 8 / 3, 4])
+    y = s.splice(np.zeros(100), np.ones(40), 1, 10)
+    assert y[:10].sum() == 0 and y[25] == 1 and 0 < y[10] < 1 and s.splice(np.zeros(5), np.ones(3), 9) == pytest.approx(np.zeros(5))
+    mc = np.array([0.5, 0.3, -0.2, 0.1, 0.05])
+    sharp = s.postfilter(mc, 0.42, 0.4)
+    assert s.energy(s.to_filter(sharp, 0.42), 0.42) == pytest.approx(s.energy(s.to_filter(mc, 0.42), 0.42), rel=0.05)
+    pulse = s.pulse_from_magnitudes(np.ones(5), 40)
+    assert np.argmax(pulse) == 0 and s.circular_shift(pulse, 3)[3] == pulse[0] and s.mean_power(np.ones(4)) == 1.0
+    leaf = tr.Node(1, 0, dist=[("1|x", 1.0)])
+    assert [tg.lemmatize(w, "N", leaf) for w in ("abc", "A", ".")] == ["abx", "a", "."]
+
+
+def test_binary_files_and_resampling(spark, tmp_path):
+    df = spark.createDataFrame([("a.bin", b"one"), ("b.bin", b"two")], "name string, content binary")
+    assert audio.write_binary(df, "name", "content", str(tmp_path / "out")) == 2
+    assert (tmp_path / "out" / "b.bin").read_bytes() == b"two" and len(list((tmp_path / "out").iterdir())) == 2
+    x = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0],)], "x array<double>")
+    row = x.select(audio.resampled(F.col("x"), 4, 2).alias("y"), audio.within_seconds(F.col("x"), 4, 1.0).alias("ok"), audio.code_pair(F.array(F.lit(0.0)))[0].alias("c")).first()
+    assert row["y"] == [0.0, 2.0] and row["ok"] and row["c"] == [127]

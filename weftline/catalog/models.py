@@ -255,3 +255,39 @@ def unit_chains(spark: SparkSession, sf: str) -> DataFrame:
 
     ordered = F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value")))
     return table(spark, sf, "events").groupBy("user_id").agg(ordered.alias("seq")).mapInPandas(run, schema)
+
+
+def _grown_on_tokens(spark: SparkSession, sf: str, label: Column, depth: int) -> DataFrame:
+    """Tokens with the token after them in the document, labelled, and the label that a tree over their edges gives; counted."""
+    from weftline.catalog.text import doc_tokens
+    from weftline.operators.entities import boundary_features
+
+    w = Window.partitionBy("doc_id").orderBy("sent_id", "pos")
+    rows = doc_tokens(spark, sf).withColumns({"next_word": F.lead("word").over(w), "next_sent": F.lead("sent_id").over(w)})
+    bags = rows.select(label.alias("label"), boundary_features(rows).alias("feats")).groupBy("label", "feats").agg(F.count(F.lit(1)).alias("n"))
+    model = tr.grow(bags, cut_off=50, max_depth=depth)
+    return tr.classify(bags, model, "feats").groupBy("label", "predicted").agg(F.sum("n").alias("n"))
+
+
+@query()
+def sentence_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a token ends its line, by a tree over its last character and the next token's first, against what is so."""
+    return _grown_on_tokens(spark, sf, F.when(F.col("next_sent").isNull() | (F.col("next_sent") > F.col("sent_id")), "yes").otherwise("no"), 5)
+
+
+@query()
+def short_pauses(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a pause mark follows a token, by a tree over the edges around it."""
+    return _grown_on_tokens(spark, sf, F.when(F.col("next_word").isin(",", ";", ":"), "1").otherwise("0"), 5)
+
+
+@query("SELECT count(DISTINCT lang) AS lang_size, count(DISTINCT source) AS source_size, CAST(sum(n_chars) AS BIGINT) AS states FROM documents")
+def corpus_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
+    return k.corpus_sizes(table(spark, sf, "documents"), ["lang", "source"], F.col("n_chars"))
+
+
+@query(r"SELECT suffix, count(*) AS n FROM (SELECT length(word) - length(rtrim(word, 'sehidngt')) AS suffix FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents)) GROUP BY suffix")
+def suffix_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Histogram of the lengths of words' endings in s e h i d n g t."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")).distinct()
+    return k.suffix_histogram(words.select((F.char_length("word") - F.char_length(F.rtrim("word", F.lit("sehidngt")))).cast("long").alias("suffix")), "suffix")

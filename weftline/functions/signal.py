@@ -408,3 +408,65 @@ def vocode(mc: np.ndarray, f0: np.ndarray, rate: int = 16_000, alpha: float = 0.
                 x, phase = rng.uniform(-1, 1), 1.0
             out[t * hop + i] = filt.step(x * math.exp(c[0]), c)
     return out
+
+
+# Smoothing, post-filtering, splicing
+
+
+def smooth_voiced(x: np.ndarray, passes: int = 3) -> np.ndarray:
+    """Each non-zero value becomes the mean of itself and its neighbours if both are non-zero; in place, left to right."""
+    out = np.array(x, float)
+    for _ in range(passes):
+        for i in range(1, len(out) - 1):
+            if out[i - 1] and out[i] and out[i + 1]:
+                out[i] = (out[i - 1] + out[i] + out[i + 1]) / 3
+    return out
+
+
+def smooth_joint(frames: np.ndarray, joint: int, reach: int = 2) -> np.ndarray:
+    """Frames around a joint of units drawn linearly from the last frame left of the reach to the first right of it."""
+    out = np.array(frames, float)
+    low, high = max(joint - reach, 0), min(joint + reach, len(out) - 1)
+    for i in range(low + 1, high):
+        out[i] = out[low] + (out[high] - out[low]) * (i - low) / (high - low)
+    return out
+
+
+def splice(samples: np.ndarray, natural: np.ndarray, frame: int, per_frame: int = 240) -> np.ndarray:
+    """Natural samples put over synthetic ones from a frame on, faded over one frame at both ends."""
+    out, at = np.array(samples, float), frame * per_frame
+    n = min(len(natural), len(out) - at)
+    if n <= 0:
+        return out
+    weight = np.minimum(1.0, np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)) / per_frame)
+    out[at : at + n] = (1 - weight) * out[at : at + n] + weight * natural[:n]
+    return out
+
+
+def postfilter(mc: np.ndarray, alpha: float, beta: float) -> np.ndarray:
+    """Stress formants: coefficients from the third on times 1 + beta, with the energy kept."""
+    b = to_filter(mc, alpha)
+    before = energy(b, alpha)
+    sharper = np.array(mc, float)
+    sharper[2:] *= 1 + beta
+    b = to_filter(sharper, alpha)
+    b[0] += math.log(before / energy(b, alpha)) / 2
+    return from_filter(b, alpha)
+
+
+def pulse_from_magnitudes(magnitudes: np.ndarray, n: int) -> np.ndarray:
+    """One pitch period of n samples with the given harmonic magnitudes (1 beyond them), its peak at the start."""
+    full = np.ones(n)
+    full[0] = 0.0
+    k = min(len(magnitudes), (n - 1) // 2)
+    full[1 : k + 1] = magnitudes[:k]
+    full[n - k :] = magnitudes[:k][::-1]
+    return np.fft.ifft(full).real * n / math.sqrt(n)
+
+
+def circular_shift(x: np.ndarray, by: int) -> np.ndarray:
+    return np.roll(x, by)
+
+
+def mean_power(x: np.ndarray) -> float:
+    return float(np.mean(np.square(x))) if len(x) else 0.0

@@ -137,3 +137,48 @@ def parse_densities(data: bytes, states: list[int], order: int, weighted: bool)
                 weight, at = float(values[at]), at + 1
             rows.append((state, leaf, block[::2].astype(float).tolist(), block[1::2].astype(float).tolist(), weight))
     return rows
+
+
+def resampled(samples: Column, rate: int, to: int) -> Column:
+    """Array column on another sample rate, linearly."""
+    from weftline.functions.signal import resample
+
+    @F.pandas_udf("array<double>")
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([resample(np.array(x, float), rate, to).tolist() if x is not None else None for x in col])
+
+    return run(samples)
+
+
+def within_seconds(samples: Column, rate: Column | int, seconds: float = 10.0) -> Column:
+    """Filter for utterances that are not longer."""
+    return F.size(samples) <= rate * seconds
+
+
+def code_pair(samples: Column) -> tuple[Column, Column]:
+    """Discrete and continuous companded values of an array of samples in -1..1."""
+    from weftline.functions.signal import mulaw, mulaw_code_unsigned
+
+    return F.transform(samples, mulaw_code_unsigned), F.transform(samples, mulaw)
+
+
+def write_binary(df: DataFrame, name: str, content: str, folder: str) -> int:
+    """Write each row's bytes to a file of its name under a folder that executors share; a file appears whole or not at all.
+
+    A task that runs again writes the same files again. Returns how many were written.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace(":/", ":///", 1))
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for file, data in zip(batch[name], batch[content], strict=True):
+                temporary = f"{base}/.{file}.{id(batch)}"
+                with store.open_output_stream(temporary, compression=None) as out:
+                    out.write(bytes(data))
+                store.move(temporary, f"{base}/{file}")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return df.select(name, content).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
