@@ -12,10 +12,23 @@ from pyspark.sql import functions as F
 from weftline.llm.common import materialize
 
 
-def _star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
-    """pairs (u, v): link u's neighbours to the least of u and its neighbours."""
+SALTS = 64
+
+
+def _frequent(pairs: DataFrame) -> list[int]:
+    """Nodes u with over a 1024th of the pairs, and over 1000: at most 1024 of them."""
+    counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    total = pairs.count()
+    return [r["u"] for r in counts.filter(F.col("n") > max(1000, total // 1024)).select("u").collect()]
+
+
+def _star(pairs: DataFrame, keep_larger: bool, frequent: list[int]) -> DataFrame:
+    """pairs (u, v): link u's neighbours to the least of u and its neighbours. Pairs of a frequent u are joined by a salted key."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = pairs.join(least, "u")
+    hot = F.col("u").isin(*frequent) if frequent else F.lit(False)
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = pairs.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+    joined = salted.join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"])
     if keep_larger:
         return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -27,8 +40,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     mark = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, True)
-        small = _star(large.filter("u <> v"), False).filter("u <> v").distinct()
+        large = materialize(_star(both, True, _frequent(both)).filter("u <> v").distinct(), tag)
+        small = _star(large, False, _frequent(large)).filter("u <> v").distinct()
         current = materialize(small, tag)
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
