@@ -195,8 +195,7 @@ def tag_model(spark: SparkSession, sf: str, lexicon: int = 20_000) -> tg.TagMode
     held = sentences(spark, sf).select("words", "tags")
     pairs = held.select(F.inline(F.arrays_zip("words", "tags"))).toDF("word", "tag")
     by_word = pairs.groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
-    edges = F.transform(F.concat(F.array(F.lit("_")), "tags"), lambda t, i: F.struct(t.alias("prev"), F.coalesce(F.get("tags", i), F.lit("_")).alias("next")))
-    moves = k.conditional(held.select(F.inline(edges)).groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n")), ["prev"])
+    moves = k.conditional(k.bigrams_in(held, "tags"), ["prev"])
     tags = {r["tag"]: r["n"] for r in by_word.groupBy("tag").agg(F.sum("n").alias("n")).collect()}
     known: dict[str, dict[str, int]] = {}
     for r in by_word.orderBy(F.desc("n"), "word", "tag").limit(lexicon).collect():

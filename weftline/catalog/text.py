@@ -10,8 +10,8 @@ from weftline.functions import predicates as p
 from weftline.functions.text import ascii_only, underscored
 from weftline.operators import entities as e
 from weftline.operators import tokenize as t
-from weftline.operators.context import letter_context, neighbours, quinphones, quote_state
-from weftline.operators.counts import bigrams, conditional, dense_order
+from weftline.operators.context import letter_context, neighbours_in, quinphones, quote_state
+from weftline.operators.counts import bigrams_in, conditional, dense_order
 from weftline.operators.tagging import edit_script, suffix_features
 
 PARTS = t.PARTS.replace("'", "''")
@@ -60,14 +60,13 @@ def split_tokens(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def token_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens by language, share of punctuation, the most frequent token and what follows it most often."""
-    held = doc_tokens(spark, sf)
-    by_word = held.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    first = lambda c: F.min(F.struct((-F.col("n")).alias("neg"), F.col(c).alias("value")))
-    stats = by_word.groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(p.is_punct(F.col("word")), F.col("n")).otherwise(0)).alias("punct"), first("word").alias("top"))
-    stats = stats.select("lang", "tokens", F.round(F.col("punct") / F.col("tokens"), 6).alias("punct_share"), F.col("top.value").alias("top_word"), (-F.col("top.neg")).alias("top_count"))
     pairs = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("w", t.tokens_of(F.col("line")))
     pairs = pairs.select("lang", F.inline(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get(F.col("w"), i + 1), F.lit("_")).alias("next")))))
     counted = pairs.groupBy("lang", "word", "next").agg(F.count(F.lit(1)).alias("n"))
+    by_word = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    first = lambda c: F.min(F.struct((-F.col("n")).alias("neg"), F.col(c).alias("value")))
+    stats = by_word.groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(p.is_punct(F.col("word")), F.col("n")).otherwise(0)).alias("punct"), first("word").alias("top"))
+    stats = stats.select("lang", "tokens", F.round(F.col("punct") / F.col("tokens"), 6).alias("punct_share"), F.col("top.value").alias("top_word"), (-F.col("top.neg")).alias("top_count"))
     best = counted.join(stats.select("lang", F.col("top_word").alias("word")), ["lang", "word"], "left_semi").groupBy("lang").agg(first("next").alias("b"))
     return stats.join(best, "lang").select("lang", "tokens", "punct_share", "top_word", "top_count", F.col("b.value").alias("top_next"), F.round(-F.col("b.neg") / F.col("top_count"), 6).alias("next_share"))
 
@@ -197,8 +196,9 @@ def quinphone_contexts(spark: SparkSession, sf: str) -> DataFrame:
     FROM tk WINDOW w AS (PARTITION BY conv_id, turn, sent_id ORDER BY pos)
 """)
 def word_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("conv_id", "turn", "sent_id").orderBy("pos")
-    return neighbours(rule_tokens(spark, sf), "word", w, 2, 2, "_")
+    cut = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
+    words = cut.select("conv_id", "turn", F.col("sent_id").cast("long").alias("sent_id"), t.tokens_of(F.col("line")).alias("words"))
+    return words.select("conv_id", "turn", "sent_id", F.inline(neighbours_in(F.col("words"), 2, 2, "_")))
 
 
 @query(f"""
@@ -220,8 +220,8 @@ def quoted_tokens(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def bigram_transitions(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and conditional probabilities of neighbouring tokens, sentence edges included."""
-    held = doc_tokens(spark, sf).select(F.struct("doc_id", "sent_id").alias("sentence"), "pos", "word")
-    return conditional(bigrams(held, "word", ["sentence"], "pos"), ["prev"]).withColumn("p", F.round("p", 6))
+    cut = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(t.tokens_of(F.col("line")).alias("words"))
+    return conditional(bigrams_in(cut, "words"), ["prev"]).withColumn("p", F.round("p", 6))
 
 
 @query(rf"""

@@ -12,6 +12,13 @@ def neighbours(df: DataFrame, value: str, window: WindowSpec, before: int, after
     return df.withColumns(back | {f"{value}_p{k}": F.lead(value, k, pad).over(window) for k in range(1, after + 1)})
 
 
+def neighbours_in(words: Column, before: int, after: int, pad: str, value: str = "word") -> Column:
+    """The same of an array that holds a whole sequence, as an array of structs (pos, value, its neighbours): no shuffle."""
+    beside = lambda i, k: F.coalesce(F.get(words, i + k), F.lit(pad))
+    names = [(f"{value}_m{k}", -k) for k in range(before, 0, -1)] + [(f"{value}_p{k}", k) for k in range(1, after + 1)]
+    return F.transform(words, lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias(value), *(beside(i, k).alias(n) for n, k in names)))
+
+
 def letter_context(word: Column, at: Column, reach: int, pad: str = "_") -> list[Column]:
     """The letters from `reach` before to `reach` after position `at` (from 0) of a word, without a shuffle."""
     return [F.when((at + k >= 0) & (at + k < F.char_length(word)), F.substring(word, at + k + 1, F.lit(1))).otherwise(F.lit(pad)) for k in range(-reach, reach + 1)]

@@ -18,6 +18,13 @@ def bigrams(df: DataFrame, value: str, partition: list[str], order: str) -> Data
     return pairs.select(F.inline(both)).groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bigrams_in(df: DataFrame, words: str) -> DataFrame:
+    """The same of arrays that hold whole sequences: pairs are made in place and summed before anything is shuffled."""
+    w = F.col(words)
+    edges = F.transform(F.concat(F.array(F.lit(EDGE)), w), lambda x, i: F.struct(x.alias("prev"), F.coalesce(F.get(w, i), F.lit(EDGE)).alias("next")))
+    return df.filter(F.size(w) > 0).select(F.inline(edges)).groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
 def conditional(counts: DataFrame, given: list[str], n: str = "n", name: str = "p") -> DataFrame:
     """name: each count's share of the counts with the same given columns; the total is joined, so a frequent condition is summed before the shuffle."""
     totals = counts.groupBy(*given).agg(F.sum(n).alias("_total"))

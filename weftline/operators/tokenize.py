@@ -33,15 +33,23 @@ def parts_of(item: Column) -> Column:
     return F.regexp_extract_all(item, F.lit(PARTS), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tokens_of(line: Column) -> Column:
     """The tokens of a sentence (a line): items split at marks, hyphens and commas, and the last item at the first . ! ? if it ends with one."""
-    found = items_of(line)
-    last = F.element_at(found, -1)
-    head = F.regexp_extract(last, "^[^.!?]*", 0)
-    ends = last.rlike("[.!?]$")
-    plain = F.flatten(F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), parts_of))
-    closing = F.when(ends & (head != ""), F.concat(parts_of(head), F.array(F.substring(last, F.char_length(head) + 1, F.char_length(last))))).when(ends, F.array(last)).otherwise(parts_of(last))
-    return F.when(F.size(found) > 0, F.concat(plain, closing)).otherwise(F.array().cast("array<string>"))
+
+    def closing(last: Column) -> Column:
+        cut = lambda head: F.when(head == "", F.array(last)).otherwise(F.concat(parts_of(head), F.array(F.substring(last, F.char_length(head) + 1, F.char_length(last)))))
+        return F.when(last.rlike("[.!?]$"), _let(F.regexp_extract(last, "^[^.!?]*", 0), cut)).otherwise(parts_of(last))
+
+    def sentence(found: Column) -> Column:
+        plain = F.flatten(F.transform(F.slice(found, 1, F.size(found) - 1), parts_of))
+        return F.when(F.size(found) > 0, F.concat(plain, _let(F.element_at(found, -1), closing))).otherwise(F.array().cast("array<string>"))
+
+    return _let(items_of(line), sentence)
 
 
 def tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
