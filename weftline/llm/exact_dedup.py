@@ -16,6 +16,9 @@ from weftline.llm.common import WS, materialize
 #: Word ends are chosen so that about one blank in thirty ends a chunk.
 WORD_ENDS = "(?:[aeiouy][lrsz]|[.!?]|\\P{ASCII})"
 
+#: Equal texts are joined to their group under so many keys, so that a large group is spread over tasks.
+SALTS = 32
+
 
 def normalise(text: Column) -> Column:
     """Runs of white space become one blank; null becomes empty."""
@@ -55,9 +58,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     listed = recipes(docs).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), identifiers(F.col("chunk")).alias("recipe"))
     table = materialize(listed, "recipes")
     groups = table.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    single = F.col("group_size") == 1
-    shared = groups.filter(~single)
-    joined = table.join(shared, "recipe", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    shared = groups.filter("group_size > 1").select("*", salts)
+    joined = table.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(shared, ["recipe", "salt"], "left")
     keep = F.coalesce("keep_id", "doc_id")
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
@@ -66,5 +69,5 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs' own columns, one row for each text: the row that exact_groups keeps, of rows that repeat it any one."""
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     kept = exact_groups(docs).filter("kept").select(key.alias("key"), F.col("text_sha256").alias("sha"))
-    rows = docs.select(key.alias("key"), F.sha2(normalise(F.col("text")), 256).alias("sha"), F.struct(*docs.columns).alias("doc"))
+    rows = docs.select(key.alias("key"), F.sha2(normalise(F.col("text")), 256).alias("sha"), F.struct("*").alias("doc"))
     return rows.join(kept, ["key", "sha"], "left_semi").groupBy("key", "sha").agg(F.first("doc").alias("doc")).select("doc.*")
