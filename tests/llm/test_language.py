@@ -27,7 +27,7 @@ def test_known_words_score_by_frequency_and_others_by_their_longest_known_ngrams
     n_words = len(words)
     a = math.log((2 + 0.5) / (6 + 0.5 * (n_words + 1)))
     b = math.log((0 + 0.5) / (6 + 0.5 * (n_words + 1)))
-    assert model.scores("THE, 12")[0] == pytest.approx(a) and model.scores("the")[1] == pytest.approx(b)
+    assert model.scores("THE, 12", {})[0] == pytest.approx(a) and model.scores("the", {})[1] == pytest.approx(b)
     for word in ("cats", "hunde", "qqzooqq", "tqqh", "q"):
         padded = f"<{word}>"
         for n in (4, 3, 2, 1):
@@ -46,7 +46,7 @@ def test_undetermined_and_ties():
     assert [model.predict(x) for x in (None, "", "12 _ !")] == [("und", 0.0)] * 3
     assert model.predict("qqq") == ("a", 0.5)
     assert train([]).predict("words") == ("und", 0.0)
-    assert isinstance(model, Model) and train(ROWS, words_kept=1, least=1).scores("the dog") is not None
+    assert isinstance(model, Model) and train(ROWS, words_kept=1, least=1).scores("the dog", {}) is not None
 
 
 def test_odd_rows(spark):

@@ -73,3 +73,13 @@ def test_run_and_empty_table(spark, small):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark, docs):
+    names = ("lang_pred", "score", "doc", "key", "sha", "size", "place", "shards", "n_shingles", "component_id", "salt", "recipe", "a.b")
+    extra = docs.limit(40).selectExpr("*", *(f"'x' AS `{n}`" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, "")
+        assert out.columns == extra.columns, name
+        assert out.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, extra, "").count() == 40

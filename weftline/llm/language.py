@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from weftline.llm.bpe import slices
 
 UNDETERMINED = "und"
+MAX_LANGUAGES = 2000
 #: Runs of letters: word characters but digits and the underscore.
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -35,7 +36,6 @@ class Model:
     table: np.ndarray
     words: dict[str, int]
     grams: list[dict[str, int]]
-    unseen: dict[str, tuple[int, np.ndarray] | None] = field(default_factory=dict)
 
     def backoff(self, word: str) -> np.ndarray | None:
         """Mean scores of the longest n-grams of the word that are known; None if not even a character is."""
@@ -48,8 +48,8 @@ class Model:
                 return self.table[found].mean(0)
         return None
 
-    def scores(self, text: str) -> np.ndarray | None:
-        """Summed scores by language, None for a text without a letter."""
+    def scores(self, text: str, unseen: dict[str, np.ndarray | None]) -> np.ndarray | None:
+        """Summed scores by language, None for a text without a letter. unseen keeps what unseen words score."""
         found = LETTERS.findall(text.lower())
         if not found:
             return None
@@ -57,17 +57,17 @@ class Model:
         total = self.table[[i for i in numbers if i is not None]].sum(0)
         if None in numbers:
             for word, n in Counter(w for w, i in zip(found, numbers, strict=True) if i is None).items():
-                if word not in self.unseen:
-                    if len(self.unseen) >= 200_000:
-                        self.unseen.clear()
-                    self.unseen[word] = self.backoff(word)
-                if (score := self.unseen[word]) is not None:
+                if word not in unseen:
+                    if len(unseen) >= 100_000:
+                        unseen.clear()
+                    unseen[word] = self.backoff(word)
+                if (score := unseen[word]) is not None:
                     total = total + n * score
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None, unseen: dict[str, np.ndarray | None] | None = None) -> tuple[str, float]:
         """The language, of equal scores the first by name, and its posterior among the languages."""
-        total = self.scores(text or "")
+        total = self.scores(text or "", {} if unseen is None else unseen)
         if total is None or not self.languages:
             return UNDETERMINED, 0.0
         share = np.exp(total - total.max())
@@ -101,7 +101,9 @@ def train(rows: list[tuple[str, str]], words_kept: int = 50_000, grams_kept: int
 def training_rows(docs: DataFrame, per_language: int, condition: Column) -> list[tuple[str, str]]:
     """About per_language labelled documents of each language, chosen by a hash of id and text; languages are counted over all rows."""
     labelled = docs.filter(condition & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return []
     buckets = 1 << 20
@@ -116,19 +118,18 @@ def held_out() -> Column:
 
 
 def with_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
-    """docs with lang_pred and score appended; see identify_languages."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(training_rows(docs, per_language, ~held_out())))
-    at = docs.columns.index("text")
+    """doc (docs' own columns as a struct), lang_pred, score; see identify_languages."""
+    model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, per_language, ~held_out())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        known, unseen = model.value, {}
         for batch in batches:
             for part in slices(batch):
-                found = [known.predict(text) for text in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                found = [known.predict(text, unseen) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc", "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    held = docs.select(F.struct("*").alias("doc"), "text")
+    return held.mapInArrow(run, T.StructType([held.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify_languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:
@@ -139,4 +140,4 @@ def identify_languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     for all texts if nothing is labelled. score is the posterior of the predicted language. A null doc_id is not held out.
     Repeated rows are predicted alike. Other columns are not read.
     """
-    return with_language(docs.select("doc_id", "text", "lang"), per_language).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return with_language(docs.select("doc_id", "text", "lang"), per_language).select("doc.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

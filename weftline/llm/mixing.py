@@ -154,7 +154,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 20240229) -> DataFrame:
     """The mix itself: docs' own columns, a row for each time that a document is taken; what mix_sources says of it holds."""
     slim = _slim(docs, seed)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place"))
+    rows = docs.select(F.struct("*").alias("doc"), "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place"))
     return _deal(rows, plan_mix(slim, weights, share, most, shards, seed)).select("doc", F.explode("shards")).select("doc.*")
 
 

@@ -51,23 +51,18 @@ class Words(dict):
     """64-bit hashes of words; emptied at a limit, to bound memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-@lru_cache(maxsize=1)
-def words_cache() -> Words:
-    return Words()
-
-
-def shingles(text: str, n: int = N) -> np.ndarray:
+def shingles(text: str, hashes: Words, n: int = N) -> np.ndarray:
     """The sorted distinct hashes of the text's n-word shingles. bytes.lower and bytes.split know just A-Z and the six blanks."""
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(words_cache().__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
     total = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -153,10 +148,10 @@ def signed_sets(docs: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, held, seen = [], [], 0, set()
+        keys, sids, held, seen, words = [], [], 0, set(), Words()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                h = shingles(text or "")
+                h = shingles(text or "", words)
                 if len(h) and (sid := _sid(set_id(h))) not in seen:
                     seen.add(sid)
                     found = signatures(h)
@@ -206,10 +201,11 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, id (doc_id, or NO_ID for null), n_shingles, set_id (null for an empty set), sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             sizes, ids = [], []
             for text in batch.column("text").to_pylist():
-                h = shingles(text or "")
+                h = shingles(text or "", words)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64())], ["doc_id", "n_shingles", "set_id", "sid"])
@@ -352,9 +348,10 @@ def ngram_jaccard(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     wanted = sets.join(canopies, "sid")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             for part in slices(batch):
-                h = [shingles(text or "") for text in part.column("text").to_pylist()]
+                h = [shingles(text or "", words) for text in part.column("text").to_pylist()]
                 same = pa.array([set_id(x) == want for x, want in zip(h, part.column("set_id").to_pylist(), strict=True)], pa.bool_())
                 whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("canopy", "set_id", "id", "copies")), pa.array([x.tobytes() for x in h], pa.binary())], ["canopy", "set_id", "id", "copies", "h"])
                 yield whole.filter(same)
@@ -376,4 +373,4 @@ def drop_near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
     kept = ngram_jaccard(docs, block).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(key)
-    return docs.select(key, F.struct(*docs.columns).alias("doc")).join(kept, "key", "left_semi").select("doc.*")
+    return docs.select(key, F.struct("*").alias("doc")).join(kept, "key", "left_semi").select("doc.*")
