@@ -56,6 +56,7 @@ def test_tokens(spark):
     df = spark.createDataFrame(list(enumerate(CASES)), "i int, line string")
     got = {r["line"]: r["w"] for r in df.select("line", t.tokens_of(F.col("line")).alias("w")).collect()}
     assert got == CASES == {k: slow_tokens(k) for k in CASES}
+    assert {r["line"]: r["w"] for r in t.tokenized(df, "line", "w").collect()} == CASES
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -52,6 +52,17 @@ def tokens_of(line: Column) -> Column:
     return _let(items_of(line), sentence)
 
 
+def tokenized(df: DataFrame, line: str, out: str) -> DataFrame:
+    """df with the tokens of a line column, in columns that build on each other: for inputs of Python functions, which the
+    optimizer doesn't pull out of a projection if they stand on nested lambdas."""
+    last, head = F.col("_last"), F.col("_head")
+    steps = df.withColumn("_items", items_of(F.col(line))).withColumn("_last", F.try_element_at("_items", F.lit(-1))).withColumn("_head", F.regexp_extract("_last", "^[^.!?]*", 0))
+    cut = F.when(head == "", F.array(last)).otherwise(F.concat(parts_of(head), F.array(F.substring(last, F.char_length(head) + 1, F.char_length(last)))))
+    plain = F.flatten(F.transform(F.slice("_items", F.lit(1), F.greatest(F.size("_items") - 1, F.lit(0))), parts_of))
+    found = F.when(last.isNull(), F.array().cast("array<string>")).otherwise(F.concat(plain, F.when(last.rlike("[.!?]$"), cut).otherwise(parts_of(last))))
+    return steps.withColumn(out, found).drop("_items", "_last", "_head")
+
+
 def tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, sent_id (the line's number), pos (from 0), word. A blank line is no sentence."""
     return lines(docs, text_col).select("doc_id", F.col("line_no").alias("sent_id"), F.posexplode(tokens_of(F.col("line"))).alias("pos", "word"))
