@@ -82,12 +82,6 @@ def test_chunks_join_to_the_text_and_survive_an_insertion(spark, real):
     assert len(found[0]["c"]) > 20
 
 
-def brute_simhash(text):
-    words = text.strip(" \t\n\x0b\f\r")
-    words = re.split(r"[\x20\x09-\x0D]+", words)
-    return words
-
-
 @pytest.mark.parametrize("name", ["odd", "real", "empty"])
 def test_simhash_documents(name, request, spark):
     df = request.getfixturevalue(name)
@@ -112,6 +106,10 @@ def test_simhash_documents(name, request, spark):
         assert (r["n_chars"], r["edited_sha256"]) == (n, digest)
         assert r["near_next"] == bits(r["fingerprint"], by[near[i]]["fingerprint"])
         assert r["near_edited"] == bits(r["fingerprint"], r["edited_fingerprint"])
+    prints = [int(r["fingerprint"], 16) for r in got]
+    for r in got:
+        asked = r["doc_id"] is not None and r["doc_id"] % 100 == 0
+        assert r["n_within"] == (sum((int(r["fingerprint"], 16) ^ x).bit_count() <= 3 for x in prints) if asked else None)
     same = defaultdict(set)
     text_of = {i: t for i, t in docs if ids[i] == 1}
     for i, t in text_of.items():

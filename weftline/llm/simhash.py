@@ -101,8 +101,10 @@ def with_next(docs: DataFrame, n_buckets: int) -> DataFrame:
     return dealt.withColumn("at", F.row_number().over(within)).withColumn("next_text", F.lead("text").over(within))
 
 
-def fingerprint_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprint_documents(docs: DataFrame, n_buckets: int | None = None, radius: int = 3, every: int = 100) -> DataFrame:
+    """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within.
+
+    n_within: of documents whose id is divisible by `every`, how many documents have fingerprints within the radius.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of
     the next document's. null counts as empty; an empty text has fingerprint 0, and 0s are alike. Repeated doc_ids are
@@ -117,11 +119,13 @@ def fingerprint_documents(docs: DataFrame, n_buckets: int | None = None) -> Data
     keys = ["bucket", "at", "guest", "doc_id", "n_chars", "edited_sha256", "which"]
     stacked = both.select("bucket", "at", "guest", "doc_id", "n_chars", F.when(F.col("guest"), F.lit("")).otherwise(F.sha2("edited", 256)).alias("edited_sha256"), F.posexplode(F.when(F.col("guest"), F.array("text")).otherwise(F.array("text", "edited"))).alias("which", "text"))
     prints = materialize(fingerprints(stacked, keys), "fingerprints")
-    rows = prints.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edit"))
-    following = F.lead("own").over(Window.partitionBy("bucket").orderBy("at"))
+    rows = prints.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edit"))
+    following = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("at"))
+    paired = materialize(rows.withColumn("next", following).filter(~F.col("guest")), "fingerprint-pairs")
+    own, edit = F.col("fingerprint"), F.col("edit")
     shown = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return rows.withColumn("next_own", following).filter(~F.col("guest")).select(
-        "doc_id", "n_chars", "edited_sha256", shown("own").alias("fingerprint"), shown("edit").alias("edited_fingerprint"), likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.coalesce("next_own", "own")).alias("near_next")
+    return count_within(paired, F.coalesce(F.col("doc_id") % every == 0, F.lit(False)), radius).select(
+        "doc_id", "n_chars", "edited_sha256", shown(own).alias("fingerprint"), shown(edit).alias("edited_fingerprint"), likeness(own, edit).alias("near_edited"), likeness(own, F.coalesce("next", own)).alias("near_next"), "n_within"
     )
 
 
@@ -129,10 +133,10 @@ def block_tables(n_rows: int, radius: int) -> list[list[tuple[int, int]]]:
     """For each table the bit ranges (start, width) that form its key.
 
     64 bits are cut into m blocks; fingerprints within the radius agree on some m - radius of them, and each choice of
-    these is a table. m is the smallest for which a key holds about as many bits as rows can fill.
+    these is a table. m is radius + 2, and one more for every time that rows outgrow keys of that many bits 64-fold.
     """
-    m = radius + 1
-    while m < radius + 4 and BITS * (m - radius) // m < max(1, n_rows).bit_length():
+    m = radius + 2
+    while m < radius + 4 and BITS * (m - radius) // m + 6 < n_rows.bit_length():
         m += 1
     edges = [BITS * i // m for i in range(m + 1)]
     blocks = [(edges[i], edges[i + 1] - edges[i]) for i in range(m)]
@@ -142,16 +146,28 @@ def block_tables(n_rows: int, radius: int) -> list[list[tuple[int, int]]]:
 def within_radius(queries: DataFrame, fingerprints_: DataFrame, radius: int = 3) -> DataFrame:
     """query, fingerprint, distance for all pairs within the radius of distinct query values and distinct stored values.
 
-    Both have a column fingerprint (long, not null); equal values count once, so copies never multiply.
+    Both have a column fingerprint (long, not null); equal values count once, so copies never multiply. A pair that
+    agrees in several tables is taken from the first of them.
     """
     stored = fingerprints_.select("fingerprint").distinct()
     asked = queries.select(F.col("fingerprint").alias("query")).distinct()
-    tables = block_tables(stored.count(), radius)
+    masks = [sum(((1 << width) - 1) << start for start, width in table) for table in block_tables(stored.count(), radius)]
+    masks = [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        masks = [sum(((1 << width) - 1) << start for start, width in table) for table in tables]
-        keys = F.array(*(F.struct(F.lit(i).alias("table"), F.col(name).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)))
+        keys = F.array(*(F.struct(F.lit(i).alias("table"), F.col(name).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
         return df.select(name, F.inline(keys))
 
-    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))
-    return keyed(asked, "query").join(keyed(stored, "fingerprint"), ["table", "key"]).select("query", "fingerprint", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    q, f = keyed(asked, "query"), keyed(stored, "fingerprint")
+    apart = F.col("query").bitwiseXOR(F.col("fingerprint"))
+    first = F.coalesce(*(F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
+    on = (q["table"] == f["table"]) & (q["key"] == f["key"]) & (F.bit_count(apart) <= radius) & (q["table"] == first)
+    return q.join(f, on).select("query", "fingerprint", F.bit_count(apart).alias("distance"))
+
+
+def count_within(rows: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
+    """rows (fingerprint, ...) with n_within for those that ask: how many rows, itself among them, have a fingerprint within the radius."""
+    copies = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
+    found = within_radius(rows.filter(asked), copies, radius).join(copies, "fingerprint").groupBy("query").agg(F.sum("copies").alias("n_within"))
+    answered = rows.filter(asked).join(found, F.col("fingerprint") == F.col("query"), "left").drop("query")
+    return answered.unionByName(rows.filter(~asked).withColumn("n_within", F.lit(None).cast("long")))
