@@ -44,35 +44,38 @@ class RankQueue:
         self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
 
 
-class PieceCache(dict):
-    """What single pieces give, by piece. When it holds `limit`, pieces not asked for since the last time go; this bounds memory and changes no result."""
-
-    def __init__(self, encode_block, limit: int = 400_000, longest: int = 256) -> None:
-        self.encode_block, self.limit, self.longest, self.older = encode_block, limit, longest, {}
-
-    def __missing__(self, piece: str):
-        found = self.older.get(piece)
-        if found is None:
-            found = self.encode_block([piece.encode()])[0]
-        self.keep(piece, found)
-        return found
-
-    def keep(self, piece: str, found) -> None:
-        if len(piece) <= self.longest:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
-
-    def prepare(self, found: list[list[str]]) -> None:
-        """Encode together the pieces that these texts hold for the first time."""
+class PieceCache:
+    """What single pieces give, kept between blocks of texts. Beyond `limit`, pieces that don't come back go; this bounds memory and changes no result."""
+
+    def __init__(self, encode_block, limit: int = 150_000, longest: int = 256) -> None:
+        self.encode_block, self.limit, self.longest = encode_block, limit, longest
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def of_block(self, found: list[list[str]]) -> dict:
+        """What each piece of these texts gives, until the next block; pieces that are new are encoded together."""
+        if len(self.recent) >= self.limit:
+            self.older, self.recent = self.recent, {}
         seen: set[str] = set()
         for pieces in found:
             seen.update(pieces)
-        older = self.older
-        lacking = sorted(p for p in seen.difference(self) if p not in older and len(p) <= self.longest)
-        for piece, given in zip(lacking, self.encode_block([p.encode() for p in lacking]), strict=True):
-            self.keep(piece, given)
+        recent, older, new = self.recent, self.older, []
+        for piece in seen.difference(recent):
+            given = older.get(piece)
+            if given is None:
+                new.append(piece)
+            else:
+                recent[piece] = given
+        new.sort()
+        given = zip(new, self.encode_block([p.encode() for p in new]), strict=True)
+        if new and max(map(len, new)) > self.longest:
+            return recent | dict(given)
+        recent.update(given)
+        return recent
+
+    def trim(self) -> None:
+        """Let go what is held in reserve, at the end of a task: the process lives on and serves other operators."""
+        self.older = {}
 
 
 class BpeCodec:
@@ -88,8 +91,8 @@ class BpeCodec:
         pairs = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
         self.pair_keys = np.array([k for k, _ in pairs] + [-1], np.int64)
         self.pair_keys[-1] = np.iinfo(np.int64).max
-        self.pair_ranks = np.array([r for _, r in pairs] + [-1], np.int64)
-        self.byte_ranks = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs] + [-1], np.int32)
+        self.byte_ranks = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -151,9 +154,9 @@ class BpeCodec:
 
     def rank_of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of neighbouring tokens, -1 if it doesn't merge; right is -1 at the end of a piece."""
-        keys = np.where(right < 0, -1, left << 32 | right)
+        keys = np.where(right < 0, -1, left.astype(np.int64) << 32 | right)
         at = np.searchsorted(self.pair_keys, keys)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], np.int32(-1))
 
     def encode_block(self, pieces: list[bytes], small: int = 64) -> list[bytes]:
         """Packed ids of many pieces, merged in step: a bucket holds the positions of a rank in all of them.
@@ -169,9 +172,9 @@ class BpeCodec:
         lengths = np.array([len(pieces[i]) for i in todo])
         ends = np.cumsum(lengths)
         n = int(ends[-1])
-        piece = np.repeat(np.arange(len(todo)), lengths)
-        token = np.append(self.byte_ranks[np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)], -1)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        piece = np.repeat(np.arange(len(todo), dtype=np.int32), lengths)
+        token = np.append(self.byte_ranks[np.frombuffer(b"".join(pieces[i] for i in todo), np.uint8)], np.int32(-1))
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1] = n
         before[ends - lengths] = n
         pair = self.rank_of_pairs(token[:-1], token[after[:-1]])
@@ -235,8 +238,8 @@ class BpeCodec:
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         found = [self.find(text) for text in texts]
-        self.pieces.prepare(found)
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in found]
+        of_piece = self.pieces.of_block(found).__getitem__
+        return [b"".join(map(of_piece, pieces)) for pieces in found]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_texts([text])[0], "<u4").tolist()
@@ -267,6 +270,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        bpe.pieces.trim()
 
     kind = dict(source.dtypes)["doc_id"]
     return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
@@ -279,7 +283,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     )
 
 
-def slices(batch: pa.RecordBatch, text_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_bytes: int = 5 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes, a row at least, so that what is made of their texts stays small beside the executor's memory."""
     ends = np.cumsum(pa.compute.coalesce(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
