@@ -132,11 +132,13 @@ def dense_order(keys: DataFrame, key: str, digits: int = 2, among: list[str] | N
 def vocabulary(df: DataFrame, value: str, order: list[str], reserve: str | None = "#") -> DataFrame:
     """value, id: dense ids in the order of first appearance; with `reserve`, id 0 is kept for that value.
 
-    Firsts are aggregated map-side; only the distinct values are ranked.
+    Firsts are aggregated map-side; only the distinct values are ranked, within at most 4096 ranges of the first order
+    column (an integer), whose sizes give the ranges' offsets.
     """
     firsts = df.filter(F.col(value).isNotNull() & (F.col(value) != F.lit(reserve)) if reserve is not None else F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("first"))
     first_col = F.col(f"first.{order[0]}")
-    spread = F.floor(first_col / 64)
+    low, high = firsts.agg(F.min(first_col), F.max(first_col)).first()
+    spread = F.floor((first_col - F.lit(low)) / F.lit(((high - low) // 4096 + 1) if low is not None else 1))
     held = firsts.withColumn("_run", spread)
     sizes = held.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
