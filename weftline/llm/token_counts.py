@@ -58,7 +58,7 @@ class PrefixCounter:
         """Whether the two tokens, as one string, encode to just themselves."""
         found = self.stays.get((left, right))
         if found is None:
-            if len(self.stays) >= 2_000_000:
+            if len(self.stays) >= 300_000:
                 self.stays.clear()
             found = self.stays[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return found
@@ -123,8 +123,8 @@ class PrefixCounter:
     def count_texts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text."""
         cut = [[(1, []) if special else (0, self.find(part)) for special, part in self.parts(text)] for text in texts]
-        self.counts.prepare([pieces for parts in cut for _, pieces in parts])
-        return [sum(n + sum(map(self.counts.__getitem__, pieces)) for n, pieces in parts) for parts in cut]
+        of_piece = self.counts.of_block([pieces for parts in cut for _, pieces in parts]).__getitem__
+        return [sum(n + sum(map(of_piece, pieces)) for n, pieces in parts) for parts in cut]
 
     def count(self, text: str) -> int:
         return self.count_texts([text])[0]
@@ -139,10 +139,12 @@ class PrefixTable:
     def __init__(self, counter: PrefixCounter, text: str) -> None:
         self.counter, self.text = counter, text
         self.starts, self.before, at, total = [0], [0], 0, 0
-        for special, part in counter.parts(text):
-            for piece in [part] if special else counter.find(part):
+        parts = [(special, [part] if special else counter.find(part)) for special, part in counter.parts(text)]
+        of_piece = counter.counts.of_block([pieces for special, pieces in parts if not special])
+        for special, pieces in parts:
+            for piece in pieces:
                 at += len(piece)
-                total += 1 if special else counter.counts[piece]
+                total += 1 if special else of_piece[piece]
                 self.starts.append(at)
                 self.before.append(total)
 
@@ -179,6 +181,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_
                 n = tokens.count_texts([text or "" for text in part.column("text").to_pylist()])
                 size = pa.compute.coalesce(pa.compute.binary_length(part.column("text")), 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.compute.cast(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        tokens.counts.trim()
 
     kind = dict(source.dtypes)["doc_id"]
     return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
