@@ -28,9 +28,8 @@ from weftline.llm.bpe import slices
 from weftline.llm.common import materialize
 from weftline.llm.components import components
 
-N = 4
-#: Links: 100 * intersection >= 85 * union, which is 37 * intersection >= 17 * (sum of the sizes).
-SHARE, OF_SUM = 37, 17
+#: op8's rule: shingles of N words, links where 100 * intersection >= PERCENT * union.
+N, PERCENT = 4, 85
 GROUPS = 64
 LEAF = 32
 BLOCK = 512
@@ -71,24 +70,29 @@ def shingles(text: str, hashes: Words, n: int = N) -> np.ndarray:
     return np.unique(mix(total))
 
 
-@lru_cache(maxsize=1)
-def size_classes() -> np.ndarray:
+def enough(both: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets link that share `both` and whose sizes sum to `sizes`: 100 * both >= percent * (sizes - both)."""
+    return (100 + percent) * both >= percent * sizes
+
+
+@lru_cache(maxsize=None)
+def size_classes(percent: int = PERCENT) -> np.ndarray:
     """Lower bounds of size classes; the sizes of two linked sets are in one class or in two that follow each other."""
     bounds = [1]
     while bounds[-1] < 1 << 40:
-        bounds.append(bounds[-1] * 100 // 85 + 1)
+        bounds.append(bounds[-1] * 100 // percent + 1)
     return np.array(bounds)
 
 
 @lru_cache(maxsize=None)
-def scheme(k: int) -> tuple[int, int]:
+def scheme(k: int, percent: int = PERCENT) -> tuple[int, int]:
     """(D, groups): how many shingles a linked pair whose smaller set is of class k can differ in, and how many groups to sign."""
-    x = int(size_classes()[k + 1]) - 1
-    differ = 3 * (x + x * 100 // 85) // SHARE
+    x = int(size_classes(percent)[k + 1]) - 1
+    differ = (100 - percent) * (x + x * 100 // percent) // (100 + percent)
     return differ, -(-29 * (differ + 1) // 20)
 
 
-def signatures(h: np.ndarray) -> np.ndarray:
+def signatures(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys such that any two linked, different sets have one in common.
 
     Of a scheme's groups at most D differ between linked sets. A set signs the groups that hold at least t shingles, t as
@@ -97,10 +101,10 @@ def signatures(h: np.ndarray) -> np.ndarray:
     """
     if not len(h):
         return np.empty(0, np.uint64)
-    k = int(np.searchsorted(size_classes(), len(h), "right")) - 1
+    k = int(np.searchsorted(size_classes(percent), len(h), "right")) - 1
     content, out = mix(h + _GOLD), []
     for c in (k, k - 1) if k else (k,):
-        differ, groups = scheme(c)
+        differ, groups = scheme(c, percent)
         if not differ:
             continue
         of = ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
@@ -127,7 +131,7 @@ def _sid(identity: bytes) -> int:
     return int.from_bytes(identity[:8], "little", signed=True)
 
 
-def signed_sets(docs: DataFrame) -> DataFrame:
+def signed_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """key, sid, other: rows with other null say that set sid has the key; else that sids sid and other have a key in common.
 
     Keys that repeat within a task's buffer are combined there, so a key that very many sets share is sent once a buffer.
@@ -151,10 +155,10 @@ def signed_sets(docs: DataFrame) -> DataFrame:
         keys, sids, held, seen, words = [], [], 0, set(), Words()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                h = shingles(text or "", words)
+                h = shingles(text or "", words, n)
                 if len(h) and (sid := _sid(set_id(h))) not in seen:
                     seen.add(sid)
-                    found = signatures(h)
+                    found = signatures(h, percent)
                     keys.append(found)
                     sids.append(sid)
                     held += len(found)
@@ -197,7 +201,7 @@ def canopy_edges(signed: DataFrame) -> DataFrame:
     return signed.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(run, "u long, v long").distinct()
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
+def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, id (doc_id, or NO_ID for null), n_shingles, set_id (null for an empty set), sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +209,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sizes, ids = [], []
             for text in batch.column("text").to_pylist():
-                h = shingles(text or "", words)
+                h = shingles(text or "", words, n)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64())], ["doc_id", "n_shingles", "set_id", "sid"])
@@ -216,7 +220,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
 class CountTree:
     """An R-tree over count vectors: leaves of sets next to each other in size, nodes with the largest counts below them."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF) -> None:
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF, percent: int = PERCENT) -> None:
         self.order = np.argsort(sizes, kind="stable")
         self.points, self.sizes = points[self.order], sizes[self.order]
         starts = np.arange(0, len(sizes), leaf)
@@ -229,15 +233,14 @@ class CountTree:
             starts = np.arange(0, len(top), leaf)
             top, least = np.maximum.reduceat(top, starts, axis=0), least[starts]
             self.levels.append((top, least))
-        self.leaf = leaf
+        self.leaf, self.percent = leaf, percent
 
-    @staticmethod
-    def can_link(points: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    def can_link(self, points: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
         """Whether the bound on the overlap lets point i be linked to other j (for a node: to something below it)."""
         bound = np.empty((len(points), len(others)), np.int64)
         for i, point in enumerate(points):
             bound[i] = np.minimum(point, others).sum(1)
-        return SHARE * bound >= OF_SUM * (sizes[:, None] + other_sizes[None, :])
+        return enough(bound, sizes[:, None] + other_sizes[None, :], self.percent)
 
     def candidates(self, points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(numbers of queries, numbers of stored sets) that the bounds let pass, leaf by leaf."""
@@ -272,10 +275,10 @@ def overlaps(h: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((h[at] == joined).astype(np.int64), np.cumsum([0, *lengths[:-1]]))
 
 
-def verified_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> Iterator[tuple[int, int]]:
+def verified_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
     """Linked pairs (i, j) of left and right; of left with itself, i < j, if right is None."""
     stored = left if right is None else right
-    tree = CountTree(np.array([count_vector(h) for h in stored]), np.array([len(h) for h in stored]))
+    tree = CountTree(np.array([count_vector(h) for h in stored]), np.array([len(h) for h in stored]), percent=percent)
     found = list(tree.candidates(np.array([count_vector(h) for h in left]), np.array([len(h) for h in left])))
     if not found:
         return
@@ -289,11 +292,11 @@ def verified_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> It
         for part in np.array_split(at, -(-len(at) // 256)):
             others = [stored[x] for x in j[part]]
             both = overlaps(a, others)
-            ok = SHARE * both >= OF_SUM * (len(a) + np.array([len(x) for x in others]))
+            ok = enough(both, len(a) + np.array([len(x) for x in others]), percent)
             yield from ((int(i[x]), int(j[x])) for x in part[ok])
 
 
-def link_blocks(members: DataFrame, block: int) -> DataFrame:
+def link_blocks(members: DataFrame, block: int, percent: int = PERCENT) -> DataFrame:
     """members (canopy, set_id, id, copies, h): id, root, links, one row per set and pair of blocks in which it has a link.
 
     Canopies are looked up by a salted key, so a large one is spread over tasks. A canopy of more than `block` sets is cut into blocks, and each pair of blocks is joined on its own, so no task holds
@@ -321,7 +324,7 @@ def link_blocks(members: DataFrame, block: int) -> DataFrame:
             return x
 
         if len(a) and len(b):
-            for i, j in verified_links([sets[x] for x in a], None if low == high else [sets[x] for x in b]):
+            for i, j in verified_links([sets[x] for x in a], None if low == high else [sets[x] for x in b], percent):
                 x, y = int(a[i]), int(b[j])
                 links[x] += int(copies[y])
                 links[y] += int(copies[x])
@@ -335,23 +338,23 @@ def link_blocks(members: DataFrame, block: int) -> DataFrame:
     return dealt.groupBy("canopy", "low", "high").applyInArrow(join, "id long, root long, links long")
 
 
-def ngram_jaccard(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, block: int = BLOCK, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, n_links (documents that it is linked to).
 
-    Shingles are told apart by 64-bit hashes. Documents with equal sets are linked; null, empty and blank texts have an
+    Documents are linked whose sets of n-word shingles have a Jaccard similarity of at least percent / 100. Shingles are told apart by 64-bit hashes. Documents with equal sets are linked; null, empty and blank texts have an
     empty set and are linked with nothing. A null doc_id is the component of its document only if it is linked to no
     other one. Rows that repeat a doc_id are documents of their own. Other columns are not read. An empty table gives no rows.
     """
-    slim = materialize(document_sets(docs), "sets")
+    slim = materialize(document_sets(docs, n), "sets")
     sets = materialize(slim.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("id"), F.min("sid").alias("sid"), F.count(F.lit(1)).alias("copies")), "distinct-sets")
-    canopies = components(materialize(canopy_edges(signed_sets(docs)), "canopy-edges"), "canopies").select(F.col("node").alias("sid"), F.col("component").alias("canopy"))
+    canopies = components(materialize(canopy_edges(signed_sets(docs, n, percent)), "canopy-edges"), "canopies").select(F.col("node").alias("sid"), F.col("component").alias("canopy"))
     wanted = sets.join(canopies, "sid")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for part in slices(batch):
-                h = [shingles(text or "", words) for text in part.column("text").to_pylist()]
+                h = [shingles(text or "", words, n) for text in part.column("text").to_pylist()]
                 same = pa.array([set_id(x) == want for x, want in zip(h, part.column("set_id").to_pylist(), strict=True)], pa.bool_())
                 whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("canopy", "set_id", "id", "copies")), pa.array([x.tobytes() for x in h], pa.binary())], ["canopy", "set_id", "id", "copies", "h"])
                 yield whole.filter(same)
@@ -359,18 +362,18 @@ def ngram_jaccard(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted, "id")
     members = texts.select("canopy", "set_id", "id", "copies", "text").mapInArrow(hashed, "canopy long, set_id binary, id long, copies long, h binary")
     members = materialize(members.dropDuplicates(["set_id"]), "members")
-    linked = materialize(link_blocks(members, block), "links")
+    linked = materialize(link_blocks(members, block, percent), "links")
     reach = components(linked.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
     by_set = sets.join(reach, "id", "left").join(linked.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
     by_set = by_set.select("set_id", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return slim.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def drop_near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def drop_near_copies(docs: DataFrame, block: int = BLOCK, n: int = N, percent: int = PERCENT) -> DataFrame:
     """docs' own columns, of each component the row with the smallest doc_id; documents without a shingle stay.
 
     Rows that share a doc_id, null among them, stay or go together: they stay if any of them does.
     """
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
-    kept = ngram_jaccard(docs, block).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(key)
+    kept = ngram_jaccard(docs, block, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(key)
     return docs.select(key, F.struct("*").alias("doc")).join(kept, "key", "left_semi").select("doc.*")
