@@ -37,3 +37,12 @@ def test_warp_distance_of_spectra(spark):
     rows = [([[1.0, 2.0, 9.0, 9.0], [3.0, 4.0, 0.0, 0.0]], [[1.0, 1.0, 0.0, 0.0], [5.0, 4.0, 1.0, 1.0], [3.0, 3.0, 3.0, 3.0]]), (None, [[1.0, 2.0]]), ([], [[1.0, 2.0]])]
     got = [r["distance"] for r in al.warp_distance(spark.createDataFrame(rows, "a array<array<double>>, b array<array<double>>"), "a", "b").collect()]
     assert got == [pytest.approx(al.warp(*rows[0], al.half_l1)[0]), None, 0.0]
+
+
+def test_vocoded_is_of_whole_arrays(spark, long_users):
+    path, values = long_users
+    envelope = np.array([0.5, 0.3, -0.2, 0.1, 0.05, 0.02])
+    for r in QUERIES["vocoded"](spark, path).collect():
+        x = np.array(values[r["user_id"]])
+        y = s.vocode(np.tile(envelope, (len(x), 1)), x, rate=4000)
+        assert (r["samples"], r["peak"]) == (20 * len(x), round(float(np.abs(y).max()), 3))

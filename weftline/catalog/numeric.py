@@ -273,11 +273,11 @@ def warp_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def vocoded(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples synthesised from each user's values as pitches and a fixed envelope: count and peak."""
+    """Samples synthesised from each user's values, all of them, as pitches and a fixed envelope: count and peak."""
     envelope = np.array([0.5, 0.3, -0.2, 0.1, 0.05, 0.02])
 
     def fn(x: np.ndarray) -> dict:
-        y = s.vocode(np.tile(envelope, (min(len(x), 20), 1)), x[:20], rate=4000)
+        y = s.vocode(np.tile(envelope, (len(x), 1)), x, rate=4000)
         return {"samples": [len(y)], "peak": [round(float(np.abs(y).max(initial=0)), 3)]}
 
     return _per_user(spark, sf, fn, "user_id long, samples long, peak double")
