@@ -46,3 +46,14 @@ def test_vocoded_is_of_whole_arrays(spark, long_users):
         x = np.array(values[r["user_id"]])
         y = s.vocode(np.tile(envelope, (len(x), 1)), x, rate=4000)
         assert (r["samples"], r["peak"]) == (20 * len(x), round(float(np.abs(y).max()), 3))
+
+
+def test_fft_magnitudes_are_of_every_frame(spark, long_users):
+    path, values = long_users
+    got = {(r["user_id"], r["frame"], r["bin"]): r["magnitude"] for r in QUERIES["fft_magnitudes"](spark, path).collect()}
+    want = {}
+    for u, x in values.items():
+        for f in range(0, len(x), 64):
+            m = np.abs(np.fft.fft(x[f : f + 64], 64))
+            want |= {(u, f // 64, k): m[k] for k in range(64)}
+    assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}

@@ -220,13 +220,14 @@ def _per_user(spark: SparkSession, sf: str, fn, schema: str) -> DataFrame:
 
 @query()
 def fft_magnitudes(spark: SparkSession, sf: str) -> DataFrame:
-    """Magnitudes of the transform of each user's first values, padded to 64."""
+    """Magnitudes of the transforms of each user's frames of 64 values, the last padded."""
 
     def fn(x: np.ndarray) -> dict:
-        m = s.magnitude(np.pad(x[:64], (0, max(0, 64 - len(x)))))
-        return {"bin": np.arange(64), "magnitude": np.round(m, 6)}
+        m = s.magnitude(np.pad(x, (0, -len(x) % 64)).reshape(-1, 64))
+        frame, bin_ = np.indices(m.shape).reshape(2, -1)
+        return {"frame": frame, "bin": bin_, "magnitude": np.round(m.reshape(-1), 6)}
 
-    return _per_user(spark, sf, fn, "user_id long, bin long, magnitude double")
+    return _per_user(spark, sf, fn, "user_id long, frame long, bin long, magnitude double")
 
 
 @query()
