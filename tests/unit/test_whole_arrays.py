@@ -57,3 +57,28 @@ def test_fft_magnitudes_are_of_every_frame(spark, long_users):
             m = np.abs(np.fft.fft(x[f : f + 64], 64))
             want |= {(u, f // 64, k): m[k] for k in range(64)}
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+
+
+def test_viterbi_tags_know_every_word(spark, tmp_path):
+    """More (word, tag) pairs than 20,000, against one model of all of them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    rows = [(d, " ".join(word(d * 100 + i).capitalize() if i % 3 == 0 else str(d * 100 + i) if i % 7 == 0 else word(d * 100 + i) for i in range(100)) + ".") for d in range(230)]
+    rows += [(None, "Abcd the 12."), (None, "The abcd, 13."), (0, "Other words here."), (999, ""), (998, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = sentences(spark, str(tmp_path)).collect()
+    counts, known, pairs = {}, {}, {}
+    for r in held:
+        for w, t in zip(r["words"], r["tags"], strict=True):
+            counts[t] = counts.get(t, 0) + 1
+            known.setdefault(w, {})[t] = known.get(w, {}).get(t, 0) + 1
+        for move in zip(r["tags"], r["tags"][1:]):
+            pairs[move] = pairs.get(move, 0) + 1
+    assert sum(map(len, known.values())) > 20_000
+    firsts = {}
+    for (a, _), n in pairs.items():
+        firsts[a] = firsts.get(a, 0) + n
+    model = tg.TagModel(counts, known, {(a, b): n / firsts[a] for (a, b), n in pairs.items()})
+    want = [(r["doc_id"], r["sent_id"], " ".join(tg.viterbi(r["words"], model))) for r in held]
+    got = [(r["doc_id"], r["sent_id"], r["tags"]) for r in QUERIES["viterbi_tags"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -190,24 +190,25 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return plan(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-def tag_model(spark: SparkSession, sf: str, lexicon: int = 20_000) -> tg.TagModel:
-    """Counts of forms' tags and transitions over all sentences; the lexicon holds the most frequent words."""
-    held = sentences(spark, sf).select("words", "tags")
+def tag_model(held: DataFrame) -> tuple[tg.TagModel, DataFrame]:
+    """Tags' counts and transitions over all sentences (words, tags), and the lexicon: word, known, the counts of its tags.
+
+    A model has a row for each tag and pair of tags. The lexicon grows with the vocabulary, so it stays a table.
+    """
     pairs = held.select(F.inline(F.arrays_zip("words", "tags"))).toDF("word", "tag")
     by_word = pairs.groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
     moves = k.conditional(k.bigrams_in(held, "tags"), ["prev"])
     tags = {r["tag"]: r["n"] for r in by_word.groupBy("tag").agg(F.sum("n").alias("n")).collect()}
-    known: dict[str, dict[str, int]] = {}
-    for r in by_word.orderBy(F.desc("n"), "word", "tag").limit(lexicon).collect():
-        known.setdefault(r["word"], {})[r["tag"]] = r["n"]
-    return tg.TagModel(tags, known, {(r["prev"], r["next"]): r["p"] for r in moves.collect()})
+    lexicon = by_word.groupBy("word").agg(F.collect_list(F.struct("tag", "n")).alias("known"))
+    return tg.TagModel(tags, {}, {(r["prev"], r["next"]): r["p"] for r in moves.collect()}), lexicon
 
 
 @query()
 def viterbi_tags(spark: SparkSession, sf: str) -> DataFrame:
     """The likeliest tags of every sentence, by counts of its words' forms."""
-    tagged = tg.label_arrays(sentences(spark, sf), "words", tg.viterbi, tag_model(spark, sf), "found")
-    return tagged.select("doc_id", "sent_id", F.array_join("found", " ").alias("tags"))
+    held = sentences(spark, sf)
+    model, lexicon = tag_model(held.select("words", "tags"))
+    return tg.label_by_lexicon(held.select("doc_id", "sent_id", "words"), ["doc_id", "sent_id"], "words", lexicon, model, "found").select("doc_id", "sent_id", F.array_join("found", " ").alias("tags"))
 
 
 #: Rules over coarse tags.
