@@ -6,7 +6,9 @@ then the blocks of one more pass until the source's target is met. Where the tar
 block, the block is cut finer by further hash bits until single documents are left. The numbers of
 blocks drawn from the sources are exact quotas; a binary tree over the output shards splits them by
 multivariate-hypergeometric draws, so a shard holds what a random deal would give it, and what
-shards draw never overlaps within a pass. Only per-source figures ever reach the driver.
+shards draw never overlaps within a pass. Within its shard each copy of a document has a place of its
+own, by a seeded hash of the document and the copy. Only per-source figures and one count for each hash
+range of a shard ever reach the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,8 @@ BITS = 10
 BLOCKS = 1 << BITS
 LEVELS = 4
 MAX_SOURCES = 100_000
+#: A shard is put in order in 2**CELL_BITS ranges of the hash, so that its order is more than one task's work.
+CELL_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -135,8 +139,8 @@ def _deal(rows: DataFrame, plans: list[Plan]) -> DataFrame:
     return rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["plan_source"])).withColumn("shards", F.transform(drawn, shard))
 
 
-def _slim(docs: DataFrame, seed: int) -> DataFrame:
-    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place")), "mix")
+def _slim(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    return materialize(docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place")), "mix")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 20240229) -> DataFrame:
@@ -152,10 +156,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 20240229) -> DataFrame:
-    """The mix itself: docs' own columns, a row for each time that a document is taken; what mix_sources says of it holds."""
-    slim = _slim(docs, seed)
-    rows = docs.select(F.struct("*").alias("doc"), "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place"))
-    return _deal(rows, plan_mix(slim, weights, share, most, shards, seed)).select("doc", F.explode("shards")).select("doc.*")
+    """The mix itself: doc (a struct of docs' own columns), shard, position; a row for each time that a document is taken.
+
+    What mix_sources says of it holds. Positions count from 0 in each shard, by a hash of seed, document (doc_id, source and text)
+    and copy, and the rows lie in that order: partitions hold ranges of (shard, position) that follow each other. Only rows
+    alike in doc_id, source and text can change places between runs.
+    """
+    of_text = F.xxhash64("text").alias("of_text")
+    slim = _slim(docs, seed, of_text)
+    plans = plan_mix(slim, weights, share, most, shards, seed)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place"), of_text)
+    taken = _shuffle_keys(_deal(rows, plans), seed, "doc")
+    cells = _shuffle_keys(_deal(slim, plans), seed).groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(F.col("shard").alias("cell_shard"), F.col("cell").alias("cell_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    order = ["order", "doc_id", "source", "copy", "of_text"]
+    placed = taken.repartitionByRange("shard", "cell").sortWithinPartitions("shard", "cell", *order)
+    within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy(*order)) - 1
+    placed = placed.withColumn("within", within).join(F.broadcast(cells), (F.col("shard") == F.col("cell_shard")) & (F.col("cell") == F.col("cell_cell")), "left")
+    return placed.select("doc", "shard", (F.col("before") + F.col("within")).alias("position"))
+
+
+def _shuffle_keys(dealt: DataFrame, seed: int, *kept: str) -> DataFrame:
+    """A row for each copy: shard, cell and order (a hash of the copy, and its first bits), and what the copy is told apart by."""
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("source"), F.col("of_text"), F.col("copy")), 1)
+    copies = dealt.select("doc_id", "source", "of_text", *kept, F.posexplode("shards").alias("copy", "shard")).withColumn("order", order)
+    return copies.withColumn("cell", F.shiftright("order", 63 - CELL_BITS).cast("int"))
 
 
 def shard_bounds(plan: Plan) -> list[tuple[int, int]]:
