@@ -14,7 +14,7 @@ import json
 import os
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import pyarrow.compute
@@ -138,25 +138,70 @@ class PrefixTable:
 
     def __init__(self, counter: PrefixCounter, text: str) -> None:
         self.counter, self.text = counter, text
+        self.asked: dict[int, list[int]] = {}
         self.starts, self.before, at, total = [0], [0], 0, 0
         parts = [(special, [part] if special else counter.find(part)) for special, part in counter.parts(text)]
         of_piece = counter.counts.of_block([pieces for special, pieces in parts if not special])
+        self.specials: set[int] = set()
         for special, pieces in parts:
             for piece in pieces:
+                if special:
+                    self.specials.add(len(self.starts) - 1)
                 at += len(piece)
                 total += 1 if special else of_piece[piece]
                 self.starts.append(at)
                 self.before.append(total)
 
     def count_at(self, n_chars: int) -> int:
-        """Tokens of text[:n_chars]. Only the end of the prefix, where its pieces can differ from the text's, is cut anew."""
+        """Tokens of text[:n_chars]. Only the end of the prefix, where its pieces can differ from the text's, is cut anew.
+
+        A new piece that a piece of the text begins with has its count in that piece's table.
+        """
         n_chars = min(max(n_chars, 0), len(self.text))
         k = max(0, bisect_right(self.starts, n_chars) - 3)
-        return self.before[k] + self.counter.count(self.text[self.starts[k] : n_chars])
+        at, total, new = self.starts[k], self.before[k], []
+        for special, part in self.counter.parts(self.text[at:n_chars]):
+            for piece in [part] if special else self.counter.find(part):
+                own = bisect_right(self.starts, at) - 1
+                if special:
+                    total += 1
+                elif self.starts[own] == at and at + len(piece) <= self.starts[own + 1] and own not in self.specials:
+                    total += self.counts_in(own)[len(piece) - 1]
+                else:
+                    new.append(piece)
+                at += len(piece)
+        return total + sum(map(self.counter.counts.of_block([new]).__getitem__, new))
+
+    def counts_in(self, number: int) -> list[int]:
+        """Token counts of a piece's prefixes of 1, 2, ... code points; made when it is first asked for."""
+        found = self.asked.get(number)
+        if found is None:
+            piece = self.text[self.starts[number] : self.starts[number + 1]]
+            counts, at, found = self.counter.prefixes(piece.encode()), 0, []
+            for c in piece:
+                at += len(c.encode())
+                found.append(counts[at - 1])
+            self.asked[number] = found
+        return found
 
     def truncate(self, budget: int) -> int:
-        """The longest prefix that ends at a piece and has at most budget tokens, as a number of code points."""
-        return self.starts[max(0, bisect_right(self.before, budget) - 1)]
+        """The longest prefix that has at most budget tokens, as a number of code points.
+
+        Counts can fall where a prefix grows, so the candidates are tried from the longest on. None is longer than three
+        pieces after the first that is over the budget, nor has more code points than the budget's tokens can have bytes.
+        """
+        if self.fits(budget):
+            return len(self.text)
+        over = bisect_right(self.before, budget)
+        sure = max(0, over - 3)
+        top = self.starts[over + 2] - 1 if over + 2 < len(self.starts) else len(self.text)
+        top = min(top, max(self.starts[sure] + (budget - self.before[sure]) * self.longest, self.starts[over - 1]))
+        return next((n for n in range(top, 0, -1) if self.count_at(n) <= budget), 0)
+
+    @cached_property
+    def longest(self) -> int:
+        """The most code points that a token can have."""
+        return max([self.counter.longest, *(self.starts[i + 1] - self.starts[i] for i in self.specials)])
 
     def fits(self, budget: int) -> bool:
         return self.before[-1] <= budget
