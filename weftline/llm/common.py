@@ -14,16 +14,25 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 
 
+#: Stands for a null doc_id in keys, so that it is the greatest.
+NO_ID = (1 << 63) - 1
+
+#: Tables of keys up to so many rows, some tens of MB, are broadcast; larger ones are joined by a shuffle.
+SMALL_ROWS = 1 << 18
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine, one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java.get() if java.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and the executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
@@ -40,5 +49,41 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32) -> DataFrame:
+    """rows joined to groups, which has one row for each value of keys: a value that many rows share is dealt to so many tasks by the hash of `spread`."""
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialized table of narrow rows, to be broadcast if it is counted to have at most SMALL_ROWS."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def row_keys() -> tuple[Column, Column]:
+    """key and text_hash: what a row of documents is told apart by. Rows alike in both have one doc_id and one text."""
+    return F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash")
+
+
+def keep_marked(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs' own columns, without the rows that marked (key, text_hash, keep) lets go; of rows alike in both one stays.
+
+    Rows that marked doesn't name stay. Texts move only where very many rows go, and rows that are repeated and stay.
+    """
+    keys = ["key", "text_hash"]
+    named = materialize(marked.groupBy(*keys).agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("n")).filter(~F.col("keep") | (F.col("n") > 1)).drop("n"), "marked")
+    rows = docs.select(*row_keys(), F.struct("*").alias("doc"))
+    left = rows.join(small(named.select(*keys)), keys, "left_anti").select("doc.*")
+    repeated = named.filter("keep").select(*keys)
+    if repeated.isEmpty():
+        return left
+    return left.unionByName(rows.join(small(repeated), keys, "left_semi").groupBy(*keys).agg(F.first("doc").alias("doc")).select("doc.*"))

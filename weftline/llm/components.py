@@ -9,17 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, release
 
 
 SALTS = 64
 
 
 def _frequent(pairs: DataFrame) -> list[int]:
-    """Nodes u with over a 1024th of the pairs, and over 1000: at most 1024 of them."""
-    counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    total = pairs.count()
-    return [r["u"] for r in counts.filter(F.col("n") > max(1000, total // 1024)).select("u").collect()]
+    """Of nodes u with over 1000 pairs the 1024 with the most: any other has at most a 1024th of the pairs."""
+    counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1000")
+    return [r["u"] for r in counts.orderBy(F.desc("n")).limit(1024).select("u").collect()]
 
 
 def _star(pairs: DataFrame, keep_larger: bool, frequent: list[int]) -> DataFrame:
@@ -35,14 +34,15 @@ def _star(pairs: DataFrame, keep_larger: bool, frequent: list[int]) -> DataFrame
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """edges (u, v), longs, in any direction, with repeats and loops: node, component (its least node). Nodes without an edge to another node are left out."""
+    """edges (u, v), longs or binary, in any direction, with repeats and loops: node, component (its least node). Nodes without an edge to another node are left out."""
     current = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), tag)
     mark = None
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialize(_star(both, True, _frequent(both)).filter("u <> v").distinct(), tag)
-        small = _star(large, False, _frequent(large)).filter("u <> v").distinct()
-        current = materialize(small, tag)
+        small = materialize(_star(large, False, _frequent(large)).filter("u <> v").distinct(), tag)
+        release(current, large)
+        current = small
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
