@@ -8,7 +8,8 @@ survives is verified on the sets themselves.
 One tree over all documents would be visited almost everywhere, since points of unrelated documents of one size are
 about equally far apart. So documents are first brought together by exact signatures of groups: linked sets differ in
 at most D shingles, so of more than D groups at least one holds the same shingles in both. Documents that agree on a
-group form canopies, no link leaves a canopy, and trees are built within canopies, in blocks.
+group form canopies, no link leaves a canopy, and trees are built within canopies, in blocks of bounded number and bytes.
+Only blocks whose sizes lie close enough for a link meet.
 """
 
 from __future__ import annotations
@@ -21,20 +22,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import slices
-from weftline.llm.common import materialize
+from weftline.llm.common import NO_ID, join_groups, keep_marked, materialize, release, row_keys, small
 from weftline.llm.components import components
 
 #: op8's rule: shingles of N words, links where 100 * intersection >= PERCENT * union.
 N, PERCENT = 4, 85
 GROUPS = 64
 LEAF = 32
-BLOCK = 512
-SALTS = 32
-NO_ID = (1 << 63) - 1
+BLOCK = 128
+BLOCK_BYTES = 4 << 20
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -202,7 +202,7 @@ def canopy_edges(signed: DataFrame) -> DataFrame:
 
 
 def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, id (doc_id, or NO_ID for null), n_shingles, set_id (null for an empty set), sid."""
+    """doc_id, text_hash, n_shingles, set_id (null for an empty set), sid (its first 64 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -212,9 +212,10 @@ def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
                 h = shingles(text or "", words, n)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64())], ["doc_id", "n_shingles", "set_id", "sid"])
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "set_id", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sid long").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    return docs.select("doc_id", "text", row_keys()[1]).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sid long")
 
 
 class CountTree:
@@ -296,26 +297,48 @@ def verified_links(left: list[np.ndarray], right: list[np.ndarray] | None, perce
             yield from ((int(i[x]), int(j[x])) for x in part[ok])
 
 
+def deal_blocks(members: DataFrame, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """members with side (own block) and the pair of blocks (first, second) that a row is for; a row for each pair.
+
+    A canopy of at most `block` sets and block_bytes is one block. A larger one is cut by size class, and a class into
+    blocks; a block meets those of its own class and of the two next to it, since sets of others can't be linked.
+    """
+    by_class = members.groupBy("canopy", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("h")).alias("bytes"))
+    canopy = Window.partitionBy("canopy")
+    n, size = F.sum("n").over(canopy), F.sum("bytes").over(canopy)
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int").alias("own")
+    sized = by_class.select("canopy", "size_class", blocks, ((n > block) | (size > block_bytes)).alias("large"), n.alias("n")).filter("n > 1").drop("n")
+    order = canopy.orderBy("size_class")
+    beside = lambda found, step: F.when(found("size_class").over(order) == F.col("size_class") + step, found("own").over(order)).otherwise(0)
+    sized = sized.select("*", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    placed = join_groups(members, sized, ["canopy", "size_class"], F.col("set_id"), "inner")
+    k, at = F.col("size_class"), F.when(F.col("large"), F.pmod(F.xxhash64("set_id"), F.col("own")).cast("int")).otherwise(0)
+    of = lambda k, at: F.struct(k.alias("size_class"), at.alias("block"))
+    pair = lambda a, b: F.struct(a.alias("first"), b.alias("second"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    pairs = F.concat(
+        F.transform(upto(F.col("own")), lambda o: pair(of(k, F.least(o, at)), of(k, F.greatest(o, at)))),
+        F.transform(upto(F.col("below")), lambda o: pair(of(k - 1, o), of(k, at))),
+        F.transform(upto(F.col("above")), lambda o: pair(of(k, at), of(k + 1, o))),
+    )
+    whole = of(F.lit(-1), F.lit(0))
+    placed = placed.select("canopy", "set_id", "copies", "h", F.when(F.col("large"), of(k, at)).otherwise(whole).alias("side"), F.when(F.col("large"), pairs).otherwise(F.array(pair(whole, whole))).alias("pairs"))
+    return placed.select("canopy", "set_id", "copies", "h", "side", F.inline("pairs")).select("canopy", "set_id", "copies", "h", F.col("first.size_class").alias("c1"), F.col("first.block").alias("b1"), F.col("second.size_class").alias("c2"), F.col("second.block").alias("b2"), (F.col("side") == F.col("first")).alias("left"), (F.col("side") == F.col("second")).alias("right"))
+
+
 def link_blocks(members: DataFrame, block: int, percent: int = PERCENT) -> DataFrame:
-    """members (canopy, set_id, id, copies, h): id, root, links, one row per set and pair of blocks in which it has a link.
+    """members (canopy, size_class, set_id, copies, h): set_id, root, links, one row per set and pair of blocks in which it has a link.
 
-    Canopies are looked up by a salted key, so a large one is spread over tasks. A canopy of more than `block` sets is cut into blocks, and each pair of blocks is joined on its own, so no task holds
-    more than two blocks of a canopy. links counts the documents linked in that pair of blocks; root is the least id
-    there that is reachable.
+    Each pair of blocks is joined on its own, so no task holds more than two. links counts the documents linked in that
+    pair of blocks; root is the least set there that is reachable.
     """
-    blocks = members.groupBy("canopy").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    placed = salted.join(blocks.select("*", salts), ["canopy", "salt"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("low"), F.greatest(b, F.col("block")).alias("high")))
-    dealt = placed.select("canopy", "block", "id", "copies", "h", F.inline(pairs))
 
     def join(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        side, ids, copies = (table.column(c).to_numpy() for c in ("block", "id", "copies"))
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+        ids, copies = table.column("set_id").to_pylist(), table.column("copies").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
-        a, b = np.flatnonzero(side == low), np.flatnonzero(side == high)
         root, links = list(range(len(sets))), [0] * len(sets)
+        same = table.column("c1")[0] == table.column("c2")[0] and table.column("b1")[0] == table.column("b2")[0]
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -323,57 +346,80 @@ def link_blocks(members: DataFrame, block: int, percent: int = PERCENT) -> DataF
                 x = root[x]
             return x
 
-        if len(a) and len(b):
-            for i, j in verified_links([sets[x] for x in a], None if low == high else [sets[x] for x in b], percent):
-                x, y = int(a[i]), int(b[j])
-                links[x] += int(copies[y])
-                links[y] += int(copies[x])
+        if len(left) and len(right):
+            for i, j in verified_links([sets[x] for x in left], None if same else [sets[x] for x in right], percent):
+                x, y = int(left[i]), int(right[j])
+                links[x] += copies[y]
+                links[y] += copies[x]
                 x, y = find(x), find(y)
                 if x != y:
-                    x, y = sorted((x, y), key=lambda k: ids[k])
+                    x, y = sorted((x, y), key=ids.__getitem__)
                     root[y] = x
         kept = [x for x in range(len(sets)) if links[x]]
-        return pa.table({"id": pa.array([ids[x] for x in kept], pa.int64()), "root": pa.array([ids[find(x)] for x in kept], pa.int64()), "links": pa.array([links[x] for x in kept], pa.int64())})
+        return pa.table({"set_id": pa.array([ids[x] for x in kept], pa.binary()), "root": pa.array([ids[find(x)] for x in kept], pa.binary()), "links": pa.array([links[x] for x in kept], pa.int64())})
 
-    return dealt.groupBy("canopy", "low", "high").applyInArrow(join, "id long, root long, links long")
+    return deal_blocks(members, block).groupBy("canopy", "c1", "b1", "c2", "b2").applyInArrow(join, "set_id binary, root binary, links long")
 
 
-def ngram_jaccard(docs: DataFrame, block: int = BLOCK, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_links (documents that it is linked to).
+def linked_sets(docs: DataFrame, block: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, text_hash, n_shingles, set_id; sets: set_id, id, component, n_links of every set that is not empty).
 
-    Documents are linked whose sets of n-word shingles have a Jaccard similarity of at least percent / 100. Shingles are told apart by 64-bit hashes. Documents with equal sets are linked; null, empty and blank texts have an
-    empty set and are linked with nothing. A null doc_id is the component of its document only if it is linked to no
-    other one. Rows that repeat a doc_id are documents of their own. Other columns are not read. An empty table gives no rows.
+    Sets are told apart by themselves, never by the doc_ids that have them. id is the least doc_id of a set's component,
+    NO_ID where all are null; component its least set; n_links counts a set's documents' links.
     """
     slim = materialize(document_sets(docs, n), "sets")
-    sets = materialize(slim.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("id"), F.min("sid").alias("sid"), F.count(F.lit(1)).alias("copies")), "distinct-sets")
-    canopies = components(materialize(canopy_edges(signed_sets(docs, n, percent)), "canopy-edges"), "canopies").select(F.col("node").alias("sid"), F.col("component").alias("canopy"))
-    wanted = sets.join(canopies, "sid")
+    least = F.min(F.struct("key", "text_hash")).alias("of")
+    sets = materialize(slim.withColumn("key", row_keys()[0]).filter("n_shingles > 0").groupBy("set_id", "sid").agg(least, F.count(F.lit(1)).alias("copies")), "distinct-sets")
+    edges = materialize(canopy_edges(signed_sets(docs, n, percent)), "canopy-edges")
+    canopies = components(edges, "canopies").select(F.col("node").alias("sid"), F.col("component").alias("canopy"))
+    wanted = materialize(sets.join(canopies, "sid").select("canopy", "set_id", "copies", "of.*"), "wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             for part in slices(batch):
                 h = [shingles(text or "", words, n) for text in part.column("text").to_pylist()]
-                same = pa.array([set_id(x) == want for x, want in zip(h, part.column("set_id").to_pylist(), strict=True)], pa.bool_())
-                whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("canopy", "set_id", "id", "copies")), pa.array([x.tobytes() for x in h], pa.binary())], ["canopy", "set_id", "id", "copies", "h"])
+                same = pa.array([len(x) > 0 and set_id(x) == want for x, want in zip(h, part.column("set_id").to_pylist(), strict=True)], pa.bool_())
+                of_size = np.searchsorted(size_classes(percent), [len(x) for x in h], "right")
+                whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("canopy", "set_id", "copies")), pa.array(of_size, pa.int32()), pa.array([x.tobytes() for x in h], pa.binary())], ["canopy", "set_id", "copies", "size_class", "h"])
                 yield whole.filter(same)
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(wanted, "id")
-    members = texts.select("canopy", "set_id", "id", "copies", "text").mapInArrow(hashed, "canopy long, set_id binary, id long, copies long, h binary")
+    texts = docs.select(*row_keys(), "text").join(small(wanted), ["key", "text_hash"])
+    members = texts.select("canopy", "set_id", "copies", "text").mapInArrow(hashed, "canopy long, set_id binary, copies long, size_class int, h binary")
     members = materialize(members.dropDuplicates(["set_id"]), "members")
-    linked = materialize(link_blocks(members, block, percent), "links")
-    reach = components(linked.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "id")
-    by_set = sets.join(reach, "id", "left").join(linked.groupBy("id").agg(F.sum("links").alias("links")), "id", "left")
-    by_set = by_set.select("set_id", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return slim.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.nullif(F.coalesce("component", "id"), F.lit(NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    links = materialize(link_blocks(members, block, percent), "links")
+    release(edges, wanted, members)
+    reach = materialize(components(links.select(F.col("set_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "set_id"), "reach")
+    held = sets.select("set_id", "copies", F.col("of.key").alias("own")).join(links.groupBy("set_id").agg(F.sum("links").alias("links")), "set_id", "left").join(reach, "set_id", "left")
+    of_component = held.filter("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("id"))
+    held = join_groups(held, of_component, ["component"], F.col("set_id"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+    return slim, held.select("set_id", F.coalesce("id", "own").alias("id"), F.coalesce("component", "set_id").alias("component"), n_links)
+
+
+def ngram_jaccard(docs: DataFrame, block: int = BLOCK, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, n_links (documents that it is linked to).
+
+    Documents are linked whose sets of n-word shingles have a Jaccard similarity of at least percent / 100. Shingles are
+    told apart by 64-bit hashes. Documents with equal sets are linked; null, empty and blank texts have an empty set and
+    are linked with nothing. A null doc_id is the component of its document only if it is linked to no other one. Rows
+    that repeat a doc_id are documents of their own, linked only by their own texts. A very long text is one set, of
+    8 bytes a word. Other columns are not read. An empty table gives no rows.
+    """
+    slim, sets = linked_sets(docs, block, n, percent)
+    found = join_groups(slim, sets, ["set_id"], F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", F.nullif(F.coalesce("id", "doc_id"), F.lit(NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, block: int = BLOCK, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """docs' own columns, of each component the row with the smallest doc_id; documents without a shingle stay.
+    """docs' own columns: one row of each component, one with its smallest doc_id (null only where there is no other).
 
-    Rows that share a doc_id, null among them, stay or go together: they stay if any of them does.
+    Rows without a shingle all stay. Of rows with that doc_id in one component, repeated rows among them, any one stays.
     """
-    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
-    kept = ngram_jaccard(docs, block, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.col("n_shingles") == 0)).select(key)
-    return docs.select(key, F.struct("*").alias("doc")).join(kept, "key", "left_semi").select("doc.*")
+    slim, sets = linked_sets(docs, block, n, percent)
+    key = row_keys()[0]
+    rows = join_groups(slim.filter("n_shingles > 0"), sets.select("set_id", "id", "component"), ["set_id"], F.col("doc_id")).select(key, "text_hash", "id", "component")
+    rows = materialize(rows, "component-rows")
+    kept = rows.filter(F.col("key") == F.col("id")).groupBy("component").agg(F.min("text_hash").alias("of_hash"))
+    stays = (F.col("key") == F.col("id")) & (F.col("text_hash") == F.col("of_hash"))
+    return keep_marked(docs, join_groups(rows, kept, ["component"], F.col("text_hash"), "inner").select("key", "text_hash", stays.alias("keep")))
