@@ -10,15 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WS, materialize
+from weftline.llm.common import NO_ID, WS, join_groups, keep_marked, materialize, row_keys
 
 #: A chunk ends, after `least` characters, at the first blank that follows one of these word ends, or after `most`.
 #: Word ends are chosen so that about one blank in thirty ends a chunk.
 WORD_ENDS = "(?:[aeiouy][lrsz]|[.!?]|\\P{ASCII})"
 
-#: Equal texts are joined to their group under so many keys, so that a large group is spread over tasks.
-SALTS = 32
-
 
 def normalise(text: Column) -> Column:
     """Runs of white space become one blank; null becomes empty."""
@@ -47,27 +44,28 @@ def verify_chunks(docs: DataFrame) -> None:
         raise ValueError("different chunks share an identifier")
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text_hash, text_sha256, first (key and text_hash of the row that stays), group_size of every row."""
+    verify_chunks(docs)
+    listed = recipes(docs).select("doc_id", *row_keys(), F.sha2("norm", 256).alias("text_sha256"), identifiers(F.col("chunk")).alias("recipe"))
+    table = materialize(listed, "recipes")
+    groups = table.groupBy("recipe").agg(F.min(F.struct("key", "text_hash")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    joined = join_groups(table, groups.filter("group_size > 1"), ["recipe"], F.struct("key", "text_hash"))
+    return joined.withColumns({"first": F.coalesce("first", F.struct("key", "text_hash")), "group_size": F.coalesce("group_size", F.lit(1)).cast("long")})
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal after white space runs become one blank; null counts as empty, and empty texts are equal to each
     other. The smallest doc_id of equal texts stays (a null doc_id only where there is no other). Of rows that repeat
-    the staying doc_id each is kept. Other columns are not read. An empty table gives no rows.
+    the staying doc_id each is kept. A very long text is many chunks and one recipe. Other columns are not read. An
+    empty table gives no rows.
     """
-    verify_chunks(docs)
-    listed = recipes(docs).select("doc_id", F.sha2("norm", 256).alias("text_sha256"), identifiers(F.col("chunk")).alias("recipe"))
-    table = materialize(listed, "recipes")
-    groups = table.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    shared = groups.filter("group_size > 1").select("*", salts)
-    joined = table.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(shared, ["recipe", "salt"], "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    keep = F.col("first.key")
+    return grouped(docs).select("doc_id", F.nullif(keep, F.lit(NO_ID)).alias("keep_id"), "group_size", (F.col("key") == keep).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs' own columns, one row for each text: the row that exact_groups keeps, of rows that repeat it any one."""
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    kept = exact_groups(docs).filter("kept").select(key.alias("key"), F.col("text_sha256").alias("sha"))
-    rows = docs.select(key.alias("key"), F.sha2(normalise(F.col("text")), 256).alias("sha"), F.struct("*").alias("doc"))
-    return rows.join(kept, ["key", "sha"], "left_semi").groupBy("key", "sha").agg(F.first("doc").alias("doc")).select("doc.*")
+    return keep_marked(docs, grouped(docs).select("key", "text_hash", (F.col("first") == F.struct("key", "text_hash")).alias("keep")))
