@@ -53,7 +53,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"), shards=16)
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16).drop("doc")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

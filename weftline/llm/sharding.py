@@ -4,21 +4,23 @@ The sort key is (hash of the text, doc_id), so equal texts lie together. Boundar
 the whole key range; each round counts the exact bytes in equal steps of the ranges where boundaries still lie
 and keeps the step that holds the boundary, until the bytes below it are within the tolerance. A group of equal
 texts is split between shards, by doc_id, only if it holds more than `whole` of a shard's bytes. Rounds read a
-table of keys and sizes, never texts, and return 4096 counts per open boundary.
+table of keys and sizes, never texts, and return 4096 counts per open boundary. Then each document moves once, to
+its shard and its place in it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize
+from weftline.llm.common import materialize, release
 
 STEP = 12
 LOWEST = -(1 << 63)
+#: monotonically_increasing_id holds the partition from this bit on.
+PARTITION_BIT = 33
 
 
 @dataclass
@@ -98,43 +100,34 @@ def _within_group(slim: DataFrame, h: int, below: int, aim: float, near: float,
 
 def shard_of(boundaries: list[Boundary], h: Column, key_id: Column) -> Column:
     """Number of boundaries at or below the key."""
-    found = F.lit(0)
-    for b in boundaries:
-        found = found + ((h > b.hash) | ((h == b.hash) & (key_id >= b.doc_id))).cast("int")
-    return found
+    if not boundaries:
+        return F.lit(0)
+    edges = F.array(*(F.struct(F.lit(b.hash).cast("bigint").alias("h"), F.lit(b.doc_id).cast("bigint").alias("key_id")) for b in boundaries))
+    key = F.struct(h.alias("h"), key_id.alias("key_id"))
+    return F.size(F.filter(edges, lambda b: b <= key))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, whole: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, law ("bytes"), shard, slot (its rank in the shard's key order, from 0), grown_shard (null).
+    """One row per input row: doc (docs' own columns), doc_id, size, text_crc32, law ("bytes"), shard, slot (its rank in the shard's key order, from 0), grown_shard (null).
 
-    A null text has size 1 (no bytes, plus one) and the checksum of nothing, as an empty one. A null doc_id sorts first.
-    Repeated rows have equal keys: they share a shard and take slots in any order. An empty table gives no rows.
+    The documents themselves are dealt to their shards, in one exchange, and lie there as a written table in the order of
+    (shard, slot). A null text has size 1 (no bytes, plus one) and the checksum of nothing, as an empty one. A null doc_id
+    sorts first. Repeated rows have equal keys: they share a shard and take slots in any order. A very long text is one row
+    of its shard. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h")).withColumn("key_id", F.coalesce("doc_id", F.lit(LOWEST))),
-        "shard",
-    )
-    placed = slim.withColumn("shard", shard_of(find_boundaries(slim, shards, tolerance, whole), F.col("h"), F.col("key_id")))
-    n = slim.count()
-    common = slim.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key_id").alias("low"), F.max("key_id").alias("high")).filter(F.col("n") > max(1, n // 1024)).collect()
-    return _slots(placed, sorted((r["h"], r["low"], r["high"]) for r in common)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _slots(placed: DataFrame, common: list[tuple[int, int, int]]) -> DataFrame:
-    """slot by runs of the key order that one task can hold: 4096 ranges of the hash, cut at the at most 1024 hashes that hold
-    over a 1024th of all rows, each of which is cut into 256 ranges of doc_id."""
-    values = [h for h, _, _ in common]
-    run = F.shiftrightunsigned(_unsigned(F.col("h")), 64 - STEP)
-    part = piece = F.lit(0)
-    for h, low, high in common:
-        part = part + F.when(F.col("h") > h, 2).when(F.col("h") == h, 1).otherwise(0)
-        width = -(-(high - low + 1) // 256)
-        piece = F.when(F.col("h") == h, F.floor((F.col("key_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("int")).otherwise(piece)
-    assert bisect_right(values, LOWEST) in (0, 1)
-    runs = placed.withColumns({"run": run, "part": part, "piece": piece})
-    keys = ["shard", "run", "part", "piece"]
-    before = Window.partitionBy("shard").orderBy("run", "part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
-    ranked = runs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "key_id")) - 1)
-    return ranked.join(F.broadcast(starts), keys).withColumn("slot", (F.col("start") + F.col("rank")).cast("long"))
+    keys = [F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col), F.lit(LOWEST)).alias("key_id"), (F.octet_length(text) + 1).cast("long").alias("size")]
+    slim = materialize(docs.select(*keys), "shard-keys")
+    boundaries = find_boundaries(slim, shards, tolerance, whole)
+    release(slim)
+    rows = docs.select(*keys, F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.crc32(text).alias("text_crc32"))
+    rows = rows.withColumn("shard", shard_of(boundaries, F.col("h"), F.col("key_id")))
+    order = ["shard", "h", "key_id"]
+    dealt = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "shards")
+    before = Window.partitionBy("run_shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = dealt.groupBy(F.col("shard").alias("run_shard"), F.shiftright("at", PARTITION_BIT).alias("run")).agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first"))
+    starts = runs.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).drop("rows", "first")
+    # One row for each partition and shard that meet: partitions and shards together at most.
+    of_run = (F.col("shard") == F.col("run_shard")) & (F.shiftright("at", PARTITION_BIT) == F.col("run"))
+    placed = dealt.join(F.broadcast(starts), of_run)
+    return placed.select("doc", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
