@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, shared_dir
+from weftline.llm.common import join_groups, materialize, shared_dir
 
 #: Of the Zstandard seekable format and of WARC 1.1. Fixed values.
 SKIPPABLE_SEEK, SKIPPABLE_MAP = 0x184D2A5E, 0x184D2A5D
@@ -137,79 +137,79 @@ class BundleReader:
 def dedup_decisions(pages: DataFrame, least: int) -> DataFrame:
     """pages (page_id, url, html) with digest and refers_to, null for rows whose payload is to be stored.
 
-    Only the digest's smallest page_id is grouped, with map-side aggregation; the join back is on the digest, where
-    Spark splits a digest that many pages share.
+    Only the digest's smallest page_id is grouped, with map-side aggregation; the join back is on a salted digest, so a
+    payload that very many pages share is spread over tasks.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     first = own.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return own.join(first.select("digest", "first_id"), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    return join_groups(own, first.select("digest", "first_id"), ["digest"], F.col("page_id")).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
 
 
 def write_bundles(decided: DataFrame, folder: str, bundle_bytes: int = 256 << 20, frame_bytes: int = 1 << 20) -> DataFrame:
-    """Write the archives; returns the manifest page_id, bundle, frame, start, length, one row per record."""
+    """Write the archives; returns the manifest bundle, records, one row per bundle. Where a record lies only the bundle's own map says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = arrow_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace(":/", ":///", 1))
         store.create_dir(base, recursive=True)
         writer = out = path = None
-        rows: list[tuple] = []
 
         def finish() -> pa.RecordBatch:
             writer.close()
             out.close()
-            done = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["page_id", "bundle", "frame", "start", "length"])
-            rows.clear()
-            return done
+            return pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([len(writer.places)], pa.int64())], ["bundle", "records"])
 
         for batch in batches:
-            for at in range(batch.num_rows):
-                page_id, url, html, digest, refers_to = (batch.column(c)[at].as_py() for c in ("page_id", "url", "html", "digest", "refers_to"))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                page_id, url, html, digest, refers_to = row
                 if writer is None:
                     path = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
                     out = store.open_output_stream(path, compression=None)
                     writer = BundleWriter(out, frame_bytes)
-                rows.append((page_id, path, *writer.add(f"urn:page:{page_id}", record(page_id, url, html.encode(), digest, refers_to))))
+                writer.add(f"urn:page:{'' if page_id is None else page_id}", record(page_id, url, html.encode(), digest, refers_to))
                 if writer.written >= bundle_bytes:
                     yield finish()
                     writer = None
         if writer is not None:
             yield finish()
 
-    return decided.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "page_id long, bundle string, frame int, start long, length long")
+    return decided.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "bundle string, records long")
 
 
 def read_bundles(manifest: DataFrame, folder: str) -> DataFrame:
-    """Read the records named by a manifest out of their bundles: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """Read the bundles that a manifest names: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response's size and digest are of the bytes read; a revisit's are those that its record states.
+    Each record is looked up by the map in its bundle. A response's size and digest are of the bytes read; a revisit's are
+    those that its record states.
     """
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    number = lambda urn: int(x) if (x := urn.strip("<>").removeprefix("urn:page:")) else None
+
+    def read(reader: BundleReader, bundle: str, name: str, frame: int, start: int, length: int) -> tuple:
+        fields, payload = parse_record(reader.record(frame, start, length))
+        stated = fields["warc-payload-digest"].removeprefix("sha256:")
+        if fields["warc-record-id"] != f"<{name}>":
+            raise ValueError(f"{bundle}: another record lies where the map says {name}")
+        if fields["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != stated or len(payload) != int(fields["http-length"])):
+            raise ValueError(f"{bundle}: a payload differs from its digest")
+        return number(fields["warc-record-id"]), int(fields["http-length"]), stated, fields["warc-type"], number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = arrow_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace(":/", ":///", 1))
-        reader, opened, source = None, None, None
-        number = lambda urn: int(x) if (x := urn.strip("<>").removeprefix("urn:page:")) else None
         for batch in batches:
-            out = []
-            for bundle, frame, start, length in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "start", "length")), strict=True):
-                if opened != bundle:
-                    if source is not None:
-                        source.close()
-                    source, opened = store.open_input_file(bundle), bundle
+            for bundle, records in zip(batch.column("bundle").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                with store.open_input_file(bundle) as source:
                     reader = BundleReader(source, source.size())
-                fields, payload = parse_record(reader.record(frame, start, length))
-                stated = fields["warc-payload-digest"].removeprefix("sha256:")
-                if fields["warc-type"] == "response":
-                    digest = hashlib.sha256(payload).hexdigest()
-                    if digest != stated or len(payload) != int(fields["http-length"]):
-                        raise ValueError(f"{bundle}: a payload differs from its digest")
-                out.append((number(fields["warc-record-id"]), int(fields["http-length"]), stated, fields["warc-type"], number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        if source is not None:
-            source.close()
-
-    return manifest.select("bundle", "frame", "start", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                    places = reader.places()
+                    if len(places) != records:
+                        raise ValueError(f"{bundle}: {len(places)} records instead of {records}")
+                    for at in range(0, len(places), 4096):
+                        out = [read(reader, bundle, *place) for place in places[at : at + 4096]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = manifest.repartition(tasks, "bundle")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_archive(pages: DataFrame, folder: str | None = None, least: int = 100) -> DataFrame:
