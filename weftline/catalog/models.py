@@ -133,7 +133,8 @@ def rule_f_scores(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def vocabulary_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of tokens in the order of their first appearance; 0 is kept."""
-    return k.vocabulary(split_tokens(spark, sf), "word", ["doc_id", "pos"])
+    bounds = table(spark, sf, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    return k.vocabulary(split_tokens(spark, sf), "word", ["doc_id", "pos"], bounds=tuple(bounds))
 
 
 @query(f"""

@@ -12,7 +12,7 @@ from weftline.functions import signal as s
 from weftline.operators import context as c
 from weftline.operators.acoustic import expand_states, generate, safe_states
 from weftline.operators.alignment import nearest, vector_gap, warp_distance
-from weftline.operators.counts import argmax, moments, voiced_mean, z_normalise
+from weftline.operators.counts import argmax, moments, offsets_before, voiced_mean, z_normalise
 from weftline.operators.tokenize import batches, frames_of, overlapping_frames_of, repeat_rows
 
 #: CTE ev: events with a position within their user; every fifth has no value.
@@ -116,7 +116,7 @@ def running_offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Offset of each order's lines in its nation's sequence."""
     held = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("items"))
     joined = held.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    return joined.select("c_nationkey", "o_orderkey", c.offset_before("items", ["c_nationkey"], ["o_orderkey"]).cast("long").alias("start_at"))
+    return offsets_before(joined, "items", ["c_nationkey"], "o_orderkey").select("c_nationkey", "o_orderkey", F.col("offset").cast("long").alias("start_at"))
 
 
 @query("SELECT l_orderkey, l_linenumber, step FROM (SELECT l_orderkey, l_linenumber, unnest(range(CAST(l_quantity AS INT) % 7)) AS step FROM lineitem)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,12 +65,11 @@ def token_statistics(spark: SparkSession, sf: str) -> DataFrame:
     pairs = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("w", t.tokens_of(F.col("line")))
     pairs = pairs.select("lang", F.inline(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get(F.col("w"), i + 1), F.lit("_")).alias("next")))))
     counted = pairs.groupBy("lang", "word", "next").agg(F.count(F.lit(1)).alias("n"))
-    by_word = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    first = lambda c: F.min(F.struct((-F.col("n")).alias("neg"), F.col(c).alias("value")))
-    stats = by_word.groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(p.is_punct(F.col("word")), F.col("n")).otherwise(0)).alias("punct"), first("word").alias("top"))
-    stats = stats.select("lang", "tokens", F.round(F.col("punct") / F.col("tokens"), 6).alias("punct_share"), F.col("top.value").alias("top_word"), (-F.col("top.neg")).alias("top_count"))
-    best = counted.join(stats.select("lang", F.col("top_word").alias("word")), ["lang", "word"], "left_semi").groupBy("lang").agg(first("next").alias("b"))
-    return stats.join(best, "lang").select("lang", "tokens", "punct_share", "top_word", "top_count", F.col("b.value").alias("top_next"), F.round(-F.col("b.neg") / F.col("top_count"), 6).alias("next_share"))
+    less = (-F.col("n")).alias("less")
+    by_word = counted.groupBy("lang", "word").agg(F.sum("n").alias("total"), F.min(F.struct(less, "next")).alias("best")).withColumnRenamed("total", "n")
+    stats = by_word.groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(p.is_punct(F.col("word")), F.col("n")).otherwise(0)).alias("punct"), F.min(F.struct(less, "word", "best")).alias("top"))
+    share = F.round(-F.col("top.best.less") / -F.col("top.less"), 6)
+    return stats.select("lang", "tokens", F.round(F.col("punct") / F.col("tokens"), 6).alias("punct_share"), F.col("top.word").alias("top_word"), (-F.col("top.less")).alias("top_count"), F.col("top.best.next").alias("top_next"), share.alias("next_share"))
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#'))) AS sentences FROM documents")
@@ -135,22 +136,73 @@ def word_predicates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _entities_sql(kinds: tuple[str, ...]) -> str:
-    each = (f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{e.entity_pattern(k)}', 1)) AS entity FROM documents" for k in kinds)
-    return f"SELECT doc_id, kind, entity, count(*) AS n FROM ({' UNION ALL '.join(each)}) GROUP BY doc_id, kind, entity"
+#: The same entities as SQL spells them, each part written out. Characters that end one entity and stand before the next are doubled in
+#: the text first, since RE2 can't look ahead; so a blank inside an entity is two here.
+_INT = "(?:[0-9]{1,3}(?:(?:[.]|  )[0-9]{3})+|[0-9]+)"
+_NUM = f"(?:{_INT},[0-9]+|{_INT})"
+_DAY, _MON, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:1[0-9][0-9][0-9]|20[0-9][0-9])"
+_DATE = f"(?:{_DAY}  (?:January|February|March|April|May|June|July|August|September|October|November|December)  {_YEAR}|{_DAY}[-./]{_MON}[-./]{_YEAR}|{_YEAR}[-./]{_MON}[-./]{_DAY})"
+_MONEY = f"{_NUM}(?:  )?(?:EUR|USD|GBP|RON|CHF|HUF|euro|dollars|pounds)"
+_WHO = "(?:[A-Z][.]  )?[A-Z][a-z]+(?:  [A-Z][a-z]+)?"
+_HUN, _TEN, _ONE = "(?:CM|CD|DC|DCC|DCCC|CCC|CC|C|D)", "(?:XC|XL|LXXX|LXX|LX|XXX|XX|X|L)", "(?:IX|IV|VIII|VII|VI|III|II|I|V)"
+ENTITY_SQL = {
+    "integer": _INT, "real": f"{_INT},[0-9]+", "percent": f"{_NUM}(?:  )?%", "number_word": "one|two|three|four|five|six|seven|eight|nine|ten|twenty|hundred|thousand|million", "money": _MONEY, "date": _DATE, "year": _YEAR,
+    "time": "(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?:(?:  )?[ap]m|(?:  )?[AP]M)?", "duration": f"{_NUM}(?:  )?(?:seconds|minutes|hours|days|months|years|min|s|h)", "distance": f"{_NUM}(?:  )?(?:miles|inches|[kcm]?m)", "area": f"{_NUM}(?:  )?(?:hectares|acres|ha)",
+    "mass": f"{_NUM}(?:  )?(?:tonnes|[mk]?g|t)", "volume": f"{_NUM}(?:  )?(?:litres|ml|cc|l)", "initials": "[A-Z][.](?:[A-Z][.])*", "male": f"(?:Mr|Sir)[.]?  {_WHO}", "female": f"(?:Mrs|Ms|Miss|Madam)[.]?  {_WHO}", "person": f"(?:Dr|Prof|Gen|Col)[.]  {_WHO}",
+    "name": "[A-Z][a-z]+(?:  [A-Z][a-z]+)+", "junior": "[A-Z][a-z]+(?:  [A-Z][a-z]+)+,?  Jr[.]", "roman": f"(?:MMM|MM|M){_HUN}?{_TEN}?{_ONE}?|{_HUN}{_TEN}?{_ONE}?|{_TEN}{_ONE}?|{_ONE}",
+    "email": "[-A-Za-z0-9._%+]+@[-A-Za-z0-9]+(?:[.][-A-Za-z0-9]+)+", "url": "(?:http://|https://|ftp://|www[.])[-A-Za-z0-9.]+(?::[0-9]+)?(?:/[-A-Za-z0-9._~/%+]*)?", "code": "[0-9]+/[0-9]+(?:/[A-Z][A-Z])?",
+    "phone": "[+]?[0-9]{1,3}(?:  |-)[0-9]{3}(?:  |-)[0-9]{3,4}(?:(?:  |-)[0-9]{4})?",
+}
+DOUBLED_SQL = r"d AS (SELECT doc_id, regexp_replace(text, '([ \t\n\f\r;!?)])', '\1\1', 'g') AS text FROM documents)"
+
+
+def _sql_match(body: str, group: int) -> str:
+    return rf"regexp_extract_all(text, '(?:^|[^A-Za-z0-9_.,/@:-]){body}(?:[.,;:!?)]|[ \t\n\f\r]|$)', {group})"
 
 
-@query(_entities_sql(e.KINDS))
+def _entities_sql() -> str:
+    each = (f"SELECT doc_id, '{k}' AS kind, replace(unnest({_sql_match(f'({x})', 1)}), '  ', ' ') AS entity FROM d" for k, x in ENTITY_SQL.items())
+    return f"WITH {DOUBLED_SQL} SELECT doc_id, kind, entity, count(*) AS n FROM ({' UNION ALL '.join(each)}) GROUP BY doc_id, kind, entity"
+
+
+@query(_entities_sql())
 def pattern_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers, money, dates, times, amounts, names, addresses and codes of every document."""
     return e.entities(table(spark, sf, "documents")).groupBy("doc_id", "kind", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT doc_id, lo, hi FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{e.range_pattern('number')}', 1)) AS lo, unnest(regexp_extract_all(text, '{e.range_pattern('number')}', 2)) AS hi FROM documents)")
+def _ranges_sql(kinds: dict[str, str]) -> str:
+    each = (f"SELECT doc_id, '{k}' AS kind, unnest({_sql_match(f'({x})(?:  )?-(?:  )?({x})', 1)}) AS lo, unnest({_sql_match(f'({x})(?:  )?-(?:  )?({x})', 2)}) AS hi FROM d" for k, x in kinds.items())
+    return f"WITH {DOUBLED_SQL} SELECT doc_id, kind, replace(lo, '  ', ' ') AS lo, replace(hi, '  ', ' ') AS hi FROM ({' UNION ALL '.join(each)})"
+
+
+@query(f"SELECT doc_id, lo, hi FROM ({_ranges_sql({'number': _NUM})})")
 def number_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return e.ranges(table(spark, sf, "documents"), "number")
 
 
+@query(_ranges_sql({k: ENTITY_SQL[k] for k in e.RANGES}))
+def closed_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of integers, reals, percents, dates and amounts of money."""
+    docs = table(spark, sf, "documents")
+    found = [e.ranges(docs, k).select("doc_id", F.lit(k).alias("kind"), "lo", "hi") for k in e.RANGES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    f"SELECT id, kind, text AS entity FROM (WITH d AS (SELECT o_orderkey AS id, 'A ' || o_orderdate::DATE || ' 5 6 7 9; 1.250,5 RON! Dr. Ana Pop X XX XL C M MCMXCIX I.O. 14:05 pm? ' || o_orderkey || '/12/CE (12 km) www.a.b 3 kg 4 ml 2 ha Mrs. E. Hill Sir Tom Ray, Jr.' AS t FROM orders), "
+    "x AS (SELECT id, t FROM d) SELECT id, kind, unnest(found) AS text FROM (SELECT id, t, 'date' AS kind, [substr(t, 3, 10)] AS found FROM x UNION ALL SELECT id, t, 'roman', ['X', 'XX', 'XL', 'C', 'M', 'MCMXCIX'] FROM x UNION ALL SELECT id, t, 'money', ['1.250,5 RON'] FROM x UNION ALL SELECT id, t, 'time', ['14:05 pm'] FROM x "
+    "UNION ALL SELECT id, t, 'code', [id || '/12/CE'] FROM x UNION ALL SELECT id, t, 'distance', ['12 km'] FROM x UNION ALL SELECT id, t, 'mass', ['3 kg'] FROM x UNION ALL SELECT id, t, 'volume', ['4 ml'] FROM x UNION ALL SELECT id, t, 'area', ['2 ha'] FROM x UNION ALL SELECT id, t, 'person', ['Dr. Ana Pop'] FROM x "
+    "UNION ALL SELECT id, t, 'female', ['Mrs. E. Hill Sir'] FROM x UNION ALL SELECT id, t, 'junior', ['Hill Sir Tom Ray, Jr.'] FROM x UNION ALL SELECT id, t, 'url', ['www.a.b'] FROM x UNION ALL SELECT id, t, 'initials', ['I.O.', 'E.'] FROM x))"
+)
+def written_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of a sentence that is written for each order, so that every one of them is known."""
+    tail = " 5 6 7 9; 1.250,5 RON! Dr. Ana Pop X XX XL C M MCMXCIX I.O. 14:05 pm? "
+    text = F.concat(F.lit("A "), F.col("o_orderdate").cast("date").cast("string"), F.lit(tail), F.col("o_orderkey").cast("string"), F.lit("/12/CE (12 km) www.a.b 3 kg 4 ml 2 ha Mrs. E. Hill Sir Tom Ray, Jr."))
+    kinds = ("date", "roman", "money", "time", "code", "distance", "mass", "volume", "area", "person", "female", "junior", "url", "initials")
+    return e.entities(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), kinds).withColumnRenamed("doc_id", "id")
+
+
 @query(rf"""
     WITH {WORDS_SQL}, w AS (SELECT DISTINCT lower(word) AS word FROM wd WHERE regexp_matches(word, '\p{{L}}'))
     SELECT word, list_aggregate(list_transform([0,1,2,3,4,5,6], lambda i: 'e' || i || ':' || CASE WHEN length(word) > i THEN substr(word, length(word) - i, 1) ELSE '_' END), 'string_agg', ' ') AS feats FROM w
@@ -255,10 +307,8 @@ def modulo_split(spark: SparkSession, sf: str) -> DataFrame:
 """)
 def word_span_sums(spark: SparkSession, sf: str) -> DataFrame:
     """Words with offsets: how many, and the sums of their starts and stops, for each document."""
-    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+"), F.lit(0))).alias("i", "part"))
-    stop = F.sum(F.char_length("part")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    spans = parts.withColumn("stop", stop).filter(F.col("part").rlike(r"^[\p{L}\p{Nd}_]"))
-    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("stop") - F.char_length("part")).alias("starts"), F.sum("stop").alias("stops"))
+    spans = t.word_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum("start").alias("starts"), F.sum("stop").alias("stops"))
 
 
 @query(r"""

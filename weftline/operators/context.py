@@ -104,10 +104,6 @@ def deltas(value: str, window: WindowSpec) -> tuple[Column, Column]:
     return (following - prev) / 2, prev - 2 * F.col(value) + following
 
 
-def lag_pair(value: str, window: WindowSpec, default: int = 0) -> Column:
-    return F.lag(value, 1, default).over(window)
-
-
 def after_first_sound(value: Column, window: WindowSpec) -> Column:
     """Whether a non-zero value has been seen, the row's own included: a filter on it trims leading silence."""
     return F.max(F.abs(value)).over(window.rowsBetween(Window.unboundedPreceding, 0)) > 0

@@ -57,20 +57,27 @@ def _h(*parts: Column) -> Column:
 def information_gain(bags: DataFrame, label: str = "label", features: str = "feats", n: str = "n", node: list[str] | None = None, least: float = 0) -> DataFrame:
     """node, feature, yes, no, gain: of every binary feature, within every node, what splitting on it gains.
 
-    bags has a row per label and bag with its count. The side without a feature is the total less the side with it. Splits
-    whose smaller side has fewer than `least` are left out.
+    bags has a row per label and bag with its count. The side without a feature is the total less the side with it; the
+    totals are counted in the same pass, as those of a feature that every bag has. Splits whose smaller side has fewer than
+    `least` are left out.
     """
     node = node or []
-    totals = bags.groupBy(*node, label).agg(F.sum(n).cast("double").alias("all"))
-    node_h = totals.groupBy(*node).agg(F.sum("all").alias("node_n"), F.sum(_h(F.col("all"))).alias("node_nlogn"))
-    with_ = bags.select(*node, label, n, F.explode(F.array_distinct(features)).alias("feature")).groupBy(*node, "feature", label).agg(F.sum(n).cast("double").alias("yes"))
-    joined = with_.join(totals, [*node, label])
-    per = joined.groupBy(*node, "feature").agg(F.sum("yes").alias("yes_n"), F.sum(_h(F.col("yes"))).alias("yes_nlogn"), F.sum(_h(F.col("all") - F.col("yes")) - _h(F.col("all"))).alias("rest_nlogn"))
-    per = per.join(node_h, node) if node else per.crossJoin(F.broadcast(node_h))
+    every = F.array(F.lit(None).cast("string"))
+    counts = bags.select(*node, label, n, F.explode(F.concat(F.array_distinct(features), every)).alias("feature")).groupBy(*node, "feature", label).agg(F.sum(n).cast("double").alias("yes"))
+    by_feature = counts.groupBy(*node, "feature").agg(F.map_from_entries(F.collect_list(F.struct(label, "yes"))).alias("yes"))
+    totals = by_feature.filter("feature IS NULL").select(*node, F.col("yes").alias("all"))
+    found = by_feature.filter("feature IS NOT NULL")
+    # Without nodes one row, else one for each node, of as many labels as there are.
+    found = found.join(totals, node) if node else found.crossJoin(F.broadcast(totals))
+    numbers = lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + x)
+    nlogn = lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + _h(x))
+    whole = F.map_values("all")
+    rest = F.transform(F.map_entries("all"), lambda e: e["value"] - F.coalesce(F.try_element_at("yes", e["key"]), F.lit(0.0)))
+    sides = found.select(*node, "feature", numbers(whole).alias("node_n"), nlogn(whole).alias("node_nlogn"), numbers(F.map_values("yes")).alias("yes_n"), nlogn(F.map_values("yes")).alias("yes_nlogn"), nlogn(rest).alias("rest_nlogn"))
     no_n = F.col("node_n") - F.col("yes_n")
     h = lambda total, nlogn: _h(total) - nlogn
-    gain = (h(F.col("node_n"), F.col("node_nlogn")) - h(F.col("yes_n"), F.col("yes_nlogn")) - h(no_n, F.col("node_nlogn") + F.col("rest_nlogn"))) / F.col("node_n")
-    return per.filter((no_n > 0) & (F.least(F.col("yes_n"), no_n) >= least)).select(*node, "feature", F.col("yes_n").alias("yes"), no_n.alias("no"), gain.alias("gain"))
+    gain = (h(F.col("node_n"), F.col("node_nlogn")) - h(F.col("yes_n"), F.col("yes_nlogn")) - h(no_n, F.col("rest_nlogn"))) / F.col("node_n")
+    return sides.filter((no_n > 0) & (F.least(F.col("yes_n"), no_n) >= least)).select(*node, "feature", F.col("yes_n").alias("yes"), no_n.alias("no"), gain.alias("gain"))
 
 
 def leaf_distribution(counts: DataFrame, by: list[str], label: str, n: str = "n") -> DataFrame:
@@ -117,30 +124,60 @@ def every_nth(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     return df.join(ranked, key)
 
 
-def dense_order(keys: DataFrame, key: str, digits: int = 2, among: list[str] | None = None) -> DataFrame:
-    """rank (from 0) of each distinct key in order (within `among`): counts by leading characters, then ranks inside them."""
+def splitters(keys: DataFrame, key: str, n: int = 256, each: int = 32) -> list:
+    """About n values that cut the keys into even ranges, from the n * each rows whose hash is least. Results never depend on them, only the sizes of tasks."""
+    sample = keys.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(n * each)
+    found = sorted(r[0] for r in sample.collect())
+    return sorted({found[i * len(found) // n] for i in range(1, n)} if found else set())
+
+
+def range_of(key: Column, splits: list) -> Column:
+    """Number of splitters at or below the key: of coarse ones first, then of those between two of them."""
+    if not splits:
+        return F.lit(0)
+    step = max(1, int(len(splits) ** 0.5))
+    groups = [splits[i : i + step] for i in range(0, len(splits), step)]
+    below = lambda values: F.size(F.filter(values, lambda x: x <= key))
+    coarse = F.array(*(F.lit(g[0]) for g in groups))
+    fine = F.array(*(F.array(*map(F.lit, g)) for g in groups))
+    at = below(coarse)
+    return F.coalesce(F.when(at > 0, (at - 1) * step + below(F.get(fine, at - 1))).otherwise(0), F.lit(0))
+
+
+def dense_order(keys: DataFrame, key: str, among: list[str] | None = None) -> DataFrame:
+    """rank (from 0) of each distinct key in order (within `among`): counts by sampled ranges of the key, then ranks inside them."""
     among = among or []
-    lead = F.encode(F.substring(F.col(key).cast("string"), 1, digits), "utf-8")
-    held = keys.withColumn("_lead", lead)
-    sizes = held.groupBy(*among, "_lead").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(*among).orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(*among, "_lead").orderBy(key)) - 1
-    ranked = held.withColumn("_inside", inside)
-    return ranked.join(starts.drop("_n"), [*among, "_lead"]).withColumn("rank", (F.col("_start") + F.col("_inside")).cast("long")).drop("_lead", "_inside", "_start")
+    held = keys.withColumn("_range", range_of(F.col(key), splitters(keys, key)))
+    sizes = held.groupBy(*among, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy(*among).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = held.withColumn("_inside", F.row_number().over(Window.partitionBy(*among, "_range").orderBy(key)) - 1)
+    return ranked.join(starts.drop("_n"), [*among, "_range"]).withColumn("rank", (F.col("_start") + F.col("_inside")).cast("long")).drop("_range", "_inside", "_start")
+
+
+def offsets_before(df: DataFrame, value: str, by: list[str], order: str, out: str = "offset") -> DataFrame:
+    """out: sum of the values of all earlier rows with the same `by`, whose rows may be any share of all: sums by sampled
+    ranges of the order, then running sums inside them."""
+    held = df.withColumn("_range", range_of(F.col(order), splitters(df, order)))
+    sums = held.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("_inside", inside).join(starts.drop("_sum"), [*by, "_range"]).withColumn(out, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
 
 
-def vocabulary(df: DataFrame, value: str, order: list[str], reserve: str | None = "#") -> DataFrame:
+def vocabulary(df: DataFrame, value: str, order: list[str], reserve: str | None = "#", bounds: tuple[int, int] | None = None) -> DataFrame:
     """value, id: dense ids in the order of first appearance; with `reserve`, id 0 is kept for that value.
 
     Firsts are aggregated map-side; only the distinct values are ranked, within at most 4096 ranges of the first order
-    column (an integer), whose sizes give the ranges' offsets.
+    column (an integer), whose sizes give the ranges' offsets. bounds are that column's least and greatest value, if the
+    caller knows them more cheaply than from df.
     """
     firsts = df.filter(F.col(value).isNotNull() & (F.col(value) != F.lit(reserve)) if reserve is not None else F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("first"))
     first_col = F.col(f"first.{order[0]}")
-    low, high = firsts.agg(F.min(first_col), F.max(first_col)).first()
+    low, high = bounds or firsts.agg(F.min(first_col), F.max(first_col)).first()
     spread = F.floor((first_col - F.lit(low)) / F.lit(((high - low) // 4096 + 1) if low is not None else 1))
     held = firsts.withColumn("_run", spread)
     sizes = held.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    # At most 4096 rows, one for each range.
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_run").orderBy("first")) - 1
     ids = held.withColumn("_inside", inside).join(starts, "_run").select(value, (F.col("_start") + F.col("_inside") + F.lit(0 if reserve is None else 1)).cast("long").alias("id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks that are split off the end of an item. Fixed values.
@@ -74,16 +74,12 @@ def split_words(text: Column) -> Column:
 
 
 def word_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, word, start (from 0), stop: runs of word characters with their offsets in characters."""
+    """doc_id, word, start (from 0), stop: runs of word characters with their offsets in characters. Rows of one doc_id are texts of their own."""
     parts = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,stop:int>>").alias("out"))
-
-    def step(state: Column, part: Column) -> Column:
-        stop = state["at"] + F.char_length(part)
-        span = F.array(F.struct(part.alias("word"), state["at"].alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(part.rlike(r"^[\p{L}\p{Nd}_]"), F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
-
-    return docs.select("doc_id", F.posexplode(F.aggregate(parts, start, step, lambda s: s["out"])).alias("pos", "span")).select("doc_id", "pos", "span.*")
+    each = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", F.posexplode(parts).alias("_at", "word"))
+    stop = F.sum(F.char_length("word")).over(Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    spans = each.withColumn("stop", stop).filter(F.col("word").rlike(r"^[\p{L}\p{Nd}_]"))
+    return spans.select("doc_id", "word", (F.col("stop") - F.char_length("word")).alias("start"), "stop")
 
 
 def join_words(words: Column) -> Column:
