@@ -37,3 +37,14 @@ def test_filters_reach_the_scan(spark, small):
 def test_counts_are_summed_before_they_are_shuffled(spark, small):
     text = plan(spark, small, "document_token_counts")
     assert text.count("HashAggregate") >= 2 and "Python" not in text
+
+
+@pytest.mark.parametrize(
+    "name, tables",
+    [("token_statistics", 1), ("bigram_transitions", 1), ("vocabulary_ids", 1), ("modulo_split", 1), ("word_span_sums", 1), ("information_gains", 2), ("running_offsets", 3), ("pattern_entities", 1)],
+)
+def test_each_table_is_scanned_once(spark, small, name, tables):
+    df = QUERIES[name](spark, small)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == tables

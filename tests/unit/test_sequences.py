@@ -110,6 +110,23 @@ def test_chunks():
             Grammar(bad)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("ABCD"), max_size=14), st.booleans())
+def test_compiled_rules_match_as_parsed_ones(tags, compat):
+    text = "Np -> ('<A>' | '<B>') '<B>'+ Tail?\nTail -> '<C>' ('<B>' | '<A>' '<A>'*)\nVp -> '<D>'? '<D>' '<C>'*\nAp -> ('<A>' '<B>' | '<A>')+ '<B>'"
+    compiled, plain = Grammar(text, compat), Grammar(text, compat)
+    plain.scanners = dict.fromkeys(("Np", "Vp", "Ap", "Pp"))
+    assert all(compiled.scanner(kind) is not None for kind in ("Np", "Vp", "Ap"))
+    assert chunk(tags, compiled) == chunk(tags, plain)
+
+
+def test_rules_that_cannot_be_compiled_are_matched_as_parsed():
+    grammar = Grammar("Np -> '<A>' Np?\nVp -> ('<A>'? | '<B>') '<B>'\nAp -> '<A>'?")
+    assert [grammar.scanner(x) for x in ("Np", "Vp")] == [None] * 2 and grammar.scanner("Ap") is not None
+    assert chunk(["B", "A", "A"], Grammar("Ap -> '<A>'?", compat=False)) == ["", "", ""]
+    assert chunk(["A", "A", "B"], grammar)[0].startswith("Np1")
+
+
 def paths(n, m):
     if n == m == 0:
         return [[(0, 0)]]

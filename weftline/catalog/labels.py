@@ -80,7 +80,32 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 10_000 + F.col("sent_id")).alias("sent_id"), "pos", "word", "syllables", stress.alias("stress"), phones.alias("phones"))
 
 
-@query()
+QUOTES_SQL = "('\"', '``', '''''')"
+#: CTEs up to lb: doc_id, sent_id, phone_no, label of every phone. Tokens with a full stop put behind each sentence, what labels are made of
+#: and quotes (ak), the state of quotes (aq), distances to marks (am), syllables (ay) with distances to stressed ones (af), phones (ap).
+LABELS_SQL = rf"""{TOKENS_SQL},
+    a0 AS (SELECT conv_id AS doc_id, turn * 10000 + sent_id AS sent_id, pos, word, {IS_PUNCT} AS pu FROM tk),
+    a1 AS (SELECT doc_id, sent_id, pos, word, pu, CASE WHEN pu THEN [word] ELSE list_transform(regexp_extract_all(word, '{SYLLABLE}'), lambda x: lower(x)) END AS sy FROM a0 UNION ALL SELECT doc_id, sent_id, max(pos) + 1, '.', true, ['.'] FROM a0 GROUP BY ALL),
+    ak AS (SELECT *, word IN {QUOTES_SQL} AS qu FROM a1 WHERE NOT pu OR word IN ('.', ',', '!', '?') OR word IN {QUOTES_SQL}),
+    aq AS (SELECT *, sum(CAST(qu AS INT)) OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS UNBOUNDED PRECEDING) % 2 AS quote FROM ak),
+    ar AS (SELECT *, CASE WHEN pu THEN word END AS mark, CASE WHEN pu THEN 0 ELSE len(sy) END AS ns, CASE WHEN NOT pu AND len(sy) > 1 THEN 1 ELSE 0 END AS nst, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS rn FROM aq WHERE NOT qu),
+    aw AS (SELECT *, sum(ns) OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run, count(*) OVER p AS nr, sum(ns) OVER p AS tsyl, sum(nst) OVER p AS tstress,
+      count(mark) OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS span, arg_min(CASE word WHEN '?' THEN 'q' WHEN '!' THEN 'e' END, pos) FILTER (word IN ('?', '!')) OVER p AS kind FROM ar WINDOW p AS (PARTITION BY doc_id, sent_id)),
+    am AS (SELECT *, last_value(mark IGNORE NULLS) OVER b AS pk, last_value(CASE WHEN mark IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS px, last_value(CASE WHEN mark IS NOT NULL THEN run END IGNORE NULLS) OVER b AS pw,
+      first_value(mark IGNORE NULLS) OVER f AS nk, first_value(CASE WHEN mark IS NOT NULL THEN rn END IGNORE NULLS) OVER f AS nx, first_value(CASE WHEN mark IS NOT NULL THEN run END IGNORE NULLS) OVER f AS nw FROM aw
+      WINDOW b AS (PARTITION BY doc_id, sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY doc_id, sent_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    ay AS (SELECT *, unnest(sy) AS s, generate_subscripts(sy, 1) - 1 AS syl FROM am),
+    aa AS (SELECT *, CASE WHEN NOT pu AND len(sy) > 1 AND syl = 0 THEN 1 ELSE 0 END AS st, CASE WHEN pu AND word = ',' THEN ['sp'] WHEN pu THEN ['pau'] ELSE list_filter(string_split(s, ''), lambda c: regexp_matches(c, '\p{{L}}')) END AS ph, row_number() OVER (PARTITION BY doc_id, sent_id, span ORDER BY pos, syl) AS sn FROM ay),
+    af AS (SELECT *, coalesce(sn - last_value(CASE WHEN st = 1 THEN sn END IGNORE NULLS) OVER b, -1) AS pst, coalesce(first_value(CASE WHEN st = 1 THEN sn END IGNORE NULLS) OVER f - sn, -1) AS nst2 FROM aa
+      WINDOW b AS (PARTITION BY doc_id, sent_id, span ORDER BY pos, syl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY doc_id, sent_id, span ORDER BY pos, syl ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    ap AS (SELECT *, unnest(ph) AS phone, generate_subscripts(ph, 1) AS phpos FROM af), an AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos, syl, phpos) AS no FROM ap),
+    lb AS (SELECT doc_id, sent_id, CAST(no - 1 AS INT) AS phone_no, CASE WHEN no = 2 THEN 'pau' ELSE lag(phone, 2, '#') OVER w END || '^' || CASE WHEN no = 1 THEN 'pau' ELSE lag(phone, 1, '#') OVER w END || '-' || phone || '+' || lead(phone, 1, '#') OVER w || '=' || lead(phone, 2, '#') OVER w
+      || '/SYLPOS:' || CASE WHEN greatest(ns, 1) = 1 THEN 'single' WHEN syl = 0 THEN 'start' WHEN syl = ns - 1 THEN 'end' ELSE 'mid' END || '/PHPOS:' || phpos || '/NPIS:' || len(ph) || '/STRESS:' || st || '/PREVSTRESS:' || pst || '/NEXTSTRESS:' || nst2
+      || '/PREVMARK:' || coalesce(pk, 'sent_start') || '/PREVWORDS:' || (rn - coalesce(px, 0)) || '/PREVSYL:' || (run - coalesce(pw, 0)) || '/NEXTMARK:' || coalesce(nk, 'sent_start') || '/NEXTWORDS:' || (coalesce(nx, nr + 1) - rn) || '/NEXTSYL:' || (coalesce(nw, tsyl) - run)
+      || '/QUOTE:' || quote || '/TYPE:' || coalesce(kind, 's') || '/TWORDS:' || nr || '/TSYL:' || tsyl || '/TSTRESS:' || tstress AS label FROM an WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY no))"""
+
+
+@query(f"WITH {LABELS_SQL} SELECT doc_id, sent_id, phone_no, label FROM lb")
 def context_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Full-context labels of every phone of the conversations."""
     return full_labels(annotated(spark, sf))
@@ -129,7 +154,12 @@ QS pause { "-pau+","-sp+" }
 """
 
 
-@query()
+@query(f"""
+    WITH {LABELS_SQL}, qs AS (SELECT *, regexp_matches(label, '(?s).-[aeiou]\\+.') AS vowel, contains(label, '/STRESS:1') AS stressed, contains(label, '-pau+') OR contains(label, '-sp+') AS pause FROM lb),
+    lf AS (SELECT doc_id, sent_id, phone_no, state, CASE state WHEN 2 THEN CASE WHEN vowel THEN 's2_vowel' WHEN pause THEN 's2_pause' ELSE 's2_other' END WHEN 3 THEN CASE WHEN stressed THEN 's3_stressed' WHEN pause THEN 's3_pause' ELSE 's3_plain' END ELSE 's4_all' END AS leaf FROM qs, (VALUES (2), (3), (4)) s(state)),
+    de AS (SELECT * FROM (VALUES ('s2_vowel', 5.0::DOUBLE, 0.9), ('s2_other', 4.5, 0.6), ('s2_pause', 0.0, 0.0), ('s3_stressed', 5.4, 0.95), ('s3_plain', 4.8, 0.8), ('s3_pause', 0.0, 0.1), ('s4_all', 4.6, 0.5)) d(leaf, mean, weight))
+    SELECT doc_id, sent_id, phone_no, state, leaf, CASE WHEN weight < 0.55 THEN 0.0::DOUBLE ELSE mean END AS pitch, CAST(floor(mean + 0.5) AS INT) AS frames FROM lf JOIN de USING (leaf)
+""")
 def acoustic_frames(spark: SparkSession, sf: str) -> DataFrame:
     """For every label, state and leaf: mean, frames, voicing; generated from a small model."""
     trees = a.parse_trees(TREES)

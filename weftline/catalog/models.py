@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.catalog.registry import query, table
-from weftline.catalog.text import LETTERS_SQL, WORDS_SQL, split_tokens
+from weftline.catalog.text import IS_PUNCT, LETTERS_SQL, WORDS_SQL, split_tokens, tokens_sql
 from weftline.operators import counts as k
 from weftline.operators import tagging as tg
 from weftline.operators import tree as tr
@@ -26,6 +28,31 @@ BAGS_SQL = r"""
       FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"""
 
 
+def grown_sql(bags: str, asked: str, keys: str, depth: int, cut_off: int) -> str:
+    """CTEs that grow a tree on `bags` (label, feats, n) level by level and send `asked` (keys, feats) down it; the last, pr, has keys and predicted."""
+    parts = [f"b0 AS (SELECT label, feats, n, 1 AS node FROM {bags})", f"p0 AS (SELECT {keys}, feats, 1 AS node FROM {asked})"]
+    for d in range(depth):
+        parts.append(f"""
+    t{d} AS (SELECT node, label, CAST(sum(n) AS DOUBLE) AS al FROM b{d} GROUP BY node, label), w{d} AS (SELECT node FROM t{d} GROUP BY node HAVING count(*) > 1 AND sum(al) >= {cut_off}),
+    y{d} AS (SELECT node, feature, label, CAST(sum(n) AS DOUBLE) AS ye FROM (SELECT node, label, n, unnest(list_distinct(feats)) AS feature FROM b{d} WHERE node IN (SELECT node FROM w{d})) GROUP BY ALL),
+    z{d} AS (SELECT f.node, f.feature, al, coalesce(ye, 0) AS ye FROM (SELECT DISTINCT node, feature FROM y{d}) f JOIN t{d} USING (node) LEFT JOIN y{d} ON y{d}.node = f.node AND y{d}.feature = f.feature AND y{d}.label = t{d}.label),
+    s{d} AS (SELECT node, feature, sum(al) AS tn, sum(ye) AS yn, sum(al - ye) AS nn, sum(al * log2(al)) AS ta, sum(CASE WHEN ye > 0 THEN ye * log2(ye) ELSE 0 END) AS ya, sum(CASE WHEN al > ye THEN (al - ye) * log2(al - ye) ELSE 0 END) AS na FROM z{d} GROUP BY node, feature),
+    g{d} AS (SELECT node, feature, round((tn * log2(tn) - ta - (yn * log2(yn) - ya) - (nn * log2(nn) - na)) / tn, 9) AS gain FROM s{d} WHERE yn >= 1 AND nn >= 1),
+    c{d} AS (SELECT node, feature FROM g{d} WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature) = 1),
+    b{d + 1} AS (SELECT label, feats, n, CASE WHEN feature IS NULL THEN b{d}.node WHEN list_contains(feats, feature) THEN 2 * b{d}.node ELSE 2 * b{d}.node + 1 END AS node FROM b{d} LEFT JOIN c{d} ON c{d}.node = b{d}.node),
+    p{d + 1} AS (SELECT {keys}, feats, CASE WHEN feature IS NULL THEN p{d}.node WHEN list_contains(feats, feature) THEN 2 * p{d}.node ELSE 2 * p{d}.node + 1 END AS node FROM p{d} LEFT JOIN c{d} ON c{d}.node = p{d}.node)""")
+    parts.append(f"lf AS (SELECT node, label AS predicted FROM (SELECT node, label, sum(n) AS n FROM b{depth} GROUP BY node, label) QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, label) = 1)")
+    parts.append(f"pr AS (SELECT {keys}, predicted FROM p{depth} JOIN lf USING (node))")
+    return ", ".join(parts)
+
+
+#: CTEs: the bags of all documents and the labelled ones' counts.
+TREE_SQL = f"{BAGS_SQL}, {BAGS_SQL.replace('bg AS', 'ab AS').replace('CAST(quality AS VARCHAR) AS label, ', '').replace('JOIN labels USING (doc_id) WHERE quality IS NOT NULL', '')}, lb AS (SELECT label, feats, count(*) AS n FROM bg GROUP BY ALL)"
+#: crc32 of a doc_id's digits.
+CRC_SQL = """tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+    cr AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM documents, tb)"""
+
+
 def features(text: Column) -> Column:
     """A document's bag of features, sorted."""
     flag = lambda pattern, name: F.when(text.rlike(pattern), name)
@@ -97,14 +124,18 @@ def leaf_distributions(spark: SparkSession, sf: str) -> DataFrame:
     return k.leaf_distribution(counts, ["source"], "label").select("source", F.posexplode("dist").alias("rank", "d")).select("source", F.col("rank").cast("long").alias("rank"), F.col("d.label").alias("label"), F.round("d.p", 6).alias("p"))
 
 
-@query()
+@query(f"WITH {TREE_SQL}, {grown_sql('lb', 'ab', 'doc_id', 6, 8)} SELECT doc_id, predicted FROM pr")
 def tree_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every document by a tree grown on the labelled ones."""
     model = tr.grow(counted_bags(spark, sf), cut_off=8, max_depth=6)
     return tr.classify(table(spark, sf, "documents").select("doc_id", features(F.col("text")).alias("feats")), model, "feats").select("doc_id", "predicted")
 
 
-@query()
+@query(f"""
+    WITH {TREE_SQL}, {CRC_SQL}, tr AS (SELECT label, feats, count(*) AS n FROM bg JOIN cr USING (doc_id) WHERE crc % 5 <> 0 GROUP BY ALL), te AS (SELECT doc_id, label, feats, feats[list_position(list_transform(feats, lambda f: starts_with(f, 'source:')), true)] AS source FROM bg JOIN cr USING (doc_id) WHERE crc % 5 = 0),
+    {grown_sql('tr', 'te', 'doc_id, label, source', 5, 8)}
+    SELECT 'document' AS unit, avg(CAST(predicted = label AS DOUBLE)) AS accuracy FROM pr UNION ALL SELECT 'source', avg(ok) FROM (SELECT CAST(min(CAST(predicted = label AS INT)) AS DOUBLE) AS ok FROM pr GROUP BY source)
+""")
 def tree_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy by document and by source of a tree grown on documents that are not every fifth."""
     rows = labelled(spark, sf).withColumn("source", F.element_at(F.filter("feats", lambda f: f.startswith("source:")), 1))
@@ -194,17 +225,26 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
 def tag_model(held: DataFrame) -> tuple[tg.TagModel, DataFrame]:
     """Tags' counts and transitions over all sentences (words, tags), and the lexicon: word, known, the counts of its tags.
 
-    A model has a row for each tag and pair of tags. The lexicon grows with the vocabulary, so it stays a table.
+    A model has a row for each pair of tags, and every tag comes after one tag or an edge, so pairs also count tags. The
+    lexicon grows with the vocabulary, so it stays a table.
     """
-    pairs = held.select(F.inline(F.arrays_zip("words", "tags"))).toDF("word", "tag")
-    by_word = pairs.groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
-    moves = k.conditional(k.bigrams_in(held, "tags"), ["prev"])
-    tags = {r["tag"]: r["n"] for r in by_word.groupBy("tag").agg(F.sum("n").alias("n")).collect()}
+    by_word = held.select(F.inline(F.arrays_zip("words", "tags"))).toDF("word", "tag").groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
+    moves = [(r["prev"], r["next"], r["n"]) for r in k.bigrams_in(held, "tags").collect()]
+    tags, given = Counter(), Counter()
+    for prev, tag, n in moves:
+        given[prev] += n
+        tags[tag] += n
+    del tags[k.EDGE]
     lexicon = by_word.groupBy("word").agg(F.collect_list(F.struct("tag", "n")).alias("known"))
-    return tg.TagModel(tags, {}, {(r["prev"], r["next"]): r["p"] for r in moves.collect()}), lexicon
+    return tg.TagModel(dict(tags), {}, {(prev, tag): n / given[prev] for prev, tag, n in moves}), lexicon
 
 
-@query()
+#: CTEs: tokens, sl (sentences) and tt (tags of tokens by form).
+TAGS_SQL = rf"""{tokens_sql("documents", "doc_id")}, sl AS (SELECT doc_id, CAST(sent_id AS INT) AS sent_id FROM tk_l WHERE trim(line) <> ''),
+    tt AS (SELECT doc_id, CAST(sent_id AS INT) AS sent_id, pos, word, CASE WHEN {IS_PUNCT} THEN 'P' WHEN regexp_matches(word, '^\p{{Nd}}') THEN 'N' WHEN regexp_matches(word, '^\p{{Lu}}') THEN 'U' WHEN length(word) <= 3 THEN 'S' ELSE 'W' END AS tag FROM tk)"""
+
+
+@query(f"WITH {TAGS_SQL} SELECT sl.doc_id, sl.sent_id, coalesce(string_agg(tag, ' ' ORDER BY pos), '') AS tags FROM sl LEFT JOIN tt USING (doc_id, sent_id) GROUP BY ALL")
 def viterbi_tags(spark: SparkSession, sf: str) -> DataFrame:
     """The likeliest tags of every sentence, by counts of its words' forms."""
     held = sentences(spark, sf)
@@ -222,7 +262,16 @@ Vp -> '<W>' '<S>' '<S>'*
 """
 
 
-@query()
+@query(f"""
+    WITH {TAGS_SQL}, ts AS (SELECT doc_id, sent_id, string_agg(tag, '' ORDER BY pos) AS t FROM tt GROUP BY ALL),
+    ru AS (SELECT doc_id, sent_id, 'Np' AS kind, 1 AS no, regexp_extract_all(t, '(?:[UW]W(?:PW)?).?|.') AS ps FROM ts UNION ALL SELECT doc_id, sent_id, 'Pp', 2, regexp_extract_all(t, '(?:S[WU]).?|.') FROM ts
+      UNION ALL SELECT doc_id, sent_id, 'Ap', 3, regexp_extract_all(t, '(?:NW?).?|.') FROM ts UNION ALL SELECT doc_id, sent_id, 'Vp', 4, regexp_extract_all(t, '(?:WSS?).?|.') FROM ts),
+    pt AS (SELECT doc_id, sent_id, kind, no, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM ru),
+    ac AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id, sent_id, no ORDER BY i) - length(p) AS start, CASE no WHEN 1 THEN length(regexp_extract(p, '^([UW]W(?:PW)?)', 1)) WHEN 2 THEN length(regexp_extract(p, '^(S[WU])', 1)) WHEN 3 THEN length(regexp_extract(p, '^(NW?)', 1)) ELSE length(regexp_extract(p, '^(WSS?)', 1)) END AS n FROM pt),
+    nm AS (SELECT doc_id, sent_id, no, start, n, kind || row_number() OVER (PARTITION BY doc_id, sent_id, no ORDER BY i) AS name FROM ac WHERE n > 1),
+    ox AS (SELECT doc_id, sent_id, start + unnest(range(n)) AS pos, no, name FROM nm), tc AS (SELECT doc_id, sent_id, pos, string_agg(name, ',' ORDER BY no) AS c FROM ox GROUP BY ALL)
+    SELECT sl.doc_id, sl.sent_id, coalesce(string_agg(coalesce(c, ''), ' ' ORDER BY tt.pos) FILTER (tt.pos IS NOT NULL), '') AS chunks FROM sl LEFT JOIN tt USING (doc_id, sent_id) LEFT JOIN tc ON tc.doc_id = tt.doc_id AND tc.sent_id = tt.sent_id AND tc.pos = tt.pos GROUP BY ALL
+""")
 def chunk_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of every sentence by a small grammar over its tags."""
     spans = tg.label_arrays(sentences(spark, sf), "tags", chunk, Grammar(RULES), "chunks")
@@ -270,13 +319,21 @@ def _grown_on_tokens(spark: SparkSession, sf: str, label: Column, depth: int) ->
     return tr.classify(bags, model, "feats").groupBy("label", "predicted").agg(F.sum("n").alias("n"))
 
 
-@query()
+def _edges_sql(label: str, depth: int) -> str:
+    """Tokens' bags of edges with a label, counted; and the tree over them."""
+    return f"""
+    WITH {tokens_sql("documents", "doc_id")}, nx AS (SELECT word, sent_id, lead(word) OVER w AS next_word, lead(sent_id) OVER w AS next_sent FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY sent_id, pos)),
+    eb AS (SELECT {label} AS label, ['last:' || substr(word, -1, 1), 'next:' || substr(coalesce(next_word, '_'), 1, 1), 'upper:' || CASE WHEN upper(substr(coalesce(next_word, '_'), 1, 1)) = substr(coalesce(next_word, '_'), 1, 1) THEN 'true' ELSE 'false' END] AS feats, count(*) AS n FROM nx GROUP BY ALL),
+    {grown_sql('eb', 'eb', 'label, n', depth, 50)} SELECT label, predicted, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY ALL"""
+
+
+@query(_edges_sql("CASE WHEN next_sent IS NULL OR next_sent > sent_id THEN 'yes' ELSE 'no' END", 5))
 def sentence_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a token ends its line, by a tree over its last character and the next token's first, against what is so."""
     return _grown_on_tokens(spark, sf, F.when(F.col("next_sent").isNull() | (F.col("next_sent") > F.col("sent_id")), "yes").otherwise("no"), 5)
 
 
-@query()
+@query(_edges_sql("CASE WHEN next_word IN (',', ';', ':') THEN '1' ELSE '0' END", 5))
 def short_pauses(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a pause mark follows a token, by a tree over the edges around it."""
     return _grown_on_tokens(spark, sf, F.when(F.col("next_word").isin(",", ";", ":"), "1").otherwise("0"), 5)

@@ -218,7 +218,15 @@ def _per_user(spark: SparkSession, sf: str, fn, schema: str) -> DataFrame:
     return user_arrays(spark, sf).mapInPandas(run, schema)
 
 
-@query()
+#: CTE fr: each user's values as frames of 64, the last padded.
+FRAMES_SQL = "ux AS (SELECT user_id, list(CAST(value AS DOUBLE) ORDER BY event_id) AS x FROM events GROUP BY user_id), fr AS (SELECT user_id, f AS frame, list_transform(range(64), lambda j: coalesce(x[64 * f + j + 1], 0.0)) AS v FROM (SELECT user_id, x, unnest(range((len(x) + 63) // 64)) AS f FROM ux))"
+
+
+@query(f"""
+    WITH {FRAMES_SQL}, b AS (SELECT user_id, frame, v, unnest(range(64)) AS k FROM fr),
+    s AS (SELECT user_id, frame, k, list_sum(list_transform(range(64), lambda j: v[j + 1] * cos(2 * pi() * ((j * k) % 64) / 64))) AS re, list_sum(list_transform(range(64), lambda j: v[j + 1] * sin(2 * pi() * ((j * k) % 64) / 64))) AS im FROM b)
+    SELECT user_id, frame, k AS bin, round(sqrt(re * re + im * im), 6) AS magnitude FROM s
+""")
 def fft_magnitudes(spark: SparkSession, sf: str) -> DataFrame:
     """Magnitudes of the transforms of each user's frames of 64 values, the last padded."""
 
@@ -230,14 +238,22 @@ def fft_magnitudes(spark: SparkSession, sf: str) -> DataFrame:
     return _per_user(spark, sf, fn, "user_id long, frame long, bin long, magnitude double")
 
 
-@query()
+@query("""
+    WITH ux AS (SELECT user_id, list(CAST(value AS DOUBLE) ORDER BY event_id) AS x FROM events GROUP BY user_id),
+    fr AS (SELECT user_id, f AS frame, list_transform(range(16), lambda j: coalesce(CASE WHEN 4 * f + j >= 16 THEN x[4 * f + j - 15] END, 0.0) * (0.54 - 0.46 * cos(2 * pi() * j / 15))) AS v FROM (SELECT user_id, x, unnest(range(len(x) // 4)) AS f FROM ux)),
+    b AS (SELECT user_id, frame, v, unnest(range(9)) AS k FROM fr),
+    s AS (SELECT user_id, frame, k, list_sum(list_transform(range(16), lambda j: v[j + 1] * cos(2 * pi() * ((j * k) % 16) / 16))) AS re, list_sum(list_transform(range(16), lambda j: v[j + 1] * sin(2 * pi() * ((j * k) % 16) / 16))) AS im FROM b),
+    l AS (SELECT user_id, frame, k, greatest(log10(greatest(sqrt(re * re + im * im), 1e-12)), -3.0) AS y FROM s),
+    m AS (SELECT *, avg(y) OVER w AS mean, CASE WHEN max(y) OVER w = min(y) OVER w THEN 1.0 ELSE stddev_pop(y) OVER w END AS sd FROM l WINDOW w AS (PARTITION BY user_id, k))
+    SELECT user_id, frame, k AS bin, round((y - mean) / sd, 6) + 0.0 AS z FROM m
+""")
 def log_spectra(spark: SparkSession, sf: str) -> DataFrame:
     """Log spectra of overlapping windows, normalised over the user's frames."""
 
     def fn(x: np.ndarray) -> dict:
         z = s.log_spectrum(x, 16, 4, normalise=True)
         frame, bin_ = np.indices(z.shape).reshape(2, -1) if z.size else (np.empty(0, int), np.empty(0, int))
-        return {"frame": frame, "bin": bin_, "z": np.round(z.reshape(-1), 6)}
+        return {"frame": frame, "bin": bin_, "z": np.round(z.reshape(-1), 6) + 0.0}
 
     return _per_user(spark, sf, fn, "user_id long, frame long, bin long, z double")
 

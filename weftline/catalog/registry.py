@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +30,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors share files: under spark.checkpoint.dir, or, on one machine, in one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and the executors share")
+    if not found:
+        found = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.catalog.registry import query
+from weftline.catalog.registry import query, scratch
+from weftline.catalog.text import tokens_sql
 from weftline.streaming import tokens as st
 
 
@@ -16,16 +15,7 @@ def _run(spark: SparkSession, sf: str, name: str, build, mode: str = "append") -
     schema = spark.read.parquet(path).schema
     folder = path if _is_folder(spark, path) else sf
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder == path else f"{name}.parquet").parquet(folder)
-    return st.run_to_end(build(stream), f"{_shared(spark)}/stream-{uuid.uuid4().hex}", mode)
-
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="weftline-")
+    return st.run_to_end(build(stream), scratch(spark, "stream"), mode)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -51,7 +41,14 @@ def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
-@query()
+@query("SELECT * FROM (SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL) WHERE start + INTERVAL 10 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def streamed_closed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in append mode: a window comes out once, when the watermark has passed it, and its state goes."""
+    found = _run(spark, sf, "events", lambda s: st.event_counts(s, "10 minutes", late="1 hour"))
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query(f"WITH {tokens_sql('documents', 'doc_id')} SELECT word, count(*) AS n FROM tk GROUP BY word")
 def streamed_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of documents that arrive as a stream."""
     return _run(spark, sf, "documents", lambda s: st.token_stream(s).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "complete")

@@ -78,6 +78,11 @@ def transpose(rows: Column) -> Column:
     return F.when(F.size(rows) > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(rows, lambda r: F.get(r, j)))).otherwise(rows)
 
 
+def matrix_product(a: Column, b: Column) -> Column:
+    """Product of two matrices given as arrays of rows."""
+    return F.transform(a, lambda row: F.transform(transpose(b), lambda column: scalar_product(row, column)))
+
+
 def test_tone(seconds: Column, hertz: float) -> Column:
     return F.sin(2 * math.pi * hertz * seconds)
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.counts import offsets_before
+
 
 def token_line(df: DataFrame) -> Column:
     """word, tag, lemma, chunk, syllables, phonemes, tab-separated; columns that are missing or null are left out.
@@ -41,9 +43,8 @@ def write_frames(frames: DataFrame, path: str) -> None:
 
 
 def frame_offsets(files: DataFrame, order: str = "file") -> DataFrame:
-    """files (file, frames) with offset: the frames of all files before; the table has a row per file."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("offset", F.coalesce(F.sum("frames").over(before), F.lit(0)).cast("long"))
+    """files (file, frames) with offset: the frames of all files before."""
+    return offsets_before(files, "frames", [], order).withColumn("offset", F.col("offset").cast("long"))
 
 
 def pair_lines(samples: DataFrame, utterance: str = "utt", position: str = "i", code: str = "code") -> DataFrame:
