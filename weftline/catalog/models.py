@@ -217,6 +217,25 @@ def annotated_words(spark: SparkSession, sf: str) -> DataFrame:
     return tg.distinct_then_join(distinct.groupBy("word").agg(F.count(F.lit(1)).alias("n")), ["word"], lambda d: d.withColumn("a", annotate("word"))).select("word", "n", "a.syllables", "a.stress")
 
 
+@query(rf"""
+    WITH RECURSIVE {WORDS_SQL}, lw AS (SELECT lower(word) AS word, count(*) AS n FROM wd WHERE regexp_matches(word, '\p{{L}}') GROUP BY 1), lt AS (SELECT word, unnest(range(length(word))) AS ix FROM lw WHERE n >= 30),
+    lv AS (SELECT word, ix, CASE WHEN substr(word, ix + 1, 1) IN ('a', 'e', 'i', 'o', 'u', 'y') THEN 'N' WHEN substr(word, ix + 2, 1) IN ('a', 'e', 'i', 'o', 'u', 'y') THEN 'O' ELSE 'C' END AS label FROM lt),
+    lf0 AS (SELECT label, list_append(list_transform(range(-3, 4), lambda d: 'c' || d || ':' || CASE WHEN ix + d BETWEEN 0 AND length(word) - 1 THEN substr(word, ix + d + 1, 1) ELSE '_' END), 'plab:' || lag(label, 1, '_') OVER (PARTITION BY word ORDER BY ix)) AS feats FROM lv),
+    lc AS (SELECT label, feats, count(*) AS n FROM lf0 GROUP BY ALL), {grown_sql("lc", "lc", "label", 8, 10)},
+    sp AS (SELECT node, feature, starts_with(feature, 'plab:') AS by_label, try_cast(regexp_extract(feature, '^c(-?[0-9]):', 1) AS INT) AS d, regexp_extract(feature, '^[^:]*:(.*)$', 1) AS ch FROM ({" UNION ALL ".join(f"SELECT * FROM c{d}" for d in range(8))})),
+    rc AS (SELECT word, CAST(0 AS BIGINT) AS ix, CAST(1 AS BIGINT) AS node, '_' AS prev, CAST(NULL AS VARCHAR) AS label FROM lw UNION ALL
+      SELECT word, CASE WHEN feature IS NULL THEN ix + 1 ELSE ix END, CASE WHEN feature IS NULL THEN 1 WHEN CASE WHEN by_label THEN ch = prev ELSE ch = CASE WHEN ix + d BETWEEN 0 AND length(word) - 1 THEN substr(word, CAST(ix + d + 1 AS INT), 1) ELSE '_' END END THEN 2 * rc.node ELSE 2 * rc.node + 1 END,
+        CASE WHEN feature IS NULL THEN predicted ELSE prev END, CASE WHEN feature IS NULL THEN predicted END FROM rc LEFT JOIN sp ON sp.node = rc.node LEFT JOIN lf ON lf.node = rc.node WHERE ix < length(word)),
+    ll AS (SELECT word, ix, label, lag(label) OVER (PARTITION BY word ORDER BY ix) AS before FROM rc WHERE label IS NOT NULL),
+    lb AS (SELECT word, ix, before IS NOT NULL AND (label = before OR starts_with(label, 'O') AND before[1] IN ('N', 'C')) AS brk FROM ll),
+    sy AS (SELECT word, string_agg(CASE WHEN brk THEN '-' ELSE '' END || substr(word, CAST(ix AS INT), 1), '' ORDER BY ix) AS syllables, sum(CAST(brk AS INT)) AS breaks FROM lb GROUP BY word)
+    SELECT word, n, syllables, CASE WHEN breaks = 0 THEN '0' ELSE '1' || repeat('-0', CAST(breaks AS INT)) END AS stress FROM sy JOIN lw USING (word)
+""")
+def annotated_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with syllables and stresses joined by hyphens."""
+    return annotated_words(spark, sf).select("word", "n", F.array_join("syllables", "-").alias("syllables"), F.array_join(F.col("stress").cast("array<string>"), "-").alias("stress"))
+
+
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     plan = Pipeline({"doc_id", "text"}, [stages.sentences, stages.tokenize, stages.normalise, stages.parse, stages.short_pauses, stages.coarse_tags])
     return plan(table(spark, sf, "documents").select("doc_id", "text"))
@@ -307,6 +326,17 @@ def unit_chains(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(ordered.alias("seq")).mapInPandas(run, schema)
 
 
+@query("""
+    WITH ev AS (SELECT user_id, list([value, CASE WHEN event_type IN ('click', 'view', 'purchase', 'signup', 'logout') THEN 0.0 ELSE 1.0 END] ORDER BY event_id) AS e FROM events GROUP BY user_id),
+    st AS (SELECT user_id, e, list_transform(range(20), lambda j: CASE WHEN e[1][2] = 0 THEN abs(5 * j - e[1][1]) WHEN j = 0 THEN 0.0 ELSE 1e18 END) AS first FROM ev),
+    dp AS (SELECT user_id, list_reduce(list_prepend(first, e[2:]), lambda acc, x: list_transform(range(20), lambda j: list_min(list_transform(range(20), lambda i: acc[i + 1] + abs(5 * i - 5 * j) * 0.5)) + CASE WHEN x[2] = 0 THEN abs(5 * j - x[1]) WHEN j = 0 THEN 0.0 ELSE 1e18 END)) AS last FROM st)
+    SELECT user_id, round(list_min(last), 6) AS cost FROM dp
+""")
+def unit_chain_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """The costs of those chains."""
+    return unit_chains(spark, sf).select("user_id", "cost")
+
+
 def _grown_on_tokens(spark: SparkSession, sf: str, label: Column, depth: int) -> DataFrame:
     """Tokens with the token after them in the document, labelled, and the label that a tree over their edges gives; counted."""
     from weftline.catalog.text import doc_tokens

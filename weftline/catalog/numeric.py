@@ -280,7 +280,16 @@ def smooth_trajectories(spark: SparkSession, sf: str) -> DataFrame:
     return generate(rows, "user_id", "i", "mean", "var", "voiced").select("user_id", "i", F.round("value", 6).alias("value"))
 
 
-@query()
+#: Rows of the table of least costs, one after the other, each built from left to right.
+WARP_SQL = """
+    WITH ux AS (SELECT user_id, list(value + 1 ORDER BY event_id) AS x FROM events GROUP BY user_id), p AS (SELECT a.user_id, a.x AS a, b.x AS b FROM ux a JOIN ux b ON b.user_id = a.user_id + 1),
+    s AS (SELECT user_id, a, b, list_reduce(list_prepend([pow(ln(a[1]) - ln(b[1]), 2)], list_transform(range(2, len(b) + 1), lambda j: [CAST(j AS DOUBLE)])), lambda acc, j: list_append(acc, acc[len(acc)] + pow(ln(a[1]) - ln(b[CAST(j[1] AS INT)]), 2))) AS first FROM p)
+    SELECT user_id, round(list_reduce(list_prepend(first, list_transform(a[2:], lambda v: [v])), lambda prev, x: list_reduce(list_prepend([prev[1] + pow(ln(x[1]) - ln(b[1]), 2)], list_transform(range(2, len(b) + 1), lambda j: [CAST(j AS DOUBLE)])),
+      lambda acc, j: list_append(acc, pow(ln(x[1]) - ln(b[CAST(j[1] AS INT)]), 2) + least(prev[CAST(j[1] AS INT) - 1], prev[CAST(j[1] AS INT)], acc[len(acc)]))))[len(b)], 6) AS distance FROM s
+"""
+
+
+@query(WARP_SQL)
 def warp_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Cost of warping each user's values, all of them, onto the next user's."""
     x = user_arrays(spark, sf).select("user_id", F.transform("x", lambda v: v + 1).alias("a"))
