@@ -8,7 +8,6 @@ words, and its language the best one.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,16 +15,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.bpe import slices
+from weftline.llm.common import SMALL_ROWS
 
 UNDETERMINED = "und"
-MAX_LANGUAGES = 2000
-#: Runs of letters: word characters but digits and the underscore.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes of text that the training sample of all languages together holds at most; each has an equal part.
+SAMPLE_BYTES = 16 << 20
+LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -74,8 +75,8 @@ class Model:
         return self.languages[int(total.argmax())], float(share.max() / share.sum())
 
 
-def train(rows: list[tuple[str, str]], words_kept: int = 50_000, grams_kept: int = 50_000, longest: int = 4, least: int = 2) -> Model:
-    """rows: (language, text). Frequencies are smoothed by one and relative to each language's words or n-grams of that length."""
+def train(rows: list[tuple[str, str]], longest: int = 4, least: int = 2) -> Model:
+    """rows: (language, text). Words and n-grams seen `least` times or more are known. Frequencies are smoothed and relative to each language's words or n-grams of that length."""
     languages = sorted({lang for lang, _ in rows})
     place = {lang: i for i, lang in enumerate(languages)}
     words: defaultdict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
@@ -90,25 +91,31 @@ def train(rows: list[tuple[str, str]], words_kept: int = 50_000, grams_kept: int
             for i in range(len(source) - size + 1):
                 counts[size][source[i : i + size]] += n
     index, table = [], []
-    for number, found in enumerate(counts):
-        kept = sorted((g for g, n in found.items() if n.sum() >= least), key=lambda g: (-found[g].sum(), g))[: words_kept if number == 0 else grams_kept]
+    for found in counts:
+        kept = sorted(g for g, n in found.items() if n.sum() >= least)
         index.append({g: len(table) + i for i, g in enumerate(kept)})
         totals = sum((found[g] for g in found), np.zeros(len(languages)))
         table += [np.log((found[g] + 0.5) / (totals + 0.5 * (len(found) + 1))) for g in kept]
     return Model(languages, np.array(table).reshape(len(table), len(languages)), index[0], index[1:])
 
 
-def training_rows(docs: DataFrame, per_language: int, condition: Column) -> list[tuple[str, str]]:
-    """About per_language labelled documents of each language, chosen by a hash of id and text; languages are counted over all rows."""
+def training_rows(docs: DataFrame, per_language: int, condition: Column, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """(language, text) of at most per_language labelled documents of each language, and of all together at most sample_bytes.
+
+    The documents of a language come in the order of a hash of id and text. Those with over its part of the bytes are
+    passed over, and the sample ends before the sum of the others goes beyond that part.
+    """
     labelled = docs.filter(condition & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
+    rows = labelled.select("lang", F.xxhash64("doc_id", "text").alias("place"), F.octet_length("text").alias("bytes"), "doc_id")
+    languages = rows.select("lang").distinct().count()
+    if not languages:
         return []
-    buckets = 1 << 20
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(max(1, int(buckets * min(1.0, per_language / n)))))])
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)) < share[F.col("lang")])
+    part = sample_bytes // languages
+    order = Window.partitionBy("lang").orderBy("place", F.col("doc_id").asc_nulls_first())
+    first = rows.filter(F.col("bytes") <= part).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    ends = first.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= part)
+    last = ends.groupBy("lang").agg(F.max("place").alias("last"))
+    chosen = labelled.withColumn("place", F.xxhash64("doc_id", "text")).join(F.broadcast(last) if languages <= SMALL_ROWS else last, "lang").filter((F.col("place") <= F.col("last")) & (F.octet_length("text") <= part))
     return sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").collect())
 
 
@@ -120,24 +127,27 @@ def held_out() -> Column:
 def with_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     """doc (docs' own columns as a struct), lang_pred, score; see identify_languages."""
     model = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, per_language, ~held_out())))
+    held = docs.select(F.struct("*").alias("doc"))
+    place = held.schema["doc"].dataType.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unseen = model.value, {}
         for batch in batches:
-            for part in slices(batch):
-                found = [known.predict(text, unseen) for text in part.column("text").to_pylist()]
+            for part in slices(batch, batch.column("doc").field(place)):
+                found = [known.predict(text, unseen) for text in part.column("doc").field(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc", "lang_pred", "score"])
 
-    held = docs.select(F.struct("*").alias("doc"), "text")
     return held.mapInArrow(run, T.StructType([held.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify_languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
-    The model is fitted on about per_language labelled documents of each language, of those not held out; a prediction
-    sees the whole text and nothing else. lang_pred is `und`, with score 0, for a text that is null or has no letter, and
-    for all texts if nothing is labelled. score is the posterior of the predicted language. A null doc_id is not held out.
-    Repeated rows are predicted alike. Other columns are not read.
+    The model is fitted on a bounded sample of labelled documents of each language, of those not held out (see
+    training_rows); a prediction sees the whole text, however long, and nothing else. lang_pred is `und`, with score 0, for
+    a text that is null or has no letter, and for all texts if nothing is labelled. score is the posterior of the predicted
+    language. A null doc_id is not held out. Repeated rows are predicted alike. Other columns are not read. An empty table
+    gives no rows.
     """
-    return with_language(docs.select("doc_id", "text", "lang"), per_language).select("doc.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = with_language(docs.select("doc_id", "text", "lang"), per_language)
+    return found.select("doc.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
