@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from weftline.llm.mixing import mix_documents, mix_sources
+from weftline.llm.mixing import mix_documents, mix_sources, targets
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +33,40 @@ def test_stage_writes_that_order(spark, docs, tmp_path):
     want = [(r["doc"]["doc_id"], r["doc"]["text"]) for r in mix_documents(docs).orderBy("shard", "position").collect()]
     mixed = dict(corpus_pipeline.STAGES)["source_mix"](spark, docs, "")
     assert [(r["doc_id"], r["text"]) for r in mixed.collect()] == want
+
+
+def levelled(sizes, weights, share, most):
+    """Targets by bisection: the level at which sources get weight times level, but most times their size at most."""
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    low, high, total = 0.0, 1e12, share * sum(sizes.values())
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(min(most * sizes[s], weight[s] * mid) for s in sizes) < total:
+            low = mid
+        else:
+            high = mid
+    return {s: min(most * sizes[s], weight[s] * high) for s in sizes}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 10, "b": 1000, "c": 5, None: 300}, {"x": 1, "y": 0, "z": 7, "zz": 90, None: 1}, {"\U0001f600": 50, "\uffff": 60, "é": 70}])
+def test_targets_against_bisection(sizes):
+    want = levelled(sizes, (5, 2, 1), 1.5, 2.0)
+    got = targets(sizes, (5, 2, 1), 1.5, 2.0)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], abs=1e-6) for s in want)
+
+
+def test_mix_meets_those_targets(docs):
+    sizes, taken, seen = Counter(), Counter(), {}
+    rows = {(r["doc_id"], r["text"], r["source"]) for r in docs.collect()}
+    words = lambda t: len(t.split())
+    for r in docs.collect():
+        sizes[r["source"]] += words(r["text"])
+    want = levelled(sizes, (5, 2, 1), 1.5, 2.0)
+    for r in mix_sources(docs).collect():
+        s = next(s for s in sizes if sizes[s] == r["source_size"])
+        assert r["target"] == pytest.approx(want[s], abs=1e-6)
+        taken[s] += r["taken"]
+        seen[s] = r["source_size"]
+    assert rows and seen == dict(sizes)
+    assert all(abs(taken[s] - want[s]) <= 2 * 2 * 9 for s in sizes)

@@ -7,14 +7,13 @@ block, the block is cut finer by further hash bits until single documents are le
 blocks drawn from the sources are exact quotas; a binary tree over the output shards splits them by
 multivariate-hypergeometric draws, so a shard holds what a random deal would give it, and what
 shards draw never overlaps within a pass. Within its shard each copy of a document has a place of its
-own, by a seeded hash of the document and the copy. Only per-source figures and one count for each hash
-range of a shard ever reach the driver.
+own, by a seeded hash of the document and the copy. Only per-source figures ever reach the driver, of at
+most MAX_SOURCES sources.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +25,7 @@ from weftline.llm.common import WS, materialize
 BITS = 10
 BLOCKS = 1 << BITS
 LEVELS = 4
+#: More sources than these stop the job: targets and quotas are the driver's, and their table, of some 300 bytes a source, is broadcast.
 MAX_SOURCES = 100_000
 #: A shard is put in order in 2**CELL_BITS ranges of the hash, so that its order is more than one task's work.
 CELL_BITS = 12
@@ -86,7 +86,7 @@ def _hash_order(seed: int) -> Column:
 
 
 def plan_mix(slim: DataFrame, weights: tuple[int, ...], share: float, most: float, shards: int, seed: int) -> list[Plan]:
-    """slim: source, size, place. Each level counts words by block of the blocks where a target falls: sources x 1024 rows at most."""
+    """slim: source, size, place. Each level sums words by block where a target falls and returns, for each source, the block that reaches it."""
     found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -102,25 +102,21 @@ def plan_mix(slim: DataFrame, weights: tuple[int, ...], share: float, most: floa
         if not open_:
             break
         shift = BITS * (LEVELS - 1 - level)
-        unit = F.shiftright("place", shift)
-        rows = slim
-        if level:
-            cells = slim.sparkSession.createDataFrame([(s, below[s] >> shift + BITS) for s in open_], "source string, cell long")
-            rows = slim.join(F.broadcast(cells), slim["source"].eqNullSafe(cells["source"]) & (F.shiftright("place", shift + BITS) == cells["cell"]), "left_semi")
-        by: dict[str | None, list[tuple[int, int]]] = {}
-        for r in rows.groupBy("source", unit.alias("unit")).agg(F.sum("size").alias("size")).collect():
-            by.setdefault(r["source"], []).append((r["unit"], r["size"]))
+        asked = slim.sparkSession.createDataFrame([(s, float(rest[s]), below[s] >> shift + BITS) for s in open_], "asked string, rest double, cell long")
+        inside = slim["source"].eqNullSafe(asked["asked"]) & (F.shiftright("place", shift + BITS) == asked["cell"])
+        units = slim.join(F.broadcast(asked), inside).groupBy("source", "rest", F.shiftright("place", shift).alias("unit")).agg(F.sum("size").alias("size"))
+        reached = units.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("unit"))).filter("upto > rest")
+        first = {r["source"]: r["at"] for r in reached.groupBy("source").agg(F.min(F.struct("unit", "size", "upto")).alias("at")).collect()}
         for s in list(open_):
-            for at, size in sorted(by.get(s, [])):
-                if size > rest[s]:
-                    below[s] = at << shift
-                    if level == LEVELS - 1 and 2 * rest[s] >= size:
-                        below[s] += 1
-                    break
-                rest[s] -= size
-                below[s] = at + 1 << shift
-            else:
+            at = first.get(s)
+            if at is None:
+                below[s] += 1 << shift + BITS
                 open_.discard(s)
+                continue
+            rest[s] -= at["upto"] - at["size"]
+            below[s] = at["unit"] << shift
+            if level == LEVELS - 1 and 2 * rest[s] >= at["size"]:
+                below[s] += 1
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     quotas = [passes[s] * BLOCKS + -(-below[s] // (1 << BITS * (LEVELS - 1))) for s in order]
     dealt = split_quotas(quotas, shards, seed)
@@ -148,7 +144,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
     Sizes are words; a null or empty text has none and is never taken. A null source is a source, the last. What is taken
     of a source is within one document of its target. Rows that repeat a doc_id within a source share their place in the
-    order, so they are taken alike; a null doc_id is a value like others. An empty table gives no rows. Reruns agree.
+    order, so they are taken alike; a null doc_id is a value like others. A very long text is taken whole or not at all.
+    An empty table gives no rows; more than MAX_SOURCES sources stop the job. Reruns agree.
     """
     slim = _slim(docs, seed)
     dealt = _deal(slim, plan_mix(slim, weights, share, most, shards, seed))
@@ -182,8 +179,3 @@ def _shuffle_keys(dealt: DataFrame, seed: int, *kept: str) -> DataFrame:
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("source"), F.col("of_text"), F.col("copy")), 1)
     copies = dealt.select("doc_id", "source", "of_text", *kept, F.posexplode("shards").alias("copy", "shard")).withColumn("order", order)
     return copies.withColumn("cell", F.shiftright("order", 63 - CELL_BITS).cast("int"))
-
-
-def shard_bounds(plan: Plan) -> list[tuple[int, int]]:
-    """A source's draws by shard, as half-open ranges of its draw order."""
-    return list(pairwise([0, *np.cumsum(plan.shards).tolist()]))
