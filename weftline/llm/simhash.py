@@ -8,6 +8,7 @@ sixteen additions in generated code. The sign of each sum is a bit of the finger
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -22,6 +23,7 @@ BITS = 64
 LANES = 4
 PACKED = BITS // LANES
 LANE_MASK = 0x0001000100010001
+LOWEST = -(1 << 63)
 #: The heaviest term weighs this much; 2 ** RUN_BITS of it leave a lane of 16 bits one bit free.
 HEAVIEST = 4
 RUN_BITS = 12
@@ -56,49 +58,59 @@ def likeness(a: Column, b: Column) -> Column:
     return 1.0 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
+def literal(values: list, kind: str) -> Column:
+    """A constant array, however long, as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 @dataclass(frozen=True)
 class Buckets:
-    """Ranges of doc_id, dealt evenly: coarse and fine splitters."""
+    """Ranges of doc_id, dealt evenly: coarse and fine splitters. Rows without an id have ranges of the text's hash, numbered down from -1."""
 
     coarse: list[int]
     fine: list[list[int]]
+    null_bits: int
 
-    def number(self, doc_id: Column) -> Column:
+    def number(self, doc_id: Column, text_hash: Column) -> Column:
         width = max(map(len, self.fine), default=0) + 1
         below = lambda splits: F.size(F.filter(splits, lambda s: s <= doc_id))
-        longs = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
-        c = below(longs(self.coarse))
-        return F.coalesce(c * width + below(F.element_at(F.array(*map(longs, self.fine)), c + 1)), F.lit(-1))
+        c = below(literal(self.coarse, "array<bigint>"))
+        of_id = c * width + below(F.element_at(literal(self.fine, "array<array<bigint>>"), c + 1))
+        slice_ = F.shiftrightunsigned(text_hash.bitwiseXOR(F.lit(LOWEST)), 64 - self.null_bits).cast("int")
+        return F.when(doc_id.isNotNull(), of_id).otherwise(-1 - slice_)
 
 
 def bucket_ranges(ids: DataFrame, n: int) -> Buckets:
     """About n ranges of equally many ids, from approximate percentiles of the id column alone."""
-    splits = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    splits = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n))).first()[0] or []
     splits = sorted(set(splits))
     step = max(1, int(len(splits) ** 0.5))
     groups = [splits[i : i + step] for i in range(0, len(splits), step)]
-    return Buckets([g[0] for g in groups[1:]], [groups[0], *(g[1:] for g in groups[1:])] if groups else [[]])
+    return Buckets([g[0] for g in groups[1:]], [groups[0], *(g[1:] for g in groups[1:])] if groups else [[]], max(1, n.bit_length()))
 
 
 def with_next(docs: DataFrame, n_buckets: int) -> DataFrame:
     """bucket, at, guest, doc_id, text, next_text: the next document in descending doc_id, of the last the first.
 
     Documents are dealt to ranges of doc_id, and the first of each range is lent as a guest to the range above it (the
-    first of all to the lowest), so each range finds its neighbours alone. null ids come last.
+    first of all to the lowest), so each range finds its neighbours alone. Rows without an id come last, by a hash of the
+    text, in ranges of that hash.
     """
-    ids = docs.select("doc_id")
-    ranges = bucket_ranges(ids, n_buckets)
-    heads = {r["bucket"]: r["head"] for r in ids.groupBy(ranges.number(F.col("doc_id")).alias("bucket")).agg(F.max("doc_id").alias("head")).collect()}
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    ranges = bucket_ranges(docs.select("doc_id"), n_buckets)
+    own = rows.withColumn("range", ranges.number(F.col("doc_id"), F.col("text_hash")))
+    place = F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(LOWEST))).alias("down"), "text_hash")
+    heads = {r["range"]: r["head"] for r in own.groupBy("range").agg(F.min(place).alias("head")).collect()}
     order = sorted(heads, reverse=True)
     host = dict(zip(order, order[-1:] + order[:-1], strict=True))
-    own = docs.withColumn("range", ranges.number(F.col("doc_id")))
-    size = max(order, default=-1) + 2
-    at_bucket = lambda values: F.try_element_at(F.array(*(F.lit(values.get(b)).cast("bigint") for b in range(-1, size - 1))), F.col("range") + 2)
-    lent = F.when(F.col("doc_id").eqNullSafe(at_bucket(heads)), at_bucket(host).cast("int"))
+    numbers = range(order[-1], order[0] + 1) if order else range(0)
+    of_range = lambda value, kind: F.try_element_at(literal([value(b) if b in heads else None for b in numbers], f"array<{kind}>"), F.col("range") + (1 - numbers.start))
+    is_head = place == F.struct(of_range(lambda b: heads[b]["down"], "bigint").alias("down"), of_range(lambda b: heads[b]["text_hash"], "bigint").alias("text_hash"))
+    lent = F.when(is_head, of_range(host.get, "int"))
     places = F.filter(F.array(F.struct(F.col("range").cast("int").alias("bucket"), F.lit(False).alias("guest")), F.struct(lent.alias("bucket"), F.lit(True).alias("guest"))), lambda p: p["bucket"].isNotNull())
-    dealt = own.select("doc_id", "text", F.inline(places))
-    within = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    return dealt.withColumn("at", F.row_number().over(within)).withColumn("next_text", F.lead("text").over(within))
+    dealt = own.select("doc_id", "text", "text_hash", F.inline(places))
+    within = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text_hash")
+    return dealt.withColumn("at", F.row_number().over(within)).withColumn("next_text", F.lead("text").over(within)).drop("text_hash")
 
 
 def fingerprint_documents(docs: DataFrame, n_buckets: int | None = None, radius: int = 3, every: int = 100) -> DataFrame:
@@ -109,9 +121,11 @@ def fingerprint_documents(docs: DataFrame, n_buckets: int | None = None, radius:
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the first as many (or all) of
     the next document's. null counts as empty; an empty text has fingerprint 0, and 0s are alike. Repeated doc_ids are
     documents of their own, ordered by a hash of the text; a null doc_id comes last. A table of one row is its own next.
+    A very long text is cut into runs of terms, whose votes are summed apart. Ranges of ids are n_buckets, or four times
+    the shuffle partitions; each is one task's work.
     """
     n = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paired = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), min(n, 2000))
+    paired = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), n)
     length = F.char_length("text")
     cut = F.floor(length / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), length - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
