@@ -51,9 +51,12 @@ class PieceCache:
         self.encode_block, self.limit, self.longest = encode_block, limit, longest
         self.recent: dict = {}
         self.older: dict = {}
+        self.passing: list[str] = []
 
     def of_block(self, found: list[list[str]]) -> dict:
         """What each piece of these texts gives, until the next block; pieces that are new are encoded together."""
+        for piece in self.passing:
+            del self.recent[piece]
         if len(self.recent) >= self.limit:
             self.older, self.recent = self.recent, {}
         seen: set[str] = set()
@@ -68,14 +71,13 @@ class PieceCache:
                 recent[piece] = given
         new.sort()
         given = zip(new, self.encode_block([p.encode() for p in new]), strict=True)
-        if new and max(map(len, new)) > self.longest:
-            return recent | dict(given)
         recent.update(given)
+        self.passing = [piece for piece in new if len(piece) > self.longest]
         return recent
 
-    def trim(self) -> None:
-        """Let go what is held in reserve, at the end of a task: the process lives on and serves other operators."""
-        self.older = {}
+    def drop(self) -> None:
+        """Let go what is kept, at the end of a task: the process lives on and serves other operators."""
+        self.recent, self.older, self.passing = {}, {}, []
 
 
 class BpeCodec:
@@ -253,11 +255,8 @@ def codec(path: str, pattern: str) -> BpeCodec:
     return BpeCodec(load_ranks(path), pattern)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id column, n_tokens, ids (binary, little-endian uint32), decoded (binary).
-
-    A null text counts as empty: no tokens, empty bytes. Repeated rows are encoded each. Other columns are not read.
-    """
+def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, shown) -> DataFrame:
+    """doc_id, n_tokens and what `shown` makes of the packed ids and the decoded bytes of each text."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,27 +264,32 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for part in slices(batch):
                 ids = bpe.encode_texts([text or "" for text in part.column("text").to_pylist()])
-                decoded = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
-        bpe.pieces.trim()
+                made = [shown(x, bpe.decode(np.frombuffer(x, "<u4").tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([x for x, _ in made]), pa.array([x for _, x in made])], ["doc_id", "n_tokens", "ids", "decoded"])
+        bpe.pieces.drop()
+
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids {schema}, decoded {schema}")
 
-    kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+
+def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id (the id column), n_tokens, ids (binary, little-endian uint32), decoded (binary).
+
+    A null text counts as empty: no tokens, empty bytes. A very long text is encoded whole; one very long piece costs
+    O(n log n). Repeated rows are encoded each. Other columns are not read. An empty table gives no rows.
+    """
+    return _encoded(docs, path, pattern, id_col, text_col, "binary", lambda ids, decoded: (ids, decoded))
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of bpe_encode, hashed by the JVM."""
-    return bpe_encode(docs, path, pattern, id_col, text_col).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what bpe_encode gives, hashed where it is made, so neither ids nor bytes travel."""
+    hashed = _encoded(docs, path, pattern, id_col, text_col, "string", lambda ids, decoded: (sha256(ids), sha256(decoded)))
+    return hashed.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 
-def slices(batch: pa.RecordBatch, text_bytes: int = 5 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes, a row at least, so that what is made of their texts stays small beside the executor's memory."""
-    ends = np.cumsum(pa.compute.coalesce(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+def slices(batch: pa.RecordBatch, texts: pa.Array | None = None, text_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about so many bytes of text, a row at least, so that what is made of their texts stays small beside the executor's memory."""
+    texts = batch.column("text") if texts is None else texts
+    ends = np.cumsum(pa.compute.coalesce(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + text_bytes, "right")))

@@ -215,7 +215,8 @@ def counter(path: str, pattern: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each. Other columns are not read.
+    A null text counts as empty: 0 bytes, 0 tokens. A very long text is counted whole, piece by piece. Repeated rows are
+    counted each. Other columns are not read. An empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -226,7 +227,38 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_
                 n = tokens.count_texts([text or "" for text in part.column("text").to_pylist()])
                 size = pa.compute.coalesce(pa.compute.binary_length(part.column("text")), 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.compute.cast(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-        tokens.counts.trim()
+        tokens.counts.drop()
 
     kind = dict(source.dtypes)["doc_id"]
     return source.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _by_table(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, made) -> DataFrame:
+    """doc_id and the values that `made` takes from each text's PrefixTable."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = counter(path, pattern)
+        for batch in batches:
+            for part in slices(batch):
+                found = [made(tokens.table(text or "")) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in zip(*found, strict=True))], ["doc_id", *names])
+        tokens.counts.drop()
+
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, {schema}")
+
+
+def prefix_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, counts: the tokens of the text's prefixes of 0, 1, 2, ... code points. Rows as in token_counts."""
+    return _by_table(docs, path, pattern, id_col, text_col, "counts array<bigint>", lambda t: ([t.count_at(n) for n in range(len(t.text) + 1)],))
+
+
+def truncated(docs: DataFrame, path: str, pattern: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, kept_chars, kept_tokens, kept: the longest prefix of each text that has at most budget tokens. Rows as in token_counts."""
+
+    def cut(t: PrefixTable) -> tuple[int, int, int, str]:
+        n = t.truncate(budget)
+        return t.before[-1], n, t.count_at(n), t.text[:n]
+
+    return _by_table(docs, path, pattern, id_col, text_col, "n_tokens bigint, kept_chars bigint, kept_tokens bigint, kept string", cut)
