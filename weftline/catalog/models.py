@@ -297,7 +297,12 @@ def chunk_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.select("doc_id", "sent_id", F.array_join("chunks", " ").alias("chunks"))
 
 
-@query()
+@query(rf"""
+    WITH {TAGS_SQL}, wf AS (SELECT word, tag AS label, n AS m, list_sort(list_distinct(list_prepend('case:' || CASE WHEN upper(word) = word AND lower(word) <> word THEN 'upper' WHEN regexp_matches(word, '^\p{{Lu}}') THEN 'first' ELSE 'lower' END,
+      list_transform(range(5), lambda i: 'w' || i || ':' || CASE WHEN length(word) > i THEN substr(word, length(word) - i, 1) ELSE '_' END)))) AS feats FROM (SELECT word, tag, count(*) AS n FROM tt GROUP BY ALL)),
+    lc AS (SELECT label, feats, sum(m) AS n FROM wf GROUP BY label, feats), {grown_sql("lc", "wf", "word", 6, 200)}
+    SELECT sl.doc_id, sl.sent_id, coalesce(string_agg(predicted, ' ' ORDER BY pos), '') AS tags FROM sl LEFT JOIN tt USING (doc_id, sent_id) LEFT JOIN pr ON pr.word = tt.word GROUP BY ALL
+""")
 def greedy_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Tags left to right by a tree over forms, trained on sentences' coarse tags."""
     rows = sentences(spark, sf).select(F.inline(F.arrays_zip("words", "tags"))).toDF("word", "tag")

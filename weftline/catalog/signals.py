@@ -150,6 +150,21 @@ def joined_units(spark: SparkSession, sf: str) -> DataFrame:
     return _per_user(spark, sf, fn, "user_id long, joint double, spliced double")
 
 
+def _pass_sql(name: str, source: str) -> str:
+    """CTE: one pass of smoothing over the lists of `source`, from left to right, each value beside the one just made."""
+    step = "list_append(acc, CASE WHEN acc[len(acc)] <> 0 AND x[CAST(i[1] AS INT)] <> 0 AND x[CAST(i[1] AS INT) + 1] <> 0 THEN (acc[len(acc)] + x[CAST(i[1] AS INT)] + x[CAST(i[1] AS INT) + 1]) / 3 ELSE x[CAST(i[1] AS INT)] END)"
+    return f"{name} AS (SELECT user_id, CASE WHEN len(x) < 3 THEN x ELSE list_append(list_reduce(list_prepend([x[1]], list_transform(range(2, len(x)), lambda i: [CAST(i AS DOUBLE)])), lambda acc, i: {step}), x[len(x)]) END AS x FROM {source})"
+
+
+@query(f"""
+    WITH v AS (SELECT user_id, list(CASE WHEN value < 50 THEN 0.0 ELSE CAST(value AS DOUBLE) END ORDER BY event_id) AS x FROM events GROUP BY user_id), {_pass_sql("a", "v")}, {_pass_sql("b", "a")}, {_pass_sql("c", "b")}
+    SELECT user_id, generate_subscripts(x, 1) - 1 AS i, round(unnest(x), 6) AS value FROM c
+""")
+def smoothed_pitches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's values, those below 50 as 0, smoothed three times in place."""
+    return _per_user(spark, sf, lambda x: {"i": np.arange(len(x)), "value": np.round(s.smooth_voiced(np.where(x < 50, 0.0, x)), 6)}, "user_id long, i long, value double")
+
+
 @query("SELECT event_id, CASE WHEN value / 500 >= 0.5 THEN 2 WHEN value / 500 >= 0.25 THEN 1 ELSE 0 END AS picked FROM events")
 def picked_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Draws from shares of a quarter, a quarter and a half, at a value of 500 for 1."""
