@@ -349,3 +349,14 @@ def test_binary_files_and_resampling(spark, tmp_path):
     x = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0],)], "x array<double>")
     row = x.select(audio.resampled(F.col("x"), 4, 2).alias("y"), audio.within_seconds(F.col("x"), 4, 1.0).alias("ok"), audio.code_pair(F.array(F.lit(0.0)))[0].alias("c")).first()
     assert row["y"] == [0.0, 2.0] and row["ok"] and row["c"] == [127]
+
+
+def test_text_to_audio_with_defaults(spark):
+    from weftline.plans.synthesis import speak
+
+    docs = spark.createDataFrame([(1, "Hello there.\nAgain"), (2, "No!")], "doc_id long, text string")
+    got = {(r["doc_id"], r["sent_id"]): audio.parse_wave(bytes(r["wave"])) for r in speak(docs).collect()}
+    assert got.keys() == {(1, 0), (1, 1), (2, 0)} and all(w.rate == 4000 and len(w.samples) > 100 and np.abs(w.samples).max() > 1000 for w in got.values())
+    for wrong in ({"language": "xx"}, {"coder": "xx"}, {"voice": "xx"}):
+        with pytest.raises(ValueError):
+            speak(docs, **wrong)

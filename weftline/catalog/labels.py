@@ -8,23 +8,17 @@ from pyspark.sql import functions as F
 from weftline.catalog.registry import query, table
 from weftline.catalog.text import IS_PUNCT, rule_tokens, tokens_sql
 from weftline.functions.predicates import is_punct
+from weftline.functions.text import SYLLABLE, syllables
 from weftline.operators import acoustic as a
 from weftline.operators.context import distance_to_flag, distance_to_marks, place_in_group
 from weftline.operators.counts import sentence_totals, sentence_type
 from weftline.operators.labels import full_labels
+from weftline.plans.synthesis import speak
 from weftline.sources.sinks import lexicon_line, token_line
 
 SENT = ["conv_id", "turn", "sent_id"]
 KEYS = "conv_id, turn, sent_id"
 TOKENS_SQL = tokens_sql("conversations", "conv_id, turn")
-SYLLABLE = "[^aeiouyAEIOUY]*[aeiouyAEIOUY]+(?:[^aeiouyAEIOUY]+\\z)?|[^aeiouyAEIOUY]+\\z"
-
-
-def syllables(word: Column) -> Column:
-    """Syllables by a vowel rule: consonants go with the vowel after them, the last ones with the one before."""
-    return F.regexp_extract_all(word, F.lit(SYLLABLE), F.lit(0))
-
-
 @query(f"""
     WITH {TOKENS_SQL}, s AS (SELECT *, CASE WHEN {IS_PUNCT} THEN 0 ELSE len(regexp_extract_all(word, '{SYLLABLE}')) END AS sy FROM tk)
     SELECT {KEYS}, count(*) AS words, CAST(sum(sy) AS BIGINT) AS syllables, CAST(sum(CASE WHEN sy > 1 THEN 1 ELSE 0 END) AS BIGINT) AS stressed FROM s GROUP BY ALL
@@ -190,29 +184,8 @@ def turn_context(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.lag("role", 1, "#").over(w).alias("prev_role"), F.count(F.lit(1)).over(w).alias("upto"))
 
 
-#: A voice of three small trees: a duration for each kind of phone, pitches and envelopes.
-VOICE = {
-    "dur": '{*}[2]\n{\n 0 vowel -1 "d_vowel"\n -1 pause "d_other" "d_pause"\n}\n',
-    "lf0": '{*}[2]\n{\n 0 vowel "p_other" "p_vowel"\n}\n{*}[3]\n{\n 0 stressed "p_other" "p_stressed"\n}\n',
-    "mgc": '{*}[2]\n{\n 0 vowel -1 "m_vowel"\n -1 pause "m_other" "m_pause"\n}\n',
-}
-
-
 @query()
 def spoken_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names of nations, from text through labels, states and trajectories to a wave file each."""
-    from weftline.operators.tokenize import tokens_of
-    from weftline.plans.synthesis import state_parameters, waves
-
-    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("sent_id"), F.posexplode(tokens_of(F.initcap("n_name"))).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
-    cut = names.withColumn("syllables", F.when(is_punct(F.col("word")), F.array("word")).otherwise(F.transform(syllables(F.col("word")), F.lower)))
-    rows = cut.withColumns({"stress": F.transform("syllables", lambda s, i: (i == 0).cast("int")), "phones": F.transform("syllables", lambda s: F.filter(F.split(s, ""), lambda c: c.rlike(r"\p{L}")))})
-    questions = TREES.split("\n\n")[0] + "\n"
-    trees = {k: a.parse_trees(questions + v) for k, v in VOICE.items()}
-    envelope = {"m_vowel": [1.2, 0.6, -0.3, 0.1], "m_other": [0.4, -0.2, 0.2, 0.05], "m_pause": [-4.0, 0.0, 0.0, 0.0]}
-    held = [("dur", 2, leaf, [float(n)], [1.0], None) for leaf, n in (("d_vowel", 6), ("d_other", 4), ("d_pause", 8))]
-    held += [("lf0", s, leaf, [x], [0.1], w) for s, leaf, x, w in ((2, "p_vowel", 4.8, 0.9), (2, "p_other", 4.6, 0.2), (3, "p_stressed", 5.0, 0.9), (3, "p_other", 4.7, 0.7))]
-    held += [("mgc", 2, leaf, x, [0.1] * 4, None) for leaf, x in envelope.items()]
-    densities = spark.createDataFrame(held, "stream string, state int, leaf string, mean array<double>, var array<double>, weight double")
-    parameters = state_parameters(full_labels(rows), trees, densities, 2)
-    return waves(parameters, ["doc_id", "sent_id"], ["phone_no", "state"], 4000).select("doc_id", "samples", F.length("wave").cast("long").alias("bytes"))
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.initcap("n_name").alias("text"))
+    return speak(names).select("doc_id", "samples", F.length("wave").cast("long").alias("bytes"))

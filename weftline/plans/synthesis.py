@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.predicates import is_punct
 from weftline.functions.signal import vocode
-from weftline.operators.acoustic import TreeFile, expand_states, look_up_densities, safe_states, state_frames, trajectory, tree_leaf, voiced_pitch
-from weftline.operators.tokenize import repeat_rows
+from weftline.functions.text import syllables
+from weftline.operators.acoustic import TreeFile, expand_states, look_up_densities, parse_trees, safe_states, state_frames, trajectory, tree_leaf, voiced_pitch
+from weftline.operators.labels import full_labels
+from weftline.operators.tokenize import repeat_rows, tokens
 from weftline.sources.audio import render_wave
 
 
@@ -44,3 +47,46 @@ def waves(parameters: DataFrame, utterance: list[str], order: list[str], rate: i
 
     kinds = dict(framed.dtypes)
     return framed.groupBy(*utterance).applyInPandas(run, ", ".join([*(f"{u} {kinds[u]}" for u in utterance), "samples long, wave binary"]))
+
+
+#: Questions on labels that a voice's trees ask.
+QUESTIONS = """
+QS vowel { "*-a+*","*-e+*","*-i+*","*-o+*","*-u+*" }
+QS stressed { "/STRESS:1" }
+QS pause { "-pau+","-sp+" }
+"""
+#: Voices by name: trees for each stream, and densities (stream, state, leaf, mean, var, weight). The one here is small and made by hand.
+VOICES = {
+    "small": (
+        {
+            "dur": '{*}[2]\n{\n 0 vowel -1 "d_vowel"\n -1 pause "d_other" "d_pause"\n}\n',
+            "lf0": '{*}[2]\n{\n 0 vowel "p_other" "p_vowel"\n}\n{*}[3]\n{\n 0 stressed "p_other" "p_stressed"\n}\n',
+            "mgc": '{*}[2]\n{\n 0 vowel -1 "m_vowel"\n -1 pause "m_other" "m_pause"\n}\n',
+        },
+        [
+            *(("dur", 2, leaf, [float(n)], [1.0], None) for leaf, n in (("d_vowel", 6), ("d_other", 4), ("d_pause", 8))),
+            *(("lf0", state, leaf, [x], [0.1], w) for state, leaf, x, w in ((2, "p_vowel", 4.8, 0.9), (2, "p_other", 4.6, 0.2), (3, "p_stressed", 5.0, 0.9), (3, "p_other", 4.7, 0.7))),
+            *(("mgc", 2, leaf, x, [0.1] * 4, None) for leaf, x in (("m_vowel", [1.2, 0.6, -0.3, 0.1]), ("m_other", [0.4, -0.2, 0.2, 0.05]), ("m_pause", [-4.0, 0.0, 0.0, 0.0]))),
+        ],
+    )
+}
+LANGUAGES, CODERS = ("en",), ("mlsa",)
+
+
+def spelled(docs: DataFrame) -> DataFrame:
+    """doc_id, sent_id, pos, word, syllables, stress, phones of texts by the vowel rule: letters are phones, first syllables are stressed."""
+    cut = tokens(docs).select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.col("pos").cast("long").alias("pos"), "word")
+    cut = cut.withColumn("syllables", F.when(is_punct(F.col("word")), F.array("word")).otherwise(F.transform(syllables(F.col("word")), F.lower)))
+    stress = F.transform("syllables", lambda s, i: (i == 0).cast("int"))
+    return cut.withColumns({"stress": stress, "phones": F.transform("syllables", lambda s: F.filter(F.split(s, ""), lambda c: c.rlike(r"\p{L}")))})
+
+
+def speak(docs: DataFrame, language: str = "en", coder: str = "mlsa", voice: str = "small", rate: int = 4000) -> DataFrame:
+    """doc_id, sent_id, samples, wave: each line of docs (doc_id, text) as audio. An unknown language, coder or voice is refused."""
+    for name, value, known in (("language", language, LANGUAGES), ("coder", coder, CODERS), ("voice", voice, VOICES)):
+        if value not in known:
+            raise ValueError(f"unknown {name} {value!r}; there are {', '.join(known)}")
+    trees, densities = VOICES[voice]
+    held = docs.sparkSession.createDataFrame(densities, "stream string, state int, leaf string, mean array<double>, var array<double>, weight double")
+    parameters = state_parameters(full_labels(spelled(docs)), {k: parse_trees(QUESTIONS + v) for k, v in trees.items()}, held, 2)
+    return waves(parameters, ["doc_id", "sent_id"], ["phone_no", "state"], rate)
