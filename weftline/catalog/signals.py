@@ -17,6 +17,11 @@ from weftline.operators import tagging as tg
 from weftline.operators import tree as tr
 from weftline.operators.alignment import merge_reference
 
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Columns rounded half up, as SQL rounds."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
 #: CTE ux: each user's values in order.
 UX_SQL = "ux AS (SELECT user_id, list(CAST(value AS DOUBLE) ORDER BY event_id) AS x FROM events GROUP BY user_id)"
 
@@ -39,11 +44,11 @@ def inverted_matrices(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf("m11 double, m12 double, m21 double, m22 double")
     def invert(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.DataFrame:
-        found = [s.solve_inverse(np.array([[x, y], [-1.0, z]])).reshape(-1).round(9).tolist() for x, y, z in zip(a, b, d, strict=True)]
+        found = [s.solve_inverse(np.array([[x, y], [-1.0, z]])).reshape(-1).tolist() for x, y, z in zip(a, b, d, strict=True)]
         return pd.DataFrame(found, columns=["m11", "m12", "m21", "m22"])
 
     rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") + 1.0).alias("a"), F.col("p_retailprice").alias("b"), (F.col("p_size") + 2.0).alias("d"))
-    return rows.select("p_partkey", invert("a", "b", "d").alias("m")).select("p_partkey", "m.*")
+    return rows.select("p_partkey", invert("a", "b", "d").alias("m")).select("p_partkey", "m.*").transform(rounded, 9, "m11", "m12", "m21", "m22")
 
 
 @query(f"WITH {MATRIX_SQL} SELECT p_partkey, round(a * a - b, 6) AS m11, round(a * b + b * d, 6) AS m12, round(-a - d, 6) AS m21, round(d * d - b, 6) AS m22 FROM m")
@@ -60,9 +65,9 @@ def polynomial_products(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf("p0 double, p1 double, p2 double")
     def multiply(col: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([s.multiply_polynomials(np.array(x[:2], float), np.array(x[2:4], float)).round(9) for x in col], columns=["p0", "p1", "p2"])
+        return pd.DataFrame([s.multiply_polynomials(np.array(x[:2], float), np.array(x[2:4], float)) for x in col], columns=["p0", "p1", "p2"])
 
-    return table(spark, sf, "embeddings").select("vec_id", multiply(F.slice("embedding", 1, 4)).alias("p")).select("vec_id", "p.*")
+    return table(spark, sf, "embeddings").select("vec_id", multiply(F.slice("embedding", 1, 4)).alias("p")).select("vec_id", "p.*").transform(rounded, 9, "p0", "p1", "p2")
 
 
 @query("""
@@ -79,17 +84,17 @@ def filter_coefficients(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {UX_SQL} SELECT user_id, round(list_sum(list_transform(range(len(x)), lambda i: x[i + 1] * pow(0.5, len(x) - i))), 6) AS smoothed, round(list_sum(x[greatest(len(x) - 2, 1):len(x)]), 6) AS last_three, round(list_avg(list_transform(x, lambda v: v * v)), 6) AS power,
+    WITH {UX_SQL} SELECT user_id, round(list_sum(list_transform(range(len(x)), lambda i: x[i + 1] * pow(0.5, len(x) - i))), 6) AS smoothed, round(list_sum(x[greatest(len(x) - 2, 1):len(x)]), 6) AS last_three, round(list_sum(list_transform(x, lambda v: v * v)), 4) AS power,
       x[CASE WHEN len(x) >= 2 THEN len(x) - 1 ELSE 1 END] AS rolled, x[1 + (len(x) - len(x) // 2) % len(x)] AS centred FROM ux
 """)
 def filtered_values(spark: SparkSession, sf: str) -> DataFrame:
-    """The last value of a recursive filter and of a sum over three values, the mean power, and the first after two kinds of rotation."""
+    """The last value of a recursive filter and of a sum over three values, the power, and the first after two kinds of rotation."""
 
     def fn(x: np.ndarray) -> dict:
         smoothed, summed = s.recursive_filter([0.5], [1.0, -0.5], x), s.fir_by_transform(np.ones(3), x)
-        return {"smoothed": [round(float(smoothed[-1]), 6)], "last_three": [round(float(summed[-1]), 6)], "power": [round(s.mean_power(x), 6)], "rolled": [float(s.circular_shift(x, 2)[0])], "centred": [float(s.centre_zero(x)[0])]}
+        return {"smoothed": [float(smoothed[-1])], "last_three": [float(summed[-1])], "power": [s.mean_power(x) * len(x)], "rolled": [float(s.circular_shift(x, 2)[0])], "centred": [float(s.centre_zero(x)[0])]}
 
-    return _per_user(spark, sf, fn, "user_id long, smoothed double, last_three double, power double, rolled double, centred double")
+    return _per_user(spark, sf, fn, "user_id long, smoothed double, last_three double, power double, rolled double, centred double").transform(rounded, 6, "smoothed", "last_three").transform(rounded, 4, "power")
 
 
 @query(f"WITH {UX_SQL} SELECT user_id, unnest(range(len(x))) AS k, round((x[unnest(range(len(x))) + 1] + x[unnest(range(len(x))) + 2]) / 2, 6) AS value FROM ux")
@@ -99,9 +104,9 @@ def interpolated_values(spark: SparkSession, sf: str) -> DataFrame:
     def fn(x: np.ndarray) -> dict:
         at = np.arange(len(x))
         found = s.interpolate(at, x, at + 0.5)
-        return {"k": at, "value": [None if np.isnan(v) else round(float(v), 6) for v in found]}
+        return {"k": at, "value": [None if np.isnan(v) else float(v) for v in found]}
 
-    return _per_user(spark, sf, fn, "user_id long, k long, value double")
+    return _per_user(spark, sf, fn, "user_id long, k long, value double").transform(rounded, 6, "value")
 
 
 @query(f"WITH {UX_SQL} SELECT user_id, round(list_sum(list_transform(x, lambda v: -1 + 3 / (1 + exp(-v / 100)))), 6) AS scaled, round(cos(2 * pi() * 0.25 / len(x)), 9) AS phase FROM ux WHERE len(x) > 2")
@@ -111,9 +116,9 @@ def rescaled_values(spark: SparkSession, sf: str) -> DataFrame:
     def fn(x: np.ndarray) -> dict:
         if len(x) < 3:
             return {"scaled": [], "phase": []}
-        return {"scaled": [round(float(s.sigmoid_scale(x / 100, -1.0, 2.0).sum()), 6)], "phase": [round(float(s.fractional_shift_phase(len(x), 0.25)[1].real), 9)]}
+        return {"scaled": [float(s.sigmoid_scale(x / 100, -1.0, 2.0).sum())], "phase": [float(s.fractional_shift_phase(len(x), 0.25)[1].real)]}
 
-    return _per_user(spark, sf, fn, "user_id long, scaled double, phase double")
+    return _per_user(spark, sf, fn, "user_id long, scaled double, phase double").transform(rounded, 6, "scaled").transform(rounded, 9, "phase")
 
 
 @query("""
@@ -131,10 +136,10 @@ def cepstra(spark: SparkSession, sf: str) -> DataFrame:
         for x in col:
             c = np.array(x, float)
             b, h, g = s.to_filter(c, 0.4), s.impulse_response(c, 3), s.gain_normalise(c, -0.5)
-            out.append([*(round(float(v), 9) for v in (b[0], b[1], s.from_filter(b, 0.4)[0], s.warp_frequency(c, 0, 0.4)[0], *h)), round(float(s.spectrum(c[:1], 0.55, 8).mean()), 6), round(float(g[0]), 9), round(float(g[1]), 9)])
+            out.append([float(v) for v in (b[0], b[1], s.from_filter(b, 0.4)[0], s.warp_frequency(c, 0, 0.4)[0], *h, s.spectrum(c[:1], 0.55, 8).mean(), g[0], g[1])])
         return pd.DataFrame(out, columns=names)
 
-    return table(spark, sf, "embeddings").select("vec_id", run(F.slice("embedding", 1, 3)).alias("c")).select("vec_id", "c.*")
+    return table(spark, sf, "embeddings").select("vec_id", run(F.slice("embedding", 1, 3)).alias("c")).select("vec_id", "c.*").transform(rounded, 9, *(n for n in names if n != "amplitude")).transform(rounded, 6, "amplitude")
 
 
 @query(f"""
@@ -144,10 +149,10 @@ def joined_units(spark: SparkSession, sf: str) -> DataFrame:
     """A value next to a joint after smoothing, and the sum of samples with others, greater by 10, faded in over them."""
 
     def fn(x: np.ndarray) -> dict:
-        joint = round(float(s.smooth_joint(x, 3)[2]), 6) if len(x) >= 6 else None
-        return {"joint": [joint], "spliced": [round(float(s.splice(x, x + 10, 0, per_frame=2).sum()), 6)]}
+        joint = float(s.smooth_joint(x, 3)[2]) if len(x) >= 6 else None
+        return {"joint": [joint], "spliced": [float(s.splice(x, x + 10, 0, per_frame=2).sum())]}
 
-    return _per_user(spark, sf, fn, "user_id long, joint double, spliced double")
+    return _per_user(spark, sf, fn, "user_id long, joint double, spliced double").transform(rounded, 6, "joint", "spliced")
 
 
 def _pass_sql(name: str, source: str) -> str:
@@ -162,7 +167,7 @@ def _pass_sql(name: str, source: str) -> str:
 """)
 def smoothed_pitches(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's values, those below 50 as 0, smoothed three times in place."""
-    return _per_user(spark, sf, lambda x: {"i": np.arange(len(x)), "value": np.round(s.smooth_voiced(np.where(x < 50, 0.0, x)), 6)}, "user_id long, i long, value double")
+    return _per_user(spark, sf, lambda x: {"i": np.arange(len(x)), "value": s.smooth_voiced(np.where(x < 50, 0.0, x))}, "user_id long, i long, value double").transform(rounded, 6, "value")
 
 
 @query("SELECT event_id, CASE WHEN value / 500 >= 0.5 THEN 2 WHEN value / 500 >= 0.25 THEN 1 ELSE 0 END AS picked FROM events")

@@ -191,7 +191,7 @@ def closed_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"SELECT id, kind, text AS entity FROM (WITH d AS (SELECT o_orderkey AS id, 'A ' || o_orderdate::DATE || ' 5 6 7 9; 1.250,5 RON! Dr. Ana Pop X XX XL C M MCMXCIX I.O. 14:05 pm? ' || o_orderkey || '/12/CE (12 km) www.a.b 3 kg 4 ml 2 ha Mrs. E. Hill Sir Tom Ray, Jr.' AS t FROM orders), "
-    "x AS (SELECT id, t FROM d) SELECT id, kind, unnest(found) AS text FROM (SELECT id, t, 'date' AS kind, [substr(t, 3, 10)] AS found FROM x UNION ALL SELECT id, t, 'roman', ['X', 'XX', 'XL', 'C', 'M', 'MCMXCIX'] FROM x UNION ALL SELECT id, t, 'money', ['1.250,5 RON'] FROM x UNION ALL SELECT id, t, 'time', ['14:05 pm'] FROM x "
+    "x AS (SELECT id, t FROM d) SELECT id, kind, unnest(found) AS text FROM (SELECT id, t, 'date' AS kind, [substr(t, 3, 10)] AS found FROM x UNION ALL SELECT id, t, 'roman', ['X', 'XX', 'XL', 'C', 'M', 'MCMXCIX', 'I'] FROM x UNION ALL SELECT id, t, 'money', ['1.250,5 RON'] FROM x UNION ALL SELECT id, t, 'time', ['14:05 pm'] FROM x "
     "UNION ALL SELECT id, t, 'code', [id || '/12/CE'] FROM x UNION ALL SELECT id, t, 'distance', ['12 km'] FROM x UNION ALL SELECT id, t, 'mass', ['3 kg'] FROM x UNION ALL SELECT id, t, 'volume', ['4 ml'] FROM x UNION ALL SELECT id, t, 'area', ['2 ha'] FROM x UNION ALL SELECT id, t, 'person', ['Dr. Ana Pop'] FROM x "
     "UNION ALL SELECT id, t, 'female', ['Mrs. E. Hill Sir'] FROM x UNION ALL SELECT id, t, 'junior', ['Hill Sir Tom Ray, Jr.'] FROM x UNION ALL SELECT id, t, 'url', ['www.a.b'] FROM x UNION ALL SELECT id, t, 'initials', ['I.O.', 'E.'] FROM x))"
 )

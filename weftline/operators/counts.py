@@ -64,20 +64,17 @@ def information_gain(bags: DataFrame, label: str = "label", features: str = "fea
     node = node or []
     every = F.array(F.lit(None).cast("string"))
     counts = bags.select(*node, label, n, F.explode(F.concat(F.array_distinct(features), every)).alias("feature")).groupBy(*node, "feature", label).agg(F.sum(n).cast("double").alias("yes"))
-    by_feature = counts.groupBy(*node, "feature").agg(F.map_from_entries(F.collect_list(F.struct(label, "yes"))).alias("yes"))
-    totals = by_feature.filter("feature IS NULL").select(*node, F.col("yes").alias("all"))
-    found = by_feature.filter("feature IS NOT NULL")
-    # Without nodes one row, else one for each node, of as many labels as there are.
+    whole = F.max(F.when(F.col("feature").isNull(), F.col("yes"))).over(Window.partitionBy(*node, label))
+    each = counts.withColumn("all", whole)
+    sides = each.groupBy(*node, "feature").agg(F.sum("yes").alias("yes_n"), F.sum(_h(F.col("yes"))).alias("yes_nlogn"), F.sum(_h(F.col("all") - F.col("yes")) - _h(F.col("all"))).alias("less_nlogn"))
+    totals = sides.filter("feature IS NULL").select(*node, F.col("yes_n").alias("node_n"), F.col("yes_nlogn").alias("node_nlogn"))
+    found = sides.filter("feature IS NOT NULL")
+    # Without nodes one row, else one for each node.
     found = found.join(totals, node) if node else found.crossJoin(F.broadcast(totals))
-    numbers = lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + x)
-    nlogn = lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + _h(x))
-    whole = F.map_values("all")
-    rest = F.transform(F.map_entries("all"), lambda e: e["value"] - F.coalesce(F.try_element_at("yes", e["key"]), F.lit(0.0)))
-    sides = found.select(*node, "feature", numbers(whole).alias("node_n"), nlogn(whole).alias("node_nlogn"), numbers(F.map_values("yes")).alias("yes_n"), nlogn(F.map_values("yes")).alias("yes_nlogn"), nlogn(rest).alias("rest_nlogn"))
     no_n = F.col("node_n") - F.col("yes_n")
     h = lambda total, nlogn: _h(total) - nlogn
-    gain = (h(F.col("node_n"), F.col("node_nlogn")) - h(F.col("yes_n"), F.col("yes_nlogn")) - h(no_n, F.col("rest_nlogn"))) / F.col("node_n")
-    return sides.filter((no_n > 0) & (F.least(F.col("yes_n"), no_n) >= least)).select(*node, "feature", F.col("yes_n").alias("yes"), no_n.alias("no"), gain.alias("gain"))
+    gain = (h(F.col("node_n"), F.col("node_nlogn")) - h(F.col("yes_n"), F.col("yes_nlogn")) - h(no_n, F.col("node_nlogn") + F.col("less_nlogn"))) / F.col("node_n")
+    return found.filter((no_n > 0) & (F.least(F.col("yes_n"), no_n) >= least)).select(*node, "feature", F.col("yes_n").alias("yes"), no_n.alias("no"), gain.alias("gain"))
 
 
 def leaf_distribution(counts: DataFrame, by: list[str], label: str, n: str = "n") -> DataFrame:
