@@ -1,12 +1,14 @@
 """Rows that repeat doc_ids or have none, with links; many groups of equal texts."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
 from tests.llm.test_text_operators import brute_links, order
-from weftline.llm.ngram_join import drop_near_copies, linked_sets, ngram_jaccard
+from weftline.llm import ngram_join
+from weftline.llm.ngram_join import drop_near_copies, ngram_jaccard
 from weftline.llm.sharding import shard_documents
 
 A = " ".join(f"a{i}" for i in range(60))
@@ -33,11 +35,24 @@ def test_large_canopies_are_cut_by_size_without_losing_links(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[: 60 + i])) for i in range(240)] + [(1000 + i, " ".join(words[i : i + 120])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (16, 4096):
-        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_jaccard(df, block).collect())
-        assert got == sorted(brute_links(rows))
-    slim, sets = linked_sets(df, 16, 4, 85)
-    assert slim.count() == 300 and sets.count() == len({t for _, t in rows})
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_jaccard(df, 16).collect())
+    assert got == sorted(brute_links(rows))
+
+
+@pytest.mark.parametrize("alike, block", [(1, 8), (10**6, 8)])
+def test_links_do_not_depend_on_what_is_put_into_one_canopy(spark, monkeypatch, alike, block):
+    rng = random.Random(4)
+    word = lambda: f"v{rng.randrange(5000)}"
+    passage = [word() for _ in range(40)]
+    rows = []
+    for i in range(60):
+        own = [word() for _ in range(rng.randrange(4, 60))]
+        rows.append((10 * i, " ".join(own + passage * (i % 3 > 0))))
+        if i % 4 == 0:
+            rows += [(10 * i + k, " ".join(x if rng.random() > 0.02 * k else word() for x in rows[-1][1].split())) for k in range(1, 5)]
+    monkeypatch.setattr(ngram_join, "ALIKE", alike)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string"), block).collect())
+    assert got == sorted(brute_links(rows)) and sum(r[3] for r in got) > 40
 
 
 @pytest.mark.parametrize("n", [2_000, 20_000])

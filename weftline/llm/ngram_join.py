@@ -6,16 +6,18 @@ keep the largest count of each group below them, answers which sets a given one
 survives is verified on the sets themselves.
 
 One tree over all documents would be visited almost everywhere, since points of unrelated documents of one size are
-about equally far apart. So documents are first brought together by exact signatures of groups: linked sets differ in
-at most D shingles, so of more than D groups at least one holds the same shingles in both. Documents that agree on a
-group form canopies, no link leaves a canopy, and trees are built within canopies, in blocks of bounded number and bytes.
-Only blocks whose sizes lie close enough for a link meet.
+about equally far apart (README has the shares). So documents are first brought together by exact signatures of
+groups: linked sets differ in at most D shingles, so of more than D groups at least one holds the same shingles in
+both. Sets that agree on several groups are much alike: they share a home, within which trees are built in blocks of bounded
+number and bytes. Of the sets that agree on a group, those of other homes than its least set's are that home's guests:
+as texts with a passage in common are. Guests and hosts are compared by trees over their points alone, and pairs that
+the bound lets pass are verified one by one. So a passage that many documents share never puts all of them together.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +35,10 @@ from weftline.llm.components import components
 N, PERCENT = 4, 85
 GROUPS = 64
 LEAF = 32
-BLOCK = 128
+BLOCK = 512
 BLOCK_BYTES = 4 << 20
+#: Sets that agree on so many groups share a home. Any number gives the same links.
+ALIKE = 4
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,90 +136,73 @@ def _sid(identity: bytes) -> int:
 
 
 def signed_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """key, sid, other: rows with other null say that set sid has the key; else that sids sid and other have a key in common.
-
-    Keys that repeat within a task's buffer are combined there, so a key that very many sets share is sent once a buffer.
-    """
-
-    def combined(keys: list[np.ndarray], sids: list[int]) -> pa.RecordBatch:
-        key = np.concatenate(keys)
-        sid = np.repeat(np.array(sids, np.int64), [len(x) for x in keys])
-        order = np.lexsort((sid, key))
-        key, sid = key[order], sid[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = sid[new][np.cumsum(new) - 1]
-        again = np.unique(np.stack((sid, first), 1)[~new & (sid != first)], axis=0)
-        return pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([_signed(key[new]), pa.array(again[:, 0], pa.int64())]), pa.array(np.concatenate((sid[new], again[:, 0])), pa.int64()), pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(again[:, 1], pa.int64())])],
-            ["key", "sid", "other"],
-        )
+    """key, sid: the keys of every set, once a task at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sids, held, seen, words = [], [], 0, set(), Words()
+        seen, words = set(), Words()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                h = shingles(text or "", words, n)
-                if len(h) and (sid := _sid(set_id(h))) not in seen:
-                    seen.add(sid)
-                    found = signatures(h, percent)
-                    keys.append(found)
-                    sids.append(sid)
-                    held += len(found)
-                if held >= 1_000_000:
-                    yield combined(keys, sids)
-                    keys, sids, held, seen = [], [], 0, set()
-        if held:
-            yield combined(keys, sids)
+            for part in slices(batch):
+                keys, sids = [], []
+                for text in part.column("text").to_pylist():
+                    h = shingles(text or "", words, n)
+                    if len(h) and (sid := _sid(set_id(h))) not in seen:
+                        seen.add(sid)
+                        keys.append(signatures(h, percent))
+                        sids.append(sid)
+                if len(seen) > 200_000:
+                    seen.clear()
+                if keys:
+                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.repeat(np.array(sids, np.int64), [len(x) for x in keys]))], ["key", "sid"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long, other long")
+    return docs.select("text").mapInArrow(run, "key long, sid long")
 
 
-def canopy_edges(signed: DataFrame) -> DataFrame:
-    """u, v: each set of a key with the key's least set."""
+def agreements(signed: DataFrame) -> DataFrame:
+    """u, v, n: each set beside the least set of each key that it shares with others, and how many keys they so share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_sid = None, 0
+        last, least = None, 0
         for batch in batches:
             key, sid = (batch.column(i).to_numpy() for i in (0, 1))
-            other = batch.column(2)
             if not len(key):
                 continue
-            plain = other.is_null().to_numpy(zero_copy_only=False)
-            u, v = sid[~plain], other.filter(pa.array(~plain)).to_numpy()
-            key, sid = key[plain], sid[plain]
-            if len(key):
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                firsts = sid[new]
-                if last_key is not None and key[0] == last_key:
-                    firsts[0] = last_sid
-                first = firsts[np.cumsum(new) - 1]
-                last_key, last_sid = key[-1], first[-1]
-                u, v = np.concatenate((u, sid[sid != first])), np.concatenate((v, first[sid != first]))
-            if len(u):
-                pairs = np.unique(np.stack((u, v), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            again = np.zeros(len(key), bool)
+            again[1:] = (key[1:] == key[:-1]) & (sid[1:] == sid[:-1])
+            again[0] = last == (key[0], sid[0])
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            firsts = sid[new]
+            if last is not None and key[0] == last[0]:
+                firsts[0] = least
+            first = firsts[np.cumsum(new) - 1]
+            last, least = (key[-1], sid[-1]), first[-1]
+            beside = (sid != first) & ~again
+            if beside.any():
+                pairs, n = np.unique(np.stack((sid[beside], first[beside]), 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64))], ["u", "v", "n"])
 
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return signed.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(run, "u long, v long").distinct()
+    rows = signed.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(run, "u long, v long, n long")
+    return rows.groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
-def document_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_id (null for an empty set), sid (its first 64 bits)."""
+def document_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, set_id (null for an empty set), sid (its first 64 bits), size_class, point (the packed counts by group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, points = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(text or "", words, n)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
-            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "set_id", "sid"])
+                points.append(packed(count_vector(h)) if len(h) else None)
+            of_size = np.searchsorted(size_classes(percent), sizes, "right")
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64()), pa.array(of_size, pa.int32()), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "set_id", "sid", "size_class", "point"])
 
-    return docs.select("doc_id", "text", row_keys()[1]).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sid long")
+    return docs.select("doc_id", "text", row_keys()[1]).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sid long, size_class int, point binary")
 
 
 class CountTree:
@@ -267,6 +254,15 @@ def count_vector(h: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def packed(point: np.ndarray) -> bytes:
+    """Counts in two bytes each where they fit, else in four."""
+    return point.astype("<u2" if point.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def unpacked(data: bytes, groups: int = GROUPS) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * groups else "<u4").astype(np.int64)
+
+
 def overlaps(h: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """The exact size of the intersection of h with each other set."""
     joined = np.concatenate(others)
@@ -297,48 +293,79 @@ def verified_links(left: list[np.ndarray], right: list[np.ndarray] | None, perce
             yield from ((int(i[x]), int(j[x])) for x in part[ok])
 
 
+PAIR = ["c1", "b1", "c2", "b2"]
+
+
 def deal_blocks(members: DataFrame, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """members with side (own block) and the pair of blocks (first, second) that a row is for; a row for each pair.
+    """members (canopy, size_class, set_id, data, ...) with the pair of blocks (c1, b1, c2, b2) that a row is for and the sides of it (left, right) that it is on; a row for each pair.
 
-    A canopy of at most `block` sets and block_bytes is one block. A larger one is cut by size class, and a class into
-    blocks; a block meets those of its own class and of the two next to it, since sets of others can't be linked.
+    A canopy of at most `block` sets and block_bytes of data is one block. A larger one is cut by size class, and a class
+    into blocks; a block meets those of its own class and of the two next to it, since sets of others can't be linked.
     """
-    by_class = members.groupBy("canopy", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("h")).alias("bytes"))
-    canopy = Window.partitionBy("canopy")
-    n, size = F.sum("n").over(canopy), F.sum("bytes").over(canopy)
+    own = [c for c in members.columns if c != "size_class"]
+    n, size = F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data")).alias("bytes")
+    large = materialize(members.groupBy("canopy").agg(n, size).filter((F.col("n") > block) | (F.col("bytes") > block_bytes)).select("canopy"), "large")
+    whole = members.join(small(large), "canopy", "left_anti").select(*own, *(F.lit(0).alias(c) for c in PAIR), F.lit(True).alias("left"), F.lit(True).alias("right"))
+    cut = members.join(small(large), "canopy", "left_semi")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int").alias("own")
-    sized = by_class.select("canopy", "size_class", blocks, ((n > block) | (size > block_bytes)).alias("large"), n.alias("n")).filter("n > 1").drop("n")
-    order = canopy.orderBy("size_class")
+    order = Window.partitionBy("canopy").orderBy("size_class")
     beside = lambda found, step: F.when(found("size_class").over(order) == F.col("size_class") + step, found("own").over(order)).otherwise(0)
-    sized = sized.select("*", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
-    placed = join_groups(members, sized, ["canopy", "size_class"], F.col("set_id"), "inner")
-    k, at = F.col("size_class"), F.when(F.col("large"), F.pmod(F.xxhash64("set_id"), F.col("own")).cast("int")).otherwise(0)
-    of = lambda k, at: F.struct(k.alias("size_class"), at.alias("block"))
-    pair = lambda a, b: F.struct(a.alias("first"), b.alias("second"))
+    sized = cut.groupBy("canopy", "size_class").agg(n, size).select("canopy", "size_class", blocks).select("*", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("above"))
+    placed = join_groups(cut, sized, ["canopy", "size_class"], F.col("set_id"), "inner")
+    k, at = F.col("size_class"), F.pmod(F.xxhash64("set_id"), F.col("own")).cast("int")
+    pair = lambda c1, b1, c2, b2, left, right: F.struct(c1.alias("c1"), b1.alias("b1"), c2.alias("c2"), b2.alias("b2"), left.alias("left"), right.alias("right"))
     upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    yes, no = F.lit(True), F.lit(False)
     pairs = F.concat(
-        F.transform(upto(F.col("own")), lambda o: pair(of(k, F.least(o, at)), of(k, F.greatest(o, at)))),
-        F.transform(upto(F.col("below")), lambda o: pair(of(k - 1, o), of(k, at))),
-        F.transform(upto(F.col("above")), lambda o: pair(of(k, at), of(k + 1, o))),
+        F.transform(upto(F.col("own")), lambda o: pair(k, F.least(o, at), k, F.greatest(o, at), at <= o, at >= o)),
+        F.transform(upto(F.col("below")), lambda o: pair(k - 1, o, k, at, no, yes)),
+        F.transform(upto(F.col("above")), lambda o: pair(k, at, k + 1, o, yes, no)),
     )
-    whole = of(F.lit(-1), F.lit(0))
-    placed = placed.select("canopy", "set_id", "copies", "h", F.when(F.col("large"), of(k, at)).otherwise(whole).alias("side"), F.when(F.col("large"), pairs).otherwise(F.array(pair(whole, whole))).alias("pairs"))
-    return placed.select("canopy", "set_id", "copies", "h", "side", F.inline("pairs")).select("canopy", "set_id", "copies", "h", F.col("first.size_class").alias("c1"), F.col("first.block").alias("b1"), F.col("second.size_class").alias("c2"), F.col("second.block").alias("b2"), (F.col("side") == F.col("first")).alias("left"), (F.col("side") == F.col("second")).alias("right"))
+    return whole.unionByName(placed.select(*own, F.inline(pairs)))
+
+
+def by_block_pair(dealt: DataFrame, fn: Callable[[dict[str, list], int, int], Iterator[tuple]], columns: list[str], schema: str) -> DataFrame:
+    """fn(columns, start, stop) of the rows of each canopy's pair of blocks, out of sorted partitions; it yields rows of the schema."""
+    keys = ["canopy", *PAIR]
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            held = {c: table.column(c).to_pylist() for c in ("canopy", *columns)}
+            rows = [row for start, stop in groups for row in fn(held, start, stop)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            new = np.ones(table.num_rows, bool)
+            new[1:] = np.logical_or.reduce([np.diff(table.column(c).to_numpy()) != 0 for c in keys])
+            starts = np.flatnonzero(new).tolist()
+            yield from made(table, list(zip(starts, starts[1:], strict=False)))
+            rest = table.slice(starts[-1])
+        if rest is not None:
+            yield from made(rest, [(0, rest.num_rows)])
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select(*keys, *columns).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def link_blocks(members: DataFrame, block: int, percent: int = PERCENT) -> DataFrame:
-    """members (canopy, size_class, set_id, copies, h): set_id, root, links, one row per set and pair of blocks in which it has a link.
+    """members (canopy, size_class, set_id, copies, data: the set): set_id, root, links, one row per set and pair of blocks in which it has a link.
 
     Each pair of blocks is joined on its own, so no task holds more than two. links counts the documents linked in that
     pair of blocks; root is the least set there that is reachable.
     """
 
-    def join(table: pa.Table) -> pa.Table:
-        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
-        ids, copies = table.column("set_id").to_pylist(), table.column("copies").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
+    def join(held: dict[str, list], start: int, stop: int) -> Iterator[tuple]:
+        ids, copies, on_left, on_right = (held[c][start:stop] for c in ("set_id", "copies", "left", "right"))
+        sets = [np.frombuffer(x, np.uint64) for x in held["data"][start:stop]]
+        left, right = ([i for i, x in enumerate(side) if x] for side in (on_left, on_right))
         root, links = list(range(len(sets))), [0] * len(sets)
-        same = table.column("c1")[0] == table.column("c2")[0] and table.column("b1")[0] == table.column("b2")[0]
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -346,19 +373,60 @@ def link_blocks(members: DataFrame, block: int, percent: int = PERCENT) -> DataF
                 x = root[x]
             return x
 
-        if len(left) and len(right):
-            for i, j in verified_links([sets[x] for x in left], None if same else [sets[x] for x in right], percent):
-                x, y = int(left[i]), int(right[j])
+        if left and right:
+            for i, j in verified_links([sets[x] for x in left], None if on_left == on_right else [sets[x] for x in right], percent):
+                x, y = left[i], right[j]
                 links[x] += copies[y]
                 links[y] += copies[x]
                 x, y = find(x), find(y)
                 if x != y:
                     x, y = sorted((x, y), key=ids.__getitem__)
                     root[y] = x
-        kept = [x for x in range(len(sets)) if links[x]]
-        return pa.table({"set_id": pa.array([ids[x] for x in kept], pa.binary()), "root": pa.array([ids[find(x)] for x in kept], pa.binary()), "links": pa.array([links[x] for x in kept], pa.int64())})
+        yield from ((ids[x], ids[find(x)], links[x]) for x in range(len(sets)) if links[x])
+
+    return by_block_pair(deal_blocks(members, block), join, ["set_id", "copies", "data", "left", "right"], "set_id binary, root binary, links long")
+
+
+def bounded_pairs(members: DataFrame, block: int, percent: int = PERCENT) -> DataFrame:
+    """a, b: pairs of sets of different homes that meet at one and that the trees over their points let pass. Only guests ask.
+
+    members: canopy (a home), size_class, set_id, home, n_shingles, data (the packed point).
+    """
+
+    def join(held: dict[str, list], start: int, stop: int) -> Iterator[tuple]:
+        sizes, ids = (held[c][start:stop] for c in ("n_shingles", "set_id"))
+        if stop - start == 2 and 100 * min(sizes) < percent * max(sizes):
+            return
+        homes, n = np.array(held["home"][start:stop]), np.array(sizes)
+        left, right = (np.flatnonzero(held[c][start:stop]) for c in ("left", "right"))
+        points = np.array([unpacked(x) for x in held["data"][start:stop]])
+        for asked, stored in ((left, right),) if len(left) == len(right) == len(n) else ((left, right), (right, left)):
+            guests = asked[homes[asked] != held["canopy"][start]]
+            if len(guests) and len(stored):
+                for i, j in CountTree(points[stored], n[stored], percent=percent).candidates(points[guests], n[guests]):
+                    x, y = guests[i], stored[j]
+                    apart = homes[x] != homes[y]
+                    yield from ((min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(x[apart].tolist(), y[apart].tolist(), strict=True))
+
+    return by_block_pair(deal_blocks(members, block), join, ["set_id", "home", "n_shingles", "data", "left", "right"], "a binary, b binary").distinct()
+
+
+def verified_pairs(pairs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """set_id, root, links of the pairs (a, b) whose sets, out of members (set_id, copies, data), are linked: a row for each side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, copies_a, copies_b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if enough(overlaps(x, [y])[0], len(x) + len(y), percent):
+                    out += [(a, a, copies_b), (b, a, copies_a)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["set_id", "root", "links"])
 
-    return deal_blocks(members, block).groupBy("canopy", "c1", "b1", "c2", "b2").applyInArrow(join, "set_id binary, root binary, links long")
+    side = lambda name: members.select(F.col("set_id").alias(name), F.col("copies").alias(f"copies_{name}"), F.col("data").alias(f"set_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "copies_a", "copies_b", "set_a", "set_b").mapInArrow(run, "set_id binary, root binary, links long")
 
 
 def linked_sets(docs: DataFrame, block: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -367,12 +435,26 @@ def linked_sets(docs: DataFrame, block: int, n: int, percent: int) -> tuple[Data
     Sets are told apart by themselves, never by the doc_ids that have them. id is the least doc_id of a set's component,
     NO_ID where all are null; component its least set; n_links counts a set's documents' links.
     """
-    slim = materialize(document_sets(docs, n), "sets")
+    slim = materialize(document_sets(docs, n, percent), "sets")
     least = F.min(F.struct("key", "text_hash")).alias("of")
-    sets = materialize(slim.withColumn("key", row_keys()[0]).filter("n_shingles > 0").groupBy("set_id", "sid").agg(least, F.count(F.lit(1)).alias("copies")), "distinct-sets")
-    edges = materialize(canopy_edges(signed_sets(docs, n, percent)), "canopy-edges")
-    canopies = components(edges, "canopies").select(F.col("node").alias("sid"), F.col("component").alias("canopy"))
-    wanted = materialize(sets.join(canopies, "sid").select("canopy", "set_id", "copies", "of.*"), "wanted")
+    kept = [F.first(c).alias(c) for c in ("n_shingles", "size_class", "point")]
+    sets = materialize(slim.withColumn("key", row_keys()[0]).filter("n_shingles > 0").groupBy("set_id", "sid").agg(least, F.count(F.lit(1)).alias("copies"), *kept), "distinct-sets")
+    agree = materialize(agreements(signed_sets(docs, n, percent)), "agreements")
+
+    # Sets much alike have one home; other sets are homes of their own.
+    homes = materialize(components(agree.filter(F.col("n") >= ALIKE).select("u", "v"), "homes").select(F.col("node").alias("sid"), F.col("component").alias("home")), "homes")
+    home_of = lambda name: homes.select(F.col("sid").alias(name), F.col("home").alias(f"home_{name}"))
+    apart = agree.filter(F.col("n") < ALIKE).join(home_of("u"), "u", "left").join(home_of("v"), "v", "left")
+    guests = apart.filter(F.coalesce("home_u", "u") != F.coalesce("home_v", "v")).select(F.coalesce("home_v", "v").alias("canopy"), F.col("u").alias("sid")).distinct()
+    guests = materialize(guests, "guests")
+    info = sets.join(homes, "sid", "left").select("sid", "set_id", "n_shingles", "size_class", F.coalesce("home", "sid").alias("home"), F.col("point").alias("data"))
+    hosts = info.withColumn("canopy", F.col("home")).join(guests.select("canopy").distinct(), "canopy", "left_semi")
+    meeting = materialize(guests.join(info, "sid").unionByName(hosts).drop("sid"), "meeting")
+    pairs = materialize(bounded_pairs(meeting, block, percent), "pairs")
+
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().withColumn("paired", F.lit(True))
+    wanted = sets.join(homes, "sid", "left").join(paired, "set_id", "left").filter("home IS NOT NULL OR paired")
+    wanted = materialize(wanted.select(F.col("home").alias("canopy"), "size_class", "set_id", "copies", "of.*"), "wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -380,15 +462,15 @@ def linked_sets(docs: DataFrame, block: int, n: int, percent: int) -> tuple[Data
             for part in slices(batch):
                 h = [shingles(text or "", words, n) for text in part.column("text").to_pylist()]
                 same = pa.array([len(x) > 0 and set_id(x) == want for x, want in zip(h, part.column("set_id").to_pylist(), strict=True)], pa.bool_())
-                of_size = np.searchsorted(size_classes(percent), [len(x) for x in h], "right")
-                whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("canopy", "set_id", "copies")), pa.array(of_size, pa.int32()), pa.array([x.tobytes() for x in h], pa.binary())], ["canopy", "set_id", "copies", "size_class", "h"])
+                whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("canopy", "size_class", "set_id", "copies")), pa.array([x.tobytes() for x in h], pa.binary())], ["canopy", "size_class", "set_id", "copies", "data"])
                 yield whole.filter(same)
 
     texts = docs.select(*row_keys(), "text").join(small(wanted), ["key", "text_hash"])
-    members = texts.select("canopy", "set_id", "copies", "text").mapInArrow(hashed, "canopy long, set_id binary, copies long, size_class int, h binary")
-    members = materialize(members.dropDuplicates(["set_id"]), "members")
-    links = materialize(link_blocks(members, block, percent), "links")
-    release(edges, wanted, members)
+    members = texts.select("canopy", "size_class", "set_id", "copies", "text").mapInArrow(hashed, "canopy long, size_class int, set_id binary, copies long, data binary")
+    # In the order of canopies, sets that are much alike lie together, and their copies for the pairs of blocks compress.
+    members = materialize(members.dropDuplicates(["set_id"]).repartitionByRange("canopy", "set_id").sortWithinPartitions("canopy", "set_id"), "members")
+    links = materialize(link_blocks(members.filter("canopy IS NOT NULL"), block, percent).unionByName(verified_pairs(pairs, members, percent)), "links")
+    release(agree, homes, guests, meeting, pairs, wanted, members)
     reach = materialize(components(links.select(F.col("set_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "set_id"), "reach")
     held = sets.select("set_id", "copies", F.col("of.key").alias("own")).join(links.groupBy("set_id").agg(F.sum("links").alias("links")), "set_id", "left").join(reach, "set_id", "left")
     of_component = held.filter("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("id"))

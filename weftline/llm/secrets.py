@@ -215,7 +215,8 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     A span is kind:start:end in code points, end exclusive; spans are ordered by start, then by the rules' order, and
     comma-joined. base_sha256 is the digest of the base rules' spans alone. A null or empty text has no spans, so the
-    digest of the empty string. Repeated rows are scanned each. Other columns are not read.
+    digest of the empty string. A very long text is scanned whole. Repeated rows are scanned each. Other columns are not
+    read. An empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = [i for i, rule in enumerate(rules) if rule.base]
