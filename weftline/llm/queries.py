@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.bpe import bpe_digests
 from weftline.llm.common import table
+from weftline.llm.conversations import damaged, repair_conversations
 from weftline.llm.exact_dedup import exact_groups
 from weftline.llm.language import identify_languages
 from weftline.llm.mixing import mix_sources
 from weftline.llm.ngram_join import ngram_jaccard
+from weftline.llm.periodic import run_digests, with_planted_runs
+from weftline.llm.quality import classify_quality
 from weftline.llm.secrets import secret_scan
 from weftline.llm.sharding import shard_documents
 from weftline.llm.simhash import fingerprint_documents
@@ -60,6 +63,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive(table(spark, sf_dir, "pages"), least=100)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(with_planted_runs(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality": op12_quality,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _SPACED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
