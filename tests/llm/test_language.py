@@ -129,3 +129,16 @@ def test_sample_is_bounded_and_whole_texts(spark):
     assert Counter(x for x, _ in few) == {"de": 10, "en": 6} and set(few) <= set(every)
     tight = training_rows(df, 1000, F.lit(True), sample_bytes=4000)
     assert sum(len(t) for x, t in tight if x == "de") <= 2000 and Counter(x for x, _ in tight)["en"] == 5
+
+
+def test_rows_alike_count_against_the_bounds(spark):
+    rows = [(1, "the same few words", "en")] * 5000 + [(2, f"der hund {i}", "de") for i in range(300)] + [(None, "null ids too", "fr")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = Counter(lang for lang, _ in training_rows(docs, 100, F.lit(True)))
+    assert found == {"en": 100, "de": 100, "fr": 100}
+    for size in (60, 1000, 3001):
+        sample = training_rows(docs, 1000, F.lit(True), sample_bytes=size)
+        used = Counter()
+        for lang, text in sample:
+            used[lang] += len(text.encode())
+        assert all(n <= size // 3 for n in used.values()) and sum(used.values()) >= size - 3 * 19

@@ -70,3 +70,27 @@ def test_mix_meets_those_targets(docs):
         seen[s] = r["source_size"]
     assert rows and seen == dict(sizes)
     assert all(abs(taken[s] - want[s]) <= 2 * 2 * 9 for s in sizes)
+
+
+def test_targets_where_ids_are_null_or_rows_are_alike(spark):
+    """A source of null ids, one of a single repeated id, one of rows alike in all, and one beside them."""
+    rows = [(None, " ".join(["w"] * (1 + i % 19)) + f" {i}", "a") for i in range(300)] + [(7, f"t {i} " * (i % 11), "b") for i in range(300)]
+    rows += [(9, "the very same text", "c")] * 400 + [(i, f"x {i}", "d") for i in range(5000)] + [(None, None, "a"), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    for weights in ((5, 2, 1), (1, 1, 2), (1, 7, 1)):
+        want = levelled(sizes, weights, 1.5, 2.0)
+        taken, alike = Counter(), Counter()
+        for r in mix_sources(docs, weights).collect():
+            taken[r["source"]] += r["taken"]
+            alike[r["taken"]] += r["source"] == "c"
+        assert all(abs(taken[s] - want[s]) <= 24 for s in sizes) and abs(taken["c"] - want["c"]) <= 4
+        mixed = Counter()
+        places = defaultdict(list)
+        for r in mix_documents(docs, weights).collect():
+            mixed[r["doc"]["source"]] += len((r["doc"]["text"] or "").split())
+            places[r["shard"]].append(r["position"])
+        assert mixed == Counter({s: n for s, n in taken.items() if n})
+        assert all(x == list(range(len(x))) for x in places.values())

@@ -105,18 +105,22 @@ def training_rows(docs: DataFrame, per_language: int, condition: Column, sample_
     The documents of a language come in the order of a hash of id and text. Those with over its part of the bytes are
     passed over, and the sample ends before the sum of the others goes beyond that part.
     """
-    labelled = docs.filter(condition & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = labelled.select("lang", F.xxhash64("doc_id", "text").alias("place"), F.octet_length("text").alias("bytes"), "doc_id")
-    languages = rows.select("lang").distinct().count()
+    labelled = docs.filter(condition & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumns({"place": F.xxhash64("doc_id", "text"), "bytes": F.octet_length("text")})
+    languages = labelled.select("lang").distinct().count()
     if not languages:
         return []
     part = sample_bytes // languages
     order = Window.partitionBy("lang").orderBy("place", F.col("doc_id").asc_nulls_first())
-    first = rows.filter(F.col("bytes") <= part).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    ends = first.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= part)
-    last = ends.groupBy("lang").agg(F.max("place").alias("last"))
-    chosen = labelled.withColumn("place", F.xxhash64("doc_id", "text")).join(F.broadcast(last) if languages <= SMALL_ROWS else last, "lang").filter((F.col("place") <= F.col("last")) & (F.octet_length("text") <= part))
-    return sorted((r["lang"], r["text"]) for r in chosen.select("lang", "text").collect())
+
+    def within(rows: DataFrame) -> DataFrame:
+        first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+        return first.withColumn("sum", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= part)
+
+    short = labelled.filter(F.col("bytes") <= part)
+    last = within(short.select("lang", "place", "bytes", "doc_id")).groupBy("lang").agg(F.max("place").alias("last"))
+    # Texts are looked up by where the sample ends; rows alike at its end are cut once more, with their texts.
+    near = short.join(F.broadcast(last) if languages <= SMALL_ROWS else last, "lang").filter(F.col("place") <= F.col("last"))
+    return sorted((r["lang"], r["text"]) for r in within(near.select("lang", "text", "place", "bytes", "doc_id")).select("lang", "text").collect())
 
 
 def held_out() -> Column:

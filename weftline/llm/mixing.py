@@ -13,7 +13,7 @@ most MAX_SOURCES sources.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -29,11 +29,16 @@ LEVELS = 4
 MAX_SOURCES = 100_000
 #: A shard is put in order in 2**CELL_BITS ranges of the hash, so that its order is more than one task's work.
 CELL_BITS = 12
+#: The `row` of rows that needn't be told apart.
+NEVER = (1 << 62) - 1
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What one source gives: target words, whole passes, the hash order below which documents come once more, blocks by shard."""
+    """What one source gives: target words, whole passes, the hash order below which documents come once more, blocks by shard.
+
+    Where several rows lie at `below`, they are to give `tied` words more (else None), and those with a `row` below `rows` do.
+    """
 
     source: str | None
     size: int
@@ -41,6 +46,8 @@ class Plan:
     passes: int
     below: int
     shards: list[int]
+    tied: float | None = None
+    rows: int = 0
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...], share: float, most: float) -> dict[str | None, float]:
@@ -77,58 +84,91 @@ def word_count(text: Column) -> Column:
 
 
 def _hash_order(seed: int) -> Column:
-    """40 bits: a block number permuted for each source, then finer bits."""
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    """40 bits of a document (doc_id and text): a block number permuted for each source, then finer bits."""
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     s = F.xxhash64(F.lit(seed + 1), F.col("source"))
     block = F.shiftrightunsigned(h, 64 - BITS)
     permuted = (block * (s.bitwiseAND(F.lit(BLOCKS - 1)).bitwiseOR(F.lit(1))) + F.shiftrightunsigned(s, 64 - BITS)).bitwiseAND(F.lit(BLOCKS - 1))
     return F.shiftleft(permuted, BITS * (LEVELS - 1)) + F.shiftrightunsigned(h, 64 - BITS * LEVELS).bitwiseAND(F.lit((1 << BITS * (LEVELS - 1)) - 1))
 
 
-def plan_mix(slim: DataFrame, weights: tuple[int, ...], share: float, most: float, shards: int, seed: int) -> list[Plan]:
-    """slim: source, size, place. Each level sums words by block where a target falls and returns, for each source, the block that reaches it."""
-    found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["size"] for r in found}
-    if not sizes:
-        return []
-    want = targets(sizes, weights, share, most)
-    passes = {s: min(int(want[s] // sizes[s]), int(most)) if sizes[s] else 0 for s in sizes}
-    rest = {s: want[s] - passes[s] * sizes[s] for s in sizes}
-    below = dict.fromkeys(sizes, 0)
-    open_ = {s for s in sizes if rest[s] > 0 and sizes[s]}
+def _row_order(seed: int) -> Column:
+    """40 bits of a row, to tell rows alike apart; they are kept only where they are written at once."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed + 3), F.monotonically_increasing_id()), 64 - BITS * LEVELS)
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Where a source's order is cut: what lies below `below` is taken. rest words more are wanted of the n rows at `below`, of `size` words."""
+
+    below: int
+    rest: float = 0.0
+    size: int = 0
+    n: int = 0
+
+
+def _cuts(slim: DataFrame, rest: dict[str | None, float], place: str = "place") -> dict[str | None, Cut]:
+    """Each level sums the words by block where a source's rest falls, and goes on in the block that reaches it."""
+    found = {s: Cut(0, x) for s, x in rest.items()}
+    open_ = {s for s, x in rest.items() if x > 0}
     for level in range(LEVELS):
         if not open_:
             break
         shift = BITS * (LEVELS - 1 - level)
-        asked = slim.sparkSession.createDataFrame([(s, float(rest[s]), below[s] >> shift + BITS) for s in open_], "asked string, rest double, cell long")
-        inside = slim["source"].eqNullSafe(asked["asked"]) & (F.shiftright("place", shift + BITS) == asked["cell"])
-        units = slim.join(F.broadcast(asked), inside).groupBy("source", "rest", F.shiftright("place", shift).alias("unit")).agg(F.sum("size").alias("size"))
+        asked = slim.sparkSession.createDataFrame([(s, float(found[s].rest), found[s].below >> shift + BITS) for s in open_], "asked string, rest double, cell long")
+        inside = slim["source"].eqNullSafe(asked["asked"]) & (F.shiftright(place, shift + BITS) == asked["cell"])
+        units = slim.join(F.broadcast(asked), inside).groupBy("source", "rest", F.shiftright(place, shift).alias("unit")).agg(F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
         reached = units.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("unit"))).filter("upto > rest")
-        first = {r["source"]: r["at"] for r in reached.groupBy("source").agg(F.min(F.struct("unit", "size", "upto")).alias("at")).collect()}
+        first = {r["source"]: r["at"] for r in reached.groupBy("source").agg(F.min(F.struct("unit", "size", "n", "upto")).alias("at")).collect()}
         for s in list(open_):
             at = first.get(s)
             if at is None:
-                below[s] += 1 << shift + BITS
+                found[s] = Cut(found[s].below + (1 << shift + BITS))
                 open_.discard(s)
-                continue
-            rest[s] -= at["upto"] - at["size"]
-            below[s] = at["unit"] << shift
-            if level == LEVELS - 1 and 2 * rest[s] >= at["size"]:
-                below[s] += 1
+            else:
+                found[s] = Cut(at["unit"] << shift, found[s].rest - at["upto"] + at["size"], at["size"], at["n"])
+    return found
+
+
+def _tied(rows: DataFrame, below: dict[str | None, int]) -> DataFrame:
+    """rows at the place where their source is cut, of the given sources."""
+    asked = rows.sparkSession.createDataFrame(list(below.items()), "tied_source string, tied_place long")
+    return rows.join(F.broadcast(asked), rows["source"].eqNullSafe(asked["tied_source"]) & (rows["place"] == asked["tied_place"]), "left_semi")
+
+
+def plan_mix(slim: DataFrame, weights: tuple[int, ...], share: float, most: float, shards: int, seed: int) -> list[Plan]:
+    """slim: source, size, place, and row, which tells rows at one place apart. A source is cut between documents, and between rows alike where its cut falls on them."""
+    found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {r["source"]: r["size"] for r in found}
+    if not sizes:
+        return []
+    want = targets(sizes, weights, share, most)
+    passes = {s: min(int(want[s] // sizes[s]), int(most)) if sizes[s] else 0 for s in sizes}
+    cuts = _cuts(slim, {s: want[s] - passes[s] * sizes[s] if sizes[s] else 0.0 for s in sizes})
+    below = {s: cut.below + (cut.n == 1 and 2 * cut.rest >= cut.size) for s, cut in cuts.items()}
+    tied = {s: cut.rest for s, cut in cuts.items() if cut.n > 1}
+    rows = cut_rows(slim, {s: below[s] for s in tied}, tied) if tied else {}
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    quotas = [passes[s] * BLOCKS + -(-below[s] // (1 << BITS * (LEVELS - 1))) for s in order]
+    quotas = [passes[s] * BLOCKS + -(-(below[s] + (s in tied)) // (1 << BITS * (LEVELS - 1))) for s in order]
     dealt = split_quotas(quotas, shards, seed)
-    return [Plan(s, sizes[s], want[s], passes[s], below[s], [x[i] for x in dealt]) for i, s in enumerate(order)]
+    return [Plan(s, sizes[s], want[s], passes[s], below[s], [x[i] for x in dealt], tied.get(s), rows.get(s, 0)) for i, s in enumerate(order)]
+
+
+def cut_rows(rows: DataFrame, below: dict[str | None, int], rest: dict[str | None, float]) -> dict[str | None, int]:
+    """For each source the `row` up to which its rows at one place are taken once more, so that they come nearest to its rest."""
+    cuts = _cuts(_tied(rows, below), rest, "row")
+    return {s: cut.below + (2 * cut.rest >= cut.size > 0) for s, cut in cuts.items()}
 
 
 def _deal(rows: DataFrame, plans: list[Plan]) -> DataFrame:
     """rows (source, size, place, ...) with source_size, target and shards, the output shard of each copy."""
-    kinds = T.StructType.fromDDL("plan_source string, source_size long, target double, passes int, below long, upto array<long>")
-    of_plans = [(p.source, p.size, p.target, p.passes, p.below, np.cumsum(p.shards).tolist()) for p in plans]
+    kinds = T.StructType.fromDDL("plan_source string, source_size long, target double, passes int, below long, rows long, upto array<long>")
+    of_plans = [(p.source, p.size, p.target, p.passes, p.below, p.rows, np.cumsum(p.shards).tolist()) for p in plans]
     sources = rows.sparkSession.createDataFrame(of_plans, kinds)
-    copies = F.col("passes") + F.when(F.col("place") < F.col("below"), 1).otherwise(0)
+    once_more = (F.col("place") < F.col("below")) | ((F.col("place") == F.col("below")) & (F.col("row") < F.col("rows")))
+    copies = F.col("passes") + F.when(once_more, 1).otherwise(0)
     drawn = F.when((copies > 0) & (F.col("size") > 0), F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
     block = F.shiftright("place", BITS * (LEVELS - 1))
     shard = lambda i: F.size(F.filter("upto", lambda x: x <= i * BLOCKS + block))
@@ -136,20 +176,20 @@ def _deal(rows: DataFrame, plans: list[Plan]) -> DataFrame:
 
 
 def _slim(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
-    return materialize(docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place")), "mix")
+    return materialize(docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place"), _row_order(seed).alias("row")), "mix")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 20240229) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, shards (the output shard of each copy).
+    """One row per input row: doc_id, size, source_size, target, taken, shards (the output shard of each copy), source.
 
     Sizes are words; a null or empty text has none and is never taken. A null source is a source, the last. What is taken
-    of a source is within one document of its target. Rows that repeat a doc_id within a source share their place in the
-    order, so they are taken alike; a null doc_id is a value like others. A very long text is taken whole or not at all.
-    An empty table gives no rows; more than MAX_SOURCES sources stop the job. Reruns agree.
+    of a source is within one document of its target, whatever its doc_ids: null and repeated ones are told apart by their
+    texts, and of rows alike in doc_id and text as many are taken as come nearest. A very long text is taken whole or not at
+    all. An empty table gives no rows; more than MAX_SOURCES sources stop the job. Reruns agree, as sets of rows.
     """
     slim = _slim(docs, seed)
     dealt = _deal(slim, plan_mix(slim, weights, share, most, shards, seed))
-    return dealt.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"), "shards")
+    return dealt.select("doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"), "shards", "source")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 20240229) -> DataFrame:
@@ -163,7 +203,15 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     slim = _slim(docs, seed, of_text)
     plans = plan_mix(slim, weights, share, most, shards, seed)
     rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), _hash_order(seed).alias("place"), of_text)
-    taken = _shuffle_keys(_deal(rows, plans), seed, "doc")
+    taken = _deal(rows.withColumn("row", F.lit(NEVER)), plans)
+    if tied := {p.source: p for p in plans if p.tied is not None}:
+        # Rows alike are numbered where they are written; what the plan took of them by the slim table is taken of these.
+        below = {s: p.below for s, p in tied.items()}
+        alike = materialize(_tied(rows, below).withColumn("row", _row_order(seed)), "mix-alike")
+        cut = cut_rows(alike, below, {s: p.tied for s, p in tied.items()})
+        others = rows.join(F.broadcast(docs.sparkSession.createDataFrame(list(below.items()), "tied_source string, tied_place long")), F.col("source").eqNullSafe(F.col("tied_source")) & (F.col("place") == F.col("tied_place")), "left_anti")
+        taken = _deal(others.withColumn("row", F.lit(NEVER)), plans).unionByName(_deal(alike, [replace(p, rows=cut.get(p.source, 0)) for p in plans]))
+    taken = _shuffle_keys(taken, seed, "doc")
     cells = _shuffle_keys(_deal(slim, plans), seed).groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(F.col("shard").alias("cell_shard"), F.col("cell").alias("cell_cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
