@@ -1,5 +1,7 @@
 """Queries over whole arrays and whole vocabularies, on tables that are longer than any prefix of theirs."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -8,6 +10,7 @@ from weftline.catalog.models import sentences
 from weftline.functions import signal as s
 from weftline.operators import alignment as al
 from weftline.operators import tagging as tg
+from weftline.operators import tree as tr
 
 
 @pytest.fixture(scope="module")
@@ -59,26 +62,62 @@ def test_fft_magnitudes_are_of_every_frame(spark, long_users):
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
 
 
-def test_viterbi_tags_know_every_word(spark, tmp_path):
-    """More (word, tag) pairs than 20,000, against one model of all of them."""
+def fine(tags):
+    """Where a word stands: before a mark or the end, after a short word, elsewhere."""
+    out = []
+    for i, t in enumerate(tags):
+        after = tags[i + 1] if i + 1 < len(tags) else "P"
+        out.append(t if t in "PN" else t + ("e" if after == "P" else "b" if i and tags[i - 1] == "S" else "c"))
+    return out
+
+
+def test_viterbi_tags_decide_by_context(spark, tmp_path):
+    """More (word, tag) pairs than 20,000, words of several tags and words seen once, against one model of all of them."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
-    rows = [(d, " ".join(word(d * 100 + i).capitalize() if i % 3 == 0 else str(d * 100 + i) if i % 7 == 0 else word(d * 100 + i) for i in range(100)) + ".") for d in range(230)]
+    shape = lambda i: word(i).capitalize() if i % 3 == 0 else str(i) if i % 7 == 0 else word(i)[:2] if i % 11 == 0 else word(i) + ("," if i % 5 == 0 else "")
+    rows = [(d, " ".join(shape(d * 100 + i * 7 % 173) for i in range(100)) + ".") for d in range(340)]
     rows += [(None, "Abcd the 12."), (None, "The abcd, 13."), (0, "Other words here."), (999, ""), (998, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    held = sentences(spark, str(tmp_path)).collect()
+    held = [(r["doc_id"], r["sent_id"], r["words"], fine(r["tags"])) for r in sentences(spark, str(tmp_path)).collect()]
     counts, known, pairs = {}, {}, {}
-    for r in held:
-        for w, t in zip(r["words"], r["tags"], strict=True):
+    for _, _, words, tags in held:
+        for w, t in zip(words, tags, strict=True):
             counts[t] = counts.get(t, 0) + 1
             known.setdefault(w, {})[t] = known.get(w, {}).get(t, 0) + 1
-        for move in zip(r["tags"], r["tags"][1:]):
+        for move in zip(tags, [*tags[1:], "_"], strict=True):
             pairs[move] = pairs.get(move, 0) + 1
     assert sum(map(len, known.values())) > 20_000
+    lexicon = {w: of for w, of in known.items() if sum(of.values()) > 1}
+    assert 100 < len(lexicon) < len(known)
+    bags = [(t, sorted(tg.suffix_bag(w, 3)), n) for w, of in lexicon.items() for t, n in of.items()]
+    suffixes = tr.grow(spark.createDataFrame(bags, "label string, feats array<string>, n long"), cut_off=200, max_depth=3)
+    assert suffixes.leaves() > 2
     firsts = {}
     for (a, _), n in pairs.items():
         firsts[a] = firsts.get(a, 0) + n
-    model = tg.TagModel(counts, known, {(a, b): n / firsts[a] for (a, b), n in pairs.items()})
-    want = [(r["doc_id"], r["sent_id"], " ".join(tg.viterbi(r["words"], model))) for r in held]
+    total = sum(counts.values()) + sum(sum(of.values()) for of in lexicon.values())
+    model = tg.TagModel(counts, lexicon, {(a, b): n / firsts[a] for (a, b), n in pairs.items()}, suffixes, total)
+    want = [(d, s, " ".join(tg.viterbi(words, model))) for d, s, words, _ in held]
     got = [(r["doc_id"], r["sent_id"], r["tags"]) for r in QUERIES["viterbi_tags"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    alone = [(d, s, " ".join(max(model.candidates(w), key=lambda c: c[1])[0] for w in words)) for d, s, words, _ in held]
+    assert sum(a != b for a, b in zip(alone, want, strict=True)) > 50
+
+
+def test_tags_of_the_tables_are_ambiguous(spark, small):
+    """A tenth of the tokens and more have several tags, and context decides them better than their most frequent tag."""
+    given = {(r["doc_id"], r["sent_id"]): r["tags"].split() for r in QUERIES["viterbi_tags"](spark, small).collect()}
+    rows = [(r["words"], fine(r["tags"]), given[r["doc_id"], r["sent_id"]]) for r in sentences(spark, small).collect()]
+    of = {}
+    for words, tags, _ in rows:
+        for w, t in zip(words, tags, strict=True):
+            of.setdefault(w, Counter())[t] += 1
+    tokens = [(w, t, g) for row in rows for w, t, g in zip(*row, strict=True)]
+    assert sum(len(of[w]) > 1 for w, _, _ in tokens) > len(tokens) / 10
+    assert sum(of[w].most_common(1)[0][0] != g for w, _, g in tokens) > len(tokens) / 10
+    several = [(w, t, g) for w, t, g in tokens if len(of[w]) > 1]
+    right, alone = sum(t == g for _, t, g in several), sum(of[w].most_common(1)[0][0] == t for w, t, _ in several)
+    assert right > 0.8 * len(several) and right > 1.1 * alone
+    # The edge rows: no line is left out, and an empty model tags nothing.
+    assert len(given) == len(rows) and tg.viterbi([], tg.TagModel({}, {}, {})) == []

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.catalog.registry import query, table
+from weftline.catalog.registry import query, stored, table
 from weftline.catalog.text import IS_PUNCT, LETTERS_SQL, WORDS_SQL, split_tokens, tokens_sql
 from weftline.operators import counts as k
 from weftline.operators import tagging as tg
@@ -241,21 +241,34 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return plan(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+#: Words that occur so often have a lexicon entry; the others have the candidates of their suffixes.
+KNOWN = 2
+
+
+def context_tags(tags: str) -> Column:
+    """Coarse tags, those of words with where they stand: e before a mark or the end, b after a short word, c elsewhere."""
+    place = lambda i: F.when(F.coalesce(F.get(tags, i + 1), F.lit("P")) == "P", "e").when((i > 0) & (F.get(tags, i - 1) == "S"), "b").otherwise("c")
+    return F.transform(tags, lambda t, i: F.when(t.isin("P", "N"), t).otherwise(F.concat(t, place(i))))
+
+
 def tag_model(held: DataFrame) -> tuple[tg.TagModel, DataFrame]:
-    """Tags' counts and transitions over all sentences (words, tags), and the lexicon: word, known, the counts of its tags.
+    """From sentences (words, tags): tags' counts and transitions with a suffix tree over the lexicon, and the lexicon: word, n, known (counts of its tags).
 
-    A model has a row for each pair of tags, and every tag comes after one tag or an edge, so pairs also count tags. The
-    lexicon grows with the vocabulary, so it stays a table.
+    Words, tags and next tags are counted in one pass. A model has a row for each pair of tags; the lexicon grows with the
+    vocabulary, so it stays a table.
     """
-    by_word = held.select(F.inline(F.arrays_zip("words", "tags"))).toDF("word", "tag").groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
-    moves = [(r["prev"], r["next"], r["n"]) for r in k.bigrams_in(held, "tags").collect()]
-    tags, given = Counter(), Counter()
-    for prev, tag, n in moves:
-        given[prev] += n
+    following = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get("tags", i).alias("tag"), F.coalesce(F.get("tags", i + 1), F.lit(k.EDGE)).alias("next")))
+    counted = stored(held.select(F.inline(following)).groupBy("word", "tag", "next").agg(F.count(F.lit(1)).alias("n")), "word-tags")
+    moves = [(r["tag"], r["next"], r["n"]) for r in counted.groupBy("tag", "next").agg(F.sum("n").alias("n")).collect()]
+    tags = Counter()
+    for tag, _, n in moves:
         tags[tag] += n
-    del tags[k.EDGE]
-    lexicon = by_word.groupBy("word").agg(F.collect_list(F.struct("tag", "n")).alias("known"))
-    return tg.TagModel(dict(tags), {}, {(prev, tag): n / given[prev] for prev, tag, n in moves}), lexicon
+    by_word = counted.groupBy("word", "tag").agg(F.sum("n").alias("n"))
+    entries = by_word.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("tag", "n")).alias("known"))
+    lexicon = stored(entries.filter(F.col("n") >= KNOWN), "lexicon")
+    bags = lexicon.select("word", F.inline("known")).select(F.col("tag").alias("label"), tg.suffix_features(F.col("word"), 3).alias("feats"), "n")
+    suffixes = tr.grow(bags.groupBy("label", "feats").agg(F.sum("n").alias("n")), cut_off=200, max_depth=3)
+    return tg.TagModel(dict(tags), {}, {(tag, after): n / tags[tag] for tag, after, n in moves}, suffixes, tg.grand_total(tags, lexicon)), lexicon
 
 
 #: CTEs: tokens, sl (sentences) and tt (tags of tokens by form).
@@ -263,12 +276,36 @@ TAGS_SQL = rf"""{tokens_sql("documents", "doc_id")}, sl AS (SELECT doc_id, CAST(
     tt AS (SELECT doc_id, CAST(sent_id AS INT) AS sent_id, pos, word, CASE WHEN {IS_PUNCT} THEN 'P' WHEN regexp_matches(word, '^\p{{Nd}}') THEN 'N' WHEN regexp_matches(word, '^\p{{Lu}}') THEN 'U' WHEN length(word) <= 3 THEN 'S' ELSE 'W' END AS tag FROM tk)"""
 
 
-@query(f"WITH {TAGS_SQL} SELECT sl.doc_id, sl.sent_id, coalesce(string_agg(tag, ' ' ORDER BY pos), '') AS tags FROM sl LEFT JOIN tt USING (doc_id, sent_id) GROUP BY ALL")
+#: CTEs: tokens with tags by context, the model's tables and its candidates (ca: doc_id, sent_id, pos, word, no, e: a tag's number and its log emission in millionths), and em: the number of tags and a row of all log transitions.
+VITERBI_SQL = f"""{TAGS_SQL},
+    tn AS (SELECT doc_id, sent_id, pos, word, tag AS base, coalesce(lag(tag) OVER w, 'P') AS before, coalesce(lead(tag) OVER w, 'P') AS after FROM tt WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos)),
+    tf AS (SELECT doc_id, sent_id, pos, word, CASE WHEN base IN ('P', 'N') THEN base WHEN after = 'P' THEN base || 'e' WHEN before = 'S' THEN base || 'b' ELSE base || 'c' END AS tag FROM tn),
+    wt AS (SELECT word, tag, count(*) AS n FROM tf GROUP BY ALL), lx AS (SELECT word, tag, n FROM wt WHERE word IN (SELECT word FROM wt GROUP BY word HAVING sum(n) >= {KNOWN})),
+    tc AS (SELECT tag, count(*) AS n, row_number() OVER (ORDER BY tag) AS no FROM tf GROUP BY tag), al AS (SELECT (SELECT sum(n) FROM tc) + (SELECT coalesce(sum(n), 0) FROM lx) AS total),
+    mv AS (SELECT tag AS prev, coalesce(lead(tag) OVER (PARTITION BY doc_id, sent_id ORDER BY pos), '') AS next FROM tf), mc AS (SELECT prev, next, count(*) AS n FROM mv GROUP BY ALL), mp AS (SELECT prev, next, n / sum(n) OVER (PARTITION BY prev) AS p FROM mc),
+    em AS (SELECT (SELECT count(*) FROM tc) AS k, list(CAST(round(ln(coalesce(p, 1 / (total + 1))) * 1e6) AS BIGINT) ORDER BY a.no, b.no) AS t FROM tc a CROSS JOIN tc b CROSS JOIN al LEFT JOIN mp ON mp.prev = a.tag AND mp.next = b.tag),
+    su AS (SELECT tag AS label, list_transform(range(3), lambda i: 'e' || i || ':' || CASE WHEN length(word) > i THEN substr(word, length(word) - i, 1) ELSE '_' END) AS feats, sum(n) AS n FROM lx GROUP BY ALL),
+    un AS (SELECT word, list_transform(range(3), lambda i: 'e' || i || ':' || CASE WHEN length(word) > i THEN substr(word, length(word) - i, 1) ELSE '_' END) AS feats FROM (SELECT DISTINCT word FROM tf WHERE word NOT IN (SELECT word FROM lx))),
+    {grown_sql("su", "un", "word", 3, 200)},
+    cd AS (SELECT word, no, CAST(round(ln(lx.n / (tc.n + 1)) * 1e6) AS BIGINT) AS e FROM lx JOIN tc USING (tag) UNION ALL
+      SELECT p3.word, no, CAST(round(ln(1 / (tc.n + 1)) * 1e6) AS BIGINT) FROM p3 JOIN (SELECT DISTINCT node, label FROM b3) q ON q.node = p3.node JOIN tc ON tc.tag = q.label),
+    ca AS (SELECT doc_id, sent_id, pos, word, no, e FROM tf JOIN cd USING (word))"""
+
+
+@query(f"""
+    WITH {VITERBI_SQL},
+    po AS (SELECT doc_id, sent_id, pos, list({{'s': e, 'neg': CAST(0 AS BIGINT), 'path': chr(CAST(96 + no AS INT)), 'no': no}} ORDER BY no) AS c FROM ca GROUP BY ALL), se AS (SELECT doc_id, sent_id, list(c ORDER BY pos) AS cs FROM po GROUP BY ALL),
+    dp AS (SELECT doc_id, sent_id, list_reduce(cs, lambda acc, x: list_transform(x, lambda c: list_sort(list_transform(acc, lambda p: {{'s': p.s + t[(p.no - 1) * k + c.no] + c.s, 'neg': -p.no, 'path': p.path || c.path, 'no': c.no}}), 'DESC')[1])) AS last FROM se, em),
+    pa AS (SELECT doc_id, sent_id, list_sort(list_transform(last, lambda p: {{'s': p.s, 'neg': -p.no, 'path': p.path}}), 'DESC')[1].path AS path FROM dp)
+    SELECT sl.doc_id, sl.sent_id, coalesce(array_to_string(list_transform(string_split(path, ''), lambda x: names[ascii(x) - 96]), ' '), '') AS tags FROM sl LEFT JOIN pa USING (doc_id, sent_id), (SELECT list(tag ORDER BY no) AS names FROM tc)
+""")
 def viterbi_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """The likeliest tags of every sentence, by counts of its words' forms."""
-    held = sentences(spark, sf)
-    model, lexicon = tag_model(held.select("words", "tags"))
-    return tg.label_by_lexicon(held.select("doc_id", "sent_id", "words"), ["doc_id", "sent_id"], "words", lexicon, model, "found").select("doc_id", "sent_id", F.array_join("found", " ").alias("tags"))
+    """The likeliest tags of every sentence, where tags depend on what stands beside a word; words seen once are known by their suffixes."""
+    coarse = sentences(spark, sf).select("doc_id", "sent_id", "words", "tags").withColumnRenamed("tags", "coarse")
+    held = stored(coarse.select("doc_id", "sent_id", "words", context_tags("coarse").alias("tags"), F.monotonically_increasing_id().alias("row")), "sentences")
+    model, lexicon = tag_model(held)
+    found = tg.label_by_lexicon(held.select("row", "doc_id", "sent_id", "words"), "row", "words", lexicon, model, "found")
+    return found.select("doc_id", "sent_id", F.array_join("found", " ").alias("tags"))
 
 
 #: Rules over coarse tags.

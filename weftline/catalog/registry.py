@@ -35,9 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path where driver and executors share files: under spark.checkpoint.dir, or, on one machine, in one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        java = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = java.get() if java.isDefined() else None
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and the executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read back, so that what is read several times is made once and a lost executor costs nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
