@@ -13,7 +13,7 @@ from weftline.operators import acoustic as a
 from weftline.operators.context import distance_to_flag, distance_to_marks, place_in_group
 from weftline.operators.counts import sentence_totals, sentence_type
 from weftline.operators.labels import full_labels
-from weftline.plans.synthesis import speak
+from weftline.plans.synthesis import speak, state_parameters
 from weftline.sources.sinks import lexicon_line, token_line
 
 SENT = ["conv_id", "turn", "sent_id"]
@@ -165,6 +165,49 @@ def acoustic_frames(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "sent_id", "phone_no", "state", "leaf", a.voiced_pitch(F.col("mean"), F.col("weight"), 0.55).alias("pitch"), a.state_frames(F.col("mean")).alias("frames"))
 
 
+#: Trees of a voice of seven streams and its switch, after the questions of TREES.
+STREAM_TREES = {
+    "dur": '{*}[2]\n{\n 0 vowel -1 "d_vowel"\n -1 pause "d_other" "d_pause"\n}\n',
+    "lf0": '{*}[2]\n{\n 0 vowel "p_other" "p_vowel"\n}\n{*}[3]\n{\n 0 stressed "p_plain" "p_stressed"\n}\n',
+    "mgc": '{*}[2]\n{\n 0 vowel -1 "m_vowel"\n -1 pause "m_other" "m_pause"\n}\n',
+    "bap": '{*}[2]\n{\n 0 pause "b_sound" "b_pause"\n}\n',
+    "gv-lf0": '{*}[2]\n"v_lf0"\n',
+    "gv-mgc": '{*}[2]\n{\n 0 stressed "v_plain" "v_stressed"\n}\n',
+    "gv-bap": '{*}[2]\n"v_bap"\n',
+    "switch": '{*}[2]\n{\n 0 pause "gv-switch_2" "gv-switch_1"\n}\n',
+}
+#: stream, state, leaf, mean, var, weight.
+STREAM_DENSITIES = [
+    ("dur", 2, "d_vowel", [3.5, 6.4, 2.0], [1.0, 1.0, 1.0], None), ("dur", 2, "d_other", [2.2, 4.5, 1.0], [1.0, 1.0, 1.0], None), ("dur", 2, "d_pause", [8.0, 0.2, 8.0], [1.0, 1.0, 1.0], None),
+    ("lf0", 2, "p_vowel", [4.8, 0.25, -0.5], [0.1, 0.2, 0.3], 0.9), ("lf0", 2, "p_other", [4.6, 0.125, 0.5], [0.1, 0.2, 0.3], 0.2), ("lf0", 3, "p_stressed", [5.0, 0.5, 0.25], [0.2, 0.2, 0.2], 0.95), ("lf0", 3, "p_plain", [4.7, 0.0, 0.0], [0.3, 0.2, 0.1], 0.5),
+    ("mgc", 2, "m_vowel", [1.5, 0.5, 0.25, 0.75, 0.0, 0.0], [0.1] * 6, None), ("mgc", 2, "m_other", [0.5, -0.25, 0.5, 0.125, 0.0, 0.0], [0.2] * 6, None), ("mgc", 2, "m_pause", [-4.0, 0.0, 0.0, 0.0, 0.0, 0.0], [0.3] * 6, None),
+    ("bap", 2, "b_sound", [-3.0, 0.5, 0.0], [0.2, 0.1, 0.1], None), ("bap", 2, "b_pause", [0.0, 0.0, 0.0], [0.5, 0.1, 0.1], None),
+    ("gv-lf0", 2, "v_lf0", [0.03], [0.001], None), ("gv-mgc", 2, "v_plain", [1.5, 0.1], [0.25, 0.01], None), ("gv-mgc", 2, "v_stressed", [2.5, 0.2], [0.5, 0.02], None), ("gv-bap", 2, "v_bap", [1.0], [0.125], None),
+]
+
+
+@query(f"""
+    WITH {LABELS_SQL}, qs AS (SELECT *, regexp_matches(label, '(?s).-[aeiou]\\+.') AS vowel, contains(label, '/STRESS:1') AS stressed, contains(label, '-pau+') OR contains(label, '-sp+') AS pause FROM lb),
+    lv AS (SELECT *, CASE WHEN vowel THEN [3.5::DOUBLE, 6.4, 2.0] WHEN pause THEN [8.0, 0.2, 8.0] ELSE [2.2, 4.5, 1.0] END AS dur,
+      CASE state WHEN 2 THEN CASE WHEN vowel THEN [4.8::DOUBLE, 0.25, -0.5, 0.1, 0.9] ELSE [4.6, 0.125, 0.5, 0.1, 0.2] END ELSE CASE WHEN stressed THEN [5.0, 0.5, 0.25, 0.2, 0.95] ELSE [4.7, 0.0, 0.0, 0.3, 0.5] END END AS lf0,
+      CASE WHEN vowel THEN [1.5::DOUBLE, 0.5, 0.25, 0.75, 0.1] WHEN pause THEN [-4.0, 0.0, 0.0, 0.0, 0.3] ELSE [0.5, -0.25, 0.5, 0.125, 0.2] END AS mgc FROM qs, (VALUES (2), (3), (4)) s(state))
+    SELECT doc_id, sent_id, phone_no, CAST(state AS INT) AS state, CAST(greatest(floor(dur[state - 1] + 0.5), 1) AS INT) AS frames, lf0[5] >= 0.5 AS voiced, NOT pause AS spread, CASE WHEN lf0[5] < 0.5 THEN 0.0::DOUBLE ELSE lf0[1] END AS pitch, lf0[2] AS pitch_step, lf0[3] AS pitch_curve, lf0[4] AS pitch_var,
+      mgc[1] AS level, mgc[4] AS tilt_step, mgc[5] AS level_var, CASE WHEN pause THEN 0.0::DOUBLE ELSE -3.0 END AS noise, CASE WHEN pause THEN 0.0::DOUBLE ELSE 0.5 END AS noise_step, 0.03::DOUBLE AS gv_pitch, CASE WHEN stressed THEN 2.5::DOUBLE ELSE 1.5 END AS gv_level, CASE WHEN stressed THEN 0.02::DOUBLE ELSE 0.01 END AS gv_tilt_var, 0.125::DOUBLE AS gv_noise_var FROM lv
+""")
+def stream_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every label's and state's parameters of all seven streams, with differences and total variances, by one look-up."""
+    questions = TREES.split("{*}")[0]
+    trees = {name: a.parse_trees(questions + text) for name, text in STREAM_TREES.items()}
+    switch = trees.pop("switch")
+    densities = spark.createDataFrame(STREAM_DENSITIES, "stream string, state int, leaf string, mean array<double>, var array<double>, weight double")
+    found = state_parameters(context_labels(spark, sf), ["doc_id", "sent_id", "phone_no"], trees, densities, 3, voicing=0.5, switch=switch)
+    part = lambda stream, i, name, kind="mean": F.get(f"{stream}_{kind}", i).alias(name)
+    return found.select(
+        "doc_id", "sent_id", "phone_no", "state", "frames", "voiced", "spread", part("lf0", 0, "pitch"), part("lf0", 1, "pitch_step"), part("lf0", 2, "pitch_curve"), part("lf0", 0, "pitch_var", "var"), part("mgc", 0, "level"), part("mgc", 3, "tilt_step"), part("mgc", 0, "level_var", "var"),
+        part("bap", 0, "noise"), part("bap", 1, "noise_step"), part("gv_lf0", 0, "gv_pitch"), part("gv_mgc", 0, "gv_level"), part("gv_mgc", 1, "gv_tilt_var", "var"), part("gv_bap", 0, "gv_noise_var", "var"),
+    )
+
+
 @query("""
     WITH t AS (SELECT conv_id, turn, length(text) AS frames FROM conversations)
     SELECT conv_id, turn, frames, CAST(coalesce(sum(frames) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, least(frames, 200, frames // 2 + 50) AS shortest FROM t

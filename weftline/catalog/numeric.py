@@ -271,13 +271,58 @@ def rebuilt_signals(spark: SparkSession, sf: str) -> DataFrame:
     return _per_user(spark, sf, fn, "user_id long, n long, energy double, shift long")
 
 
-@query()
-def smooth_trajectories(spark: SparkSession, sf: str) -> DataFrame:
-    """The likeliest trajectory of each user's values and differences, over rows that have a value."""
+#: The banded equations of each user's rows with a value: k says whether the windows fit, then the diagonal, the entries one and two before it and
+#: the right side; factors (four numbers a row: diagonal, two multipliers, right side) from the first row on, values from the last one back.
+TRAJECTORY_SQL = f"""
+    {EV_SQL}, md AS (SELECT user_id, i, v, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / 2 AS d1, coalesce(lag(v) OVER w, v) - 2 * v + coalesce(lead(v) OVER w, v) AS d2 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    vo AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS n FROM md WHERE v > 0), vk AS (SELECT *, CASE WHEN j BETWEEN 1 AND n - 2 THEN 1.0::DOUBLE ELSE 0.0 END AS k FROM vo),
+    vn AS (SELECT *, coalesce(lag(k) OVER w, 0) AS kp, coalesce(lead(k) OVER w, 0) AS kn, coalesce(lag(d1) OVER w, 0) AS d1p, coalesce(lead(d1) OVER w, 0) AS d1n, coalesce(lag(d2) OVER w, 0) AS d2p, coalesce(lead(d2) OVER w, 0) AS d2n FROM vk WINDOW w AS (PARTITION BY user_id ORDER BY j)),
+    sy AS (SELECT user_id, any_value(n) AS n, list([1 + 0.5 * (kp + kn) + 2 * (kp + 4 * k + kn), -4 * (kp + k), 1.5 * kp, v + d1p * kp - d1n * kn + 2 * (d2p * kp - 2 * d2 * k + d2n * kn)] ORDER BY j) AS e FROM vn GROUP BY user_id),
+    fa AS (SELECT user_id, n, list_reduce(e, lambda acc, x: list_concat(acc, list_transform([coalesce(x[3] / acc[-8], 0.0)], lambda m2: list_transform([(x[2] - m2 * acc[-3] * coalesce(acc[-8], 0.0)) / acc[-4]],
+      lambda m1: [x[1] - m1 * m1 * acc[-4] - m2 * m2 * coalesce(acc[-8], 0.0), m1, m2, x[4] - m1 * acc[-1] - m2 * coalesce(acc[-5], 0.0)])[1])[1])) AS f FROM sy),
+    ba AS (SELECT user_id, n, list_reduce(list_prepend([f[4 * n] / f[4 * n - 3]], list_transform(range(n - 2, -1, -1), lambda j: [f[4 * j + 4] / f[4 * j + 1], f[4 * j + 6], coalesce(f[4 * j + 11], 0.0)])), lambda acc, x: list_append(acc, x[1] - x[2] * acc[-1] - x[3] * coalesce(acc[-2], 0.0))) AS xs FROM fa),
+    tj AS (SELECT vo.user_id, vo.i, xs[ba.n - vo.j] AS x FROM vo JOIN ba ON ba.user_id = vo.user_id)"""
+
+
+def voiced_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """user_id, i, mean, var, voiced: values and differences with fixed variances."""
     w = Window.partitionBy("user_id").orderBy("i")
     d1, d2 = c.deltas("v", w)
-    rows = series(spark, sf).withColumns({"mean": F.array(F.col("v"), d1, d2), "var": F.array(F.lit(1.0), F.lit(0.5), F.lit(0.5)), "voiced": F.col("v") > 0})
-    return generate(rows, "user_id", "i", "mean", "var", "voiced").select("user_id", "i", F.round("value", 6).alias("value"))
+    return series(spark, sf).withColumns({"mean": F.array(F.col("v"), d1, d2), "var": F.array(F.lit(1.0), F.lit(0.5), F.lit(0.5)), "voiced": F.col("v") > 0})
+
+
+@query(f"WITH {TRAJECTORY_SQL} SELECT user_id, i, round(coalesce(x, 0), 6) AS value FROM ev LEFT JOIN tj USING (user_id, i)")
+def smooth_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """The likeliest trajectory of each user's values and differences, over rows that have a value."""
+    return generate(voiced_rows(spark, sf), "user_id", "i", "mean", "var", "voiced").select("user_id", "i", F.round("value", 6).alias("value"))
+
+
+@query(f"""
+    WITH {TRAJECTORY_SQL}, mo AS (SELECT user_id, var_pop(v) AS of FROM vo WHERE i % 7 <> 3 GROUP BY user_id), gv AS (SELECT avg(of) AS m FROM mo)
+    SELECT user_id, count(*) AS n, round(var_pop(x), 4) AS before, round((SELECT m FROM gv), 4) AS wanted FROM tj WHERE i % 7 <> 3 GROUP BY user_id HAVING count(*) > 1
+""")
+def total_variances(spark: SparkSession, sf: str) -> DataFrame:
+    """The variance of each user's trajectory over its frames that are on, and the one that it is to have: the mean of all users' own."""
+    found = spread_rows(spark, sf)
+    return found.select("user_id", "n", F.round("before", 4).alias("before"), F.round("wanted", 4).alias("wanted"))
+
+
+def spread_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """user_id, n, before, after, wanted: total variances of trajectories, plain and spread, over frames that are on (six of seven), and the one wanted, which is held to by a variance of a twentieth of it."""
+    rows = voiced_rows(spark, sf).withColumn("on", F.col("i") % 7 != 3)
+    of_users = moments(rows, F.col("mean")[0], ["user_id"], F.col("voiced") & F.col("on")).filter("n > 0")
+    wanted = of_users.agg(F.avg("var").alias("gv_mean")).withColumn("gv_var", F.col("gv_mean") / 20)
+    plain = generate(rows, "user_id", "i", "mean", "var", "voiced")
+    spread = generate(rows.crossJoin(F.broadcast(wanted)), "user_id", "i", "mean", "var", "voiced", ("gv_mean", "gv_var"), "on").withColumnRenamed("value", "spread")
+    both = rows.filter(F.col("voiced") & F.col("on")).select("user_id", "i").join(plain, ["user_id", "i"]).join(spread, ["user_id", "i"])
+    found = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("value").alias("before"), F.var_pop("spread").alias("after")).filter("n > 1")
+    return found.crossJoin(F.broadcast(wanted.select(F.col("gv_mean").alias("wanted"))))
+
+
+@query()
+def spread_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the variance after spreading, which lies nearer to the one wanted."""
+    return spread_rows(spark, sf).select("user_id", "n", *(F.round(x, 4).alias(x) for x in ("before", "after", "wanted")))
 
 
 #: Rows of the table of least costs, one after the other, each built from left to right.

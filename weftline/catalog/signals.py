@@ -209,6 +209,51 @@ def merged_references(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("n_nationkey", merge(F.lower("r_name"), F.lower("n_name")).alias("merged"))
 
 
+#: Line spectra of two frequencies: a gain and two angles by part.
+LSP_SQL = "lp AS (SELECT p_partkey, 1 + p_size / 10.0::DOUBLE AS gain, 0.3 + (p_partkey % 97) / 100.0::DOUBLE AS w1, 1.5 + (p_partkey % 89) / 80.0::DOUBLE AS w2 FROM part)"
+
+
+def line_spectra(spark: SparkSession, sf: str) -> DataFrame:
+    """p_partkey, lsp: a gain and two frequencies."""
+    angle = lambda low, mod, by: F.lit(low) + (F.col("p_partkey") % mod) / F.lit(by)
+    return table(spark, sf, "part").select("p_partkey", F.array(1 + F.col("p_size") / F.lit(10.0), angle(0.3, 97, 100.0), angle(1.5, 89, 80.0)).alias("lsp"))
+
+
+@query(f"""
+    WITH {LSP_SQL}, st AS (SELECT *, n, -1.0 / n AS g, [-cos(w1) - cos(w2), 1 - cos(w1) + cos(w2)] AS a FROM lp, (VALUES (1), (2), (3)) s(n))
+    SELECT p_partkey, CAST(n AS INT) AS stages, round((pow(gain, g) - 1) / g, 9) AS c0, round(pow(gain, g) * a[1] / g, 9) AS c1, round(pow(gain, g) * a[2] / g, 9) AS c2 FROM st
+""")
+def line_spectrum_cepstra(spark: SparkSession, sf: str) -> DataFrame:
+    """Mel-generalised cepstra of every part's line spectrum, for filters of one, two and three stages."""
+
+    @F.pandas_udf("array<double>")
+    def run(lsp: pd.Series, stages: pd.Series) -> pd.Series:
+        return pd.Series([s.line_spectrum_to_cepstrum(x, n, 0.0).tolist() for x, n in zip(lsp, stages, strict=True)])
+
+    rows = line_spectra(spark, sf).select("p_partkey", "lsp", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("stages")).withColumn("c", run("lsp", "stages"))
+    return rows.select("p_partkey", "stages", *(F.round(F.col("c")[i], 9).alias(f"c{i}") for i in range(3)))
+
+
+@query(f"""
+    WITH {LSP_SQL}, st AS (SELECT *, n, [-cos(w1) - cos(w2), 1 - cos(w1) + cos(w2)] AS a FROM lp, (VALUES (1), (2)) s(n)),
+    h1 AS (SELECT p_partkey, n, gain, a, list_reduce(list_prepend([0.0::DOUBLE, 1.0], list_transform(range(7), lambda i: [CAST(i AS DOUBLE)])), lambda acc, i: list_append(acc, -a[1] * acc[-1] - a[2] * acc[-2])) AS h FROM st),
+    h2 AS (SELECT p_partkey, n, gain, CASE n WHEN 1 THEN h[2:] ELSE list_transform(range(8), lambda k: list_sum(list_transform(range(k + 1), lambda i: h[i + 2] * h[k - i + 2]))) END AS h FROM h1)
+    SELECT p_partkey, CAST(n AS INT) AS stages, unnest(range(8)) AS sample, round(gain * h[unnest(range(8)) + 1], 6) AS value FROM h2
+""")
+def staged_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Impulse responses of every part's filter, one stage and two behind each other, over frames of three samples."""
+    fields = "array<struct<sample:long,value:double>>"
+
+    @F.pandas_udf(fields)
+    def run(lsp: pd.Series, stages: pd.Series) -> pd.Series:
+        pulse = np.eye(1, 8)[0]
+        found = [s.staged_filter(pulse, np.stack([s.line_spectrum_to_cepstrum(x, n)] * 3), 3, n) for x, n in zip(lsp, stages, strict=True)]
+        return pd.Series([[{"sample": i, "value": float(v)} for i, v in enumerate(h)] for h in found])
+
+    rows = line_spectra(spark, sf).select("p_partkey", "lsp", F.explode(F.array(F.lit(1), F.lit(2))).alias("stages"))
+    return rows.select("p_partkey", "stages", F.inline(run("lsp", "stages"))).withColumn("value", F.round("value", 6))
+
+
 def _leaf(label: str) -> tr.Node:
     return tr.Node(1, 0, dist=[(label, 1.0)])
 

@@ -345,6 +345,51 @@ def line_spectrum_to_lpc(lsp: np.ndarray) -> np.ndarray:
     return ((p + q) / 2)[: len(lsp) + 1]
 
 
+def line_spectrum_to_cepstrum(lsp: np.ndarray, stages: int = 1, alpha: float = 0.0, log_gain: bool = False) -> np.ndarray:
+    """Mel-generalised cepstrum, gamma = -1 / stages, of a gain (its logarithm with log_gain) and line spectral frequencies.
+
+    The filter is gain / polynomial ** stages, and (1 + gamma * C) ** (1 / gamma) of the result.
+    """
+    lsp, gamma = np.asarray(lsp, float), -1 / stages
+    gain = math.exp(lsp[0]) if log_gain else lsp[0]
+    c = gain_restore(np.concatenate(([gain], line_spectrum_to_lpc(lsp[1:])[1:])), gamma)
+    c[1:] /= gamma
+    return convert(c, alpha, gamma, len(c) - 1, alpha, gamma)
+
+
+class StagedFilter:
+    """1 / B ** stages for B = 1 + b[1] * w + ... + b[m] * w ** m, where w is a delay on a frequency scale warped by alpha.
+
+    The stages stand one behind the other, and each keeps its delays, so coefficients can change from sample to sample.
+    """
+
+    def __init__(self, order: int, alpha: float, stages: int) -> None:
+        self.alpha, self.delays = alpha, np.zeros((stages, order + 1))
+
+    def step(self, x: float, b: np.ndarray) -> float:
+        """One sample; b[0] isn't looked at."""
+        a, order = self.alpha, self.delays.shape[1] - 1
+        for d in self.delays:
+            for i in range(1, order):
+                d[i] += a * (d[i + 1] - d[i - 1])
+            x -= float(d[:order] @ b[1 : order + 1])
+            first = a * d[0] + (1 - a * a) * x
+            d[1:] = d[:-1].copy()
+            d[0] = first
+        return x
+
+
+def staged_filter(x: np.ndarray, frames: np.ndarray, hop: int, stages: int, alpha: float = 0.0) -> np.ndarray:
+    """Samples through a StagedFilter whose coefficients are those of one frame for `hop` samples each, the last frame's to the end.
+
+    frames are mel-generalised cepstra with gamma = -1 / stages; each scales its samples by its gain.
+    """
+    held = StagedFilter(frames.shape[1] - 1, alpha, stages)
+    gamma = -1 / stages
+    gains = [gain_normalise(to_filter(c, alpha), gamma) for c in frames]
+    return np.array([held.step(v * gains[k][0], gamma * gains[k]) for i, v in enumerate(x) for k in [min(i // hop, len(frames) - 1)]])
+
+
 #: Coefficients of the fifth-order rational approximation of exp that the synthesis filter uses. Fixed values.
 PADE = (1.0, 0.4999391, 0.1107098, 0.01369984, 0.0009564853, 0.00003041721)
 

@@ -66,14 +66,19 @@ def parse_trees(text: str) -> TreeFile:
     return found
 
 
-def tree_leaf(labels: DataFrame, label: str, trees: TreeFile, state: str, out: str = "leaf") -> DataFrame:
-    """out: the leaf that a label falls to in its state's tree, all in expressions."""
+def leaf_column(label: Column, state: Column, trees: TreeFile) -> Column:
+    """The leaf that a label falls to in its state's tree; beyond the last state, in the last one's."""
     last = max(trees.states)
-    answer = lambda q: answers_question(F.col(label), trees.questions[q])
+    answer = lambda q: answers_question(label, trees.questions[q])
     expr = F.lit(None).cast("string")
     for number, tree in sorted(trees.states.items()):
-        expr = F.when(F.least(F.col(state), F.lit(last)) == number, tree.as_case(answer)).otherwise(expr)
-    return labels.withColumn(out, expr)
+        expr = F.when(F.least(state, F.lit(last)) == number, tree.as_case(answer)).otherwise(expr)
+    return expr
+
+
+def tree_leaf(labels: DataFrame, label: str, trees: TreeFile, state: str, out: str = "leaf") -> DataFrame:
+    """out: the leaf that a label falls to in its state's tree, all in expressions."""
+    return labels.withColumn(out, leaf_column(F.col(label), F.col(state), trees))
 
 
 def answers_of(label: str, questions: dict[str, list[str]]) -> dict[str, bool]:
@@ -142,33 +147,39 @@ def trajectory(means: np.ndarray, variances: np.ndarray) -> np.ndarray:
     return solve_banded(bands, right)
 
 
-def spread_variance(c: np.ndarray, means: np.ndarray, variances: np.ndarray, gv_mean: float, gv_var: float, rounds: int = 100, step: float = 0.1) -> np.ndarray:
+def spread_objective(x: np.ndarray, bands: np.ndarray, right: np.ndarray, gv_mean: float, gv_var: float, on: np.ndarray) -> float:
+    """The likelihood, but for constants, of a trajectory and of the variance of its frames that are on."""
+    return float((right @ x - 0.5 * x @ banded_times(bands, x)) / (len(x) * len(WINDOWS)) - 0.5 * (x[on].var() - gv_mean) ** 2 / gv_var)
+
+
+def banded_times(bands: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A symmetric banded matrix times x."""
+    out = bands[:, 0] * x
+    for k in range(1, bands.shape[1]):
+        out[:-k] += bands[:-k, k] * x[k:]
+        out[k:] += bands[:-k, k] * x[:-k]
+    return out
+
+
+def spread_variance(c: np.ndarray, means: np.ndarray, variances: np.ndarray, gv_mean: float, gv_var: float, rounds: int = 100, step: float = 0.1, on: np.ndarray | None = None) -> np.ndarray:
     """Ascend the likelihood of a trajectory together with that of its variance over the utterance.
 
-    The start is stretched to the wanted variance; a step that gains makes the next 1.2 times as long, another half.
+    The start is stretched to the wanted variance; a step that gains makes the next 1.2 times as long, another half. Only
+    frames that are `on` count for the variance, are stretched and are drawn to it; all are, if it isn't given.
     """
-    if len(c) < 2 or c.var() == 0:
+    on = np.ones(len(c), bool) if on is None else on
+    if on.sum() < 2 or c[on].var() == 0 or gv_mean <= 0 or gv_var <= 0:
         return c
     bands, right = banded_normal(means, 1.0 / np.maximum(variances, 1e-10))
-    n = len(c)
-
-    def times(x: np.ndarray) -> np.ndarray:
-        out = bands[:, 0] * x
-        for k in range(1, bands.shape[1]):
-            out[:-k] += bands[:-k, k] * x[k:]
-            out[k:] += bands[:-k, k] * x[:-k]
-        return out
-
-    def score(x: np.ndarray) -> float:
-        return float((right @ x - 0.5 * x @ times(x)) / (n * len(WINDOWS)) - 0.5 * (x.var() - gv_mean) ** 2 / gv_var)
-
-    x = (c - c.mean()) * np.sqrt(gv_mean / c.var()) + c.mean()
-    best = score(x)
+    n, held = len(c), on.sum()
+    x = np.where(on, (c - c[on].mean()) * np.sqrt(gv_mean / c[on].var()) + c[on].mean(), c)
+    best = spread_objective(x, bands, right, gv_mean, gv_var, on)
     for _ in range(rounds):
-        slope = (right - times(x)) / (n * len(WINDOWS)) - (x.var() - gv_mean) / gv_var * 2 * (x - x.mean()) / n
-        curve = np.maximum(np.abs(bands[:, 0]) / (n * len(WINDOWS)) + 2 * abs(x.var() - gv_mean) / gv_var / n + 4 * ((x - x.mean()) / n) ** 2 / gv_var, 1e-12)
+        var, mean = x[on].var(), x[on].mean()
+        slope = (right - banded_times(bands, x)) / (n * len(WINDOWS)) - np.where(on, (var - gv_mean) / gv_var * 2 * (x - mean) / held, 0.0)
+        curve = np.maximum(np.abs(bands[:, 0]) / (n * len(WINDOWS)) + np.where(on, 2 * abs(var - gv_mean) / gv_var / held + 4 * ((x - mean) / held) ** 2 / gv_var, 0.0), 1e-12)
         tried = x + step * slope / curve
-        if (now := score(tried)) > best:
+        if (now := spread_objective(tried, bands, right, gv_mean, gv_var, on)) > best:
             done = now - best < 1e-9 * abs(best)
             x, best, step = tried, now, step * 1.2
             if done:
@@ -178,11 +189,13 @@ def spread_variance(c: np.ndarray, means: np.ndarray, variances: np.ndarray, gv_
     return x
 
 
-def generate(df: DataFrame, utterance: str, position: str, mean: str, var: str, voiced: str | None = None) -> DataFrame:
+def generate(df: DataFrame, utterance: str, position: str, mean: str, var: str, voiced: str | None = None, spread: tuple[str, str] | None = None, on: str | None = None) -> DataFrame:
     """utterance, position, value: trajectories from rows that hold arrays of three means and variances (value, differences).
 
-    With `voiced`, runs of voiced rows are generated by themselves and other rows have value 0; an utterance without a
-    voiced row is all zeros.
+    With `voiced`, the voiced rows are generated by themselves and other rows have value 0; an utterance without a voiced
+    row is all zeros. With `spread`, columns of the mean and variance that the utterance's total variance has, the
+    trajectory is spread to it (see spread_variance): the columns are a stream's, alike in all rows of an utterance, and
+    `on` says which rows take part.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -192,6 +205,9 @@ def generate(df: DataFrame, utterance: str, position: str, mean: str, var: str,
         if ok.any():
             m, v = (np.array(rows[c].tolist(), float)[ok].T for c in (mean, var))
             out[ok] = trajectory(m, v)
+            if spread:
+                gv_mean, gv_var = (float(rows[c].iloc[0]) for c in spread)
+                out[ok] = spread_variance(out[ok], m, v, gv_mean, gv_var, on=rows[on].to_numpy(bool)[ok] if on else None)
         return pd.DataFrame({utterance: rows[utterance], position: rows[position], "value": out})
 
     kinds = dict(df.dtypes)

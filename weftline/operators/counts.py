@@ -202,8 +202,9 @@ def z_normalise(df: DataFrame, key: list[str], values: str) -> DataFrame:
     return each.join(stats, "dim").select(*key, "dim", "value", ((F.col("value") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).alias("z"))
 
 
-def moments(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
-    """n, least, most, mean, sample deviation, population variance."""
+def moments(df: DataFrame, value: Column, by: list[str] | None = None, mask: Column | None = None) -> DataFrame:
+    """n, least, most, mean, sample deviation, population variance; of the rows of the mask alone, if one is given."""
+    value = value if mask is None else F.when(mask, value)
     return df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.var_pop(value).alias("var"))
 
 
