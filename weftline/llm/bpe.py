@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import give_back
+
 SHIFT = 6
 
 
@@ -267,6 +269,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
                 made = [shown(x, bpe.decode(np.frombuffer(x, "<u4").tolist())) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([x for x, _ in made]), pa.array([x for _, x in made])], ["doc_id", "n_tokens", "ids", "decoded"])
         bpe.pieces.drop()
+        give_back()
 
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids {schema}, decoded {schema}")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Col
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def give_back() -> None:
+    """Hand memory that a Python worker has freed back to the system: workers outlive their tasks, and stand beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A materialized table of narrow rows, to be broadcast if it is counted to have at most SMALL_ROWS."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df

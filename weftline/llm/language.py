@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.bpe import slices
-from weftline.llm.common import SMALL_ROWS
+from weftline.llm.common import SMALL_ROWS, give_back
 
 UNDETERMINED = "und"
 #: Bytes of text that the training sample of all languages together holds at most; each has an equal part.
@@ -140,6 +140,8 @@ def with_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
             for part in slices(batch, batch.column("doc").field(place)):
                 found = [known.predict(text, unseen) for text in part.column("doc").field(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc", "lang_pred", "score"])
+        unseen.clear()
+        give_back()
 
     return held.mapInArrow(run, T.StructType([held.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 

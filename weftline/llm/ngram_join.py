@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import slices
-from weftline.llm.common import NO_ID, join_groups, keep_marked, materialize, release, row_keys, small
+from weftline.llm.common import NO_ID, give_back, join_groups, keep_marked, materialize, release, row_keys, small
 from weftline.llm.components import components
 
 #: op8's rule: shingles of N words, links where 100 * intersection >= PERCENT * union.
@@ -153,6 +153,8 @@ def signed_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
                     seen.clear()
                 if keys:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.repeat(np.array(sids, np.int64), [len(x) for x in keys]))], ["key", "sid"])
+        del seen, words
+        give_back()
 
     return docs.select("text").mapInArrow(run, "key long, sid long")
 
@@ -191,16 +193,18 @@ def document_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             sizes, ids, points = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 h = shingles(text or "", words, n)
                 sizes.append(len(h))
                 ids.append(set_id(h) if len(h) else None)
                 points.append(packed(count_vector(h)) if len(h) else None)
             of_size = np.searchsorted(size_classes(percent), sizes, "right")
-            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64()), pa.array(of_size, pa.int32()), pa.array(points, pa.binary())]
+            arrays = [part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([_sid(x) if x else None for x in ids], pa.int64()), pa.array(of_size, pa.int32()), pa.array(points, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "n_shingles", "set_id", "sid", "size_class", "point"])
+        del words
+        give_back()
 
     return docs.select("doc_id", "text", row_keys()[1]).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sid long, size_class int, point binary")
 

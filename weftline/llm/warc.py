@@ -218,7 +218,8 @@ def warc_archive(pages: DataFrame, folder: str | None = None, least: int = 100)
     One row per input row. Of rows with equal payloads of at least `least` bytes, those with the smallest page_id are
     responses and the others revisits of it; rows with smaller payloads are all responses. A null html is an empty
     payload, a null url is archived as about:blank, a null page_id stays null and never is the one referred to. A row
-    repeated with its page_id has the role of the first. A payload larger than a frame has a frame of its own. Other columns
+    repeated with its page_id has the role of the first. A record is never split: a frame ends with
+    the record that fills it. Other columns
     are not read. An empty table writes nothing.
     """
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
