@@ -71,16 +71,22 @@ def polynomial_products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT cut, 2 * tan(pi() * cut / 20) AS w FROM (SELECT unnest(range(1, 10)) AS cut)), z AS (SELECT cut, (2 - w) / (2 + w) AS z FROM c)
-    SELECT cut, round((1 - z) / 2, 9) AS low_b, round(-z, 9) AS a1, round((1 + z) / 2, 9) AS high_b FROM z
+    WITH c AS (SELECT event_id, (event_id % 89 + 5) / 100.0::DOUBLE AS cut FROM events), w AS (SELECT event_id, cut, 2 * tan(pi() * cut / 2) AS w FROM c), z AS (SELECT event_id, cut, (2 - w) / (2 + w) AS z FROM w)
+    SELECT event_id, cut, round((1 - z) / 2, 9) AS low_b, round(-z, 9) AS a1, round((1 + z) / 2, 9) AS high_b FROM z
 """)
 def filter_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    """Coefficients of first-order low- and high-pass filters at tenths of the Nyquist frequency."""
-    rows = []
-    for cut in range(1, 10):
-        (b, a), (high, _) = s.butterworth(1, cut / 10), s.butterworth(1, cut / 10, high=True)
-        rows.append((cut, round(float(b[0]), 9), round(float(a[1]), 9), round(float(high[0]), 9)))
-    return spark.createDataFrame(rows, "cut long, low_b double, a1 double, high_b double")
+    """Coefficients of every event's first-order low- and high-pass filters, at a cut-off of its own (a share of the Nyquist frequency)."""
+
+    @F.pandas_udf("low_b double, a1 double, high_b double")
+    def design(cuts: pd.Series) -> pd.DataFrame:
+        known = {}
+        for cut in cuts.unique():
+            (b, a), (high, _) = s.butterworth(1, cut), s.butterworth(1, cut, high=True)
+            known[cut] = float(b[0]), float(a[1]), float(high[0])
+        return pd.DataFrame([known[cut] for cut in cuts], columns=["low_b", "a1", "high_b"])
+
+    cuts = table(spark, sf, "events").select("event_id", ((F.col("event_id") % 89 + 5) / 100.0).alias("cut"))
+    return cuts.withColumn("f", design("cut")).select("event_id", "cut", "f.*").transform(rounded, 9, "low_b", "a1", "high_b")
 
 
 @query(f"""

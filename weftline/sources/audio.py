@@ -170,12 +170,14 @@ def write_binary(df: DataFrame, name: str, content: str, folder: str) -> int:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
+        attempt = TaskContext.get().taskAttemptId()
         store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace(":/", ":///", 1))
         store.create_dir(base, recursive=True)
         for batch in batches:
             for file, data in zip(batch[name], batch[content], strict=True):
-                temporary = f"{base}/.{file}.{id(batch)}"
+                temporary = f"{base}/.{file}.{attempt}"
                 with store.open_output_stream(temporary, compression=None) as out:
                     out.write(bytes(data))
                 store.move(temporary, f"{base}/{file}")
