@@ -60,10 +60,27 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32) -> DataFrame:
-    """rows joined to groups, which has one row for each value of keys: a value that many rows share is dealt to so many tasks by the hash of `spread`."""
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+def key_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """of (hash of the keys), n: how many rows have it."""
+    return rows.groupBy(F.xxhash64(*keys).alias("of")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, how: str = "left", counts: DataFrame | None = None, salts: int = 64) -> DataFrame:
+    """rows joined to groups, which has one row for each value of keys.
+
+    Of values with over 1000 rows the 1024 with the most are dealt to `salts` tasks each by the hash of `spread`, and only
+    their groups are repeated; any other value has at most a 1024th of the rows. Rows with a null among the keys match
+    nothing and are dealt to all tasks. counts: key_counts(rows, keys), where they can be had without another pass.
+    """
+    counts = key_counts(rows, keys) if counts is None else counts
+    frequent = [r["of"] for r in counts.filter("n > 1000").orderBy(F.desc("n")).limit(1024).collect()]
+    hot = F.xxhash64(*keys).isin(*frequent) if frequent else F.lit(False)
+    every, one = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")), F.array(F.lit(0).cast("long"))
+    salted = groups.withColumn("_salt", F.explode(F.when(hot, every).otherwise(one)))
+    without = F.greatest(*(F.col(k).isNull() for k in keys), F.lit(False))
+    place = F.xxhash64(spread)
+    dealt = rows.withColumn("_salt", F.when(without, place).when(hot, F.pmod(place, F.lit(salts))).otherwise(0))
+    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def give_back() -> None:

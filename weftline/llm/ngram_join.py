@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import slices
-from weftline.llm.common import NO_ID, give_back, join_groups, keep_marked, materialize, release, row_keys, small
+from weftline.llm.common import NO_ID, give_back, join_groups, keep_marked, key_counts, materialize, release, row_keys, small
 from weftline.llm.components import components
 
 #: op8's rule: shingles of N words, links where 100 * intersection >= PERCENT * union.
@@ -478,7 +478,7 @@ def linked_sets(docs: DataFrame, block: int, n: int, percent: int) -> tuple[Data
     reach = materialize(components(links.select(F.col("set_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "set_id"), "reach")
     held = sets.select("set_id", "copies", F.col("of.key").alias("own")).join(links.groupBy("set_id").agg(F.sum("links").alias("links")), "set_id", "left").join(reach, "set_id", "left")
     of_component = held.filter("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("id"))
-    held = join_groups(held, of_component, ["component"], F.col("set_id"))
+    held = join_groups(held, of_component, ["component"], F.col("set_id"), counts=key_counts(reach, ["component"]))
     n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
     return slim, held.select("set_id", F.coalesce("id", "own").alias("id"), F.coalesce("component", "set_id").alias("component"), n_links)
 
@@ -493,7 +493,7 @@ def ngram_jaccard(docs: DataFrame, block: int = BLOCK, n: int = N, percent: int
     8 bytes a word. Other columns are not read. An empty table gives no rows.
     """
     slim, sets = linked_sets(docs, block, n, percent)
-    found = join_groups(slim, sets, ["set_id"], F.col("doc_id"))
+    found = join_groups(slim, sets, ["set_id"], F.struct("doc_id", "text_hash"))
     return found.select("doc_id", "n_shingles", F.nullif(F.coalesce("id", "doc_id"), F.lit(NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -504,8 +504,8 @@ def drop_near_copies(docs: DataFrame, block: int = BLOCK, n: int = N, percent: i
     """
     slim, sets = linked_sets(docs, block, n, percent)
     key = row_keys()[0]
-    rows = join_groups(slim.filter("n_shingles > 0"), sets.select("set_id", "id", "component"), ["set_id"], F.col("doc_id")).select(key, "text_hash", "id", "component")
+    rows = join_groups(slim.filter("n_shingles > 0"), sets.select("set_id", "id", "component"), ["set_id"], F.struct("doc_id", "text_hash")).select(key, "text_hash", "id", "component")
     rows = materialize(rows, "component-rows")
     kept = rows.filter(F.col("key") == F.col("id")).groupBy("component").agg(F.min("text_hash").alias("of_hash"))
     stays = (F.col("key") == F.col("id")) & (F.col("text_hash") == F.col("of_hash"))
-    return keep_marked(docs, join_groups(rows, kept, ["component"], F.col("text_hash"), "inner").select("key", "text_hash", stays.alias("keep")))
+    return keep_marked(docs, join_groups(rows, kept, ["component"], F.struct("key", "text_hash"), "inner").select("key", "text_hash", stays.alias("keep")))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import join_groups, materialize, shared_dir
+from weftline.llm.common import SMALL_ROWS, join_groups, materialize, shared_dir
 
 #: Of the Zstandard seekable format and of WARC 1.1. Fixed values.
 SKIPPABLE_SEEK, SKIPPABLE_MAP = 0x184D2A5E, 0x184D2A5D
@@ -137,12 +137,19 @@ class BundleReader:
 def dedup_decisions(pages: DataFrame, least: int) -> DataFrame:
     """pages (page_id, url, html) with digest and refers_to, null for rows whose payload is to be stored.
 
-    Only the digest's smallest page_id is grouped, with map-side aggregation; the join back is on a salted digest, so a
-    payload that very many pages share is spread over tasks.
+    Only the digest's smallest page_id is grouped, with map-side aggregation, and written where several pages share it.
+    Up to SMALL_ROWS such digests are broadcast, so that no payload moves; more are joined by a shuffle, in which a
+    payload that very many pages share is dealt to several tasks.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     first = own.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return join_groups(own, first.select("digest", "first_id"), ["digest"], F.col("page_id")).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    first = materialize(first, "repeated-payloads")
+    groups = first.select("digest", "first_id")
+    if first.count() <= SMALL_ROWS:
+        joined = own.join(F.broadcast(groups), "digest", "left")
+    else:
+        joined = join_groups(own, groups, ["digest"], F.col("page_id"), counts=first.select(F.xxhash64("digest").alias("of"), "n"))
+    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
 
 
 def write_bundles(decided: DataFrame, folder: str, bundle_bytes: int = 256 << 20, frame_bytes: int = 1 << 20) -> DataFrame:
