@@ -76,6 +76,8 @@ class BundleWriter:
 
     def add(self, name: str, data: bytes) -> tuple[int, int, int]:
         """The record's frame number, offset within the frame and length."""
+        if len(data) > self.frame_bytes:
+            self.flush()
         place = len(self.frames), self.held, len(data)
         self.places.append((name, *place))
         self.pending.append(data)
