@@ -68,12 +68,12 @@ def key_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, how: str = "left", counts: DataFrame | None = None, salts: int = 64) -> DataFrame:
     """rows joined to groups, which has one row for each value of keys.
 
-    Of values with over 1000 rows the 1024 with the most are dealt to `salts` tasks each by the hash of `spread`, and only
+    Of values with over 100 rows the 1024 with the most are dealt to `salts` tasks each by the hash of `spread`, and only
     their groups are repeated; any other value has at most a 1024th of the rows. Rows with a null among the keys match
     nothing and are dealt to all tasks. counts: key_counts(rows, keys), where they can be had without another pass.
     """
     counts = key_counts(rows, keys) if counts is None else counts
-    frequent = [r["of"] for r in counts.filter("n > 1000").orderBy(F.desc("n")).limit(1024).collect()]
+    frequent = [r["of"] for r in counts.filter("n > 100").orderBy(F.desc("n")).limit(1024).collect()]
     hot = F.xxhash64(*keys).isin(*frequent) if frequent else F.lit(False)
     every, one = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")), F.array(F.lit(0).cast("long"))
     salted = groups.withColumn("_salt", F.explode(F.when(hot, every).otherwise(one)))
