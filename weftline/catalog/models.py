@@ -17,6 +17,7 @@ from weftline.operators import tree as tr
 from weftline.operators.alignment import Unit, select_units
 from weftline.operators.chunking import Grammar, chunk
 from weftline.operators.context import islands, syllable_breaks
+from weftline.operators.entities import pause_features
 from weftline.plans import stages
 from weftline.plans.pipeline import Pipeline
 
@@ -194,6 +195,16 @@ def lexicon_letters(tokens: DataFrame, least: int = 1) -> DataFrame:
     return chars.select("word", F.inline(rows))
 
 
+def sound_tree() -> tr.Node:
+    """A tree over letters and the label before: ch is one sound, other c's are k, vowels V, other letters C."""
+    leaf = lambda label: tr.Node(1, 0, dist=[(label, 1.0)])
+    node = lambda feature, yes, no: tr.Node(1, 0, feature, yes, no)
+    rest = node("c0:h", node("plab:X", leaf("-"), leaf("C")), leaf("C"))
+    for vowel in "aeiou":
+        rest = node(f"c0:{vowel}", leaf("V"), rest)
+    return node("c0:c", node("c1:h", leaf("X"), leaf("k")), rest)
+
+
 @query()
 def annotated_words(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words with syllables and stresses from trees trained on the frequent ones; every word is annotated once."""
@@ -318,14 +329,18 @@ Vp -> '<W>' '<S>' '<S>'*
 """
 
 
-@query(f"""
-    WITH {TAGS_SQL}, ts AS (SELECT doc_id, sent_id, string_agg(tag, '' ORDER BY pos) AS t FROM tt GROUP BY ALL),
+#: CTEs: tags and tc (doc_id, sent_id, pos, c: the chunks that a token is in).
+CHUNKS_SQL = f"""{TAGS_SQL}, ts AS (SELECT doc_id, sent_id, string_agg(tag, '' ORDER BY pos) AS t FROM tt GROUP BY ALL),
     ru AS (SELECT doc_id, sent_id, 'Np' AS kind, 1 AS no, regexp_extract_all(t, '(?:[UW]W(?:PW)?).?|.') AS ps FROM ts UNION ALL SELECT doc_id, sent_id, 'Pp', 2, regexp_extract_all(t, '(?:S[WU]).?|.') FROM ts
       UNION ALL SELECT doc_id, sent_id, 'Ap', 3, regexp_extract_all(t, '(?:NW?).?|.') FROM ts UNION ALL SELECT doc_id, sent_id, 'Vp', 4, regexp_extract_all(t, '(?:WSS?).?|.') FROM ts),
     pt AS (SELECT doc_id, sent_id, kind, no, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM ru),
     ac AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id, sent_id, no ORDER BY i) - length(p) AS start, CASE no WHEN 1 THEN length(regexp_extract(p, '^([UW]W(?:PW)?)', 1)) WHEN 2 THEN length(regexp_extract(p, '^(S[WU])', 1)) WHEN 3 THEN length(regexp_extract(p, '^(NW?)', 1)) ELSE length(regexp_extract(p, '^(WSS?)', 1)) END AS n FROM pt),
     nm AS (SELECT doc_id, sent_id, no, start, n, kind || row_number() OVER (PARTITION BY doc_id, sent_id, no ORDER BY i) AS name FROM ac WHERE n > 1),
-    ox AS (SELECT doc_id, sent_id, start + unnest(range(n)) AS pos, no, name FROM nm), tc AS (SELECT doc_id, sent_id, pos, string_agg(name, ',' ORDER BY no) AS c FROM ox GROUP BY ALL)
+    ox AS (SELECT doc_id, sent_id, start + unnest(range(n)) AS pos, no, name FROM nm), tc AS (SELECT doc_id, sent_id, pos, string_agg(name, ',' ORDER BY no) AS c FROM ox GROUP BY ALL)"""
+
+
+@query(f"""
+    WITH {CHUNKS_SQL}
     SELECT sl.doc_id, sl.sent_id, coalesce(string_agg(coalesce(c, ''), ' ' ORDER BY tt.pos) FILTER (tt.pos IS NOT NULL), '') AS chunks FROM sl LEFT JOIN tt USING (doc_id, sent_id) LEFT JOIN tc ON tc.doc_id = tt.doc_id AND tc.sent_id = tt.sent_id AND tc.pos = tt.pos GROUP BY ALL
 """)
 def chunk_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,6 +426,32 @@ def short_pauses(spark: SparkSession, sf: str) -> DataFrame:
     return _grown_on_tokens(spark, sf, F.when(F.col("next_word").isin(",", ";", ":"), "1").otherwise("0"), 5)
 
 
+#: The last and the first phone of a token by sound_tree.
+LAST_SQL = r"CASE WHEN length(word) = 1 AND NOT regexp_matches(word, '[\p{L}\p{N}]') THEN CASE WHEN word = ',' THEN 'sp' ELSE 'pau' END WHEN regexp_matches(lower(word), '[aeiou]$') THEN 'V' WHEN regexp_matches(lower(word), 'c$') THEN 'k' WHEN regexp_matches(lower(word), 'ch$') THEN '-' ELSE 'C' END"
+FIRST_SQL = r"CASE WHEN length(word) = 1 AND NOT regexp_matches(word, '[\p{L}\p{N}]') THEN CASE WHEN word = ',' THEN 'sp' ELSE 'pau' END WHEN regexp_matches(lower(word), '^[aeiou]') THEN 'V' WHEN regexp_matches(lower(word), '^c-*h') THEN 'X' WHEN regexp_matches(lower(word), '^c') THEN 'k' ELSE 'C' END"
+
+
+@query(rf"""
+    WITH {CHUNKS_SQL}, fs AS (SELECT tt.doc_id, tt.sent_id, tt.pos, word, tag, regexp_replace(split_part(coalesce(c, 'null'), ',', 1), '[0-9]+$', '') AS chunk, {LAST_SQL} AS last, {FIRST_SQL} AS first, lead(word) OVER (PARTITION BY tt.doc_id, tt.sent_id ORDER BY tt.pos) AS after
+      FROM tt LEFT JOIN tc ON tc.doc_id = tt.doc_id AND tc.sent_id = tt.sent_id AND tc.pos = tt.pos),
+    fe AS (SELECT CASE WHEN after IN (',', ';', ':') THEN '1' ELSE '0' END AS label, ['tag:' || tag, 'chunk:' || chunk, 'last:' || last, 'next:' || coalesce(lead(first) OVER (PARTITION BY doc_id, sent_id ORDER BY pos), '.')] AS feats FROM fs WHERE word NOT IN (',', ';', ':')),
+    eb AS (SELECT label, feats, feats AS bag, count(*) AS n FROM fe GROUP BY ALL), {grown_sql('eb', 'eb', 'label, bag, n', 6, 20)}
+    SELECT list_aggregate(bag, 'string_agg', ' ') AS feats, label, predicted, CAST(n AS BIGINT) AS n FROM pr
+""")
+def phrase_pauses(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a pause follows a token, by a tree over its tag, chunk and last phone and the next token's first phone: counts by bag.
+
+    Tagger, chunker and letter-to-sound rules see each sentence once, and their outputs stay beside its words; nothing is
+    shuffled before the counts of bags, whose number is bounded by tags, kinds of chunks and phones.
+    """
+    chunked = tg.label_arrays(sentences(spark, sf).select("words", "tags"), "tags", chunk, Grammar(RULES), "chunks")
+    voiced = tg.label_words(chunked, "words", lambda w, tree: " ".join(tg.letter_to_sound(w, tree)), sound_tree(), "phones")
+    bags = voiced.select(F.inline(pause_features("words", "tags", "chunks", "phones"))).groupBy("label", "feats").agg(F.count(F.lit(1)).alias("n"))
+    bags = stored(bags, "pause-bags")
+    found = tr.classify(bags, tr.grow(bags, cut_off=20, max_depth=6), "feats")
+    return found.select(F.array_join("feats", " ").alias("feats"), "label", "predicted", "n")
+
+
 @query("SELECT count(DISTINCT lang) AS lang_size, count(DISTINCT source) AS source_size, CAST(sum(n_chars) AS BIGINT) AS states FROM documents")
 def corpus_vocabularies(spark: SparkSession, sf: str) -> DataFrame:
     return k.corpus_sizes(table(spark, sf, "documents"), ["lang", "source"], F.col("n_chars"))

@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.catalog.models import grown_sql
+from weftline.catalog.models import grown_sql, sound_tree
 from weftline.catalog.numeric import _per_user
-from weftline.catalog.registry import query, table
+from weftline.catalog.registry import query, stored, table
 from weftline.catalog.text import WORDS_SQL, split_tokens
 from weftline.functions import signal as s
 from weftline.operators import counts as k
@@ -260,6 +260,58 @@ def staged_responses(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", "stages", F.inline(run("lsp", "stages"))).withColumn("value", F.round("value", 6))
 
 
+#: CTE cw: what keeps the first three bins of frames of 8, as weights of a circular convolution, and Hamming weights.
+LOW_SQL = "cw AS (SELECT list_transform(range(8), lambda m: (1 + 2 * cos(pi() * m / 4) + 2 * cos(pi() * m / 2)) / 8) AS h, list_transform(range(8), lambda j: 0.54 - 0.46 * cos(2 * pi() * j / 7)) AS w)"
+
+
+@query(f"""
+    WITH {UX_SQL}, {LOW_SQL}, fr AS (SELECT user_id, x, len(x) // 4 AS n, unnest(range(len(x) // 4)) AS i FROM ux),
+    wf AS (SELECT user_id, n, i, h, w, list_transform(range(8), lambda j: CASE WHEN 4 * i + j < 8 THEN 0.0 ELSE x[4 * i + j - 7] * w[j + 1] END) AS f FROM fr, cw),
+    cv AS (SELECT user_id, n, i, w, list_transform(range(8), lambda k: list_sum(list_transform(range(8), lambda j: h[(k - j + 8) % 8 + 1] * f[j + 1])) * w[k + 1]) AS g FROM wf),
+    pt AS (SELECT user_id, n, 4 * i + unnest(range(8)) AS t, unnest(g) AS g, unnest(w) AS w FROM cv)
+    SELECT user_id, t - 8 AS sample, round(sum(g) / sum(w * w), 6) + 0.0 AS value FROM pt WHERE t >= 8 GROUP BY user_id, t
+""")
+def overlap_added(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's values from the spectra of their overlapping frames, phases given and the upper bins silenced."""
+
+    def fn(x: np.ndarray) -> dict:
+        spectra = s.stft(x, 8, 4)
+        spectra[:, 3:] = 0
+        y = s.overlap_add(spectra, 4) if len(spectra) else np.empty(0)
+        return {"sample": np.arange(len(y)), "value": np.round(y, 6) + 0.0}
+
+    return _per_user(spark, sf, fn, "user_id long, sample long, value double")
+
+
+#: Coefficients of a fifth-order rational approximation of exp. Fixed values.
+EXP_SQL = "[0.4999391, 0.1107098, 0.01369984, 0.0009564853, 0.00003041721]"
+
+
+@query(f"""
+    WITH cf AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS c0, 0.9 - (p_partkey % 97) / 60.0::DOUBLE AS c1, 0.7 - (p_partkey % 89) / 70.0::DOUBLE AS c2 FROM part),
+    ea AS (SELECT p_partkey, c0, unnest([1, 2]) AS no, unnest([c1, c2]) AS c FROM cf), nd AS (SELECT p_partkey, c0, no, list_transform({EXP_SQL}, lambda p, i: p * pow(c, i)) AS u FROM ea),
+    sg AS (SELECT *, list_transform(u, lambda v, i: CASE i % 2 WHEN 1 THEN -v ELSE v END) AS d FROM nd),
+    hs AS (SELECT p_partkey, c0, no, list_reduce(list_concat([[0.0::DOUBLE, 0, 0, 0, 0]], list_transform(range(12), lambda k: [CAST(CASE WHEN k = 0 THEN 1 ELSE coalesce(u[k], 0) END AS DOUBLE)])),
+      lambda acc, x: list_append(acc, x[1] - d[1] * acc[-1] - d[2] * acc[-2] - d[3] * acc[-3] - d[4] * acc[-4] - d[5] * acc[-5]))[6:] AS h FROM sg),
+    bo AS (SELECT p_partkey, any_value(c0) AS c0, any_value(h) FILTER (no = 1) AS h1, any_value(h) FILTER (no = 2) AS h2 FROM hs GROUP BY p_partkey)
+    SELECT p_partkey, unnest(range(12)) AS sample, round(exp(c0) * unnest(list_transform(range(12), lambda k: list_sum(list_transform(range(k // 2 + 1), lambda j: h2[j + 1] * h1[k - 2 * j + 1])))), 6) + 0.0 AS value FROM bo
+""")
+def synthesis_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Impulse responses of every part's cepstrum of order 2 through the synthesis filter."""
+
+    @F.pandas_udf("array<struct<sample:long,value:double>>")
+    def run(c: pd.Series) -> pd.Series:
+        out = []
+        for b in c:
+            filt = s.SynthesisFilter(2, 0.0)
+            out.append([{"sample": i, "value": filt.step(np.exp(b[0]) if i == 0 else 0.0, np.array(b))} for i in range(12)])
+        return pd.Series(out)
+
+    step = lambda low, mod, by: F.lit(low) - (F.col("p_partkey") % mod) / F.lit(by)
+    rows = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") / F.lit(50.0), step(0.9, 97, 60.0), step(0.7, 89, 70.0)).alias("c"))
+    return rows.select("p_partkey", F.inline(run("c"))).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
 def _leaf(label: str) -> tr.Node:
     return tr.Node(1, 0, dist=[(label, 1.0)])
 
@@ -281,11 +333,7 @@ def _on_words(words: DataFrame, fn, out: str) -> DataFrame:
 """)
 def letter_sounds(spark: SparkSession, sf: str) -> DataFrame:
     """Phones of every distinct token by a tree over letters and the label before: ch is one sound, other c's are k, marks are pauses."""
-    node = lambda feature, yes, no: tr.Node(1, 0, feature, yes, no)
-    rest = node("c0:h", node("plab:X", _leaf("-"), _leaf("C")), _leaf("C"))
-    for vowel in "aeiou":
-        rest = node(f"c0:{vowel}", _leaf("V"), rest)
-    tree = node("c0:c", node("c1:h", _leaf("X"), _leaf("k")), rest)
+    tree = sound_tree()
     return _on_words(split_tokens(spark, sf), lambda w: " ".join(tg.letter_to_sound(w, tree)), "phones")
 
 
@@ -296,19 +344,24 @@ def rewritten_letters(spark: SparkSession, sf: str) -> DataFrame:
     return _on_words(split_tokens(spark, sf), lambda w: tg.rewrite_letters(w, tree), "rewritten")
 
 
+#: Endings and scripts as a list in SQL.
+ENDINGS_SQL = ", ".join(f"({i}, '{off}', '{on}', '{tg.script_of(off, on)}')" for i, (off, on) in enumerate(tg.ENDINGS))
+
+
 @query(rf"""
-    WITH {WORDS_SQL}, d AS (SELECT DISTINCT word FROM wd WHERE regexp_full_match(word, '\p{{L}}+')),
-    n AS (SELECT word, lower(word) AS lemma, len(list_filter(range(1, least(length(word), length(lower(word))) + 1), lambda i: substr(word, 1, i) = substr(lower(word), 1, i))) AS shared FROM d),
-    lw AS (SELECT word, (length(word) - shared) || '|' || substr(lemma, shared + 1) AS label, list_append(list_transform(range(7), lambda i: 'c' || (i + 1) || ':' || CASE WHEN length(word) > i THEN substr(word, length(word) - i, 1) ELSE '_' END), 'm:' || CASE WHEN length(word) > 3 THEN 'long' ELSE 'short' END) AS feats FROM n),
-    lc AS (SELECT label, feats, count(*) AS n FROM lw GROUP BY ALL), {grown_sql("lc", "lw", "word", 4, 20)}
-    SELECT word, CASE WHEN length(word) - CAST(split_part(predicted, '|', 1) AS INT) <= 0 THEN lower(word) ELSE substr(word, 1, length(word) - CAST(split_part(predicted, '|', 1) AS INT)) || substr(predicted, position('|' IN predicted) + 1) END AS lemma FROM pr
+    WITH {WORDS_SQL}, d AS (SELECT DISTINCT word FROM wd WHERE regexp_full_match(word, '\p{{L}}+')), lo AS (SELECT DISTINCT lower(word) AS low FROM d), en(rule, off, put, script) AS (VALUES {ENDINGS_SQL}),
+    kn AS (SELECT a.low, rule, script FROM lo a, en, lo b WHERE ends_with(a.low, off) AND length(a.low) - length(off) >= 3 AND b.low = left(a.low, length(a.low) - length(off)) || put),
+    sc AS (SELECT low, coalesce(min_by(script, rule), '0|') AS label FROM lo LEFT JOIN kn USING (low) GROUP BY low),
+    lw AS (SELECT word, low, label, list_append(list_transform(range(7), lambda i: 'c' || (i + 1) || ':' || CASE WHEN length(low) > i THEN substr(low, length(low) - i, 1) ELSE '_' END), 'm:' || CASE WHEN regexp_matches(word, '^\p{{Lu}}') THEN 'U' WHEN length(word) <= 3 THEN 'S' ELSE 'W' END) AS feats FROM (SELECT word, lower(word) AS low FROM d) JOIN sc USING (low)),
+    lc AS (SELECT label, feats, count(*) AS n FROM lw GROUP BY ALL), {grown_sql("lc", "lw", "word, low", 6, 20)}
+    SELECT word, CASE WHEN length(low) <= CAST(split_part(predicted, '|', 1) AS INT) THEN low ELSE substr(low, 1, length(low) - CAST(split_part(predicted, '|', 1) AS INT)) || split_part(predicted, '|', 2) END AS lemma FROM pr
 """)
 def lemmas(spark: SparkSession, sf: str) -> DataFrame:
-    """Lemmas of every distinct word by a tree over its last letters and its kind, grown on the lower-case forms."""
+    """Lemmas of every distinct word by a tree over its last letters and its tag, grown on those words whose stems are words themselves."""
     words = split_tokens(spark, sf).filter(F.col("word").rlike(r"^\p{L}+\z")).select("word").distinct()
-    w = F.col("word")
-    kind = lambda w: F.when(F.char_length(w) > 3, "long").otherwise("short")
-    letters = F.transform(tg.suffix_features(w, 7, "c"), lambda f, i: F.concat(F.lit("c"), (i + 1).cast("string"), F.substring(f, F.locate(":", f), F.char_length(f))))
-    bags = words.select(tg.edit_script(w, F.lower(w)).alias("label"), F.concat(letters, F.array(F.concat(F.lit("m:"), kind(w)))).alias("feats"))
-    tree = tr.grow(k.bag_counts(bags, "label", "feats"), cut_off=20, max_depth=4)
-    return _on_words(words, lambda x: tg.lemmatize(x, "long" if len(x) > 3 else "short", tree), "lemma")
+    tag = F.when(F.col("word").rlike(r"^\p{Lu}"), "U").when(F.char_length("word") <= 3, "S").otherwise("W")
+    rows = stored(words.select("word", F.lower("word").alias("low"), tag.alias("tag")), "words")
+    scripts = tg.stem_scripts(rows.select(F.col("low").alias("word")).distinct()).withColumnRenamed("word", "low")
+    feats = tg.lemma_features(F.col("low"), F.col("tag"))
+    tree = tr.grow(k.bag_counts(rows.join(scripts, "low"), "script", feats).withColumnRenamed("script", "label"), cut_off=20, max_depth=6, top=1)
+    return tr.classify(rows.withColumn("feats", feats), tree, "feats", "found").select("word", tg.apply_edit(F.col("low"), F.col("found")).alias("lemma"))
