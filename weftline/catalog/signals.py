@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalog.models import grown_sql, sound_tree
@@ -16,6 +18,7 @@ from weftline.operators import counts as k
 from weftline.operators import tagging as tg
 from weftline.operators import tree as tr
 from weftline.operators.alignment import merge_reference
+from weftline.operators.dealing import spread
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Columns rounded half up, as SQL rounds."""
@@ -297,19 +300,18 @@ EXP_SQL = "[0.4999391, 0.1107098, 0.01369984, 0.0009564853, 0.00003041721]"
     SELECT p_partkey, unnest(range(12)) AS sample, round(exp(c0) * unnest(list_transform(range(12), lambda k: list_sum(list_transform(range(k // 2 + 1), lambda j: h2[j + 1] * h1[k - 2 * j + 1])))), 6) + 0.0 AS value FROM bo
 """)
 def synthesis_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Impulse responses of every part's cepstrum of order 2 through the synthesis filter."""
+    """Impulse responses of every part's cepstrum of order 2 through the synthesis filter; a batch's filters run side by side."""
 
-    @F.pandas_udf("array<struct<sample:long,value:double>>")
+    @F.pandas_udf("array<double>")
     def run(c: pd.Series) -> pd.Series:
-        out = []
-        for b in c:
-            filt = s.SynthesisFilter(2, 0.0)
-            out.append([{"sample": i, "value": filt.step(np.exp(b[0]) if i == 0 else 0.0, np.array(b))} for i in range(12)])
-        return pd.Series(out)
+        b = np.stack(c.to_list(), 1) if len(c) else np.empty((3, 0))
+        filt = s.SynthesisFilter(2, 0.0, b.shape[1:])
+        return pd.Series(list(np.stack([filt.step(np.exp(b[0]) if i == 0 else np.zeros(b.shape[1]), b) for i in range(12)], 1)))
 
     step = lambda low, mod, by: F.lit(low) - (F.col("p_partkey") % mod) / F.lit(by)
-    rows = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") / F.lit(50.0), step(0.9, 97, 60.0), step(0.7, 89, 70.0)).alias("c"))
-    return rows.select("p_partkey", F.inline(run("c"))).withColumn("value", F.round("value", 6) + F.lit(0.0))
+    rows = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size") / F.lit(50.0), step(0.9, 97, 60.0), step(0.7, 89, 70.0)).alias("c")).transform(spread, "p_partkey")
+    found = rows.select("p_partkey", F.posexplode(run("c")).alias("sample", "value"))
+    return found.select("p_partkey", F.col("sample").cast("long").alias("sample"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 def _leaf(label: str) -> tr.Node:
