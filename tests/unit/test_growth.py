@@ -18,3 +18,13 @@ def test_synthesis_filters_side_by_side():
 def test_small_tables_are_dealt_to_all_cores(spark, small):
     for name in ("synthesis_responses", "staged_responses", "line_spectrum_cepstra"):
         assert QUERIES[name](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("stages", [1, 2, 3])
+def test_staged_filters_side_by_side(stages):
+    frames = np.random.default_rng(6).uniform(0.1, 0.4, (3, 3, 5))
+    x = np.array([1.0, -0.5, 0.0, 0.25, 0.0, 0.0])
+    got = s.staged_filter(x, frames, 2, stages, 0.2)
+    assert got.shape == (6, 5)
+    for i in range(5):
+        assert got[:, i] == pytest.approx(s.staged_filter(x, frames[:, :, i], 2, stages, 0.2), abs=1e-14)

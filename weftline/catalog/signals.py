@@ -250,17 +250,11 @@ def line_spectrum_cepstra(spark: SparkSession, sf: str) -> DataFrame:
     SELECT p_partkey, CAST(n AS INT) AS stages, unnest(range(8)) AS sample, round(gain * h[unnest(range(8)) + 1], 6) AS value FROM h2
 """)
 def staged_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Impulse responses of every part's filter, one stage and two behind each other, over frames of three samples."""
-    fields = "array<struct<sample:long,value:double>>"
-
-    @F.pandas_udf(fields)
-    def run(lsp: pd.Series, stages: pd.Series) -> pd.Series:
-        pulse = np.eye(1, 8)[0]
-        found = [s.staged_filter(pulse, np.stack([s.line_spectrum_to_cepstrum(x, n)] * 3), 3, n) for x, n in zip(lsp, stages, strict=True)]
-        return pd.Series([[{"sample": i, "value": float(v)} for i, v in enumerate(h)] for h in found])
-
-    rows = line_spectra(spark, sf).select("p_partkey", "lsp", F.explode(F.array(F.lit(1), F.lit(2))).alias("stages"))
-    return rows.select("p_partkey", "stages", F.inline(run("lsp", "stages"))).withColumn("value", F.round("value", 6))
+    """Impulse responses of every part's filter, one stage and two behind each other, over frames of three samples; a batch's filters run side by side."""
+    rows = line_spectra(spark, sf).transform(spread, "p_partkey").select("p_partkey", "lsp", F.explode(F.array(F.lit(1), F.lit(2))).alias("stages"))
+    made = by_stages(lambda lsp, n: s.staged_filter(np.eye(1, 8)[0], np.stack([s.line_spectrum_to_cepstrum(lsp, n)] * 3), 3, n))
+    found = rows.select("p_partkey", "stages", F.posexplode(made("lsp", "stages")).alias("sample", "value"))
+    return found.select("p_partkey", "stages", F.col("sample").cast("long").alias("sample"), F.round("value", 6).alias("value"))
 
 
 #: CTE cw: what keeps the first three bins of frames of 8, as weights of a circular convolution, and Hamming weights.
