@@ -28,3 +28,11 @@ def test_staged_filters_side_by_side(stages):
     assert got.shape == (6, 5)
     for i in range(5):
         assert got[:, i] == pytest.approx(s.staged_filter(x, frames[:, :, i], 2, stages, 0.2), abs=1e-14)
+
+
+@pytest.mark.parametrize("stages", [1, 2, 3])
+def test_line_spectra_side_by_side(stages):
+    lsp = np.stack([[1.5, 0.4, 0.9, 1.7, 2.5], [2.0, 0.2, 1.1, 1.9, 2.2], [0.5, 0.7, 0.8, 2.0, 3.0]], 1)
+    got = s.line_spectrum_to_cepstrum(lsp, stages, 0.1)
+    for i in range(3):
+        assert got[:, i] == pytest.approx(s.line_spectrum_to_cepstrum(lsp[:, i], stages, 0.1), abs=1e-14)

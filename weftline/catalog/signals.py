@@ -228,19 +228,29 @@ def line_spectra(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.array(1 + F.col("p_size") / F.lit(10.0), angle(0.3, 97, 100.0), angle(1.5, 89, 80.0)).alias("lsp"))
 
 
+def by_stages(fn: Callable[[np.ndarray, int], np.ndarray]) -> Callable[..., Column]:
+    """A function of line spectra and stages: fn(spectra side by side, stages), for all rows of a batch with as many stages at once."""
+
+    @F.pandas_udf("array<double>")
+    def run(lsp: pd.Series, stages: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(lsp), dtype=object)
+        for n in stages.unique():
+            at = np.flatnonzero(stages == n)
+            out.iloc[at] = list(fn(np.stack([lsp.iat[i] for i in at], 1), int(n)).T)
+        return out
+
+    return run
+
+
 @query(f"""
     WITH {LSP_SQL}, st AS (SELECT *, n, -1.0 / n AS g, [-cos(w1) - cos(w2), 1 - cos(w1) + cos(w2)] AS a FROM lp, (VALUES (1), (2), (3)) s(n))
     SELECT p_partkey, CAST(n AS INT) AS stages, round((pow(gain, g) - 1) / g, 9) AS c0, round(pow(gain, g) * a[1] / g, 9) AS c1, round(pow(gain, g) * a[2] / g, 9) AS c2 FROM st
 """)
 def line_spectrum_cepstra(spark: SparkSession, sf: str) -> DataFrame:
-    """Mel-generalised cepstra of every part's line spectrum, for filters of one, two and three stages."""
-
-    @F.pandas_udf("array<double>")
-    def run(lsp: pd.Series, stages: pd.Series) -> pd.Series:
-        return pd.Series([s.line_spectrum_to_cepstrum(x, n, 0.0).tolist() for x, n in zip(lsp, stages, strict=True)])
-
-    rows = line_spectra(spark, sf).select("p_partkey", "lsp", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("stages")).withColumn("c", run("lsp", "stages"))
-    return rows.select("p_partkey", "stages", *(F.round(F.col("c")[i], 9).alias(f"c{i}") for i in range(3)))
+    """Mel-generalised cepstra of every part's line spectrum, for filters of one, two and three stages; those of a batch are made side by side."""
+    rows = line_spectra(spark, sf).transform(spread, "p_partkey").select("p_partkey", "lsp", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("stages"))
+    made = by_stages(lambda lsp, n: s.line_spectrum_to_cepstrum(lsp, n, 0.0))
+    return rows.withColumn("c", made("lsp", "stages")).select("p_partkey", "stages", *(F.round(F.col("c")[i], 9).alias(f"c{i}") for i in range(3)))
 
 
 @query(f"""
