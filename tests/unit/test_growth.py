@@ -1,10 +1,14 @@
 """What keeps queries' work in proportion to their tables: filters side by side, neighbours instead of pairs."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.catalog import QUERIES
 from weftline.functions import signal as s
+from weftline.operators.alignment import best_match, duration_range_join
 
 
 def test_synthesis_filters_side_by_side():
@@ -36,3 +40,35 @@ def test_line_spectra_side_by_side(stages):
     got = s.line_spectrum_to_cepstrum(lsp, stages, 0.1)
     for i in range(3):
         assert got[:, i] == pytest.approx(s.line_spectrum_to_cepstrum(lsp[:, i], stages, 0.1), abs=1e-14)
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_range_join_is_dealt_to_all_cores(spark, kind):
+    draw = random.Random(4)
+    left, right = ([(i, draw.choice(["a", "b", None]), draw.randrange(-9, 10) / (1 if kind == "int" else 2)) for i in range(60)] for _ in range(2))
+    frames = [spark.createDataFrame([(i, p, int(d) if kind == "int" else d) for i, p, d in rows], f"id int, phone string, duration {kind}") for rows in (left, right)]
+    joined = duration_range_join(*frames, "phone", "duration", 2)
+    assert joined.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    number = (lambda d: int(d)) if kind == "int" else (lambda d: d)
+    want = sorted((i, j) for i, p, d in left for j, q, e in right if p and p == q and abs(number(d) - number(e)) <= 2)
+    assert sorted((r["id"], r["unit_id"]) for r in joined.collect()) == want and len(want) > 100
+
+
+def test_best_match_against_all_pairs(spark):
+    draw = random.Random(3)
+    rows = [(i, draw.choice("ab"), draw.randrange(2), round(draw.random() * 60, 1)) for i in range(200)] + [(200, "c", 0, 5.0), (201, "c", 0, 35.0), (202, None, 0, 1.0), (203, "a", 0, None)]
+    units = spark.createDataFrame(rows, "unit_id long, phone string, duration int, value double")
+    found = best_match(units, units.withColumnRenamed("unit_id", "target_id"), ["phone", "duration"], most=0.3)
+    want = set()
+    for i, phone, duration, value in rows:
+        ways = [(abs(value - v), j) for j, p, d, v in rows if value is not None and v is not None and phone is not None and j != i and (p, d) == (phone, duration)]
+        if ways and min(ways)[0] < 0.3:
+            want.add((i, min(ways)[1], min(ways)[0]))
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 50
+
+
+def test_cheapest_units_makes_no_pairs(spark):
+    """Many parts of one price, brand and size: the rows that any step of the plan makes stay in proportion."""
+    units = spark.range(20_000).select(F.col("id").alias("unit_id"), F.lit("a").alias("phone"), F.lit(1).alias("duration"), (F.col("id") % 3).cast("double").alias("value"))
+    found = best_match(units, units.withColumnRenamed("unit_id", "target_id"), ["phone", "duration"]).groupBy("unit_id", "cost").count().collect()
+    assert {tuple(r) for r in found} == {(0, 0.0, 6666), (1, 0.0, 6666), (2, 0.0, 6665), (3, 0.0, 1), (4, 0.0, 1), (5, 0.0, 1)}
