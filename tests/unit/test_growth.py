@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.catalog import QUERIES
 from weftline.functions import signal as s
 from weftline.operators.alignment import best_match, duration_range_join
+from weftline.operators.labels import full_labels
 
 
 def test_synthesis_filters_side_by_side():
@@ -72,3 +73,21 @@ def test_cheapest_units_makes_no_pairs(spark):
     units = spark.range(20_000).select(F.col("id").alias("unit_id"), F.lit("a").alias("phone"), F.lit(1).alias("duration"), (F.col("id") % 3).cast("double").alias("value"))
     found = best_match(units, units.withColumnRenamed("unit_id", "target_id"), ["phone", "duration"]).groupBy("unit_id", "cost").count().collect()
     assert {tuple(r) for r in found} == {(0, 0.0, 6666), (1, 0.0, 6666), (2, 0.0, 6665), (3, 0.0, 1), (4, 0.0, 1), (5, 0.0, 1)}
+
+
+def test_labels_move_lines_once(spark, small):
+    """Neither labels nor what is looked up for them is shuffled; only lines are, as text."""
+    for name in ("context_labels", "acoustic_frames", "stream_parameters"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        initial = plan.split("Initial Plan")[-1]
+        assert len([line for line in initial.splitlines() if "Exchange hashpartitioning(doc_id" in line]) == 1, name
+        assert not [line for line in initial.splitlines() if "Exchange" in line and "label" in line and "Broadcast" not in line], name
+
+
+def test_a_long_sentence_is_walked_once(spark):
+    """Thousands of tokens without a mark, and quotes between them."""
+    words = [(1, 0, i, '"' if i % 100 == 7 else "ba", ["ba"], [0], [["b", "a"]]) for i in range(20_000)]
+    df = spark.createDataFrame(words, "doc_id long, sent_id long, pos long, word string, syllables array<string>, stress array<int>, phones array<array<string>>")
+    got = {r["phone_no"]: r["label"] for r in full_labels(df).collect()}
+    assert len(got) == 2 * (20_000 - 200) + 1
+    assert "/PREVWORDS:19700/" in got[2 * 19_699] and "/NEXTWORDS:101/" in got[2 * 19_699] and "/QUOTE:1/" in got[2 * 7]

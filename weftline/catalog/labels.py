@@ -12,7 +12,9 @@ from weftline.functions.text import SYLLABLE, syllables
 from weftline.operators import acoustic as a
 from weftline.operators.context import distance_to_flag, distance_to_marks, place_in_group
 from weftline.operators.counts import sentence_totals, sentence_type
-from weftline.operators.labels import full_labels
+from weftline.operators.dealing import spread
+from weftline.operators.labels import sentence_labels
+from weftline.operators.tokenize import tokens_of
 from weftline.plans.synthesis import speak, state_parameters
 from weftline.sources.sinks import lexicon_line, token_line
 
@@ -65,6 +67,22 @@ def flag_distances(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*SENT, "pos", F.col("prev_flag").cast("long").alias("prev_flag"), F.col("next_flag").cast("long").alias("next_flag"), F.col("index").cast("long").alias("index"), "of", "place")
 
 
+def annotated_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, sent_id, tokens: the same, a sentence's tokens as an array in order. Lines move once, as text; lines of one number, as of turns that are repeated, are one sentence."""
+    turns = table(spark, sf, "conversations")
+    cut = turns.select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    held = cut.select("doc_id", (F.col("turn") * 10_000 + F.col("line_no").cast("long")).alias("sent_id"), "line").transform(spread, "doc_id", "sent_id").groupBy("doc_id", "sent_id").agg(F.collect_list("line").alias("lines"))
+    placed = F.flatten(F.transform("lines", lambda line: F.transform(tokens_of(line), lambda w, i: F.struct(i.alias("pos"), w.alias("word")))))
+    found = held.select("doc_id", "sent_id", F.array_sort(placed).alias("placed"))
+    parts = lambda w: F.when(is_punct(w), F.array(w)).otherwise(F.transform(syllables(w), F.lower))
+    cut_up = F.transform("placed", lambda t: F.struct(t["word"].alias("word"), parts(t["word"]).alias("syllables")))
+    stress = lambda s: F.transform(s, lambda _, i: F.when((i == 0) & (F.size(s) > 1), 1).otherwise(0))
+    letters = lambda s: F.transform(s, lambda x: F.filter(F.split(x, ""), lambda c: (c != "") & c.rlike(r"\p{L}")))
+    phones = lambda t: F.when(is_punct(t["word"]), F.array(F.array(F.when(t["word"] == ",", "sp").otherwise("pau")))).otherwise(letters(t["syllables"]))
+    rows = found.select("doc_id", "sent_id", cut_up.alias("cut"))
+    return rows.select("doc_id", "sent_id", F.transform("cut", lambda t: F.struct(t["word"].alias("word"), t["syllables"].alias("syllables"), stress(t["syllables"]).alias("stress"), phones(t).alias("phones"))).alias("tokens"))
+
+
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, sent_id, pos, word, syllables, stress, phones of conversations, by the vowel rule; letters stand for phones."""
     found = syllables(F.col("word"))
@@ -102,7 +120,7 @@ LABELS_SQL = rf"""{TOKENS_SQL},
 @query(f"WITH {LABELS_SQL} SELECT doc_id, sent_id, phone_no, label FROM lb")
 def context_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Full-context labels of every phone of the conversations."""
-    return full_labels(annotated(spark, sf))
+    return sentence_labels(annotated_sentences(spark, sf))
 
 
 @query(f"""
