@@ -91,3 +91,8 @@ def test_a_long_sentence_is_walked_once(spark):
     got = {r["phone_no"]: r["label"] for r in full_labels(df).collect()}
     assert len(got) == 2 * (20_000 - 200) + 1
     assert "/PREVWORDS:19700/" in got[2 * 19_699] and "/NEXTWORDS:101/" in got[2 * 19_699] and "/QUOTE:1/" in got[2 * 7]
+
+
+def test_streams_are_looked_up_without_grouping(spark, small):
+    plan = QUERIES["stream_parameters"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "phone_no" in line]

@@ -66,10 +66,15 @@ def parse_trees(text: str) -> TreeFile:
     return found
 
 
-def leaf_column(label: Column, state: Column, trees: TreeFile) -> Column:
-    """The leaf that a label falls to in its state's tree; beyond the last state, in the last one's."""
+def asked_patterns(*files: TreeFile) -> list[tuple[str, ...]]:
+    """The patterns of all questions that trees ask, each once."""
+    return sorted({tuple(held.questions[question]) for held in files for tree in held.states.values() for question, _, _ in tree.nodes.values()})
+
+
+def leaf_column(label: Column, state: Column, trees: TreeFile, answers: dict[tuple[str, ...], Column] | None = None) -> Column:
+    """The leaf that a label falls to in its state's tree; beyond the last state, in the last one's. answers by patterns, where they are at hand, are not asked again."""
     last = max(trees.states)
-    answer = lambda q: answers_question(label, trees.questions[q])
+    answer = lambda q: answers[tuple(trees.questions[q])] if answers else answers_question(label, trees.questions[q])
     expr = F.lit(None).cast("string")
     for number, tree in sorted(trees.states.items()):
         expr = F.when(F.least(state, F.lit(last)) == number, tree.as_case(answer)).otherwise(expr)

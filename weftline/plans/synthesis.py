@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.predicates import is_punct
+from weftline.functions.predicates import answers_question, is_punct
 from weftline.functions.signal import vocode
 from weftline.functions.text import syllables
-from weftline.operators.acoustic import TreeFile, expand_states, leaf_column, parse_trees, safe_states, spread_variance, state_frames, trajectory, voiced_pitch
+from weftline.operators.acoustic import TreeFile, asked_patterns, expand_states, leaf_column, parse_trees, safe_states, spread_variance, state_frames, trajectory, voiced_pitch
 from weftline.operators.labels import full_labels
 from weftline.operators.tokenize import repeat_rows, tokens
 from weftline.sources.audio import render_wave
@@ -23,19 +23,23 @@ STREAMS = ("dur", "lf0", "mgc", "bap", "gv-lf0", "gv-mgc", "gv-bap")
 def state_parameters(labels: DataFrame, keys: list[str], trees: dict[str, TreeFile], densities: DataFrame, states: int, first: int = 2, voicing: float = 0.5, switch: TreeFile | None = None, on: str = "gv-switch_2") -> DataFrame:
     """keys, label, state and, for every stream, <stream>_mean, <stream>_var and <stream>_weight (a - in its name is _); frames, voiced and spread.
 
-    labels has keys, which tell its rows apart, and label. All streams are looked up by one join on (stream, state, leaf),
-    and gathered by one grouping. frames come from `dur`: the state's own mean where the leaf has one for each state, else
+    labels has keys, which tell its rows apart, and label. Each stream is looked up by a join on its own state and leaf with
+    densities that are broadcast, and each question is asked once for a label: they are a voice's, and don't grow with the labels, which stay where they are. frames come from `dur`: the state's own mean where the leaf has one for each state, else
     its first, rounded half up. Where the weight of `lf0` is below `voicing` a row is unvoiced and its first pitch mean
     is 0. spread is whether the label's leaf in the `switch` tree is `on`; without a tree it is true.
     """
-    asked = [F.struct(F.lit(stream).alias("stream"), safe_states(F.col("state"), max(held.states)).cast("int").alias("state"), leaf_column(F.col("label"), F.col("state"), held).alias("leaf")) for stream, held in trees.items()]
-    spread = leaf_column(F.col("label"), F.lit(min(switch.states)), switch) == on if switch else F.lit(True)
-    rows = expand_states(labels.select(*keys, "label"), states, first).withColumn("spread", spread)
-    wanted = rows.select(*keys, "label", F.col("state").alias("of_state"), "spread", F.inline(F.array(*asked)))
-    found = wanted.join(densities.select("stream", "state", "leaf", F.struct("mean", "var", "weight").alias("density")), ["stream", "state", "leaf"], "left")
+    patterns = asked_patterns(*trees.values(), *([switch] if switch else []))
+    answers = {p: F.get("_answers", i) for i, p in enumerate(patterns)}
+    spread = leaf_column(F.col("label"), F.lit(min(switch.states)), switch, answers) == on if switch else F.lit(True)
+    asking = F.array(*(answers_question(F.col("label"), list(p)) for p in patterns)).alias("_answers")
+    rows = expand_states(labels.select(*keys, "label", asking), states, first).withColumn("spread", spread)
     of = {stream: stream.replace("-", "_") for stream in trees}
-    gathered = found.groupBy(*keys, "label", F.col("of_state").alias("state"), "spread").agg(*(F.max(F.when(F.col("stream") == stream, F.col("density"))).alias(name) for stream, name in of.items()))
-    out = gathered.select(*keys, "label", "state", "spread", *(F.col(name)[part].alias(f"{name}_{part}") for name in of.values() for part in ("mean", "var", "weight")))
+    asked = {f"_{name}": F.struct(safe_states(F.col("state"), max(trees[stream].states)).cast("int").alias("state"), leaf_column(F.col("label"), F.col("state"), trees[stream], answers).alias("leaf")) for stream, name in of.items()}
+    found = rows.select(*keys, "label", "state", "spread", *(column.alias(at) for at, column in asked.items()))
+    for stream, name in of.items():
+        held = densities.filter(F.col("stream") == stream).groupBy(F.col("state").alias("_state"), F.col("leaf").alias("_leaf")).agg(F.max(F.struct("mean", "var", "weight")).alias(name))
+        found = found.join(F.broadcast(held), (F.col(f"_{name}.state") == F.col("_state")) & (F.col(f"_{name}.leaf") == F.col("_leaf")), "left").drop("_state", "_leaf")
+    out = found.select(*keys, "label", "state", "spread", *(F.col(name)[part].alias(f"{name}_{part}") for name in of.values() for part in ("mean", "var", "weight")))
     frames = F.greatest(state_frames(F.coalesce(F.get("dur_mean", F.col("state") - first), F.get("dur_mean", 0))), F.lit(1))
     voiced = voiced_pitch(F.lit(1.0), F.coalesce("lf0_weight", F.lit(0.0)), voicing) > 0
     return out.withColumns({"frames": frames, "voiced": voiced}).withColumn("lf0_mean", F.transform("lf0_mean", lambda x, i: F.when((i == 0) & ~F.col("voiced"), 0.0).otherwise(x)))
