@@ -1,6 +1,7 @@
 """What keeps queries' work in proportion to their tables: filters side by side, neighbours instead of pairs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import QUERIES
 from weftline.functions import signal as s
+from weftline.operators import entities as e
 from weftline.operators.alignment import best_match, duration_range_join
 from weftline.operators.labels import full_labels
 
@@ -96,3 +98,19 @@ def test_a_long_sentence_is_walked_once(spark):
 def test_streams_are_looked_up_without_grouping(spark, small):
     plan = QUERIES["stream_parameters"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate" in line and "phone_no" in line]
+
+
+@pytest.mark.parametrize("kind", e.KINDS)
+def test_entities_are_tried_where_they_can_start(spark, kind):
+    """What stands before an entity is not taken, and the same are found as by a pattern that takes it."""
+    assert e.entity_pattern(kind).startswith("(?=") and not re.match(e.entity_pattern(kind), " 1 ")
+    draw = random.Random(9)
+    bits = ["1", "12", "2024", "5 000", "1.250,5", "%", " %", "-", " - ", "/", ":", ".", ",", " ", "\n", "X", "IV", "MCM", "Mr", "Mrs.", "Dr.", "Sir", "Ana", "Pop", "A.", "Jr.", "kg", " m", "ha", "ml", " RON", "am", "h", "May", "@", "a.b", "www.", "https://", "one", "+40", "021", "CE", "\u00e9", "\U0001f600", "_", "(", "!"]
+    texts = ["".join(draw.choices(bits, k=draw.randrange(25))) for _ in range(3000)] + ["1%", "a@b-c.d", "1 % 2%", "3 kg 4 kg", "I.O. E.", "+1 222 333 444 555", "X X\n", "12-13"]
+    taking = re.compile(f"(?:^|[^A-Za-z0-9_.,/@:-])({e.compose(kind)})(?=[.,;:!?) \\t\\n\\f\\r]|\\Z)")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["entity"]) for r in e.entities(df, (kind,)).collect()) == sorted((i, m[1]) for i, text in enumerate(texts) for m in taking.finditer(text) if re.search(e.HOLDS[kind], text))
+
+
+def test_written_entities_are_dealt_to_all_cores(spark, small):
+    assert QUERIES["written_entities"](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
