@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import QUERIES
 from weftline.functions import signal as s
+from weftline.operators import tokenize as t
 from weftline.operators import entities as e
 from weftline.operators.alignment import best_match, duration_range_join
 from weftline.operators.labels import full_labels
@@ -114,3 +115,30 @@ def test_entities_are_tried_where_they_can_start(spark, kind):
 
 def test_written_entities_are_dealt_to_all_cores(spark, small):
     assert QUERIES["written_entities"](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lines_are_cut_in_one_pass(spark):
+    """By one pattern for a line, without a function for each item, into what the items give one by one."""
+    draw = random.Random(13)
+    bits = ["a", "bc", "\u00e9", "\U0001f600", "1", ".", "!", "?", "-", ",", ":", ";", "\u2013", " ", "  ", "\t", "\r", "\u2028", "\u00a0", "(", "..."]
+    lines = ["".join(draw.choices(bits, k=draw.randrange(16))) for _ in range(4000)] + ["a.\r", "a \r", ".\r b. \t", "", " ", "a.b.c", "!", "x- y-."]
+
+    def cut(line):
+        parts = lambda item: re.findall(t.PARTS, item)
+        found = [x for x in re.split("[ \t]", line) if x]
+        if not found:
+            return []
+        *plain, last = found
+        head = re.match("[^.!?]*", last)[0]
+        end = [*parts(head), last[len(head) :]] if re.search("[.!?](?:\r|\u2028)?\\Z", last) else parts(last)
+        return [w for x in plain for w in parts(x)] + end
+
+    df = spark.createDataFrame([(x,) for x in [*lines, None]], "line string").select("line", t.tokens_of(F.col("line")).alias("w"))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["line"], r["w"]) for r in df.collect()]
+    assert got == [(x, cut(x)) for x in lines] + [(None, [])]
+
+
+@pytest.mark.parametrize("name", ["token_statistics", "bigram_transitions"])
+def test_neighbours_are_paired_without_a_function_for_each(spark, small, name):
+    assert "lambda" not in QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
