@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import QUERIES
 from weftline.functions import signal as s
+from weftline.operators import hybrid as hy
 from weftline.operators import tokenize as t
 from weftline.operators import entities as e
 from weftline.operators.alignment import best_match, duration_range_join
@@ -142,3 +143,19 @@ def test_lines_are_cut_in_one_pass(spark):
 @pytest.mark.parametrize("name", ["token_statistics", "bigram_transitions"])
 def test_neighbours_are_paired_without_a_function_for_each(spark, small, name):
     assert "lambda" not in QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_targets_alike_meet_units_once(spark, monkeypatch):
+    """Of many utterances that say the same, the lattice has the pairs of one, and each gets that one's frames."""
+    met = []
+    lattice = hy.candidate_lattice
+    monkeypatch.setattr(hy, "candidate_lattice", lambda *args: met.append(lattice(*args)) or met[-1])
+    frames = lambda k: [[k + i / 8] * 4 for i in range(2)]
+    units = [(i, "ab"[i % 2], 2, None if i > 3 else "f", i * 10, i * 10 + 10, frames(i / 4), [100.0 + i, 0.0]) for i in range(6)]
+    targets = [(u, p, "ab"[p % 2], 2, frames(p / 3), [120.0, 90.0 + p]) for u in range(200) for p in range(3)]
+    held = spark.createDataFrame(units, "unit_id long, phone string, duration int, file string, start long, stop long, frames array<array<double>>, f0 array<double>")
+    asked = spark.createDataFrame(targets, "utterance long, position long, phone string, duration int, frames array<array<double>>, f0 array<double>")
+    got = hy.hybrid_frames(asked, held).collect()
+    assert len(met) == 1 and 0 < met[0].count() <= 9
+    of = [sorted((r["frame"], r["unit_id"], *r["sp"], r["f0"]) for r in got if r["utterance"] == u) for u in (0, 77, 199)]
+    assert len(got) == 200 * 6 and of[0] == of[1] == of[2] and any(r[1] is not None for r in of[0])
