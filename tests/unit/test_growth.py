@@ -159,3 +159,8 @@ def test_targets_alike_meet_units_once(spark, monkeypatch):
     assert len(met) == 1 and 0 < met[0].count() <= 9
     of = [sorted((r["frame"], r["unit_id"], *r["sp"], r["f0"]) for r in got if r["utterance"] == u) for u in (0, 77, 199)]
     assert len(got) == 200 * 6 and of[0] == of[1] == of[2] and any(r[1] is not None for r in of[0])
+
+
+def test_items_are_counted_where_their_texts_are(spark, small):
+    initial = QUERIES["whitespace_items"](spark, small)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(doc_id" in initial and "item#" not in "".join(line for line in initial.splitlines() if "Exchange" in line)
