@@ -1,5 +1,6 @@
 """What keeps queries' work in proportion to their tables: filters side by side, neighbours instead of pairs."""
 
+import math
 import random
 import re
 
@@ -164,3 +165,52 @@ def test_targets_alike_meet_units_once(spark, monkeypatch):
 def test_items_are_counted_where_their_texts_are(spark, small):
     initial = QUERIES["whitespace_items"](spark, small)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(doc_id" in initial and "item#" not in "".join(line for line in initial.splitlines() if "Exchange" in line)
+
+
+def test_utterances_are_vocoded_side_by_side(monkeypatch):
+    """In as many steps as the longest has samples, into what the recursion gives sample by sample."""
+    rng = np.random.default_rng(17)
+    lengths, alpha, rate, hop = [5, 0, 9, 1, 9, 4], 0.42, 4000, 20
+    mcs = [rng.uniform(-0.4, 0.4, (n, 4)) for n in lengths]
+    f0s = [rng.choice([0.0, 90.0, 350.0, 5000.0], n) for n in lengths]
+
+    def alone(mc, f0):
+        draw, phase, out, b = np.random.default_rng(1), 1.0, [], [s.to_filter(c, alpha) for c in mc]
+        first, rest, delay = np.zeros((6, 2)), np.zeros(6), np.zeros((6, 5))
+        for t in range(len(mc)):
+            for i in range(hop):
+                c = b[t] + (b[min(t + 1, len(mc) - 1)] - b[t]) * i / hop
+                x = draw.uniform(-1, 1) if f0[t] <= 0 else 0.0
+                phase = phase + f0[t] / rate if f0[t] > 0 else 1.0
+                if f0[t] > 0 and phase >= 1:
+                    x, phase = math.sqrt(rate / f0[t]), phase - 1
+                x *= math.exp(c[0])
+                v = np.zeros(6)
+                for k in range(5, 0, -1):
+                    first[k, 1] = (1 - alpha**2) * first[k - 1, 0] + alpha * first[k, 1]
+                    v[k] = first[k, 1] * c[1]
+                w = v * s.PADE
+                fed = x + sum(w[k] * (1 if k % 2 else -1) for k in range(1, 6))
+                first[1:, 0], first[0, 0], x = v[1:], fed, fed + w[1:].sum()
+                v = np.zeros(6)
+                for k in range(5, 0, -1):
+                    d = delay[k]
+                    d[0] = rest[k - 1]
+                    d[1] = (1 - alpha**2) * d[0] + alpha * d[1]
+                    for j in (2, 3):
+                        d[j] += alpha * (d[j + 1] - d[j - 1])
+                        v[k] += d[j] * c[j]
+                    d[2:] = d[1:-1].copy()
+                w = v * s.PADE
+                fed = x + sum(w[k] * (1 if k % 2 else -1) for k in range(1, 6))
+                rest[1:], rest[0] = v[1:], fed
+                out.append(fed + w[1:].sum())
+        return out
+
+    steps, step = [], s.SynthesisFilter.step
+    monkeypatch.setattr(s.SynthesisFilter, "step", lambda self, x, b: steps.append(1) or step(self, x, b))
+    got = dict(s.vocode_in_turn(mcs, f0s, rate, alpha))
+    assert len(steps) == 9 * hop and sorted(got) == list(range(6))
+    small = dict(s.vocode_in_turn(mcs, f0s, rate, alpha, most=1))
+    for i, (mc, f0) in enumerate(zip(mcs, f0s, strict=True)):
+        assert got[i] == pytest.approx(alone(mc, f0), abs=1e-11) and (got[i] == small[i]).all()

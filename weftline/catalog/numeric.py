@@ -13,6 +13,7 @@ from weftline.operators import context as c
 from weftline.operators.acoustic import expand_states, generate, safe_states
 from weftline.operators.alignment import nearest, vector_gap, warp_distance
 from weftline.operators.counts import argmax, moments, offsets_before, voiced_mean, z_normalise
+from weftline.operators.dealing import spread
 from weftline.operators.tokenize import batches, frames_of, overlapping_frames_of, repeat_rows
 
 #: CTE ev: events with a position within their user; every fifth has no value.
@@ -26,10 +27,11 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select("event_id", "user_id", i.cast("long").alias("i"), F.when(F.col("event_id") % 5 < 2, 0.0).otherwise(F.col("value")).alias("v"))
 
 
-def user_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """user_id, x: each user's values as an array in order."""
+def user_arrays(spark: SparkSession, sf: str, deal: bool = False) -> DataFrame:
+    """user_id, x: each user's values as an array in order; with `deal`, for work far beyond the rows' bytes, in several tasks for each core."""
     ordered = F.array_sort(F.collect_list(F.struct("event_id", "value")))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.transform(ordered, lambda e: e["value"]).alias("x"))
+    held = table(spark, sf, "events").select("user_id", "event_id", "value")
+    return (spread(held, "user_id") if deal else held).groupBy("user_id").agg(F.transform(ordered, lambda e: e["value"]).alias("x"))
 
 
 @query(f"""
@@ -347,8 +349,12 @@ def vocoded(spark: SparkSession, sf: str) -> DataFrame:
     """Samples synthesised from each user's values, all of them, as pitches and a fixed envelope: count and peak."""
     envelope = np.array([0.5, 0.3, -0.2, 0.1, 0.05, 0.02])
 
-    def fn(x: np.ndarray) -> dict:
-        y = s.vocode(np.tile(envelope, (len(x), 1)), x, rate=4000)
-        return {"samples": [len(y)], "peak": [round(float(np.abs(y).max(initial=0)), 3)]}
+    def run(batches_):
+        for batch in batches_:
+            xs = [np.array(x, float) for x in batch["x"]]
+            found = s.vocode_in_turn([np.broadcast_to(envelope, (len(x), len(envelope))) for x in xs], xs, rate=4000)
+            rows = [(i, len(y), round(float(np.abs(y).max(initial=0)), 3)) for i, y in found]
+            at, samples, peaks = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pd.DataFrame({"user_id": batch["user_id"].iloc[list(at)], "samples": samples, "peak": peaks})
 
-    return _per_user(spark, sf, fn, "user_id long, samples long, peak double")
+    return user_arrays(spark, sf, deal=True).mapInPandas(run, "user_id long, samples long, peak double")
