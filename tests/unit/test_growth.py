@@ -13,7 +13,7 @@ from weftline.functions import signal as s
 from weftline.operators import hybrid as hy
 from weftline.operators import tokenize as t
 from weftline.operators import entities as e
-from weftline.operators.alignment import best_match, duration_range_join
+from weftline.operators.alignment import Unit, best_match, duration_range_join, select_units
 from weftline.operators.labels import full_labels
 
 
@@ -214,3 +214,21 @@ def test_utterances_are_vocoded_side_by_side(monkeypatch):
     small = dict(s.vocode_in_turn(mcs, f0s, rate, alpha, most=1))
     for i, (mc, f0) in enumerate(zip(mcs, f0s, strict=True)):
         assert got[i] == pytest.approx(alone(mc, f0), abs=1e-11) and (got[i] == small[i]).all()
+
+
+def test_unit_chains_hold_no_objects_for_rows(spark, tmp_path):
+    """Tasks get arrays of numbers; the chains are those of select_units, and a value that is null has none."""
+    draw = random.Random(19)
+    kinds = ["click", "view", "purchase", "signup", "logout", "error", None]
+    rows = [(i, i % 9, draw.choice(kinds), draw.choice([0.0, 2.5, 31.0, 97.5, 140.0])) for i in range(300)] + [(300, 9, "error", None), (301, 9, "view", 7.0), (302, 10, "view", 7.0), (303, 10, "click", None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["unit_chains"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("MapInArrow")
+    got = {r["user_id"]: (r["cost"], r["starts"]) for r in found.collect()}
+    units = [Unit(kind, "f", at, at + 1) for kind in kinds[:5] for at in range(0, 100, 5)]
+    for user in range(10):
+        of = [(k, v) for _, u, k, v in rows if u == user]
+        cost, chain = select_units([[(u, abs(u.start - v)) for u in units if u.phone == k] or [(Unit(k, "f", 0, 1), 0.0)] for k, v in of], lambda a, b: abs(a.start - b.start) * 0.5)
+        assert got[user] == (round(cost, 6), " ".join(str(u.start) for u in chain))
+    assert got[10] == (None, None) and len(got) == 11
