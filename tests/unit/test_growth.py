@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.catalog import QUERIES
 from weftline.functions import signal as s
+from weftline.operators import acoustic as ac
 from weftline.operators import hybrid as hy
 from weftline.operators import tokenize as t
 from weftline.operators import entities as e
@@ -232,3 +233,35 @@ def test_unit_chains_hold_no_objects_for_rows(spark, tmp_path):
         cost, chain = select_units([[(u, abs(u.start - v)) for u in units if u.phone == k] or [(Unit(k, "f", 0, 1), 0.0)] for k, v in of], lambda a, b: abs(a.start - b.start) * 0.5)
         assert got[user] == (round(cost, 6), " ".join(str(u.start) for u in chain))
     assert got[10] == (None, None) and len(got) == 11
+
+
+def test_trajectories_are_solved_side_by_side(spark, small, monkeypatch):
+    """Utterances of all lengths in a few systems, each with the result that it has alone, however rows are cut into batches."""
+    rng = np.random.default_rng(23)
+    lengths = [int(n) for n in rng.integers(0, 12, 60)] + [400, 1, 2, 3]
+    rows, want = [], {}
+    for u, n in enumerate(lengths):
+        m, v, ok = rng.normal(size=(3, n)) + 1, rng.uniform(0.2, 2, (3, n)), rng.random(n) < 0.8
+        rows += [(u, i, m[:, i].tolist(), v[:, i].tolist(), bool(ok[i])) for i in range(n)]
+        x = np.zeros(n)
+        if ok.any():
+            bands, right = ac.banded_normal(m[:, ok], 1 / v[:, ok])
+            k = len(right)
+            whole = sum(np.diag(bands[: k - d, d], d) + (np.diag(bands[: k - d, d], -d) if d else 0) for d in range(min(3, k)))
+            x[ok] = np.linalg.solve(whole, right)
+        want |= {(u, i): x[i] for i in range(n)}
+    monkeypatch.setattr(ac, "whole_groups", lambda batches, first, cut=ac.whole_groups: cut(batches, first, 50))
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, "7")
+    try:
+        found = ac.generate(spark.createDataFrame(rows, "u int, t long, m array<double>, v array<double>, ok boolean").repartition(3), "u", "t", "m", "v", "ok")
+        got = {(r["u"], r["t"]): r["value"] for r in found.collect()}
+    finally:
+        spark.conf.unset(conf)
+    assert got == {k: pytest.approx(x, abs=1e-9) for k, x in want.items()}
+    solved, solve = [], ac.solve_banded
+    monkeypatch.setattr(ac, "solve_banded", lambda bands, right: solved.append(right.shape) or solve(bands, right))
+    ac.trajectories(np.ones((3, 5000)), np.ones((3, 5000)), np.arange(0, 5000, 50), np.full(100, 50))
+    assert solved == [(50, 100)]
+    plan = QUERIES["total_variances"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
