@@ -265,3 +265,42 @@ def test_trajectories_are_solved_side_by_side(spark, small, monkeypatch):
     assert solved == [(50, 100)]
     plan = QUERIES["total_variances"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "InPandas" not in plan
+
+
+def test_variances_are_spread_side_by_side(spark, small):
+    """As utterance by utterance, each with steps and an end of its own; both trajectories come of one pass, without joins of rows."""
+    rng = np.random.default_rng(29)
+    lengths = np.array([9, 40, 2, 0, 1, 25, 40])
+    n = int(lengths.sum())
+    starts, means, variances, on = np.cumsum(lengths) - lengths, rng.normal(size=(3, n)) * 2, rng.uniform(0.1, 2, (3, n)), rng.random(n) < 0.8
+    aims = rng.uniform(0.5, 4, 7), rng.uniform(0.02, 0.5, 7)
+
+    def alone(c, m, v, gv_mean, gv_var, on):
+        if on.sum() < 2 or c[on].var() == 0:
+            return c
+        bands, right = ac.banded_normal(m, 1 / v)
+        value = lambda x: (right @ x - 0.5 * x @ ac.banded_times(bands, x)) / (3 * len(x)) - 0.5 * (x[on].var() - gv_mean) ** 2 / gv_var
+        x, step = np.where(on, (c - c[on].mean()) * np.sqrt(gv_mean / c[on].var()) + c[on].mean(), c), 0.1
+        best = value(x)
+        for _ in range(100):
+            var, mean, k = x[on].var(), x[on].mean(), on.sum()
+            slope = (right - ac.banded_times(bands, x)) / (3 * len(x)) - np.where(on, (var - gv_mean) / gv_var * 2 * (x - mean) / k, 0.0)
+            curve = np.maximum(np.abs(bands[:, 0]) / (3 * len(x)) + np.where(on, 2 * abs(var - gv_mean) / gv_var / k + 4 * ((x - mean) / k) ** 2 / gv_var, 0.0), 1e-12)
+            tried = x + step * slope / curve
+            now = value(tried)
+            if now > best:
+                last, x, best, step = best, tried, now, step * 1.2
+                if best - last < 1e-9 * abs(last):
+                    break
+            else:
+                step *= 0.5
+        return x
+
+    plain, spread = ac.trajectories(means, variances, starts, lengths, aims, on)
+    for i, (at, k) in enumerate(zip(starts, lengths, strict=True)):
+        of = slice(at, at + k)
+        if k:
+            assert plain[of] == pytest.approx(ac.trajectory(means[:, of], variances[:, of]), abs=1e-12)
+            assert spread[of] == pytest.approx(alone(plain[of], means[:, of], variances[:, of], aims[0][i], aims[1][i], on[of]), abs=1e-6)
+    plan = QUERIES["spread_trajectories"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "InPandas" not in plan and "Join Inner" not in plan.replace("Join Cross", "")

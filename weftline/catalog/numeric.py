@@ -325,14 +325,11 @@ def wanted_variance(rows: DataFrame) -> DataFrame:
 
 def spread_rows(spark: SparkSession, sf: str) -> DataFrame:
     """user_id, n, before, after, wanted: total variances of trajectories, plain and spread, over frames that are on (six of seven), and the one wanted, which is held to by a variance of a twentieth of it."""
-    rows = voiced_rows(spark, sf).withColumn("on", F.col("i") % 7 != 3)
-    of_users = moments(rows, F.col("mean")[0], ["user_id"], F.col("voiced") & F.col("on")).filter("n > 0")
-    wanted = of_users.agg(F.avg("var").alias("gv_mean")).withColumn("gv_var", F.col("gv_mean") / 20)
-    plain = generate(rows, "user_id", "i", "mean", "var", "voiced")
-    spread = generate(rows.crossJoin(F.broadcast(wanted)), "user_id", "i", "mean", "var", "voiced", ("gv_mean", "gv_var"), "on").withColumnRenamed("value", "spread")
-    both = rows.filter(F.col("voiced") & F.col("on")).select("user_id", "i").join(plain, ["user_id", "i"]).join(spread, ["user_id", "i"])
-    found = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("value").alias("before"), F.var_pop("spread").alias("after")).filter("n > 1")
-    return found.crossJoin(F.broadcast(wanted.select(F.col("gv_mean").alias("wanted"))))
+    rows = switched_rows(spark, sf)
+    wanted = wanted_variance(rows).withColumn("gv_var", F.col("gv_mean") / 20)
+    both = generate(rows.crossJoin(F.broadcast(wanted)), "user_id", "i", "mean", "var", "voiced", ("gv_mean", "gv_var"), "on", "plain", ("voiced", "on", "gv_mean")).filter("voiced AND on")
+    found = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("plain").alias("before"), F.var_pop("value").alias("after"), F.first("gv_mean").alias("wanted"))
+    return found.filter("n > 1").select("user_id", "n", "before", "after", "wanted")
 
 
 @query()
