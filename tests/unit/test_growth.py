@@ -304,3 +304,20 @@ def test_variances_are_spread_side_by_side(spark, small):
             assert spread[of] == pytest.approx(alone(plain[of], means[:, of], variances[:, of], aims[0][i], aims[1][i], on[of]), abs=1e-6)
     plan = QUERIES["spread_trajectories"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "InPandas" not in plan and "Join Inner" not in plan.replace("Join Cross", "")
+
+
+def test_texts_without_digits_are_gone_through_once_for_all_kinds_with_digits(spark, small):
+    """Strings are sought in bytes, and entities are those that every kind's own pattern finds by itself."""
+    assert len(e.DIGITS) == 14 and set(e.KINDS) - set(e.DIGITS) == {"number_word", "initials", "male", "female", "person", "name", "junior", "roman", "email", "url"}
+    assert all(re.search("[0-9]", m) for k in e.DIGITS for m in ["12", "3,5", "12 %", "5 EUR", "1/2/2020", "1999", "14:05", "+40 123 4567"] if re.fullmatch(e.compose(k), m))
+    sought = {k for k in e.KINDS if "contains" in str(e.holds(k)).lower()}
+    assert sought == {"percent", "money", "male", "female", "person", "junior", "email", "url"}
+    draw = random.Random(31)
+    bits = ["7", "12", "1.250,5", " EUR", "%", "Mr", " Mrs. ", "Dr. ", "Ana", " Pop", " Jr.", "X", "IV", "a@b.c", "http://x.y", "www.a.b", " one", " ten ", ":05", "/", "-", "2020", " km", " ", ".", "\u00e9", "+40 123 4567", "Sir Tom", "I.O."]
+    texts = ["".join(draw.choices(bits, k=draw.randrange(12))) for _ in range(400)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((r["doc_id"], r["kind"], r["entity"]) for r in e.entities(df).collect())
+    alone = df.select("doc_id", *(F.regexp_extract_all("text", F.lit(e.entity_pattern(k)), F.lit(1)).alias(k) for k in e.KINDS)).collect()
+    assert got == sorted((r["doc_id"], k, x) for r in alone for k in e.KINDS for x in r[k] or []) and {k for _, k, _ in got} >= {"money", "person", "email", "url", "roman", "phone", "number_word"}
+    initial = QUERIES["pattern_entities"](spark, small)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning(doc_id") == 1 == initial.count("Exchange")
