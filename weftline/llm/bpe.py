@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import give_back
+from weftline.llm.common import give_back, map_batches
 
 SHIFT = 6
 
@@ -92,10 +93,18 @@ class BpeCodec:
         self.queue = RankQueue(max(self.tokens, default=0) + 1)
         self.find = regex.compile(pattern).findall
         self.pieces = PieceCache(self.encode_block)
-        pairs = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
-        self.pair_keys = np.array([k for k, _ in pairs] + [-1], np.int64)
-        self.pair_keys[-1] = np.iinfo(np.int64).max
-        self.pair_ranks = np.array([r for _, r in pairs] + [-1], np.int32)
+        # Flat arrays: some hundred thousand tuples would leave the worker's memory full of holes for as long as it lives.
+        keys, merged = array("q"), array("i")
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    merged.append(rank)
+        pair_keys = np.array(keys, np.int64)
+        order = np.argsort(pair_keys)
+        self.pair_keys = np.append(pair_keys[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.array(merged, np.int32)[order], np.int32(-1))
         self.byte_ranks = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -271,7 +280,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
         bpe.pieces.drop()
         give_back()
 
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids {schema}, decoded {schema}")
+    return map_batches(source, run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids {schema}, decoded {schema}")
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

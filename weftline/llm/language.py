@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.bpe import slices
-from weftline.llm.common import SMALL_ROWS, give_back
+from weftline.llm.common import SMALL_ROWS, give_back, map_batches
 
 UNDETERMINED = "und"
 #: Bytes of text that the training sample of all languages together holds at most; each has an equal part.
@@ -143,7 +143,7 @@ def with_language(docs: DataFrame, per_language: int = 1000) -> DataFrame:
         unseen.clear()
         give_back()
 
-    return held.mapInArrow(run, T.StructType([held.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_batches(held, run, T.StructType([held.schema["doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify_languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:

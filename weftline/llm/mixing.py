@@ -16,11 +16,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftline.llm.common import WS, materialize
+from weftline.llm.common import WS, listed, materialize
 
 BITS = 10
 BLOCKS = 1 << BITS
@@ -31,6 +31,7 @@ MAX_SOURCES = 100_000
 CELL_BITS = 12
 #: The `row` of rows that needn't be told apart.
 NEVER = (1 << 62) - 1
+TIED = pa.schema({"tied_source": pa.string(), "tied_place": pa.int64()})
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ def _cuts(slim: DataFrame, rest: dict[str | None, float], place: str = "place")
         if not open_:
             break
         shift = BITS * (LEVELS - 1 - level)
-        asked = slim.sparkSession.createDataFrame([(s, float(found[s].rest), found[s].below >> shift + BITS) for s in open_], "asked string, rest double, cell long")
+        asked = listed(slim.sparkSession, [(s, float(found[s].rest), found[s].below >> shift + BITS) for s in open_], pa.schema({"asked": pa.string(), "rest": pa.float64(), "cell": pa.int64()}))
         inside = slim["source"].eqNullSafe(asked["asked"]) & (F.shiftright(place, shift + BITS) == asked["cell"])
         units = slim.join(F.broadcast(asked), inside).groupBy("source", "rest", F.shiftright(place, shift).alias("unit")).agg(F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
         reached = units.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("unit"))).filter("upto > rest")
@@ -132,7 +133,7 @@ def _cuts(slim: DataFrame, rest: dict[str | None, float], place: str = "place")
 
 def _tied(rows: DataFrame, below: dict[str | None, int]) -> DataFrame:
     """rows at the place where their source is cut, of the given sources."""
-    asked = rows.sparkSession.createDataFrame(list(below.items()), "tied_source string, tied_place long")
+    asked = listed(rows.sparkSession, list(below.items()), TIED)
     return rows.join(F.broadcast(asked), rows["source"].eqNullSafe(asked["tied_source"]) & (rows["place"] == asked["tied_place"]), "left_semi")
 
 
@@ -164,9 +165,9 @@ def cut_rows(rows: DataFrame, below: dict[str | None, int], rest: dict[str | Non
 
 def _deal(rows: DataFrame, plans: list[Plan]) -> DataFrame:
     """rows (source, size, place, ...) with source_size, target and shards, the output shard of each copy."""
-    kinds = T.StructType.fromDDL("plan_source string, source_size long, target double, passes int, below long, rows long, upto array<long>")
+    kinds = pa.schema({"plan_source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "passes": pa.int32(), "below": pa.int64(), "rows": pa.int64(), "upto": pa.list_(pa.int64())})
     of_plans = [(p.source, p.size, p.target, p.passes, p.below, p.rows, np.cumsum(p.shards).tolist()) for p in plans]
-    sources = rows.sparkSession.createDataFrame(of_plans, kinds)
+    sources = listed(rows.sparkSession, of_plans, kinds)
     once_more = (F.col("place") < F.col("below")) | ((F.col("place") == F.col("below")) & (F.col("row") < F.col("rows")))
     copies = F.col("passes") + F.when(once_more, 1).otherwise(0)
     drawn = F.when((copies > 0) & (F.col("size") > 0), F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
@@ -209,7 +210,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
         below = {s: p.below for s, p in tied.items()}
         alike = materialize(_tied(rows, below).withColumn("row", _row_order(seed)), "mix-alike")
         cut = cut_rows(alike, below, {s: p.tied for s, p in tied.items()})
-        others = rows.join(F.broadcast(docs.sparkSession.createDataFrame(list(below.items()), "tied_source string, tied_place long")), F.col("source").eqNullSafe(F.col("tied_source")) & (F.col("place") == F.col("tied_place")), "left_anti")
+        others = rows.join(F.broadcast(listed(docs.sparkSession, list(below.items()), TIED)), F.col("source").eqNullSafe(F.col("tied_source")) & (F.col("place") == F.col("tied_place")), "left_anti")
         taken = _deal(others.withColumn("row", F.lit(NEVER)), plans).unionByName(_deal(alike, [replace(p, rows=cut.get(p.source, 0)) for p in plans]))
     taken = _shuffle_keys(taken, seed, "doc")
     cells = _shuffle_keys(_deal(slim, plans), seed).groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import slices
-from weftline.llm.common import NO_ID, give_back, join_groups, keep_marked, key_counts, materialize, release, row_keys, small
+from weftline.llm.common import NO_ID, give_back, join_groups, keep_marked, key_counts, map_batches, materialize, release, row_keys, small
 from weftline.llm.components import components
 
 #: op8's rule: shingles of N words, links where 100 * intersection >= PERCENT * union.
@@ -156,7 +156,7 @@ def signed_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
         del seen, words
         give_back()
 
-    return docs.select("text").mapInArrow(run, "key long, sid long")
+    return map_batches(docs.select("text"), run, "key long, sid long")
 
 
 def agreements(signed: DataFrame) -> DataFrame:
@@ -182,9 +182,10 @@ def agreements(signed: DataFrame) -> DataFrame:
             if beside.any():
                 pairs, n = np.unique(np.stack((sid[beside], first[beside]), 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64))], ["u", "v", "n"])
+        give_back()
 
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = signed.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(run, "u long, v long, n long")
+    rows = map_batches(signed.repartition(n, "key").sortWithinPartitions("key", "sid"), run, "u long, v long, n long")
     return rows.groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
@@ -206,7 +207,7 @@ def document_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFr
         del words
         give_back()
 
-    return docs.select("doc_id", "text", row_keys()[1]).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, sid long, size_class int, point binary")
+    return map_batches(docs.select("doc_id", "text", row_keys()[1]), run, "doc_id long, text_hash long, n_shingles long, set_id binary, sid long, size_class int, point binary")
 
 
 class CountTree:
@@ -353,9 +354,11 @@ def by_block_pair(dealt: DataFrame, fn: Callable[[dict[str, list], int, int], It
             rest = table.slice(starts[-1])
         if rest is not None:
             yield from made(rest, [(0, rest.num_rows)])
+        del rest
+        give_back()
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select(*keys, *columns).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return map_batches(dealt.select(*keys, *columns).repartition(n, *keys).sortWithinPartitions(*keys), run, schema)
 
 
 def link_blocks(members: DataFrame, block: int, percent: int = PERCENT) -> DataFrame:
@@ -427,10 +430,11 @@ def verified_pairs(pairs: DataFrame, members: DataFrame, percent: int = PERCENT)
                     out += [(a, a, copies_b), (b, a, copies_a)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["set_id", "root", "links"])
+        give_back()
 
     side = lambda name: members.select(F.col("set_id").alias(name), F.col("copies").alias(f"copies_{name}"), F.col("data").alias(f"set_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "copies_a", "copies_b", "set_a", "set_b").mapInArrow(run, "set_id binary, root binary, links long")
+    return map_batches(both.select("a", "b", "copies_a", "copies_b", "set_a", "set_b"), run, "set_id binary, root binary, links long")
 
 
 def linked_sets(docs: DataFrame, block: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -468,9 +472,11 @@ def linked_sets(docs: DataFrame, block: int, n: int, percent: int) -> tuple[Data
                 same = pa.array([len(x) > 0 and set_id(x) == want for x, want in zip(h, part.column("set_id").to_pylist(), strict=True)], pa.bool_())
                 whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("canopy", "size_class", "set_id", "copies")), pa.array([x.tobytes() for x in h], pa.binary())], ["canopy", "size_class", "set_id", "copies", "data"])
                 yield whole.filter(same)
+        del words
+        give_back()
 
     texts = docs.select(*row_keys(), "text").join(small(wanted), ["key", "text_hash"])
-    members = texts.select("canopy", "size_class", "set_id", "copies", "text").mapInArrow(hashed, "canopy long, size_class int, set_id binary, copies long, data binary")
+    members = map_batches(texts.select("canopy", "size_class", "set_id", "copies", "text"), hashed, "canopy long, size_class int, set_id binary, copies long, data binary")
     # In the order of canopies, sets that are much alike lie together, and their copies for the pairs of blocks compress.
     members = materialize(members.dropDuplicates(["set_id"]).repartitionByRange("canopy", "set_id").sortWithinPartitions("canopy", "set_id"), "members")
     links = materialize(link_blocks(members.filter("canopy IS NOT NULL"), block, percent).unionByName(verified_pairs(pairs, members, percent)), "links")
