@@ -321,3 +321,25 @@ def test_texts_without_digits_are_gone_through_once_for_all_kinds_with_digits(sp
     assert got == sorted((r["doc_id"], k, x) for r in alone for k in e.KINDS for x in r[k] or []) and {k for _, k, _ in got} >= {"money", "person", "email", "url", "roman", "phone", "number_word"}
     initial = QUERIES["pattern_entities"](spark, small)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning(doc_id") == 1 == initial.count("Exchange")
+
+
+def test_hybrid_targets_move_without_their_candidates(spark, monkeypatch):
+    """Units alike many times over, recorded one after the other: chosen in one pass as by whole lists of candidates, which are not moved."""
+    rng = np.random.default_rng(23)
+    shapes = [[[float(x)] * 4 for x in rng.integers(0, 3, n)] for n in (1, 2, 2, 3)]
+    sound = lambda: (lambda k: (len(shapes[k]), shapes[k], [float(x) for x in rng.choice([0.0, 100.0, 120.0], len(shapes[k]))]))(rng.integers(0, 4))
+    units = [(i, "ab"[rng.integers(0, 2)], n, f"f{i // 10}", i % 10 * 10, i % 10 * 10 + 10, frames, f0) for i in range(300) for n, frames, f0 in [sound()]]
+    targets = [(u, p, "abz"[rng.choice(3, p=[0.45, 0.45, 0.1])], n, frames, f0) for u in range(60) for p in range(5) for n, frames, f0 in [sound()]]
+    held = spark.createDataFrame(units, "unit_id long, phone string, duration int, file string, start long, stop long, frames array<array<double>>, f0 array<double>")
+    asked = spark.createDataFrame(targets, "utterance long, position long, phone string, duration int, frames array<array<double>>, f0 array<double>")
+    shown = lambda df: sorted((r["utterance"], r["frame"], r["position"], -1 if r["unit_id"] is None else r["unit_id"], *r["sp"], r["f0"]) for r in df.collect())
+    lean = hy.hybrid_frames(asked, held)
+    assert "options" not in lean._jdf.queryExecution().executedPlan().toString()
+    got = shown(lean)
+    monkeypatch.setattr(hy, "JOINTS", 0)
+    assert shown(hy.hybrid_frames(asked, held)) == got
+    monkeypatch.setattr(hy, "KINDS", 0)
+    whole = hy.hybrid_frames(asked, held)
+    assert "options" in whole._jdf.queryExecution().executedPlan().toString() and shown(whole) == got
+    stock = [x.as_py() for of in hy.choices(held).toArrow().column("units") for x in of]
+    assert len(stock) < 100 and len({x[3] for x in got}) > 30 and {x[3] for x in got} - {x["unit_id"] for x in stock} - {-1}
