@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.catalog import QUERIES
 from weftline.functions import signal as s
 from weftline.operators import acoustic as ac
+from weftline.functions.predicates import answers_question, question_regex
 from weftline.operators import hybrid as hy
 from weftline.operators import tokenize as t
 from weftline.operators import entities as e
@@ -343,3 +344,23 @@ def test_hybrid_targets_move_without_their_candidates(spark, monkeypatch):
     assert "options" in whole._jdf.queryExecution().executedPlan().toString() and shown(whole) == got
     stock = [x.as_py() for of in hy.choices(held).toArrow().column("units") for x in of]
     assert len(stock) < 100 and len({x[3] for x in got}) > 30 and {x[3] for x in got} - {x["unit_id"] for x in stock} - {-1}
+
+
+def test_questions_without_inner_wildcards_need_no_regex(spark):
+    """Answers are those of the regular expressions, whatever stands around."""
+    patterns = ["*-a+*", "-a+", "**b", "b**", "*", "", "a*b", "*c*d*", "*é*", "-a+*", "𝄞*"]
+    values = ["", "-a+", "x-a+", "x-a+y", "-a+y", "ab", "xxb", "xb", "bxx", "bx", "a-b", "xcydz", "cyd", "é", "xéy", "𝄞-a+𝄞", "𝄞", "𝄞x", "\n-a+\n", "xé", "-a+-a+-a+", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for skip in (False, True):
+        asked = [[p] for p in patterns] + [["*-a+*", "b**"], ["a*b", "-a+"], []]
+        by_regex = lambda ps: F.col("v").rlike("|".join(f"(?:{question_regex(p, skip)})" for p in ps)) if ps else F.lit(False)
+        got = rows.select("v", *(answers_question(F.col("v"), ps, skip).alias(f"a{i}") for i, ps in enumerate(asked)), *(by_regex(ps).alias(f"b{i}") for i, ps in enumerate(asked))).collect()
+        assert all(r[f"a{i}"] == r[f"b{i}"] for r in got for i in range(len(asked))), [(r["v"], asked[i]) for r in got for i in range(len(asked)) if r[f"a{i}"] != r[f"b{i}"]]
+
+
+@pytest.mark.parametrize("name", ["acoustic_frames", "stream_parameters"])
+def test_labels_are_asked_once_and_stay_where_they_are(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "RLIKE" not in plan[: plan.index("MapInArrow run")]
+    above = plan[: plan.index("Generate explode")]
+    assert "Contains(" not in above and "label#" not in above

@@ -175,8 +175,9 @@ QS pause { "-pau+","-sp+" }
 def acoustic_frames(spark: SparkSession, sf: str) -> DataFrame:
     """For every label, state and leaf: mean, frames, voicing; generated from a small model."""
     trees = a.parse_trees(TREES)
-    states = a.expand_states(context_labels(spark, sf), 3).withColumn("clamped", a.safe_states(F.col("state"), 4))
-    leaves = a.tree_leaf(states, "label", trees, "clamped")
+    labels = context_labels(spark, sf).withColumn("answers", a.asked(F.col("label"), a.asked_patterns(trees)))
+    states = a.expand_states(labels, 3).withColumn("clamped", a.safe_states(F.col("state"), 4))
+    leaves = a.tree_leaf(states, "label", trees, "clamped", answers="answers")
     table_ = [("lf0", 2, "s2_vowel", 5.0, 0.2, 0.9), ("lf0", 2, "s2_other", 4.5, 0.3, 0.6), ("lf0", 2, "s2_pause", 0.0, 1.0, 0.0), ("lf0", 3, "s3_stressed", 5.4, 0.1, 0.95), ("lf0", 3, "s3_plain", 4.8, 0.2, 0.8), ("lf0", 3, "s3_pause", 0.0, 1.0, 0.1), ("lf0", 4, "s4_all", 4.6, 0.4, 0.5)]
     densities = spark.createDataFrame(table_, "stream string, state int, leaf string, mean double, var double, weight double")
     found = a.look_up_densities(leaves, densities, "lf0")

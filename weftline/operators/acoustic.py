@@ -82,9 +82,19 @@ def leaf_column(label: Column, state: Column, trees: TreeFile, answers: dict[tup
     return expr
 
 
-def tree_leaf(labels: DataFrame, label: str, trees: TreeFile, state: str, out: str = "leaf") -> DataFrame:
-    """out: the leaf that a label falls to in its state's tree, all in expressions."""
-    return labels.withColumn(out, leaf_column(F.col(label), F.col(state), trees))
+def asked(label: Column, patterns: list[tuple[str, ...]]) -> Column:
+    """An array of whether the label answers each question: to be made before labels become rows for their states."""
+    return F.array(*(answers_question(label, list(p)) for p in patterns))
+
+
+def answers_at(answers: str, patterns: list[tuple[str, ...]]) -> dict[tuple[str, ...], Column]:
+    """The answers by patterns, out of the column that asked() made."""
+    return {p: F.get(answers, i) for i, p in enumerate(patterns)}
+
+
+def tree_leaf(labels: DataFrame, label: str, trees: TreeFile, state: str, out: str = "leaf", answers: str | None = None) -> DataFrame:
+    """out: the leaf that a label falls to in its state's tree, all in expressions. answers: a column of what asked() says of asked_patterns(trees), where it is at hand."""
+    return labels.withColumn(out, leaf_column(F.col(label), F.col(state), trees, answers_at(answers, asked_patterns(trees)) if answers else None))
 
 
 def answers_of(label: str, questions: dict[str, list[str]]) -> dict[str, bool]:
@@ -97,9 +107,9 @@ def expand_states(labels: DataFrame, states: int = 5, first: int = 2) -> DataFra
 
 
 def look_up_densities(states: DataFrame, densities: DataFrame, stream: str) -> DataFrame:
-    """mean, var, weight of each (state, leaf) of a stream, by equi-join; Spark broadcasts the table where it is small."""
+    """mean, var, weight of each (state, leaf) of a stream, by equi-join. Densities are a voice's and don't grow with the labels, so they are broadcast, and labels stay where they are: by leaf, few tasks would have them all."""
     of_stream = densities.filter(F.col("stream") == stream).select("state", "leaf", "mean", "var", "weight")
-    return states.join(of_stream, ["state", "leaf"], "left")
+    return states.join(F.broadcast(of_stream), ["state", "leaf"], "left")
 
 
 def state_frames(duration_mean: Column) -> Column:

@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.predicates import answers_question, is_punct
+from weftline.functions.predicates import is_punct
 from weftline.functions.signal import vocode
 from weftline.functions.text import syllables
-from weftline.operators.acoustic import TreeFile, asked_patterns, expand_states, leaf_column, parse_trees, safe_states, spread_variance, state_frames, trajectory, voiced_pitch
+from weftline.operators.acoustic import TreeFile, answers_at, asked_patterns, expand_states, leaf_column, parse_trees, safe_states, spread_variance, state_frames, trajectory, voiced_pitch
+from weftline.operators.acoustic import asked as asked_of
 from weftline.operators.labels import full_labels
 from weftline.operators.tokenize import repeat_rows, tokens
 from weftline.sources.audio import render_wave
@@ -29,10 +30,9 @@ def state_parameters(labels: DataFrame, keys: list[str], trees: dict[str, TreeFi
     is 0. spread is whether the label's leaf in the `switch` tree is `on`; without a tree it is true.
     """
     patterns = asked_patterns(*trees.values(), *([switch] if switch else []))
-    answers = {p: F.get("_answers", i) for i, p in enumerate(patterns)}
+    answers = answers_at("_answers", patterns)
     spread = leaf_column(F.col("label"), F.lit(min(switch.states)), switch, answers) == on if switch else F.lit(True)
-    asking = F.array(*(answers_question(F.col("label"), list(p)) for p in patterns)).alias("_answers")
-    rows = expand_states(labels.select(*keys, "label", asking), states, first).withColumn("spread", spread)
+    rows = expand_states(labels.select(*keys, "label", asked_of(F.col("label"), patterns).alias("_answers")), states, first).withColumn("spread", spread)
     of = {stream: stream.replace("-", "_") for stream in trees}
     asked = {f"_{name}": F.struct(safe_states(F.col("state"), max(trees[stream].states)).cast("int").alias("state"), leaf_column(F.col("label"), F.col("state"), trees[stream], answers).alias("leaf")) for stream, name in of.items()}
     found = rows.select(*keys, "label", "state", "spread", *(column.alias(at) for at, column in asked.items()))
