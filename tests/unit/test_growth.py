@@ -1,5 +1,6 @@
 """What keeps queries' work in proportion to their tables: filters side by side, neighbours instead of pairs."""
 
+import itertools
 import math
 import random
 import re
@@ -13,7 +14,9 @@ from weftline.functions import signal as s
 from weftline.operators import acoustic as ac
 from weftline.functions.predicates import answers_question, question_regex
 from weftline.operators import hybrid as hy
+from weftline.operators import tagging as tg
 from weftline.operators import tokenize as t
+from weftline.operators import tree as tr
 from weftline.operators import entities as e
 from weftline.operators.alignment import Unit, best_match, duration_range_join, select_units
 from weftline.operators.labels import full_labels
@@ -364,3 +367,29 @@ def test_labels_are_asked_once_and_stay_where_they_are(spark, small, name):
     assert "SortMergeJoin" not in plan and "RLIKE" not in plan[: plan.index("MapInArrow run")]
     above = plan[: plan.index("Generate explode")]
     assert "Contains(" not in above and "label#" not in above
+
+
+def test_words_are_labelled_once_a_task(spark):
+    """However many batches a task has."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        number = itertools.count()
+        rows = spark.range(0, 60, 1, 1).select(F.array(F.concat(F.lit("w"), (F.col("id") % 3).cast("string"))).alias("words"))
+        got = {tuple(r["found"]) for r in tg.label_words(rows, "words", lambda w, _: f"{w}:{next(number)}", None, "found").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == 3
+
+
+@pytest.mark.parametrize("asked", [("w0:a", "case:upper"), ("p1:A", "w0:a"), ("p2:B", "p1:A"), ("nw0:b", "c:b")])
+def test_greedy_tags_walk_the_tree_once_for_what_it_asks(asked, monkeypatch):
+    leaf = lambda name: tr.Node(1, 0, dist=[(name, 1.0)])
+    make = lambda: tr.Node(1, 0, asked[0], tr.Node(1, 0, asked[1], leaf("A"), leaf("B")), tr.Node(1, 0, asked[1], leaf("B"), leaf("A")))
+    walks, label = [], tr.Node.label
+    monkeypatch.setattr(tr.Node, "label", lambda self, bag: walks.append(bag) or label(self, bag))
+    words, plain, tree = ["a", "ab", "B", "ba", "", "bb"] * 20, [], make()
+    for i, word in enumerate(words):
+        after = words[i + 1] if i + 1 < len(words) else "_"
+        plain.append(label(tree, {f"p1:{plain[-1] if plain else '_'}", f"p2:{plain[-2] if i > 1 else '_'}", f"case:{'upper' if word.isupper() else 'first' if word[:1].isupper() else 'lower'}", *tg.suffix_bag(word, 5, "w"), *tg.suffix_bag(after, 5, "nw"), *(f"c:{c}" for c in word)}))
+    assert tg.greedy_tags(words, tree) == plain and len(walks) < 40 and tg.greedy_tags(words, tree) == plain and len(walks) < 40
